@@ -10,10 +10,12 @@ def salted(df: DataFrame, keys: list[str], spread: str, limit: int, out: str = "
     """Adds a salt that splits every group of more than `limit` rows into pieces of about that size.
 
     Groups within the limit keep salt 0 and so stay whole. Only the groups beyond it, at most rows/limit of them,
-    are joined back; where there is none, adaptive execution drops the join. Null keys form a group of their own.
+    are joined back; where there is none, there is no join. Null keys form a group of their own.
     """
     group = F.xxhash64(*keys)
     large = df.groupBy(group.alias("_g")).count().where(F.col("count") > limit).select("_g", F.ceil(F.col("count") / limit).alias("_n"))
+    if large.isEmpty():
+        return df.withColumn(out, F.lit(0))
     joined = df.withColumn("_g", group).join(large, "_g", "left")
     return joined.withColumn(out, F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_n"))).cast("int")).drop("_g", "_n")
 

@@ -251,11 +251,15 @@ def implausible(df: DataFrame, source: str, order: str, key: str, fields: dict[s
     rows = df.select(F.col(source).cast("string").alias("source"), F.col(order).cast("double").alias("ord"), F.col(key).cast("long").alias("record_key"), *[e.alias(c) for c, e in exprs.items()])
     limits = [fields[n][2] for n in names]
     large = df.groupBy(F.col(source).cast("string").alias("_big")).count().where(F.col("count") > limit).select("_big")
-    ordinary = rows.join(large, F.col("source").eqNullSafe(F.col("_big")), "left_anti").withColumn("gid", F.xxhash64("source"))
-    small = _grouped(ordinary, len(names), limits, rules, False).select("field", "record_key")
-    big = _large_sources(rows.join(large, F.col("source").eqNullSafe(F.col("_big")), "left_semi"), len(names), limits, rules, limit)
+    if large.isEmpty():
+        cases = _grouped(rows.withColumn("gid", F.xxhash64("source")), len(names), limits, rules, False).select("field", "record_key")
+    else:
+        is_large = F.col("source").eqNullSafe(F.col("_big"))
+        ordinary = rows.join(large, is_large, "left_anti").withColumn("gid", F.xxhash64("source"))
+        small = _grouped(ordinary, len(names), limits, rules, False).select("field", "record_key")
+        cases = small.unionByName(_large_sources(rows.join(large, is_large, "left_semi"), len(names), limits, rules, limit))
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("field") + 1)
-    return small.unionByName(big).select(label.alias("field_name"), "record_key")
+    return cases.select(label.alias("field_name"), "record_key")
 
 
 __all__ = ["Rules", "implausible", "robust_components", "sparse_candidates"]
