@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shorespark.llm import contamination, mixing, nearest_time, repetition
+from shorespark.llm import contamination, mixing, nearest_time, perplexity, repetition
 from shorespark.operators.clocks import instant_column
 from shorespark.operators.intervals import usable_notices
 from shorespark.sources.tables import table
@@ -66,5 +66,10 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repeated_shares(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_nearest_days, p7_found, p7_item_report, p7_clean_documents, p8_mixture, p8_shares, p9_found, p9_shares)}
+def p9_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    """Perplexity of each document and whether its language's band rejects it."""
+    return perplexity.banded(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id", "text", "lang")
+
+
+QUERIES = {q.__name__: q for q in (p3_found, p3_nearest_days, p7_found, p7_item_report, p7_clean_documents, p8_mixture, p8_shares, p9_found, p9_shares, p9_perplexity)}
 SQL: dict[str, str] = {}
