@@ -8,9 +8,10 @@ stretch finds the exact step. Shards overlap by the window, so each shard answer
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,13 +96,46 @@ def steps(start: np.ndarray, end: np.ndarray, name: np.ndarray) -> tuple[list[in
 _INDEX = "entity string, cls int, shard long, keys array<long>, names array<string>, starts array<long>, ends array<long>, seg_key array<long>, seg_slope array<double>, seg_place array<int>"
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    start, end, name = pdf["start"].to_numpy(), pdf["end"].to_numpy(), pdf["name"].to_numpy()
-    keys, rows = steps(start, end, name)
-    k = np.array(keys, dtype=np.int64)
-    first, slope, place = piecewise_linear(k[1:])
-    row = pdf.iloc[0]
-    return pd.DataFrame({"entity": [row["entity"]], "cls": [row["cls"]], "shard": [row["shard"]], "keys": [k], "names": [name[rows]], "starts": [start[rows]], "ends": [end[rows]], "seg_key": [first], "seg_slope": [slope], "seg_place": [[p + 1 for p in place]]})
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One index row per (entity, class, shard) of rows sorted by these; a group may run over several batches."""
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int32())]
+    names = ["entity", "cls", "shard", "keys", "names", "starts", "ends", "seg_key", "seg_slope", "seg_place"]
+
+    def index(group: tuple, start: np.ndarray, end: np.ndarray, name: np.ndarray) -> tuple:
+        keys, rows = steps(start, end, name)
+        first, slope, place = piecewise_linear(np.array(keys[1:], dtype=np.int64))
+        return (*group, keys, name[rows].tolist(), start[rows].tolist(), end[rows].tolist(), first, slope, [p + 1 for p in place])
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    held: list[tuple] = []
+    here = None
+
+    def close() -> tuple:
+        start, end, name = (np.concatenate([h[i] for h in held]) for i in range(3))
+        return index(here, start, end, name)
+
+    for b in batches:
+        if not len(b):
+            continue
+        gid = b.column(0).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1], True])
+        entity, cls, shard = (b.column(i) for i in (1, 2, 3))
+        start, end = b.column(4).to_numpy(), b.column(5).to_numpy()
+        name = b.column(6).to_numpy(zero_copy_only=False)
+        out = []
+        for i, j in zip(cut[:-1], cut[1:]):
+            group = (entity[i].as_py(), cls[i].as_py(), shard[i].as_py())
+            if here is not None and group != here:
+                out.append(close())
+                held = []
+            here = group
+            held.append((start[i:j], end[i:j], name[i:j]))
+        if out:
+            yield emit(out)
+    if held:
+        yield emit([close()])
 
 
 def _class(days: Column) -> Column:
@@ -109,7 +143,7 @@ def _class(days: Column) -> Column:
     return F.ceil(F.log2(F.greatest(days.cast("double"), F.lit(1.0)))).cast("int")
 
 
-def nearest_in_time(left: DataFrame, key: str, entity: str, instant: str, window_days: str, right: DataFrame, right_entity: str, name: str, start: str, end: str, shard_days: int = 64) -> DataFrame:
+def nearest_in_time(left: DataFrame, key: str, entity: str, instant: str, window_days: str, right: DataFrame, right_entity: str, name: str, start: str, end: str, shard_days: int = 366, windows: DataFrame | None = None) -> DataFrame:
     """key, name and distance_us of the interval of the same entity nearest to each record, if within its window.
 
     `instant`, `start` and `end` are microseconds; intervals are closed. Ties: the later start, then the smaller name.
@@ -127,13 +161,17 @@ def nearest_in_time(left: DataFrame, key: str, entity: str, instant: str, window
     l = left.select(F.col(key).alias("_key"), F.col(entity).cast("string").alias("entity"), F.col(instant).alias("_t"), F.col(window_days).cast("long").alias("_w"))  # noqa: E741
     l = l.where("entity IS NOT NULL AND _t IS NOT NULL AND _w >= 0").withColumn("cls", _class(F.col("_w")))
     l = l.withColumn("shard", F.floor(F.col("_t") / span(F.col("cls"))).cast("long"))
-    classes = sorted(r[0] for r in left.select(_class(F.col(window_days)).alias("c")).where("c IS NOT NULL").distinct().collect())
+    classes = sorted(r[0] for r in (windows or left).select(_class(F.col(window_days)).alias("c")).where("c IS NOT NULL").distinct().collect())
     r = right.select(F.col(right_entity).cast("string").alias("entity"), F.col(name).cast("string").alias("name"), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"))
     r = r.where("entity IS NOT NULL AND name IS NOT NULL AND start <= end").groupBy("entity", "start", "end").agg(F.min("name").alias("name"))
     r = r.withColumn("cls", F.explode(F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<int>")))
     reach = F.pow(F.lit(2.0), F.col("cls")).cast("long") * DAY
     shards = F.sequence(F.floor((F.col("start") - reach) / span(F.col("cls"))).cast("long"), F.floor((F.col("end") + reach) / span(F.col("cls"))).cast("long"))
-    index = r.withColumn("shard", F.explode(shards)).groupBy("entity", "cls", "shard").applyInPandas(_build, _INDEX)
+    index = r.withColumn("shard", F.explode(shards))
+    order = ["entity", "cls", "shard", "start"]
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = index.repartition(n, *order[:3]).sortWithinPartitions(*order)
+    index = index.select(F.xxhash64(*order[:3]), *order[:3], "start", "end", "name").mapInArrow(_build, _INDEX)
     t = F.col("_t")
     joined = l.join(index, ["entity", "cls", "shard"])
     seg = F.size(F.filter("seg_key", lambda k: k <= t))

@@ -15,8 +15,8 @@ def _p3(spark: SparkSession, d: str) -> DataFrame:
     day = lambda c: F.unix_date(c).cast("long") * nearest_time.DAY
     notices = usable_notices(table(spark, d, "marejadas_oficiales_armada")).withColumns({"s": day("start_date"), "e": day("end_date")})
     scenes = table(spark, d, "storm_scene_join").select("obs_id", "sector_id", "acquired_at", "clock_zone", "storm_join_window_days")
-    scenes = instant_column(scenes, "acquired_at", "clock_zone", "t")
-    return nearest_time.nearest_in_time(scenes, "obs_id", "sector_id", "t", "storm_join_window_days", notices, "sector_id", "event_id", "s", "e")
+    read = instant_column(scenes, "acquired_at", "clock_zone", "t")
+    return nearest_time.nearest_in_time(read, "obs_id", "sector_id", "t", "storm_join_window_days", notices, "sector_id", "event_id", "s", "e", windows=scenes)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
