@@ -80,21 +80,30 @@ def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def spans(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """entity, span_kind ('period' or 'gap'), first and last of the whole-number intervals (entity, first, last).
+
+    Closed intervals that overlap, nest or follow directly form one period; a gap lies between two consecutive periods
+    of an entity. A partition keeps at most about `limit` periods before it passes them on; what one entity gathers is
+    bounded by the disjoint periods of its partitions, never by its rows.
+    """
+    valid = df.select(F.col("entity").cast("string").alias("entity"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")).where("first IS NOT NULL AND last IS NOT NULL AND last >= first")
+    partial = valid.mapInArrow(_combine(limit), "entity string, first long, last long")
+    return partial.groupBy("entity").applyInPandas(_spans, "entity string, span_kind string, first long, last long")
+
+
 def day_spans(df: DataFrame, entity: str, start: str, end: str, limit: int = 200_000) -> DataFrame:
     """entity, span_kind ('period' or 'gap'), first_day and last_day (DATE) per entity.
 
     Both days belong to an interval; intervals that overlap, nest or follow on the next day form one period, a gap is
     all days between two consecutive periods. Rows with a null date or an end before the start are left out; a null
     entity is an entity of its own; repeats change nothing; an entity without valid rows and an empty table give no
-    rows. A partition keeps at most about `limit` periods before it passes them on; what one entity gathers is
-    bounded by the disjoint periods of its partitions, never by its rows, and by the days of the calendar.
+    rows. Disjoint periods of an entity are also bounded by the days of the calendar.
     """
-    days = df.select(F.col(entity).cast("string").alias("entity"), F.unix_date(F.col(start).cast("date")).cast("long").alias("first"), F.unix_date(F.col(end).cast("date")).cast("long").alias("last"))
-    valid = days.where(F.col("first").isNotNull() & F.col("last").isNotNull() & (F.col("last") >= F.col("first")))
-    partial = valid.mapInArrow(_combine(limit), "entity string, first long, last long")
-    spans = partial.groupBy("entity").applyInPandas(_spans, "entity string, span_kind string, first long, last long")
+    number = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
+    found = spans(df.select(F.col(entity).alias("entity"), number(start).alias("first"), number(end).alias("last")), limit)
     day = lambda c: F.date_from_unix_date(F.col(c).cast("int"))
-    return spans.select(F.col("entity").alias(entity), "span_kind", day("first").alias("first_day"), day("last").alias("last_day"))
+    return found.select(F.col("entity").alias(entity), "span_kind", day("first").alias("first_day"), day("last").alias("last_day"))
 
 
 def usable_notices(notices: DataFrame) -> DataFrame:

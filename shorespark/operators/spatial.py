@@ -257,11 +257,11 @@ def near_pairs(points: DataFrame, key: str, lon: str, lat: str, metres: float) -
     shifts = F.array_compact(F.array(F.lit(0.0), F.when(F.col("px") - F.col("dx") < -180, 360.0), F.when(F.col("px") + F.col("dx") >= 180, -360.0)))
     sides = sides.withColumn("shift", F.explode(shifts)).withColumn("x", F.col("px") + F.col("shift"))
     x0, x1, y0, y1 = F.col("x") - F.col("dx"), F.col("x") + F.col("dx"), F.col("py") - dy, F.col("py") + dy
-    name = F.concat_ws("\x1f", "point", "px", "py")
+    name = F.concat_ws("\x1f", "px", "py", "point")
     squares = sides.select(name.alias("region"), F.array(x0, x1, x1, x0).alias("xs"), F.array(y0, y0, y1, y1).alias("ys"))
     got = in_regions(p, squares)
-    bits = F.split("region", "\x1f")
-    pairs = got.select(F.col("point").alias("key_a"), "px", "py", bits[0].alias("key_b"), bits[1].cast("double").alias("qx"), bits[2].cast("double").alias("qy")).where("key_a < key_b")
+    bits = F.split("region", "\x1f", 3)
+    pairs = got.select(F.col("point").alias("key_a"), "px", "py", bits[2].alias("key_b"), bits[0].cast("double").alias("qx"), bits[1].cast("double").alias("qy")).where("key_a < key_b")
     far = pairs.withColumn("distance_m", ground_distance(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")))
     return far.where(F.col("distance_m") < metres).groupBy("key_a", "key_b").agg(F.min("distance_m").alias("distance_m"))
 
@@ -282,10 +282,10 @@ def nearest_lines(points: DataFrame, lines: DataFrame, first: float = 60.0, fact
         c = lines.withColumns({"ux": ux, "uy": uy})
         corner = lambda e, s, t: F.col(f"x{e}") + s * F.col("ux") - t * F.col("uy"), lambda e, s, t: F.col(f"y{e}") + s * F.col("uy") + t * F.col("ux")
         ring = ((1, -1, -1), (2, 1, -1), (2, 1, 1), (1, -1, 1))
-        region = F.concat_ws("\x1f", "line", "x1", "y1", "x2", "y2")
+        region = F.concat_ws("\x1f", "x1", "y1", "x2", "y2", "line")
         corridors = c.select(region.alias("region"), F.array(*[corner[0](*k) for k in ring]).alias("xs"), F.array(*[corner[1](*k) for k in ring]).alias("ys"))
-        bits = F.split("region", "\x1f")
-        got = in_regions(todo, corridors).select("point", "px", "py", bits[0].alias("line"), *[bits[i + 1].cast("double").alias(k) for i, k in enumerate(("x1", "y1", "x2", "y2"))])
+        bits = F.split("region", "\x1f", 5)
+        got = in_regions(todo, corridors).select("point", "px", "py", bits[4].alias("line"), *[bits[i].cast("double").alias(k) for i, k in enumerate(("x1", "y1", "x2", "y2"))])
         got = got.withColumn("distance", point_segment_distance(*[F.col(k) for k in ("px", "py", "x1", "y1", "x2", "y2")]))
         best = got.groupBy("point", "px", "py").agg(F.min(F.struct("distance", "line")).alias("b")).select("point", "px", "py", F.col("b.line").alias("line"), F.col("b.distance").alias("distance"))
         done = written(best.where(F.col("distance") <= r), "nearest")
