@@ -86,5 +86,5 @@ def rates(observations: DataFrame, keys: list[str], year: str, position: str) ->
         "first_year", "last_year", "first_position_m", "last_position_m", moved.alias("nsm_m"), F.try_divide(moved, span).alias("epr_m_per_year"),
         F.when(fitted, F.col("slope")).alias("lrr_m_per_year"), F.when(fitted, r2).alias("lrr_r2"), F.when(fitted, F.col("my")).alias("lrr_reference_year"), F.when(fitted, F.col("mp")).alias("lrr_position_at_reference_m"),
         F.col("se").alias("lrr_standard_error_m_per_year"), (F.col("slope") - F.col("t") * F.col("se")).alias("lrr_ci95_low_m_per_year"), (F.col("slope") + F.col("t") * F.col("se")).alias("lrr_ci95_high_m_per_year"),
-        F.when(F.col("se").isNotNull(), "student_t_95").otherwise("none").alias("uncertainty_method"), status.alias("analysis_status"),
+        F.when(F.col("se").isNotNull(), "student_t_95").otherwise("not_available").alias("uncertainty_method"), status.alias("analysis_status"),
     )

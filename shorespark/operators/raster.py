@@ -64,9 +64,9 @@ def opened_closed(mask: DataFrame, grid: DataFrame, key: str) -> DataFrame:
 def components(mask: DataFrame, key: str, most_rounds: int = 100) -> DataFrame:
     """key, row, col, component of the set cells: 4-connected components named by their least cell code.
 
-    First every row's runs get one name, then runs that touch the row above pass the smaller name on, with pointer
-    jumping over names, until nothing changes. The number of rounds grows with the logarithm of a component's length.
-    Lineage is cut by reliable checkpoints.
+    Every round each cell takes the least name among its own and its neighbours' and then the name of the cell it is
+    named after, until nothing changes; that jump makes the rounds far fewer than a component's length. Lineage is cut
+    by reliable checkpoints. An empty mask gives no rows; repeated cells count once.
     """
     code = (F.col("row").cast("long") * F.lit(2**31) + F.col("col")).alias("code")
     cells = materialised(mask.select(key, "row", "col", code).distinct())

@@ -223,9 +223,9 @@ def _observations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "storm_scene_join").select(F.col("series_id").alias("id"), (2017 + F.floor(F.col("pass_no") / 23)).cast("int").alias("year"), F.col("position_m").alias("p"))
 
 
-@query(f"WITH {OBS}, g AS (SELECT id, count(*) AS n_observations, min(year) AS first_year, max(year) AS last_year, arg_min(p, year) AS a, arg_max(p, year) AS b FROM y GROUP BY 1) SELECT id, n_observations, CAST(first_year AS INTEGER) AS first_year, CAST(last_year AS INTEGER) AS last_year, round(a, 4) AS first_position_m, round(b, 4) AS last_position_m, CASE WHEN last_year > first_year THEN round(b - a, 4) + 0.0 END AS nsm_m, CASE WHEN last_year > first_year THEN round((b - a) / (last_year - first_year), 4) + 0.0 END AS epr_m_per_year FROM g")
+@query(f"WITH {OBS}, g AS (SELECT id, count(*) AS n_observations, min(year) AS first_year, max(year) AS last_year, arg_min(p, year) AS a, arg_max(p, year) AS b FROM y GROUP BY 1) SELECT id, n_observations, CAST(first_year AS INTEGER) AS first_year, CAST(last_year AS INTEGER) AS last_year, round(a, 8) AS first_position_m, round(b, 8) AS last_position_m, CASE WHEN last_year > first_year THEN round(b - a, 8) + 0.0 END AS nsm_m, CASE WHEN last_year > first_year THEN round((b - a) / (last_year - first_year), 8) + 0.0 END AS epr_m_per_year FROM g")
 def net_shoreline_movement(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(change.net_movement(_observations(spark, d), ["id"], "year", "p"))
+    return rounded(change.net_movement(_observations(spark, d), ["id"], "year", "p"), 8)
 
 
 _FIT = f"""WITH {OBS}, f AS (SELECT id, count(*) AS n, avg(year) AS my, avg(p) AS mp, regr_slope(p, year) AS b, min(year) AS y0, max(year) AS y1 FROM y GROUP BY 1),
@@ -242,7 +242,7 @@ def linear_regression_rate(spark: SparkSession, d: str) -> DataFrame:
 _T_SQL = "CASE " + " ".join(f"WHEN n - 2 = {i} THEN {t}" for i, t in enumerate(change.T_975, 1)) + " WHEN n - 2 BETWEEN 31 AND 40 THEN 2.021 END"
 
 
-@query(f"{_FIT}, x AS (SELECT count(DISTINCT year) AS k FROM obs WHERE year IS NOT NULL) SELECT o.id, coalesce(n, 0) AS n_observations, k AS n_expected_years, round(100.0 * coalesce(n, 0) / k, 4) AS temporal_completeness_pct, round(b - {_T_SQL} * se, 4) + 0.0 AS lrr_ci95_low_m_per_year, round(b + {_T_SQL} * se, 4) + 0.0 AS lrr_ci95_high_m_per_year, CASE WHEN se IS NULL THEN 'none' ELSE 'student_t_95' END AS uncertainty_method, CASE WHEN n IS NULL THEN 'no_intersections' WHEN n < 2 THEN 'insufficient_observations' WHEN y1 <= y0 THEN 'insufficient_time_span' WHEN se IS NULL THEN 'ok_without_lrr_uncertainty' ELSE 'ok' END AS analysis_status FROM (SELECT DISTINCT id FROM obs) o LEFT JOIN e USING (id) CROSS JOIN x")
+@query(f"{_FIT}, x AS (SELECT count(DISTINCT year) AS k FROM obs WHERE year IS NOT NULL) SELECT o.id, coalesce(n, 0) AS n_observations, k AS n_expected_years, round(100.0 * coalesce(n, 0) / k, 4) AS temporal_completeness_pct, round(b - {_T_SQL} * se, 4) + 0.0 AS lrr_ci95_low_m_per_year, round(b + {_T_SQL} * se, 4) + 0.0 AS lrr_ci95_high_m_per_year, CASE WHEN se IS NULL THEN 'not_available' ELSE 'student_t_95' END AS uncertainty_method, CASE WHEN n IS NULL THEN 'no_intersections' WHEN n < 2 THEN 'insufficient_observations' WHEN y1 <= y0 THEN 'insufficient_time_span' WHEN se IS NULL THEN 'ok_without_lrr_uncertainty' ELSE 'ok' END AS analysis_status FROM (SELECT DISTINCT id FROM obs) o LEFT JOIN e USING (id) CROSS JOIN x")
 def rate_status_completeness(spark: SparkSession, d: str) -> DataFrame:
     r = change.rates(_observations(spark, d), ["id"], "year", "p")
     return rounded(r.select("id", "n_observations", "n_expected_years", "temporal_completeness_pct", "lrr_ci95_low_m_per_year", "lrr_ci95_high_m_per_year", "uncertainty_method", "analysis_status"))
@@ -251,11 +251,11 @@ def rate_status_completeness(spark: SparkSession, d: str) -> DataFrame:
 # --- tides ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT correction_id, round(tide_height_m / beach_slope, 4) + 0.0 AS shift_m, round(tide_height_m / 0.03, 3) + 0.0 AS shift_0_03_m, round(tide_height_m / 0.08, 3) + 0.0 AS shift_0_08_m FROM tide_corrections")
+@query("SELECT correction_id, round(tide_height_m / beach_slope, 8) + 0.0 AS shift_m, round(tide_height_m / 0.03, 3) + 0.0 AS shift_0_03_m, round(tide_height_m / 0.08, 3) + 0.0 AS shift_0_08_m FROM tide_corrections")
 def tide_shift_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "tide_corrections")
     df = tides.sensitivity(t.withColumn("shift_m", tides.shift(F.col("tide_height_m"), F.col("beach_slope"))), "tide_height_m")
-    return rounded(df.select("correction_id", "shift_m", "shift_0_03_m", "shift_0_08_m"))
+    return rounded(df.select("correction_id", "shift_m", "shift_0_03_m", "shift_0_08_m"), 8)
 
 
 _SHIFTS = "SELECT beach_code AS line, avg(tide_height_m / beach_slope) AS shift_m FROM tide_corrections WHERE tide_height_m IS NOT NULL GROUP BY 1"
