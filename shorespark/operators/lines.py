@@ -177,7 +177,7 @@ def merged_order(parts: DataFrame) -> DataFrame:
     """
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"line": [], "part": [], "place": [], "turned": []})
+        none = pd.DataFrame({"line": pdf["line"][:0], "part": pdf["part"][:0], "place": pd.Series(dtype="int32"), "turned": pd.Series(dtype=bool)})
         at: dict = {}
         for i, r in enumerate(pdf.itertuples()):
             at.setdefault((r.x1, r.y1), []).append((i, False))
@@ -239,7 +239,7 @@ def simplified(v: DataFrame, tolerance: float) -> DataFrame:
             if far[i] > tolerance:
                 mark[a + 1 + i] = True
                 todo += [(a, a + 1 + i), (a + 1 + i, b)]
-        return pdf[mark][["line", "seq", "x", "y"]]
+        return pdf[mark][["line", "seq", "x", "y"]].astype({"line": object})
 
     kind = v.schema["line"].dataType.simpleString()
     return v.withColumn("block", F.floor(F.col("seq") / BLOCK)).groupBy("line", "block").applyInPandas(keep, f"line {kind}, seq long, x double, y double")

@@ -76,7 +76,8 @@ def triangles(polygons: DataFrame) -> DataFrame:
             for r, xs, ys in zip(pdf["region"], pdf["xs"], pdf["ys"]):
                 xs, ys = xs.tolist(), ys.tolist()
                 rows += [(r, xs[a], ys[a], xs[b], ys[b], xs[c], ys[c]) for a, b, c in ear_clip(xs, ys)]
-            yield pd.DataFrame(rows, columns=["region", "x1", "y1", "x2", "y2", "x3", "y3"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["region", "x1", "y1", "x2", "y2", "x3", "y3"])
 
     return polygons.select("region", "xs", "ys").mapInPandas(cut, _TRI)
 
@@ -199,17 +200,17 @@ def in_regions(points: DataFrame, polygons: DataFrame) -> DataFrame:
     cut_p, cut_t = _blocks(count(some), share_pts), _blocks(count(boxes) * 3, share_box)
 
     def place_points(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
+        for pdf in (part for part in parts if len(part)):
             x, y = pdf["px"].to_numpy(), pdf["py"].to_numpy()
             row, leaf = tree.touched(x, y, x, y)
             again = cut_t[leaf]
             mine = np.arange(len(row)) % cut_p[leaf]
             r = np.repeat(np.arange(len(row)), again)
             t = np.arange(len(r)) - np.repeat(np.cumsum(again) - again, again)
-            yield pdf.iloc[row[r]].assign(leaf=leaf[r], a=mine[r], b=t)
+            yield pdf.astype({"point": object}).iloc[row[r]].assign(leaf=leaf[r], a=mine[r], b=t)
 
     def place_triangles(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
+        for pdf in (part for part in parts if len(part)):
             c = pdf[["x1", "y1", "x2", "y2", "x3", "y3"]].to_numpy()
             xs, ys = c[:, ::2], c[:, 1::2]
             row, leaf = tree.touched(xs.min(1), ys.min(1), xs.max(1), ys.max(1))
@@ -217,22 +218,21 @@ def in_regions(points: DataFrame, polygons: DataFrame) -> DataFrame:
             mine = np.arange(len(row)) % cut_t[leaf]
             r = np.repeat(np.arange(len(row)), again)
             t = np.arange(len(r)) - np.repeat(np.cumsum(again) - again, again)
-            yield pdf.iloc[row[r]].assign(leaf=leaf[r], a=t, b=mine[r])
+            yield pdf.astype({"region": object}).iloc[row[r]].assign(leaf=leaf[r], a=t, b=mine[r])
 
     def join(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"point": [], "px": [], "py": [], "region": []})
         if not len(p) or not len(t):
-            return none
+            return pd.DataFrame({"point": pd.Series(dtype=object), "px": pd.Series(dtype=float), "py": pd.Series(dtype=float), "region": pd.Series(dtype=object)})
         lower = TriangleTree(t[["x1", "y1", "x2", "y2", "x3", "y3"]].to_numpy())
         xy = p[["px", "py"]].to_numpy()
-        code, names = pd.factorize(t["region"])
-        out, todo = [], [np.arange(len(p))[i : i + 4096] for i in range(0, len(p), 4096)]
-        for part in todo:
-            q, tri = lower.holding(xy[part])
-            once = np.unique(part[q].astype(np.int64) * len(names) + code[tri])
-            at, region = np.divmod(once, len(names))
-            out.append(pd.DataFrame({"point": p["point"].to_numpy()[at], "px": xy[at, 0], "py": xy[at, 1], "region": names.to_numpy()[region] if hasattr(names, "to_numpy") else np.asarray(names)[region]}))
-        return pd.concat(out) if out else none
+        code, names = pd.factorize(t["region"].to_numpy(dtype=object))
+        found = []
+        for i in range(0, len(p), 4096):
+            q, tri = lower.holding(xy[i : i + 4096])
+            found.append(np.unique((q + i).astype(np.int64) * len(names) + code[tri]))
+        at, region = np.divmod(np.concatenate(found), len(names))
+        # plain object columns: strings held in several chunks cannot be sent back
+        return pd.DataFrame({"point": pd.Series(p["point"].to_numpy(dtype=object)[at], dtype=object), "px": xy[at, 0], "py": xy[at, 1], "region": pd.Series(names[region], dtype=object)})
 
     left = pts.mapInPandas(place_points, "point string, px double, py double, leaf int, a int, b int")
     right = triangles(polygons.where(F.size("xs") > 2)).mapInPandas(place_triangles, _TRI + ", leaf int, a int, b int")

@@ -228,7 +228,8 @@ def _large_sources(rows: DataFrame, fields: int, limits: list[float], rules: Rul
                 cur = [r.ord_lo, r.ord_hi, r.v, r.steps, r.edge, r.block]
         if cur and cur[3] >= need:
             out.append(cur[:3])
-        return pd.DataFrame([(pdf.source.iloc[0], int(pdf.field.iloc[0]), *o) for o in out], columns=["source", "field", "ord_lo", "ord_hi", "v"])
+        got = pd.DataFrame(out, columns=["ord_lo", "ord_hi", "v"]).astype(float)
+        return got.assign(source=pd.Series([pdf.source.iloc[0]] * len(got), dtype=object), field=int(pdf.field.iloc[0]))[["source", "field", "ord_lo", "ord_hi", "v"]]
 
     edges = got.where("edge > 0").groupBy("source", "field").applyInPandas(stitch, "source string, field int, ord_lo double, ord_hi double, v double").withColumnRenamed("source", "_s")
     values = rows.select("source", "ord", "record_key", F.posexplode(F.array(*[F.col(f"v{f}") for f in range(fields)])).alias("_f", "_v"))
