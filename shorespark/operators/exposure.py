@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shorespark.functions.geo import point_segment_distance
 from shorespark.operators.lines import crossings
+from shorespark.operators.raster import rasterised
 from shorespark.operators.spatial import in_regions, nearest_lines
 
 
@@ -73,6 +74,16 @@ def exposed_length(roads: DataFrame, shore: DataFrame, reach: str, step: float =
     return roads.select("id").join(hit, "id", "left").select("id", F.coalesce("exposed_length_m", F.lit(0.0)).alias("exposed_length_m"))
 
 
+def exposed_area(buildings: DataFrame, shore: DataFrame, reach: str, cell: float = 1.0) -> DataFrame:
+    """id and the area of each polygon (id, xs, ys, reach) within its reach of the shore's segments, by cells of
+    `cell` metres judged by their centres. A null reach or one not positive exposes nothing."""
+    cells = rasterised(buildings.select("id", "xs", "ys"), "id", cell).join(buildings.select("id", F.col(reach).alias("_r")), "id").where("_r > 0")
+    c = cells.select("id", "_r", F.concat_ws("\x1f", "id", "row", "col").alias("point"), ((F.col("col") + 0.5) * cell).alias("px"), ((F.col("row") + 0.5) * cell).alias("py"))
+    near = nearest_lines(c, shore.select(F.col("id").alias("line"), "x1", "y1", "x2", "y2")).select("point", "distance")
+    hit = c.join(near, "point").where(F.col("distance") <= F.col("_r")).groupBy("id").agg((F.count("*") * cell * cell).alias("exposed_area_m2"))
+    return buildings.select("id").join(hit, "id", "left").select("id", F.coalesce("exposed_area_m2", F.lit(0.0)).alias("exposed_area_m2"))
+
+
 def line_distance(features: DataFrame, shore: DataFrame, cell: float = 100.0) -> DataFrame:
     """id and distance_m between each feature segment (id, x1..y2) and the nearest shore segment (id, x1..y2): 0 if
     they cross, else the least distance of an end of one from the other.

@@ -12,17 +12,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shorespark.functions.places import places
+
 BLOCK = 4096
 STRETCH = 100.0  #: metres of a line that share a join key
 
 
-def vertices(df: DataFrame, line: str, order: str, x: str, y: str, step: float | None = None) -> DataFrame:
-    """Vertex rows of a table; seq is order/step where the order is a regular grid, else the place by order.
-    Rows with null coordinates are left out and repeated order values keep the smallest (x, y)."""
+def vertices(df: DataFrame, line: str, order: str, x: str, y: str, step: float | None = None, span: float = 10_000.0) -> DataFrame:
+    """Vertex rows of a table; seq is order/step where the order is a regular grid, else the place by order, found in
+    blocks of `span` order units. Rows with null coordinates are left out and repeated order values keep the smallest
+    (x, y)."""
     v = df.select(F.col(line).alias("line"), F.col(order).alias("o"), F.col(x).alias("x"), F.col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND o IS NOT NULL")
     v = v.groupBy("line", "o").agg(F.min(F.struct("x", "y")).alias("p"))
-    seq = F.round(F.col("o") / step).cast("long") if step else F.row_number().over(Window.partitionBy("line").orderBy("o")).cast("long") - 1
-    return v.select("line", seq.alias("seq"), "p.x", "p.y")
+    if step:
+        return v.select("line", F.round(F.col("o") / step).cast("long").alias("seq"), "p.x", "p.y")
+    return places(v, ["line"], "o", span, "seq").select("line", "seq", "p.x", "p.y")
 
 
 def segments(v: DataFrame) -> DataFrame:
@@ -302,3 +306,24 @@ def continuous(candidates: DataFrame, group: str, place: str, position: str, mos
     return folded.select(group, F.inline("o").alias(place, position))
 
 
+
+
+def clipped_segments(s: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+    """The parts of segments (..., x1, y1, x2, y2) inside a rectangle (Liang-Barsky); segments outside give no rows."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    sides = [(-dx, F.col("x1") - x0), (dx, x1 - F.col("x1")), (-dy, F.col("y1") - y0), (dy, y1 - F.col("y1"))]
+    t0 = F.greatest(F.lit(0.0), *[F.when(p < 0, F.try_divide(q, p)).otherwise(0.0) for p, q in sides])
+    t1 = F.least(F.lit(1.0), *[F.when(p > 0, F.try_divide(q, p)).otherwise(1.0) for p, q in sides])
+    outside = F.lit(False)
+    for p, q in sides:
+        outside = outside | ((p == 0) & (q < 0))
+    d = s.withColumns({"_t0": t0, "_t1": t1, "_o": outside}).where(~F.col("_o") & (F.col("_t0") <= F.col("_t1")))
+    at = lambda c, t: F.col(f"{c}1") + F.col(t) * (F.col(f"{c}2") - F.col(f"{c}1"))
+    return d.withColumns({"_a": at("x", "_t0"), "_b": at("y", "_t0"), "_c": at("x", "_t1"), "_d": at("y", "_t1")}).withColumns({"x1": F.col("_a"), "y1": F.col("_b"), "x2": F.col("_c"), "y2": F.col("_d")}).select(*s.columns)
+
+
+def surroundings(v: DataFrame, reach: float) -> DataFrame:
+    """line, x0, y0, x1, y1: the box around each line with `reach` metres (100 to 2000) on every side."""
+    if not 100 <= reach <= 2000:
+        raise ValueError("reach must lie in [100, 2000]")
+    return v.groupBy("line").agg((F.min("x") - reach).alias("x0"), (F.min("y") - reach).alias("y0"), (F.max("x") + reach).alias("x1"), (F.max("y") + reach).alias("y1"))

@@ -141,3 +141,18 @@ def synthetic_pixels(spark, rows: int, cols: int) -> DataFrame:
     shore = cols / 2 + 6 * F.sin(F.col("row") / 9)
     wet = F.col("col") < shore
     return g.select("row", "col", (F.when(wet, 0.32).otherwise(0.21) + 0.02 * F.cos(F.col("row") / 7)).cast("float").alias("green"), (F.when(wet, 0.12).otherwise(0.28) + 0.02 * F.sin(F.col("col") / 5)).cast("float").alias("nir"))
+
+
+def area_statistics(areas: DataFrame, keys: list[str], area: str) -> DataFrame:
+    """Mean, population deviation and coefficient of variation (per cent, null for a mean of 0) of areas per key."""
+    g = areas.groupBy(*keys) if keys else areas.groupBy()
+    m, s = F.avg(area), F.stddev_pop(area)
+    return g.agg(m.alias("mean_m2"), s.alias("std_m2"), F.try_divide(100 * s, m).alias("cv_pct"))
+
+
+def consensus(masks: DataFrame, grid: DataFrame, key: str, scene: str, least_scenes: int = 2) -> DataFrame:
+    """key, row, col of the cells that most scenes of a key call water, opened and closed; keys of fewer than
+    `least_scenes` scenes have none. masks: (key, scene, row, col) of the water cells of each scene."""
+    n = masks.groupBy(key).agg(F.countDistinct(scene).alias("n")).where(F.col("n") >= least_scenes)
+    votes = masks.groupBy(key, "row", "col").agg(F.countDistinct(scene).alias("v")).join(n, key)
+    return opened_closed(votes.where(F.col("v") >= F.floor(F.col("n") / 2) + 1), grid, key)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shorespark.functions.geo import same_longitude, with_degrees, with_utm
+from shorespark.functions.places import places
 from shorespark.operators import change, exposure, intervals, lines, scenario, spatial, storms, tides
 from shorespark.plans.sqltext import USABLE_SQL, utm_cte
 from shorespark.sources.tables import table
@@ -200,9 +201,7 @@ def ring_arcs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def smooth_median_gauss(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "transect_rates").where("last_position_m IS NOT NULL").groupBy("beach_code", F.round(F.col("chainage_m") / 50).cast("long").alias("c")).agg(F.min("last_position_m").alias("v"))
-    from pyspark.sql import Window
-
-    placed = r.withColumn("i", F.row_number().over(Window.partitionBy("beach_code").orderBy("c")) - 1)
+    placed = places(r, ["beach_code"], "c", 4096.0, "i")
     return rounded(lines.smoothed(placed.select("beach_code", "i", "v"), "beach_code", "i", "v"))
 
 
@@ -448,3 +447,18 @@ def point_in_polygon_zonal(spark: SparkSession, d: str) -> DataFrame:
     # a point on a shared border lies in two squares; the greater one counts
     one = hit.select("point", F.split("region", ":").alias("z")).select("point", F.struct(F.col("z")[0].cast("long"), F.col("z")[1].cast("long")).alias("z")).groupBy("point").agg(F.max("z").alias("z"))
     return one.select(F.col("point").cast("long").alias("delivery_id"), F.col("z.col1").cast("double").alias("zx"), F.col("z.col2").cast("double").alias("zy"))
+
+
+@query()
+def exposed_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Area of a 16 x 12 m square about each building within 120 m of the last shoreline."""
+    b = _buildings(spark, d).select(F.col("osm").alias("id"), "px", "py")
+    side = lambda c, a, e: F.array(F.col(c) - a, F.col(c) + (a if e else -a), F.col(c) + a, F.col(c) + (-a if e else a))
+    sq = b.select("id", side("px", 8.0, True).alias("xs"), side("py", 6.0, False).alias("ys"), F.lit(120.0).alias("reach"))
+    s = _shore_segments(spark, d).select(F.concat_ws(":", "g", "id").alias("id"), "x1", "y1", "x2", "y2")
+    return rounded(exposure.exposed_area(sq, s, "reach", 2.0))
+
+
+@query(f"WITH {VERTEX_SQL} SELECT line, round(min(x) - 500, 3) AS x0, round(min(y) - 500, 3) AS y0, round(max(x) + 500, 3) AS x1, round(max(y) + 500, 3) AS y1 FROM v GROUP BY 1")
+def line_surroundings(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(lines.surroundings(baselines(spark, d), 500.0), 3)

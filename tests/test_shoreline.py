@@ -236,3 +236,50 @@ def test_gate(spark):
     f = spark.createDataFrame([(1, None)], "a int, b int")
     r = quality.gate(f, {"x": F.col("a") > 0, "y": F.col("b") > 0}).first()
     assert (r.ready, r.reasons) == (False, "y")
+
+
+def test_waterline_follows_the_generator(spark):
+    from shorespark.plans.waterline import synthetic_waterline
+
+    got = synthetic_waterline(spark, "").collect()
+    assert {r.scene for r in got} == {"a", "b", "c"} and len(got) > 3 * 140
+    for r in got:
+        true = (60 + 6 * math.sin((r.y / 10 - 0.5) / 9)) * 10
+        assert abs(r.x - true) < 12
+
+
+def test_places_do_not_depend_on_blocks(spark):
+    from shorespark.functions.places import places
+
+    rnd = random.Random(1)
+    rows = [(rnd.choice(["a", "b", None]), rnd.uniform(-50, 50), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, o double, i int")
+    for span in (7.0, 1000.0):
+        got = {r.i: r.p for r in places(df, ["g"], "o", span, "p").collect()}
+        for g in ("a", "b", None):
+            own = sorted((o, i) for x, o, i in rows if x == g)
+            assert [got[i] for _, i in own] == list(range(len(own)))
+
+
+def test_clip_area_and_joins(spark):
+    s = spark.createDataFrame([("in", 1.0, 1.0, 2.0, 2.0), ("cut", -5.0, 5.0, 15.0, 5.0), ("out", 20.0, 0.0, 20.0, 9.0)], "id string, x1 double, y1 double, x2 double, y2 double")
+    got = {r.id: (r.x1, r.x2) for r in lines.clipped_segments(s, F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(10.0)).collect()}
+    assert got == {"in": (1.0, 2.0), "cut": (0.0, 10.0)}
+    b = spark.createDataFrame([("b", [0.0, 10.0, 10.0, 0.0], [0.0, 0.0, 10.0, 10.0], 5.0)], "id string, xs array<double>, ys array<double>, reach double")
+    shore = spark.createDataFrame([("s", 0.0, -50.0, 0.0, 50.0)], "id string, x1 double, y1 double, x2 double, y2 double")
+    assert exposure.exposed_area(b, shore, "reach", 0.5).first().exposed_area_m2 == pytest.approx(50.0)
+    dim = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    left = spark.createDataFrame([(1,), (3,)], "k int")
+    assert sorted((r.k, r.v) for r in quality.many_to_one(left, dim, ["k"]).collect()) == [(1, "x"), (3, None)]
+    with pytest.raises(Exception, match="repeated keys"):
+        quality.many_to_one(left, dim.unionByName(dim), ["k"]).collect()
+    z = spark.createDataFrame([([1, 2], ["a", "b"])], "n array<int>, s array<string>")
+    assert [tuple(r) for r in quality.zipped(z, "n", "s").collect()] == [(0, 1, "a"), (1, 2, "b")]
+    with pytest.raises(Exception, match="differ in length"):
+        quality.zipped(z.withColumn("s", F.array(F.lit("a"))), "n", "s").collect()
+    assert sorted(map(tuple, quality.missing_and_extra(dim, "v", ["x", "z"]).collect())) == [("y", "extra"), ("z", "missing")]
+    a = spark.createDataFrame([("k", 10.0), ("k", 20.0)], "k string, a double")
+    assert tuple(raster.area_statistics(a, ["k"], "a").first())[1:] == (15.0, 5.0, pytest.approx(100 / 3))
+    m = spark.createDataFrame([("k", s, r, c) for s in ("a", "b", "c") for r in range(6) for c in range(6) if s != "c" or r < 3], "k string, s string, row long, col long")
+    grid = spark.range(36).select(F.lit("k").alias("k"), F.floor(F.col("id") / 6).alias("row"), (F.col("id") % 6).alias("col"))
+    assert raster.consensus(m, grid, "k", "s").count() == 16  # the frame falls away
