@@ -115,22 +115,23 @@ def _chosen(costs: dict[str, float], hold: int):
     return run
 
 
-def chains(df: DataFrame, code: int, source: str, order: str, key: str, text: str, zone: str | None, span: int) -> DataFrame:
-    """One table's readable records as chain rows; a chain is a source's records within `span` units of its order."""
-    r = readings(df.select(F.col(source).alias("source"), F.col(order).cast("long").alias("ord"), F.col(key).cast("long").alias("record_key"), F.col(text).alias("text"), F.col(zone).alias("zone") if zone else F.lit(None).cast("string").alias("zone")), "text", "zone")
-    block = F.floor(F.col("ord") / span)
-    return r.select(F.lit(code).alias("table_code"), F.xxhash64(F.lit(code), "source", block).alias("chain"), "ord", "record_key", "r_main", "r_kind", "r_utc", "r_others")
+def chains(df: DataFrame, code: int, source: str, order: str, key: str, text: str, zone: str | None, span: int, limit: int = 200_000) -> DataFrame:
+    """One table's readable records as chain rows; a chain is a source's records within `span` units of its order.
+    Chains of more than `limit` records (copies of one pass, say) are salted; only ids are read to find them."""
+    base = df.select(F.col(source).alias("source"), F.col(order).cast("long").alias("ord"), F.col(key).cast("long").alias("record_key"), F.col(text).alias("text"), F.col(zone).alias("zone") if zone else F.lit(None).cast("string").alias("zone"))
+    chain = F.xxhash64(F.lit(code), "source", F.floor(F.col("ord") / span))
+    r = readings(salted(base.withColumn("chain", chain), ["chain"], "record_key", limit), "text", "zone")
+    return r.select(F.lit(code).alias("table_code"), "chain", "salt", "ord", "record_key", "r_main", "r_kind", "r_utc", "r_others")
 
 
-def resolved(rows: DataFrame, costs: dict[str, float] | None = None, limit: int = 200_000, hold: int = 50_000) -> DataFrame:
+def resolved(rows: DataFrame, costs: dict[str, float] | None = None, hold: int = 50_000) -> DataFrame:
     """table_code, record_key, us, kind, n_readings of every chain row (see `chains`).
 
     A record with a single reading splits its chain exactly, so a partition is streamed and only the stretches
-    between such records are solved; a stretch of more than `hold` ambiguous records is cut there. Chains of more
-    than `limit` records (copies of one pass, say) are salted. With the production costs the choice cannot depend
-    on any of these cuts: the two transitions of a record cost at most 6 together, a reading against the rules 1000.
+    between such records are solved; a stretch of more than `hold` ambiguous records is cut there. With the production
+    costs the choice cannot depend on that cut, nor on those of the chains: the two transitions of a record cost at
+    most 6 together, a reading against the rules 1000.
     """
-    rows = salted(rows, ["chain"], "record_key", limit)
     gid = F.xxhash64("chain", "salt")
     ready = rows.select(gid.alias("gid"), "ord", "record_key", "table_code", "r_kind", "r_utc", "r_others")
     ready = ready.repartition("gid").sortWithinPartitions("gid", "ord", "record_key")

@@ -104,7 +104,7 @@ def test_resolved_does_not_depend_on_cuts(spark):
     df = spark.createDataFrame(rows, "source string, ord int, key long, text string, zone string, chain string")
     how = dict(source="source", order="ord", key="key", text="text", zone="zone", span=100)
     a = {tuple(r) for r in clocks.resolved(clocks.chains(df, 0, **how)).collect()}
-    b = {tuple(r) for r in clocks.resolved(clocks.chains(df, 0, **how), limit=20, hold=3).collect()}
+    b = {tuple(r) for r in clocks.resolved(clocks.chains(df, 0, limit=20, **how), hold=3).collect()}
     assert a == b and len(a) == 950
     assert all(u == brute(rows[k][3], None) for _, k, u, _, _ in a if k < 900)
 
