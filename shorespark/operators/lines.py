@@ -267,16 +267,18 @@ def smoothed(df: DataFrame, group: str, place: str, value: str) -> DataFrame:
     base = df.select(group, place, F.col(value).alias("v")).join(size, group)
 
     def spread(src: DataFrame, radius: int, agg: Column, out: str) -> DataFrame:
-        # every value is sent to the places whose frame holds it; the ends stand in for what lies beyond them
-        p, n = F.col(place), F.col("_n")
-        to = F.explode(F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda k: F.struct((p + k).alias("q"), F.lit(1).alias("times"), (-k).alias("k"))))
-        sent = src.select(group, place, "_n", "v", to.alias("t")).select(group, "_n", "v", F.col("t.q").alias("q"), F.col("t.k").alias("k"), F.col(place).alias("from"))
-        inside = sent.where((F.col("q") >= 0) & (F.col("q") < F.col("_n"))).select(group, "q", "_n", "v", "k")
-        edge = src.where((p == 0) | (p == n - 1)).select(group, "_n", "v", F.col(place).alias("from"), F.explode(F.sequence(F.lit(0), F.lit(radius - 1))).alias("j"))
-        edge = edge.withColumn("q", F.when(F.col("from") == 0, F.col("j")).otherwise(F.col("_n") - 1 - F.col("j"))).where((F.col("q") >= 0) & (F.col("q") < F.col("_n")))
-        gap = F.explode(F.sequence(F.col("j") + 1, F.lit(radius)))
-        edge = edge.select(group, "q", "_n", "v", gap.alias("k"))
-        return inside.unionByName(edge).groupBy(group, F.col("q").alias(place), "_n").agg(agg.alias(out))
+        # every value is sent to the places whose frame holds it; the ends also stand in for what lies beyond them
+        p, n = F.col(place).cast("long"), F.col("_n")
+        to = lambda q, k: F.struct(q.cast("long").alias("q"), F.lit(k).alias("k"))
+        beyond = [(j, k) for j in range(radius) for k in range(j + 1, radius + 1)]
+        targets = F.concat(
+            F.array(*[to(p + k, k) for k in range(-radius, radius + 1)]),
+            F.when(p == 0, F.array(*[to(F.lit(j), k) for j, k in beyond])).otherwise(F.array()),
+            F.when(p == n - 1, F.array(*[to(n - 1 - j, k) for j, k in beyond])).otherwise(F.array()),
+        )
+        sent = src.select(group, "_n", "v", F.explode(targets).alias("t")).select(group, "_n", "v", F.col("t.q").alias("q"), F.col("t.k").alias("k"))
+        inside = sent.where((F.col("q") >= 0) & (F.col("q") < F.col("_n")))
+        return inside.groupBy(group, F.col("q").alias(place), "_n").agg(agg.alias(out))
 
     weight = F.exp(-F.col("k") * F.col("k") / 2.0)
     med = spread(base, 2, F.median("v"), "v")

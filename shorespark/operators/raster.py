@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shorespark.session import materialised
@@ -61,32 +61,34 @@ def opened_closed(mask: DataFrame, grid: DataFrame, key: str) -> DataFrame:
     return erode(dilate(dilate(erode(mask.select(key, "row", "col")))))
 
 
-def components(mask: DataFrame, key: str, most_rounds: int = 100) -> DataFrame:
+def components(mask: DataFrame, key: str, most_rounds: int = 200) -> DataFrame:
     """key, row, col, component of the set cells: 4-connected components named by their least cell code.
 
-    Every round each cell takes the least name among its own and its neighbours' and then the name of the cell it is
-    named after, until nothing changes; that jump makes the rounds far fewer than a component's length. Lineage is cut
-    by reliable checkpoints. An empty mask gives no rows; repeated cells count once.
+    The cells of a row that touch each other form a run, named by its first cell; only runs and the pairs of runs that
+    touch in successive rows go on. Every round each run takes the least name among its own and its neighbours', then
+    the name of the run it is named after, until nothing changes; that jump keeps the rounds far below a component's
+    length. Lineage is cut by reliable checkpoints. An empty mask gives no rows; repeated cells count once.
     """
-    code = (F.col("row").cast("long") * F.lit(2**31) + F.col("col")).alias("code")
-    cells = materialised(mask.select(key, "row", "col", code).distinct())
-    step = lambda r, c: cells.select(key, (F.col("row") + r).alias("row"), (F.col("col") + c).alias("col"), F.col("code").alias("other"))
-    edges = cells.join(step(1, 0).unionByName(step(0, 1)), [key, "row", "col"]).select(key, F.col("code").alias("a"), F.col("other").alias("b"))
+    step = F.col("col") - F.row_number().over(Window.partitionBy(key, "row").orderBy("col"))
+    cells = mask.select(key, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).distinct().withColumn("_s", step)
+    code = F.col("row") * F.lit(2**31) + F.min("col").over(Window.partitionBy(key, "row", "_s"))
+    cells = materialised(cells.select(key, "row", "col", code.alias("run")))
+    above = cells.select(key, (F.col("row") + 1).alias("row"), "col", F.col("run").alias("other"))
+    edges = cells.join(above, [key, "row", "col"]).select(key, F.col("run").alias("a"), F.col("other").alias("b")).distinct()
     edges = materialised(edges.unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cells.select(key, "code", F.col("code").alias("c"))
+    label = cells.select(key, "run").distinct().withColumn("c", F.col("run"))
     for _ in range(most_rounds):
-        near = edges.join(label.withColumnRenamed("code", "b"), [key, "b"]).select(key, F.col("a").alias("code"), "c")
-        least = label.unionByName(near).groupBy(key, "code").agg(F.min("c").alias("c"))
-        # pointer jumping: a cell takes the name of the cell it is named after
-        jump = least.select(key, F.col("code").alias("c"), F.col("c").alias("up"))
-        new = materialised(least.join(jump, [key, "c"]).select(key, "code", F.col("up").alias("c")))
-        moved = new.join(label.withColumnRenamed("c", "was"), [key, "code"]).where("c <> was").limit(1).count()
-        label = new
-        if not moved:
+        near = edges.join(label.withColumnRenamed("run", "b"), [key, "b"]).select(key, F.col("a").alias("run"), "c")
+        least = label.select(key, "run", "c", F.col("c").alias("was")).unionByName(near.withColumn("was", F.lit(None).cast("long"))).groupBy(key, "run").agg(F.min("c").alias("c"), F.max("was").alias("was"))
+        # pointer jumping: a run takes the name of the run it is named after
+        jump = least.select(key, F.col("run").alias("c"), F.col("c").alias("up"))
+        new = materialised(least.join(jump, [key, "c"]).select(key, "run", F.col("up").alias("c"), "was"))
+        label = new.select(key, "run", "c")
+        if new.where("c <> was").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle; raise most_rounds")
-    return cells.join(label, [key, "code"]).select(key, "row", "col", F.col("c").alias("component"))
+    return cells.join(label, [key, "run"]).select(key, "row", "col", F.col("c").alias("component"))
 
 
 def main_component(labelled: DataFrame, grid: DataFrame, key: str, least: int = 80) -> DataFrame:

@@ -283,3 +283,16 @@ def test_clip_area_and_joins(spark):
     m = spark.createDataFrame([("k", s, r, c) for s in ("a", "b", "c") for r in range(6) for c in range(6) if s != "c" or r < 3], "k string, s string, row long, col long")
     grid = spark.range(36).select(F.lit("k").alias("k"), F.floor(F.col("id") / 6).alias("row"), (F.col("id") % 6).alias("col"))
     assert raster.consensus(m, grid, "k", "s").count() == 16  # the frame falls away
+
+
+def test_smoothing_equals_brute_force(spark):
+    rnd, rows, want = random.Random(1), [], {}
+    for g, n in (("a", 40), ("b", 5), ("c", 4), ("d", 1)):
+        v = [rnd.uniform(0, 10) for _ in range(n)]
+        rows += [(g, i, x) for i, x in enumerate(v)]
+        at = lambda u, i, n=n: u[min(max(i, 0), n - 1)]
+        m = [sorted(at(v, i + k) for k in range(-2, 3))[2] for i in range(n)]
+        w = [math.exp(-k * k / 2) for k in range(-4, 5)]
+        want[g] = v if n < 5 else [sum(w[k + 4] * at(m, i + k) for k in range(-4, 5)) / sum(w) for i in range(n)]
+    got = lines.smoothed(spark.createDataFrame(rows, "g string, i long, v double"), "g", "i", "v").collect()
+    assert len(got) == len(rows) and all(r.v == pytest.approx(want[r.g][r.i]) for r in got)
