@@ -7,6 +7,7 @@ whose sums Spark computes. Rates are then rounded into copies so that the source
 
 from __future__ import annotations
 
+import base64
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -17,26 +18,42 @@ from pyspark.sql import functions as F
 
 from shorespark.session import written
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: the pattern by which the byte-level vocabularies cut a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BINS = 4096
 
 
 def token_counts(documents: DataFrame, doc: str, text: str, keep: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc, the columns `keep` and n_tokens of every document's whole text; null and empty texts have 0."""
+    """doc, the columns `keep` and n_tokens of every document's whole text; null and empty texts have 0.
+
+    tokenizer: a file of ranks (.tiktoken) or of the tokenizers library (.json). It is read once and broadcast (a
+    vocabulary is a few megabytes), so executors need no file. Special tokens in a text count as ordinary text.
+    """
     model = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text("utf-8"))
     schema = documents.select(doc, *keep).schema
+    pattern, json_file = PATTERN, tokenizer.endswith(".json")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def counter():
+        if json_file:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_str(model.value)
-        tok.encode_special_tokens = True
-        encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
+            tok = Tokenizer.from_str(model.value)
+            tok.encode_special_tokens = True
+            return lambda ts: [len(e) for e in tok.encode_batch(ts, add_special_tokens=False)]
+        import tiktoken
+
+        ranks = {base64.b64decode(k): int(v) for k, v in (line.split() for line in model.value.splitlines() if line)}
+        enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda ts: [len(enc.encode_ordinary(t)) for t in ts]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths = counter()
         for b in batches:
             n: list[int] = []
             for i in range(0, len(b), 500):
-                n += [len(e) for e in encode([t or "" for t in b.column(b.num_columns - 1).slice(i, 500).to_pylist()], add_special_tokens=False)]
+                n += lengths([t or "" for t in b.column(b.num_columns - 1).slice(i, 500).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], [*b.schema.names[:-1], "n_tokens"])
 
     return documents.select(doc, *keep, text).mapInArrow(count, schema.add("n_tokens", "long"))

@@ -134,12 +134,14 @@ def test_mixture_of_given_size_and_of_nothing(spark):
 def test_token_counts_equal_the_library(spark):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(mixing.TOKENIZER)
+    path = mixing.TOKENIZER.replace(".tiktoken", ".json")
+    tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    texts = ["Hola, ¿qué tal?", "", None, "<|endoftext|> x", "mar " * 20_000]
+    texts = ["Hola, ¿qué tal?", "", None, "<|endoftext|> x", "mar " * 20_000, "x" * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = {r.i: r.n_tokens for r in mixing.token_counts(df, "i", "t", []).collect()}
-    assert got == {i: len(tok.encode(t or "", add_special_tokens=False)) for i, t in enumerate(texts)}
+    for file in (mixing.TOKENIZER, path):
+        got = {r.i: r.n_tokens for r in mixing.token_counts(df, "i", "t", [], file).collect()}
+        assert got == {i: len(tok.encode(t or "", add_special_tokens=False)) for i, t in enumerate(texts)}
 
 
 def test_wide_numbers_of_words():
