@@ -72,4 +72,21 @@ def p9_perplexity(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (p3_found, p3_nearest_days, p7_found, p7_item_report, p7_clean_documents, p8_mixture, p8_shares, p9_found, p9_shares, p9_perplexity)}
-SQL: dict[str, str] = {}
+_GRAMS = r"""
+WITH e AS (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e)),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+f AS (SELECT DISTINCT item_id, doc_id FROM eg JOIN dg USING (gram))"""
+_REPEATED = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+a AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS k FROM a, range(5) r(j) GROUP BY 1),
+s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(k, 0) AS n_repeated, CAST(coalesce(k, 0) AS DOUBLE) / greatest(len(w), 1) AS repeated_share FROM d LEFT JOIN c USING (doc_id))"""
+SQL: dict[str, str] = {
+    "p7_found": f"{_GRAMS} SELECT item_id, doc_id FROM f",
+    "p7_item_report": f"{_GRAMS} SELECT item_id, task, coalesce(n, 0) AS n_docs FROM eval_items LEFT JOIN (SELECT item_id, count(*) AS n FROM f GROUP BY 1) USING (item_id)",
+    "p9_found": f"{_REPEATED} SELECT doc_id FROM s WHERE repeated_share >= 0.25",
+    "p9_shares": f"{_REPEATED} SELECT doc_id, n_words, n_repeated, repeated_share FROM s",
+}
