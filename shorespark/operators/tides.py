@@ -14,9 +14,9 @@ def shift(height: Column, slope: Column) -> Column:
     return F.when(finite & (slope > 0) & (slope <= 1), F.try_divide(height, slope))
 
 
-def sensitivity(df: DataFrame, height: str, slopes: tuple[float, ...] = (0.03, 0.08)) -> DataFrame:
-    """df with the shift at other slopes, rounded to three places."""
-    return df.withColumns({f"shift_{str(s).replace('.', '_')}_m": F.round(shift(F.col(height), F.lit(s)), 3) for s in slopes})
+def sensitivity(df: DataFrame, height: str, slopes: tuple[float, ...] = (0.03, 0.08), digits: int = 3) -> DataFrame:
+    """df with the shift at other slopes, rounded."""
+    return df.withColumns({f"shift_{str(s).replace('.', '_')}_m": F.round(shift(F.col(height), F.lit(s)), digits) for s in slopes})
 
 
 def harmonic(times: DataFrame, key: list[str], instant: str, constituents: DataFrame) -> DataFrame:

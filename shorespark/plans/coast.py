@@ -154,10 +154,10 @@ def transect_crossings(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lines.crossings(_transect_segments(spark, d), _shore_segments(spark, d)), 3)
 
 
-@query(f"{_CROSS}, p AS (SELECT DISTINCT g, id, round(t * 400 - 100, 6) AS p FROM k), b AS (SELECT g, id, arg_min(p, abs(p)) AS position_m FROM p GROUP BY 1, 2) SELECT a.g, a.id, round(b.position_m, 3) + 0.0 AS position_m FROM a LEFT JOIN b USING (g, id)")
+@query(f"{_CROSS}, p AS (SELECT DISTINCT g, id, round(t * 400 - 100, 6) AS p FROM k), b AS (SELECT g, id, arg_min(p, abs(p)) AS position_m FROM p GROUP BY 1, 2) SELECT a.g, a.id, round(b.position_m, 5) + 0.0 AS position_m FROM a LEFT JOIN b USING (g, id)")
 def nearest_crossing(spark: SparkSession, d: str) -> DataFrame:
     shores = _shore_segments(spark, d).withColumn("shore", F.lit(1))
-    return lines.nearest_crossings(_transect_segments(spark, d), shores, 100.0).select("g", "id", (F.round("position_m", 3) + 0.0).alias("position_m"))
+    return lines.nearest_crossings(_transect_segments(spark, d), shores, 100.0).select("g", "id", (F.round("position_m", 5) + 0.0).alias("position_m"))
 
 
 @query(f"WITH {VERTEX_SQL}, e AS (SELECT line, arg_min(y, seq) AS ya, arg_max(y, seq) AS yb, max(seq) AS m FROM v GROUP BY 1) SELECT line, CASE WHEN ya < yb THEN m - seq ELSE seq END AS seq, round(x, 3) AS x, round(y, 3) AS y FROM v JOIN e USING (line)")
@@ -250,10 +250,10 @@ def rate_status_completeness(spark: SparkSession, d: str) -> DataFrame:
 # --- tides ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT correction_id, round(tide_height_m / beach_slope, 8) + 0.0 AS shift_m, round(tide_height_m / 0.03, 3) + 0.0 AS shift_0_03_m, round(tide_height_m / 0.08, 3) + 0.0 AS shift_0_08_m FROM tide_corrections")
+@query("SELECT correction_id, round(tide_height_m / beach_slope, 8) + 0.0 AS shift_m, round(tide_height_m / 0.03, 8) + 0.0 AS shift_0_03_m, round(tide_height_m / 0.08, 8) + 0.0 AS shift_0_08_m FROM tide_corrections")
 def tide_shift_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "tide_corrections")
-    df = tides.sensitivity(t.withColumn("shift_m", tides.shift(F.col("tide_height_m"), F.col("beach_slope"))), "tide_height_m")
+    df = tides.sensitivity(t.withColumn("shift_m", tides.shift(F.col("tide_height_m"), F.col("beach_slope"))), "tide_height_m", digits=8)
     return rounded(df.select("correction_id", "shift_m", "shift_0_03_m", "shift_0_08_m"), 8)
 
 
@@ -354,10 +354,10 @@ k AS (SELECT osm, line, rate, sqrt(pow(ax - greatest(0, least(1, (ax * dx + ay *
 b AS (SELECT osm, min(dist) AS dist, arg_min(line, dist) AS line, arg_min(rate, dist) AS rate FROM k GROUP BY 1)"""
 
 
-@query(f"{_NEAR} SELECT osm, line AS transect_id, round(dist, 3) AS distance_m, round(rate, 4) + 0.0 AS rate FROM b")
+@query(f"{_NEAR} SELECT osm, line AS transect_id, round(dist, 4) AS distance_m, round(rate, 8) + 0.0 AS rate FROM b")
 def nearest_rate_join(spark: SparkSession, d: str) -> DataFrame:
     r = exposure.nearest_rates(_buildings(spark, d), "osm", "px", "py", _transect_rates(spark, d), "transect_id", "rate")
-    return r.select("osm", "transect_id", F.round("distance_m", 3).alias("distance_m"), (F.round("rate", 4) + 0.0).alias("rate"))
+    return r.select("osm", "transect_id", F.round("distance_m", 4).alias("distance_m"), (F.round("rate", 8) + 0.0).alias("rate"))
 
 
 @query("SELECT delivery_id, CASE WHEN erosion_rate_m_per_year > 0 THEN round(distance_to_shoreline_m / erosion_rate_m_per_year, 4) END AS years, CASE WHEN erosion_rate_m_per_year > 0 AND distance_to_shoreline_m / erosion_rate_m_per_year < 10 THEN 'under_10' WHEN erosion_rate_m_per_year > 0 AND distance_to_shoreline_m / erosion_rate_m_per_year <= 30 THEN 'to_30' ELSE 'beyond' END AS span FROM buildings_risk")

@@ -90,7 +90,7 @@ def main_component(spark: SparkSession, d: str) -> DataFrame:
     return raster.main_component(raster.components(mask, "tile"), grid, "tile")
 
 
-@query(f"WITH {MASK_SQL}, a AS (SELECT tile, count(*) AS n FROM m GROUP BY 1), i AS (SELECT m.tile, count(*) AS k FROM m JOIN m o ON o.tile = m.tile AND ((o.\"row\" = m.\"row\" + 1 AND o.col = m.col) OR (o.\"row\" = m.\"row\" AND o.col = m.col + 1)) GROUP BY 1) SELECT a.tile, (4 * n - 2 * coalesce(k, 0)) * 10.0 AS perimeter_m FROM a LEFT JOIN i USING (tile)")
+@query(f"WITH {MASK_SQL}, a AS (SELECT tile, count(*) AS n FROM m GROUP BY 1), i AS (SELECT m.tile, count(*) AS k FROM m JOIN m o ON o.tile = m.tile AND ((o.\"row\" = m.\"row\" + 1 AND o.col = m.col) OR (o.\"row\" = m.\"row\" AND o.col = m.col + 1)) GROUP BY 1) SELECT a.tile, CAST((4 * n - 2 * coalesce(k, 0)) * 10 AS DOUBLE) AS perimeter_m FROM a LEFT JOIN i USING (tile)")
 def mask_outline(spark: SparkSession, d: str) -> DataFrame:
     s = raster.outline(_grid(spark, d)[1], "tile", 10.0)
     return s.groupBy("tile").agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("perimeter_m"))
