@@ -60,6 +60,13 @@ def nearest_feature(layers: list[tuple[str, DataFrame]], key: str, distance: str
     return best.select("b.layer", "b.key", "b.distance_m")
 
 
+def _within(points: DataFrame, shore: DataFrame, features: DataFrame, reach: str) -> DataFrame:
+    """point and distance to the shore of the points within the greatest reach of the features: one round of search."""
+    most = features.select(F.max(reach).alias("m")).first()["m"]
+    r = max(float(most or 0.0), 1e-6)
+    return nearest_lines(points, shore.select(F.col("id").alias("line"), "x1", "y1", "x2", "y2"), first=r, farthest=r).select("point", "distance")
+
+
 def exposed_length(roads: DataFrame, shore: DataFrame, reach: str, step: float = 1.0) -> DataFrame:
     """id and the length of each road segment (id, x1..y2, reach) that lies within its reach of the shore's segments
     (id, x1..y2). Roads are cut into equal pieces of at most `step` metres, judged by their middles, so an end of an
@@ -69,7 +76,7 @@ def exposed_length(roads: DataFrame, shore: DataFrame, reach: str, step: float =
     f = (F.col("_k") - 0.5) / F.col("_n")
     name = F.concat_ws("\x1f", "id", "_k")
     piece = r.select("id", "_r", name.alias("point"), (F.col("x1") + f * (F.col("x2") - F.col("x1"))).alias("px"), (F.col("y1") + f * (F.col("y2") - F.col("y1"))).alias("py"), (F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / F.col("_n")).alias("_l"))
-    near = nearest_lines(piece, shore.select(F.col("id").alias("line"), "x1", "y1", "x2", "y2")).select("point", "distance")
+    near = _within(piece, shore, roads, reach)
     hit = piece.join(near, "point").where((F.col("_r") > 0) & (F.col("distance") <= F.col("_r"))).groupBy("id").agg(F.sum("_l").alias("exposed_length_m"))
     return roads.select("id").join(hit, "id", "left").select("id", F.coalesce("exposed_length_m", F.lit(0.0)).alias("exposed_length_m"))
 
@@ -79,7 +86,7 @@ def exposed_area(buildings: DataFrame, shore: DataFrame, reach: str, cell: float
     `cell` metres judged by their centres. A null reach or one not positive exposes nothing."""
     cells = rasterised(buildings.select("id", "xs", "ys"), "id", cell).join(buildings.select("id", F.col(reach).alias("_r")), "id").where("_r > 0")
     c = cells.select("id", "_r", F.concat_ws("\x1f", "id", "row", "col").alias("point"), ((F.col("col") + 0.5) * cell).alias("px"), ((F.col("row") + 0.5) * cell).alias("py"))
-    near = nearest_lines(c, shore.select(F.col("id").alias("line"), "x1", "y1", "x2", "y2")).select("point", "distance")
+    near = _within(c, shore, buildings, reach)
     hit = c.join(near, "point").where(F.col("distance") <= F.col("_r")).groupBy("id").agg((F.count("*") * cell * cell).alias("exposed_area_m2"))
     return buildings.select("id").join(hit, "id", "left").select("id", F.coalesce("exposed_area_m2", F.lit(0.0)).alias("exposed_area_m2"))
 

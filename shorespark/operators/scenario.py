@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shorespark.functions.geo import point_segment_distance
 from shorespark.operators import lines
+from shorespark.operators.exposure import by_limits
 from shorespark.operators.spatial import nearest_lines
 
 
@@ -95,3 +96,22 @@ def rectangles(v: DataFrame, stations_count: int, offsets: tuple[float, ...], wi
     xs = F.array(*[F.col("x") - F.col("ty") * (F.col("offset_m") + b) + F.col("tx") * a for a, b in corner])
     ys = F.array(*[F.col("y") + F.col("tx") * (F.col("offset_m") + b) + F.col("ty") * a for a, b in corner])
     return j.select("line", F.format_string("E%02d", F.col("k") + 1).alias("station"), "offset_m", xs.alias("xs"), ys.alias("ys"))
+
+
+def nearest_station(points: DataFrame, network: DataFrame) -> DataFrame:
+    """point, line, station, offset_m and distance_m of the sample of a station network (line, station, offset_m, x, y)
+    nearest to each point (point, x, y); equally near samples: the smaller name."""
+    name = F.concat_ws("\x1e", "line", "station", F.col("offset_m").cast("string"))
+    dots = network.select(name.alias("line"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    near = nearest_lines(points.select(F.col("point").cast("string").alias("point"), F.col("x").alias("px"), F.col("y").alias("py")), dots)
+    bits = F.split("line", "\x1e")
+    return near.select("point", bits[0].alias("line"), bits[1].alias("station"), bits[2].cast("double").alias("offset_m"), F.col("distance").alias("distance_m"))
+
+
+def evaluated(points: DataFrame, v: DataFrame, year: int, rate: float, base: int, limits: list[tuple[float, bool, str]], beyond: str, outside: float, step: int = 11) -> DataFrame:
+    """points (point, x, y) with the nearest station sample, the margin of the scenario and its label: 'outside' for
+    points more than `outside` metres to the sea side of the line, else by the limits of the margin."""
+    m = margins(points.select("point", "x", "y"), lines.segments(v), retreat(F.lit(year), F.lit(rate), base))
+    s = nearest_station(points, stations(v, step)).withColumnRenamed("distance_m", "station_distance_m").drop("line")
+    label = F.when((F.col("side") < 0) & (F.col("distance_m") > outside), "outside").otherwise(by_limits(F.col("margin_m"), limits, beyond))
+    return m.join(s, "point").withColumn("label", label)

@@ -290,9 +290,11 @@ def nearest_lines(points: DataFrame, lines: DataFrame, first: float = 60.0, fact
         best = got.groupBy("point", "px", "py").agg(F.min(F.struct("distance", "line")).alias("b")).select("point", "px", "py", F.col("b.line").alias("line"), F.col("b.distance").alias("distance"))
         done = written(best.where(F.col("distance") <= r), "nearest")
         out = done if out is None else out.unionByName(done)
-        todo = written(todo.join(done.select("point", "px", "py"), ["point", "px", "py"], "left_anti"), "farther")
         r *= factor
-        if r > farthest or todo.isEmpty():
+        if r > farthest:
+            return out
+        todo = written(todo.join(done.select("point", "px", "py"), ["point", "px", "py"], "left_anti"), "farther")
+        if todo.isEmpty():
             return out
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shorespark.functions import labels
 from shorespark.functions.geo import same_longitude, with_degrees, with_utm
 from shorespark.functions.places import places
-from shorespark.operators import change, exposure, intervals, lines, scenario, spatial, storms, tides
+from shorespark.operators import catalog, change, exposure, intervals, lines, quality, scenario, spatial, storms, tides
 from shorespark.plans.sqltext import USABLE_SQL, utm_cte
 from shorespark.sources.tables import table
 
@@ -462,3 +463,31 @@ def exposed_areas(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {VERTEX_SQL} SELECT line, round(min(x) - 500, 3) AS x0, round(min(y) - 500, 3) AS y0, round(max(x) + 500, 3) AS x1, round(max(y) + 500, 3) AS y1 FROM v GROUP BY 1")
 def line_surroundings(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lines.surroundings(baselines(spark, d), 500.0), 3)
+
+
+@query()
+def scenario_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Every building under the scenario of 2040 at 1.5 m a year with its nearest station sample."""
+    b = _buildings(spark, d).select(F.col("osm").alias("point"), F.col("px").alias("x"), F.col("py").alias("y"))
+    return rounded(scenario.evaluated(b, baselines(spark, d), 2040, 1.5, 2026, [(25.0, True, "to_25"), (60.0, True, "to_60")], "beyond", 5.0), 3)
+
+
+@query("SELECT delivery_id, CASE lower(trim(risk_level)) WHEN 'bajo' THEN 'low' WHEN 'moderado' THEN 'medium' WHEN 'critico' THEN 'high' ELSE 'none' END AS label, printf('https://www.openstreetmap.org/?mlat=%.7f&mlon=%.7f', latitude, longitude) AS link, round(exposed_area_m2 / 10000, 8) + 0.0 AS hectares, 'B' || CASE WHEN length(CAST(delivery_id AS VARCHAR)) >= 6 THEN CAST(delivery_id AS VARCHAR) ELSE lpad(CAST(delivery_id AS VARCHAR), 6, '0') END AS code FROM buildings_risk")
+def feature_labels(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "buildings_risk")
+    names = {"bajo": "low", "moderado": "medium", "critico": "high"}
+    return b.select("delivery_id", labels.by_name(F.col("risk_level"), names, "none").alias("label"), labels.map_link(F.col("latitude"), F.col("longitude")).alias("link"), (F.round(labels.hectares(F.col("exposed_area_m2")), 8) + 0.0).alias("hectares"), labels.numbered("B", F.col("delivery_id"), 6).alias("code"))
+
+
+@query("SELECT CAST(y AS INTEGER) AS missing_year FROM range(2015, 2029) r(y) WHERE y NOT IN (SELECT year(start_date) FROM marejadas_oficiales_armada WHERE start_date IS NOT NULL)")
+def years_without_events(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "marejadas_oficiales_armada").where("start_date IS NOT NULL").select(F.year("start_date").alias("y"))
+    return catalog.missing_years(n, "y", 2015, 2028)
+
+
+@query("WITH o AS (SELECT beach_code, arg_min(correction_id, (abs(tide_height_m), correction_id)) AS correction_id FROM tide_corrections WHERE tide_height_m IS NOT NULL GROUP BY 1) SELECT t.transect_id, o.correction_id FROM transects t LEFT JOIN o USING (beach_code)")
+def tide_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The calmest correction of each beach looked up for its transects, many to one with the key checked."""
+    c = table(spark, d, "tide_corrections").where("tide_height_m IS NOT NULL")
+    dim = c.groupBy("beach_code").agg(F.min_by("correction_id", F.struct(F.abs("tide_height_m"), "correction_id")).alias("correction_id"))
+    return quality.many_to_one(table(spark, d, "transects").select("transect_id", "beach_code"), dim, ["beach_code"]).select("transect_id", "correction_id")

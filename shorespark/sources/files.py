@@ -191,3 +191,8 @@ def write_table(df: DataFrame, path: str, drop: list[str] | None = None) -> None
     """CSV with header, without nested or dropped columns; an earlier output is replaced."""
     nested = [c for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]
     df.drop(*nested, *(drop or [])).write.mode("overwrite").csv(path, header=True)
+
+
+def write_document(rows: DataFrame, path: str) -> None:
+    """Small results as JSON documents, one per row, nulls written; published by the commit protocol as a whole."""
+    rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -296,3 +296,23 @@ def test_smoothing_equals_brute_force(spark):
         want[g] = v if n < 5 else [sum(w[k + 4] * at(m, i + k) for k in range(-4, 5)) / sum(w) for i in range(n)]
     got = lines.smoothed(spark.createDataFrame(rows, "g string, i long, v double"), "g", "i", "v").collect()
     assert len(got) == len(rows) and all(r.v == pytest.approx(want[r.g][r.i]) for r in got)
+
+
+def test_labels_and_documents(spark, tmp_path):
+    from shorespark.functions import labels
+
+    df = spark.createDataFrame([(7, ["a", "b"], 1.25, None), (1234, ["a"], float("nan"), " BAJO ")], "n int, ids array<string>, m double, l string")
+    got = df.select(labels.numbered("T", F.col("n"), 3), labels.consensus_group(F.col("ids")), labels.elevation_label(F.col("m")), labels.by_name(F.col("l"), {"bajo": "low"}, "none"), labels.is_subset(F.col("ids"), F.array(F.lit("a"), F.lit("c"))), labels.osm_id(F.lit("way"), F.col("n"))).collect()
+    assert [tuple(r) for r in got] == [("T007", "consensus:a,b", "1.3 m", "none", False, "way/7"), ("T1234", "a", "sin dato", "low", True, "way/1234")]
+    files.write_document(df.select("n", "l"), str(tmp_path / "doc"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "doc")).collect()) == ['{"n":1234,"l":" BAJO "}', '{"n":7,"l":null}']
+    files.write_table(df, str(tmp_path / "csv"), ["l"])
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["n", "m"]
+
+
+def test_scenario_evaluation(spark):
+    v = line(spark, "a", [(0, 0), (0, -100), (0, -1000)])
+    p = spark.createDataFrame([("land", 40.0, -500.0), ("sea", -30.0, -500.0)], "point string, x double, y double")
+    got = {r.point: r for r in scenario.evaluated(p, v, 2036, 1.5, 2026, [(25.0, True, "near"), (60.0, True, "middle")], "far", 5.0).collect()}
+    assert got["land"].label == "near" and got["land"].station == "E06" and got["land"].offset_m == 50.0 and got["land"].margin_m == pytest.approx(25.0)
+    assert got["sea"].label == "outside"
