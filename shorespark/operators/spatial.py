@@ -274,7 +274,9 @@ def nearest_lines(points: DataFrame, lines: DataFrame, first: float = 60.0, fact
     until all are settled or r passes `farthest`. Ties: the smaller line id. Null coordinates are left out.
     """
     todo = points.select("point", "px", "py").where("point IS NOT NULL AND px IS NOT NULL AND py IS NOT NULL").distinct()
+    todo = written(todo, "points")  # each round reads both sides several times
     lines = lines.select(F.col("line").cast("string"), "x1", "y1", "x2", "y2").where("line IS NOT NULL AND x1 + y1 + x2 + y2 IS NOT NULL").distinct()
+    lines = written(lines, "lines")
     out, r = None, first
     while True:
         length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
