@@ -190,13 +190,14 @@ def in_regions(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """
     pts = points.select("point", "px", "py").where("px BETWEEN -1e300 AND 1e300 AND py BETWEEN -1e300 AND 1e300")
     box = polygons.where(F.size("xs") > 2).select((F.array_min("xs") / 2 + F.array_max("xs") / 2).alias("x"), (F.array_min("ys") / 2 + F.array_max("ys") / 2).alias("y"))
-    n_box, n_pts = box.count(), pts.count()
+    both_sides = box.select(F.lit(0).alias("side"), "x", "y").unionByName(pts.select(F.lit(1).alias("side"), F.col("px").alias("x"), F.col("py").alias("y")))
+    n = {r["side"]: r["count"] for r in both_sides.groupBy("side").count().collect()}
+    n_box, n_pts = n.get(0, 0), n.get(1, 0)
     share_box, share_pts = min(1.0, SAMPLE / max(1, n_box)), min(1.0, SAMPLE / max(1, n_pts))
-    boxes = box.sample(share_box, seed=7).toPandas() if share_box < 1 else box.toPandas()
-    some = (pts.sample(share_pts, seed=7) if share_pts < 1 else pts).select("px", "py").toPandas()
-    both = pd.concat([boxes.set_axis(["x", "y"], axis=1), some.set_axis(["x", "y"], axis=1)]).dropna()
+    both = both_sides.sampleBy("side", {0: share_box, 1: share_pts}, seed=7).toPandas().dropna()
+    boxes, some = both[both["side"] == 0][["x", "y"]], both[both["side"] == 1][["x", "y"]]
     tree = SplitTree(both["x"].to_numpy(), both["y"].to_numpy(), min(LEAVES, 1 + (n_box + n_pts) // LEAF_ROWS))
-    count = lambda d: np.bincount(tree.touched(*(d.iloc[:, [0, 1, 0, 1]].dropna().to_numpy(float).T))[1], minlength=tree.size) if len(d) else np.zeros(tree.size)
+    count = lambda d: np.bincount(tree.touched(*(d.iloc[:, [0, 1, 0, 1]].to_numpy(float).T))[1], minlength=tree.size) if len(d) else np.zeros(tree.size)
     cut_p, cut_t = _blocks(count(some), share_pts), _blocks(count(boxes) * 3, share_box)
 
     def place_points(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
