@@ -117,14 +117,15 @@ def mixture(documents: DataFrame, doc: str, text: str, source: str, targets: Dat
     Draw: doc, source, n_tokens, copies (1 to the source's max_repeats). Report, one row per target source: source,
     target_share, max_repeats, n_docs, n_tokens available, drawn_docs, drawn_tokens, reached_share, saturated.
     Documents without tokens, with a null source or of a source without target are never drawn; a source without
-    documents reaches 0, and the others keep their proportions; repeated rows are documents of their own. The target
-    table is one row per source and must have at most 100,000 rows with unique sources; its rows are the only thing
-    the driver holds. A source that holds a third of all rows is only ever summed with map-side combining.
+    documents reaches 0, and the others keep their proportions; repeated rows are documents of their own. Of
+    several target rows of one source the greatest (share, repeats) counts, rows with a null are left out; the table
+    may name at most 100,000 sources, an error beyond, and is the only thing the driver holds. A source that holds a third of all rows is only ever summed with map-side combining.
     """
     spark = documents.sparkSession
-    goals = [(r[0], float(r[1]), int(r[2])) for r in targets.select("source", "target_share", "max_repeats").where("source IS NOT NULL AND target_share IS NOT NULL").limit(100_001).collect()]
-    if len(goals) > 100_000 or len({s for s, _, _ in goals}) < len(goals):
-        raise ValueError("the target table must have unique sources and at most 100,000 rows")
+    one = targets.where("source IS NOT NULL AND target_share IS NOT NULL AND max_repeats IS NOT NULL").groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t"))
+    goals = [(r["source"], float(r["t"][0]), int(r["t"][1])) for r in one.limit(100_001).collect()]
+    if len(goals) > 100_000:
+        raise ValueError("the target table may name at most 100,000 sources")
     tokens = written(token_counts(documents.select(doc, F.col(source).alias("source"), text), doc, text, ["source"], tokenizer), "tokens")
     solved = solve_rates(tokens, goals, total)
     rows = [(s, share, cap, float(x["lam"] if x["lam"] is not None else -1e6), float(x["mean"]), float(x["goal"]), x["saturated"]) for (s, share, cap) in goals for x in [solved[s]]]

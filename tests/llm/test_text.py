@@ -127,8 +127,8 @@ def test_mixture_of_given_size_and_of_nothing(spark):
     assert all(abs(r.drawn_tokens - 2000) < 100 for r in report.values())
     draw, report = _mix(spark, [], [("a", 1.0, 2)])
     assert draw == [] and report["a"].drawn_tokens == 0 and report["a"].reached_share == 0
-    with pytest.raises(ValueError):
-        _mix(spark, docs, [("a", 0.5, 4), ("a", 0.5, 4)])
+    _, twice = _mix(spark, docs, [("a", 0.5, 4), ("a", 0.5, 4), ("a", 0.2, 9), ("b", 0.5, 4), ("c", None, 1), (None, 0.1, 1)], total=4000.0)
+    assert set(twice) == {"a", "b"} and twice["a"].target_share == 0.5 and abs(twice["a"].drawn_tokens - 2000) < 100
 
 
 def test_token_counts_equal_the_library(spark):
