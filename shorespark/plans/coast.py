@@ -193,6 +193,8 @@ def ring_arcs(spark: SparkSession, d: str) -> DataFrame:
     n = v.groupBy("line").agg(F.count("*").alias("n"))
     back = lines.offset_points(v, 200.0).join(n, "line").select("line", (2 * F.col("n") - 1 - F.col("seq")).alias("seq"), "x", "y")
     first = v.where("seq = 0").orderBy("line").select("line", "x", "y").first()
+    if first is None or v.where((F.col("line") == first["line"]) & (F.col("seq") > 0)).isEmpty():  # no line of two vertices
+        return lines.ring_arc(v.limit(0), (0.0, 0.0), (0.0, 0.0), 0.0, 0.0, 0.0)
     own = v.where(F.col("line") == first["line"])
     last = own.orderBy(F.col("seq").desc()).select("x", "y").first()
     long = lines.lengths(lines.segments(own)).first()["length"]
