@@ -194,9 +194,10 @@ def _large_sources(rows: DataFrame, fields: int, limits: list[float], rules: Rul
     names = _run_names(fields)
     stats = None
     for f in range(fields):
-        med = exact_medians(rows, ["source"], F.col(f"x{f}"), f"med{f}")
+        finite = F.abs(F.col(f"x{f}")) < float("inf")
+        med = exact_medians(rows, ["source"], F.when(finite, F.col(f"x{f}")), f"med{f}")
         far = rows.join(med.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "inner")
-        mad = exact_medians(far, ["source"], F.abs(F.col(f"x{f}") - F.col(f"med{f}")), f"mad{f}")
+        mad = exact_medians(far, ["source"], F.when(finite, F.abs(F.col(f"x{f}") - F.col(f"med{f}"))), f"mad{f}")
         for one in (med, mad):
             stats = one if stats is None else stats.join(one.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "full").withColumn("source", F.coalesce("source", "_s")).drop("_s")
     pieces = F.ceil(F.count("*") / limit).cast("int")
@@ -216,16 +217,18 @@ def _large_sources(rows: DataFrame, fields: int, limits: list[float], rules: Rul
 
     need = rules.run
 
+    # block numbers have holes (a crowded order value skips some, a block of nulls has no edge), but every block with
+    # values sends its first and its last run, so successive edges by order are neighbours
     def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord_lo")
         out, cur = [], None
         for r in pdf.itertuples():
-            if cur and cur[2] == r.v and r.edge in (1, 3) and cur[4] in (2, 3) and r.block == cur[5] + 1:
-                cur = [cur[0], r.ord_hi, r.v, cur[3] + r.steps, r.edge, r.block]
+            if cur and cur[2] == r.v and r.edge in (1, 3) and cur[4] in (2, 3):
+                cur = [cur[0], r.ord_hi, r.v, cur[3] + r.steps, r.edge]
             else:
                 if cur and cur[3] >= need:
                     out.append(cur[:3])
-                cur = [r.ord_lo, r.ord_hi, r.v, r.steps, r.edge, r.block]
+                cur = [r.ord_lo, r.ord_hi, r.v, r.steps, r.edge]
         if cur and cur[3] >= need:
             out.append(cur[:3])
         got = pd.DataFrame(out, columns=["ord_lo", "ord_hi", "v"]).astype(float)

@@ -76,6 +76,26 @@ def test_large_sources_equal_ordinary_ones(spark):
     assert run(spark, rows, limit=100) == brute(rows)
 
 
+def large(same, nulls=(), copies=0):
+    """One source of 600 order values with equal readings at `same`, nulls at `nulls` and copies of the reading at 300."""
+    rnd = random.Random(3)
+    rows = [("S", o, o, 7.25 if o in same else None if o in nulls else rnd.gauss(0, 2), 0.0, "x") for o in range(600)]
+    return rows + [("S", 300, 1000 + i, *rows[300][3:]) for i in range(copies)]
+
+
+def test_runs_across_a_skipped_block(spark):
+    crowded = large(range(296, 304), copies=250)  # the crowded order value skips a block number
+    assert {296, 299, 300, 303, 1000} <= brute(crowded) and run(spark, crowded, limit=100) == brute(crowded)
+    hollow = large([*range(196, 200), *range(400, 404)], nulls=range(200, 400))  # a block of nulls has no edge
+    assert {196, 403} <= brute(hollow) and run(spark, hollow, limit=100) == brute(hollow)
+
+
+def test_infinities_do_not_move_large_medians(spark):
+    rows = [(*r[:3], math.inf if r[1] % 5 < 2 else 25.0 if r[1] == 303 else r[3], *r[4:]) for r in large([])]
+    got = run(spark, rows, limit=100)
+    assert 303 in got and got == run(spark, rows)
+
+
 def test_empty_and_all_null(spark):
     assert run(spark, []) == set()
     assert run(spark, [("a", 1, 1, None, 0.0, "x"), ("a", None, 2, None, None, None)]) == set()
