@@ -289,11 +289,13 @@ def smoothed(df: DataFrame, group: str, place: str, value: str) -> DataFrame:
 def continuous(candidates: DataFrame, group: str, place: str, position: str, most: float = 60.0, weight: float = 0.08, jump: float = 80.0, search: float = 250.0) -> DataFrame:
     """group, place, position: one candidate per place by a fold along the places.
 
-    Candidates outside [-search, most] are no choice. The first place takes the one nearest to zero; each later one
+    Candidates outside [-search, most] are no choice where the place has one inside. The first place takes the one nearest to zero; each later one
     the candidate that least differs from the previous choice, plus `weight` times its distance from zero; a place
     whose choice would jump more than `jump` is skipped. A group's places are gathered (a line's stations).
     """
-    ok = candidates.where(F.col(position).between(-search, most)).groupBy(group, place).agg(F.sort_array(F.collect_set(position)).alias("c"))
+    every = candidates.groupBy(group, place).agg(F.sort_array(F.collect_set(position)).alias("c"))
+    inside = F.filter("c", lambda p: p.between(-search, most))
+    ok = every.where(F.size("c") > 0).withColumn("c", F.when(F.size(inside) > 0, inside).otherwise(F.col("c")))
     rows = ok.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(place).alias("i"), "c"))).alias("s"))
     start = F.struct(F.lit(None).cast("double").alias("prev"), F.array().cast("array<struct<i:bigint,p:double>>").alias("out"))
 

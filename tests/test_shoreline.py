@@ -316,3 +316,12 @@ def test_scenario_evaluation(spark):
     got = {r.point: r for r in scenario.evaluated(p, v, 2036, 1.5, 2026, [(25.0, True, "near"), (60.0, True, "middle")], "far", 5.0).collect()}
     assert got["land"].label == "near" and got["land"].station == "E06" and got["land"].offset_m == 50.0 and got["land"].margin_m == pytest.approx(25.0)
     assert got["sea"].label == "outside"
+
+
+def test_continuity_keeps_a_shore_beyond_the_band(spark):
+    rows = [("a", i, 50.0 + 4 * min(i, 5)) for i in range(12)] + [("a", 9, 10.0), ("b", 0, 70.0), ("b", 1, 69.0), ("b", 2, -300.0)]
+    got = {}
+    for r in lines.continuous(spark.createDataFrame(rows, "g string, i long, p double"), "g", "i", "p").orderBy("g", "i").collect():
+        got.setdefault(r.g, []).append(r.p)
+    # retreats to 70 m; at 9 the candidate inside the band goes first; -300 would jump
+    assert got == {"a": [50.0, 54.0, 58.0, 62.0, 66.0, 70.0, 70.0, 70.0, 70.0, 10.0, 70.0, 70.0], "b": [70.0, 69.0]}
