@@ -205,19 +205,19 @@ def merged_order(parts: DataFrame) -> DataFrame:
     return parts.groupBy("line").applyInPandas(chain, f"line {kind[0]}, part {kind[1]}, place int, turned boolean")
 
 
-def ring_arc(ring: DataFrame, first: tuple[float, float], last: tuple[float, float], least: float, most: float, tolerance: float) -> DataFrame:
+def ring_arc(ring: DataFrame, anchors: DataFrame, tolerance: float) -> DataFrame:
     """line, direction, seq, x, y: the arc of each closed ring (line, seq, x, y; closing vertex left out) between the
-    vertices nearest (by |dx| + |dy| within tolerance) to two anchors whose length lies in [least, most]; none if both
-    directions or neither do."""
-    near = lambda p: F.abs(F.col("x") - p[0]) + F.abs(F.col("y") - p[1])
-    a = ring.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct(near(first), "seq")).alias("a"), F.min(F.struct(near(last), "seq")).alias("b"))
+    vertices nearest (by |dx| + |dy| within tolerance) to the line's two anchors whose length lies in [least, most];
+    none if both directions or neither do. anchors: (line, ax, ay, bx, by, least, most), one row per line."""
+    near = lambda p: F.abs(F.col("x") - F.col(f"{p}x")) + F.abs(F.col("y") - F.col(f"{p}y"))
+    a = ring.join(anchors, "line").groupBy("line", "least", "most").agg(F.count("*").alias("n"), F.min(F.struct(near("a"), "seq")).alias("a"), F.min(F.struct(near("b"), "seq")).alias("b"))
     a = a.where((F.col("a.col1") <= tolerance) & (F.col("b.col1") <= tolerance)).select("line", "n", F.col("a.seq").alias("s"), F.col("b.seq").alias("e"))
     j = ring.join(a, "line")
     walks = j.withColumn("direction", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("place", F.pmod((F.col("seq") - F.col("s")) * F.col("direction"), "n"))
     walks = walks.where(F.col("place") <= F.pmod((F.col("e") - F.col("s")) * F.col("direction"), "n"))
     name = F.struct("line", "direction")
     path = walks.select(name.alias("line"), F.col("place").alias("seq"), "x", "y")
-    fits = lengths(segments(path)).where(F.col("length").between(least, most)).select(F.col("line.line").alias("r"), F.col("line").alias("l"))
+    fits = lengths(segments(path)).select(F.col("line.line").alias("r"), F.col("line").alias("l"), "length").join(anchors.select(F.col("line").alias("r"), "least", "most"), "r").where("length BETWEEN least AND most")
     one = fits.groupBy("r").agg(F.count("*").alias("c"), F.first("l").alias("l")).where("c = 1").select(F.col("l").alias("line"))
     return path.join(one, "line").select(F.col("line.line").alias("line"), F.col("line.direction").alias("direction"), "seq", "x", "y")
 

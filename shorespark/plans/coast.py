@@ -188,17 +188,12 @@ def line_offset(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ring_arcs(spark: SparkSession, d: str) -> DataFrame:
-    """The vertices of the first beach's closed outline (baseline and back 200 m inland) on the arc along its baseline."""
+    """The vertices of every beach's closed outline (baseline and back 200 m inland) on the arc along its baseline."""
     v = baselines(spark, d)
-    n = v.groupBy("line").agg(F.count("*").alias("n"))
+    n = v.groupBy("line").agg(F.count("*").alias("n"), F.min_by(F.struct("x", "y"), "seq").alias("a"), F.max_by(F.struct("x", "y"), "seq").alias("b"))
     back = lines.offset_points(v, 200.0).join(n, "line").select("line", (2 * F.col("n") - 1 - F.col("seq")).alias("seq"), "x", "y")
-    first = v.where("seq = 0").orderBy("line").select("line", "x", "y").first()
-    if first is None or v.where((F.col("line") == first["line"]) & (F.col("seq") > 0)).isEmpty():  # no line of two vertices
-        return lines.ring_arc(v.limit(0), (0.0, 0.0), (0.0, 0.0), 0.0, 0.0, 0.0)
-    own = v.where(F.col("line") == first["line"])
-    last = own.orderBy(F.col("seq").desc()).select("x", "y").first()
-    long = lines.lengths(lines.segments(own)).first()["length"]
-    return rounded(lines.ring_arc(v.unionByName(back), (first["x"], first["y"]), tuple(last), 0.99 * long, 1.05 * long, 1.0), 3)
+    anchors = n.join(lines.lengths(lines.segments(v)), "line").select("line", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), (0.99 * F.col("length")).alias("least"), (1.05 * F.col("length")).alias("most"))
+    return rounded(lines.ring_arc(v.unionByName(back), anchors, 1.0), 3)
 
 
 @query()

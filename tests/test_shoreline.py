@@ -325,3 +325,19 @@ def test_continuity_keeps_a_shore_beyond_the_band(spark):
         got.setdefault(r.g, []).append(r.p)
     # retreats to 70 m; at 9 the candidate inside the band goes first; -300 would jump
     assert got == {"a": [50.0, 54.0, 58.0, 62.0, 66.0, 70.0, 70.0, 70.0, 70.0, 10.0, 70.0, 70.0], "b": [70.0, 69.0]}
+
+
+def test_every_ring_has_its_arc(spark):
+    square = lambda n, s: line(spark, n, [(0, 0), (s, 0), (s, 3 * s), (0, 3 * s)])
+    rings = square("a", 10).unionByName(square("b", 20)).unionByName(square("c", 30))
+    anchors = spark.createDataFrame([("a", 0.0, 0.0, 10.0, 0.0, 9.0, 11.0), ("b", 20.0, 0.0, 20.0, 60.0, 50.0, 70.0), ("c", 0.0, 0.0, 30.0, 0.0, 1.0, 2.0)], "line string, ax double, ay double, bx double, by double, least double, most double")
+    got = sorted((r.line, r.seq, r.x, r.y) for r in lines.ring_arc(rings, anchors, 1.0).collect())
+    assert got == [("a", 0, 0.0, 0.0), ("a", 1, 10.0, 0.0), ("b", 0, 20.0, 0.0), ("b", 1, 20.0, 60.0)]
+
+
+def test_every_beach_has_its_arc(spark):
+    from shorespark.plans import coast
+
+    d = "/root/testdata/sf0.001"
+    long = {r.line for r in lines.segments(coast.baselines(spark, d)).select("line").distinct().collect()}
+    assert len(long) > 1 and {r.line for r in coast.ring_arcs(spark, d).select("line").distinct().collect()} == long
