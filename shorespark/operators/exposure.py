@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shorespark.functions.geo import point_segment_distance
@@ -67,17 +67,67 @@ def _within(points: DataFrame, shore: DataFrame, features: DataFrame, reach: str
     return nearest_lines(points, shore.select(F.col("id").alias("line"), "x1", "y1", "x2", "y2"), first=r, farthest=r).select("point", "distance")
 
 
-def exposed_length(roads: DataFrame, shore: DataFrame, reach: str, step: float = 1.0) -> DataFrame:
+def _reached(r: Column) -> tuple[Column, Column]:
+    """Shares t0 and t1 of the segment a (ax1..ay2) between which it lies within r of the segment b (bx1..by2); t0 > t1
+    or null where it nowhere does. What lies within r of a segment is convex (two circles and a strip between them),
+    so there is one stretch, from the least to the greatest root of the three."""
+    c = F.col
+    dx, dy, ux, uy = c("ax2") - c("ax1"), c("ay2") - c("ay1"), c("bx2") - c("bx1"), c("by2") - c("by1")
+    fx, fy, a = c("ax1") - c("bx1"), c("ay1") - c("by1"), dx * dx + dy * dy
+
+    def circle(fx: Column, fy: Column) -> tuple[Column, Column]:
+        h = fx * dx + fy * dy
+        disc = h * h - a * (fx * fx + fy * fy - r * r)
+        root = F.sqrt(F.greatest(F.lit(0.0), disc))
+        return tuple(F.when(disc >= 0, F.try_divide(-h + s * root, a)) for s in (-1, 1))
+
+    def slab(start: Column, slope: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        ends = F.try_divide(low - start, slope), F.try_divide(high - start, slope)
+        always = F.when(start.between(low, high), 1e300).otherwise(-1e300)  # parallel: everywhere or nowhere
+        return F.when(slope == 0, -always).otherwise(F.least(*ends)), F.when(slope == 0, always).otherwise(F.greatest(*ends))
+
+    length = F.hypot(ux, uy)
+    ex, ey = F.try_divide(ux, length), F.try_divide(uy, length)
+    along, across = slab(fx * ex + fy * ey, dx * ex + dy * ey, F.lit(0.0), length), slab(fy * ex - fx * ey, dy * ex - dx * ey, -r, r)
+    low, high = F.greatest(along[0], across[0]), F.least(along[1], across[1])
+    strip = (length > 0) & (low <= high)
+    one, two = circle(fx, fy), circle(fx - ux, fy - uy)
+    return F.greatest(F.lit(0.0), F.least(one[0], two[0], F.when(strip, low), F.lit(2.0))), F.least(F.lit(1.0), F.greatest(one[1], two[1], F.when(strip, high), F.lit(-1.0)))
+
+
+def exposed_length(roads: DataFrame, shore: DataFrame, reach: str, cell: float = 100.0) -> DataFrame:
     """id and the length of each road segment (id, x1..y2, reach) that lies within its reach of the shore's segments
-    (id, x1..y2). Roads are cut into equal pieces of at most `step` metres, judged by their middles, so an end of an
-    exposed stretch is known to half a piece. A null reach or one not positive exposes nothing."""
-    n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / step)).cast("int")
-    r = roads.select("id", "x1", "y1", "x2", "y2", F.col(reach).alias("_r"), n.alias("_n")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    f = (F.col("_k") - 0.5) / F.col("_n")
-    name = F.concat_ws("\x1f", "id", "_k")
-    piece = r.select("id", "_r", name.alias("point"), (F.col("x1") + f * (F.col("x2") - F.col("x1"))).alias("px"), (F.col("y1") + f * (F.col("y2") - F.col("y1"))).alias("py"), (F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / F.col("_n")).alias("_l"))
-    near = _within(piece, shore, roads, reach)
-    hit = piece.join(near, "point").where((F.col("_r") > 0) & (F.col("distance") <= F.col("_r"))).groupBy("id").agg(F.sum("_l").alias("exposed_length_m"))
+    (id, x1..y2), exactly: between the roots of the distance, the stretches of several shore segments merged. Both
+    sides are cut into parts of at most `cell` metres (or the greatest reach) and meet in grid cells. Repeated roads
+    count once. A null reach or one not positive exposes nothing."""
+    most = roads.select(F.max(reach).alias("m")).first()["m"]
+    cell = max(cell, float(most or 0.0))
+
+    def parts(d: DataFrame, n: str, keep: list[str]) -> DataFrame:
+        d = d.select(*keep, "x1", "y1", "x2", "y2").where("x1 + y1 + x2 + y2 IS NOT NULL").distinct()
+        d = d.withColumn("_n", F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / cell)).cast("int"))
+        d = d.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        at = lambda v, k: F.col(f"{v}1") + k / F.col("_n") * (F.col(f"{v}2") - F.col(f"{v}1"))
+        return d.select(*keep, *[at(v, F.col("_k") + e - 1).alias(f"{n}{v}{e}") for e in (1, 2) for v in ("x", "y")])
+
+    def celled(d: DataFrame, n: str, by: Column) -> DataFrame:
+        ends = {f"{n}{f}{v}": g(f"{n}{v}1", f"{n}{v}2") + s * by for v in ("x", "y") for f, g, s in (("l", F.least, -1), ("h", F.greatest, 1))}
+        d = d.withColumns(ends)
+        for v in ("x", "y"):
+            d = d.withColumn(f"c{v}", F.explode(F.sequence(F.floor(F.col(f"{n}l{v}") / cell), F.floor(F.col(f"{n}h{v}") / cell))))
+        return d
+
+    r = roads.withColumn("_r", F.col(reach).cast("double")).where("_r > 0")
+    a = parts(r, "a", ["id", "_r"])
+    j = celled(a, "a", F.col("_r") * 1.0001).join(celled(parts(shore, "b", []), "b", F.lit(0.0)), ["cx", "cy"])
+    j = j.where("alx <= bhx AND blx <= ahx AND aly <= bhy AND bly <= ahy")
+    j = j.where((F.floor(F.greatest("alx", "blx") / cell) == F.col("cx")) & (F.floor(F.greatest("aly", "bly") / cell) == F.col("cy")))
+    t0, t1 = _reached(F.col("_r"))
+    part = ["id", "_r", "ax1", "ay1", "ax2", "ay2"]
+    j = j.select(*part, t0.alias("t0"), t1.alias("t1")).where("t0 < t1")
+    before = F.max("t1").over(Window.partitionBy(*part).orderBy("t0", "t1").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0.0), F.col("t1") - F.greatest("t0", before)) * F.hypot(F.col("ax2") - F.col("ax1"), F.col("ay2") - F.col("ay1"))
+    hit = j.select("id", new.alias("_l")).groupBy("id").agg(F.sum("_l").alias("exposed_length_m"))
     return roads.select("id").join(hit, "id", "left").select("id", F.coalesce("exposed_length_m", F.lit(0.0)).alias("exposed_length_m"))
 
 

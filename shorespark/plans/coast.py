@@ -399,7 +399,7 @@ def exposed_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Length of each transect that lies within its beach's retreat of the last shoreline, for all transects."""
     t = _transect_segments(spark, d).select("id", "x1", "y1", "x2", "y2").withColumn("reach", F.lit(45.0))
     s = _shore_segments(spark, d).select(F.concat_ws(":", "g", "id").alias("id"), "x1", "y1", "x2", "y2")
-    return rounded(exposure.exposed_length(t, s, "reach", step=20.0))
+    return rounded(exposure.exposed_length(t, s, "reach"))
 
 
 @query()

@@ -341,3 +341,32 @@ def test_every_beach_has_its_arc(spark):
     d = "/root/testdata/sf0.001"
     long = {r.line for r in lines.segments(coast.baselines(spark, d)).select("line").distinct().collect()}
     assert len(long) > 1 and {r.line for r in coast.ring_arcs(spark, d).select("line").distinct().collect()} == long
+
+
+def test_exposed_length_is_exact(spark):
+    rnd = random.Random(4)
+    cols = "id string, x1 double, y1 double, x2 double, y2 double"
+    shore = [(f"s{i}", *[rnd.uniform(0, 600) for _ in range(2)]) for i in range(30)]
+    shore = [(n, x, y, x + rnd.uniform(-80, 80), y + rnd.uniform(-80, 80)) for n, x, y in shore] + [("dot", 300.0, 300.0, 300.0, 300.0)]
+    roads = [(f"r{i}", *[rnd.uniform(0, 600) for _ in range(4)], rnd.uniform(5, 60)) for i in range(25)]
+    roads += [("short", 700.0, 0.0, 715.0, 0.0, 3.0), ("along", 720.0, 4.0, 760.0, 4.0, 5.0), ("past", 740.0, -90.0, 740.0, 90.0, 45.0)]
+    shore += [("post", 702.0, 0.0, 702.0, 0.0), ("flat", 730.0, 0.0, 740.0, 0.0)]
+    got = {r.id: r.exposed_length_m for r in exposure.exposed_length(spark.createDataFrame(roads, cols + ", reach double"), spark.createDataFrame(shore, cols), "reach").collect()}
+    assert got["short"] == pytest.approx(5) and got["along"] == pytest.approx(16) and got["past"] == pytest.approx(90)
+
+    def near(x, y, s):
+        dx, dy = s[3] - s[1], s[4] - s[2]
+        t = max(0, min(1, ((x - s[1]) * dx + (y - s[2]) * dy) / (dx * dx + dy * dy or 1)))
+        return math.hypot(x - s[1] - t * dx, y - s[2] - t * dy)
+
+    for n, x1, y1, x2, y2, r in roads:
+        k = 4000
+        hit = sum(min(near(x1 + (i + 0.5) / k * (x2 - x1), y1 + (i + 0.5) / k * (y2 - y1), s) for s in shore) <= r for i in range(k))
+        assert got[n] == pytest.approx(hit / k * math.hypot(x2 - x1, y2 - y1), abs=1.5)
+
+
+def test_exposed_lengths_query_has_no_steps(spark):
+    from shorespark.plans import coast
+
+    got = [r.exposed_length_m for r in coast.exposed_lengths(spark, "/root/testdata/sf0.001").where("exposed_length_m > 0").collect()]
+    assert got and sum(abs(v / 20 - round(v / 20)) > 1e-3 for v in got) > len(got) / 2
