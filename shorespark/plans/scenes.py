@@ -125,9 +125,12 @@ def scene_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def band_resampling(spark: SparkSession, d: str) -> DataFrame:
-    """A coarse band brought to a grid of half its cell size, bilinear."""
-    grid = spark.range(64 * 64).select(F.floor(F.col("id") / 64).alias("row"), (F.col("id") % 64).alias("col"))
-    coarse = table(spark, d, "part").where("p_partkey < 1024").select(F.floor(F.col("p_partkey") / 32).alias("row"), (F.col("p_partkey") % 32).alias("col"), "p_retailprice")
+    """A coarse band of all parts, laid out in a square by key, brought to a grid of half its cell size, bilinear."""
+    p = table(spark, d, "part").where("p_partkey IS NOT NULL")
+    wide = p.agg((F.floor(F.sqrt(F.max("p_partkey"))) + 1).alias("w"))  # one row
+    coarse = p.crossJoin(F.broadcast(wide)).select(F.floor(F.col("p_partkey") / F.col("w")).alias("row"), (F.col("p_partkey") % F.col("w")).alias("col"), "p_retailprice")
+    four = F.explode(F.array(*[F.struct((F.col("row") * 2 + i).alias("row"), (F.col("col") * 2 + j).alias("col")) for i in (0, 1) for j in (0, 1)]))
+    grid = coarse.select("row", "col").distinct().select(four.alias("k")).select("k.row", "k.col")
     return rounded(files.resampled_bands(grid, coarse, "p_retailprice", 2.0, False))
 
 

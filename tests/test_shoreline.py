@@ -370,3 +370,17 @@ def test_exposed_lengths_query_has_no_steps(spark):
 
     got = [r.exposed_length_m for r in coast.exposed_lengths(spark, "/root/testdata/sf0.001").where("exposed_length_m > 0").collect()]
     assert got and sum(abs(v / 20 - round(v / 20)) > 1e-3 for v in got) > len(got) / 2
+
+
+def test_resampling_uses_every_part(spark):
+    from shorespark.plans import scenes
+    from shorespark.sources.tables import table
+
+    part = {r.p_partkey: r.p_retailprice for r in table(spark, "/root/testdata/sf0.1", "part").collect()}
+    got = {(r["row"], r["col"]): r.p_retailprice for r in scenes.band_resampling(spark, "/root/testdata/sf0.1").collect()}
+    wide = math.isqrt(max(part)) + 1
+    assert len(got) == 4 * len(part)
+    for k in (max(part), 1500, 1024):
+        r, c = divmod(k, wide)
+        s = [(float(part[(r + i) * wide + c + j]), w) for i in (-1, 0) for j in (-1, 0) if 0 <= c + j and (r + i) * wide + c + j in part for w in [(0.75 if i == 0 else 0.25) * (0.75 if j == 0 else 0.25)]]
+        assert got[2 * r, 2 * c] == pytest.approx(sum(v * w for v, w in s) / sum(w for _, w in s), abs=1e-3)
