@@ -384,3 +384,18 @@ def test_resampling_uses_every_part(spark):
         r, c = divmod(k, wide)
         s = [(float(part[(r + i) * wide + c + j]), w) for i in (-1, 0) for j in (-1, 0) if 0 <= c + j and (r + i) * wide + c + j in part for w in [(0.75 if i == 0 else 0.25) * (0.75 if j == 0 else 0.25)]]
         assert got[2 * r, 2 * c] == pytest.approx(sum(v * w for v, w in s) / sum(w for _, w in s), abs=1e-3)
+
+
+def test_waterline_passes_a_lagoon_by(spark):
+    from shorespark.plans.waterline import guided_waterline
+
+    # sea up to column 30; a lagoon in columns 36 to 45 that an inlet in rows 0 to 3 joins to it; the guide runs at 350 m
+    px = spark.range(60 * 60).select(F.floor(F.col("id") / 60).alias("row"), (F.col("id") % 60).alias("col"))
+    wet = (F.col("col") < 30) | F.col("col").between(36, 45) & F.col("row").between(0, 50) | (F.col("row") < 4) & (F.col("col") < 46)
+    px = px.select("row", "col", F.lit("a").alias("scene"), F.when(wet, 0.3).otherwise(0.1).alias("green"), F.when(wet, 0.1).otherwise(0.3).alias("nir"))
+    got = guided_waterline(px, "scene", 10.0, line(spark, "ref", [(350, 590 - 10 * i) for i in range(60)])).collect()
+    there = [r for r in got if 80 < r.y < 480]
+    # the nearest crossing is the lagoon's seaward shore at x = 360, which has the land on the wrong side
+    assert len(there) > 35 and all(r.x == pytest.approx(300, abs=1) for r in there)
+    kept = [r for r in got if r.kept]
+    assert 2 <= len(kept) < len(got) / 2 and {min(r.station for r in got), max(r.station for r in got)} <= {r.station for r in kept}
