@@ -79,14 +79,34 @@ def morphology_open_close(spark: SparkSession, d: str) -> DataFrame:
     return raster.opened_closed(mask, grid, "tile")
 
 
+TILE_SQL = """c AS (SELECT l_orderkey // 1600 AS tile, l_orderkey % 1600 // 40 AS "row", l_orderkey % 40 AS col, avg(l_quantity) AS q FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1, 2, 3),
+g AS (SELECT tile, "row", col FROM c), m AS (SELECT tile, "row", col FROM c WHERE q > 10 + 30 * col / 40.0)"""
+
+
+def _tiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A cell per order, 1600 keys making a tile of 40 x 40, and the set ones: mean quantities above a bound that grows
+    with the column, about half of all at any size, dense on one side and sparse on the other."""
+    k = F.col("l_orderkey")
+    c = table(spark, d, "lineitem").where(k.isNotNull()).groupBy(F.expr("l_orderkey div 1600").alias("tile"), F.expr("l_orderkey % 1600 div 40").alias("row"), (k % 40).alias("col")).agg(F.avg("l_quantity").alias("q"))
+    cells = lambda x: x.select("tile", "row", "col")
+    return cells(c), cells(c.where(F.col("q") > 10 + 30 * F.col("col") / 40.0))
+
+
+@query(f"WITH {TILE_SQL}, {_step_sql('m', 'e1', 9)}, {_step_sql('e1', 'd1', 1)}, {_step_sql('d1', 'd2', 1)}, {_step_sql('d2', 'e2', 9)} SELECT tile, \"row\", col FROM e2")
+def tile_open_close(spark: SparkSession, d: str) -> DataFrame:
+    """Opening and closing over tiles whose number grows with the table; morphology_open_close keeps its 16."""
+    grid, mask = _tiles(spark, d)
+    return raster.opened_closed(mask, grid, "tile")
+
+
 @query()
 def water_components(spark: SparkSession, d: str) -> DataFrame:
-    return raster.components(_grid(spark, d)[1], "tile")
+    return raster.components(_tiles(spark, d)[1], "tile")
 
 
 @query()
 def main_component(spark: SparkSession, d: str) -> DataFrame:
-    grid, mask = _grid(spark, d)
+    grid, mask = _tiles(spark, d)
     return raster.main_component(raster.components(mask, "tile"), grid, "tile")
 
 
@@ -96,6 +116,13 @@ def mask_outline(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("tile").agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("perimeter_m"))
 
 
+@query(f"WITH {TILE_SQL}, a AS (SELECT tile, count(*) AS n FROM m GROUP BY 1), i AS (SELECT m.tile, count(*) AS k FROM m JOIN m o ON o.tile = m.tile AND ((o.\"row\" = m.\"row\" + 1 AND o.col = m.col) OR (o.\"row\" = m.\"row\" AND o.col = m.col + 1)) GROUP BY 1) SELECT a.tile, CAST((4 * n - 2 * coalesce(k, 0)) * 10 AS DOUBLE) AS perimeter_m FROM a LEFT JOIN i USING (tile)")
+def tile_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines over tiles whose number grows with the table; mask_outline keeps its 16."""
+    s = raster.outline(_tiles(spark, d)[1], "tile", 10.0)
+    return s.groupBy("tile").agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("perimeter_m"))
+
+
 def _quads(spark: SparkSession, d: str) -> DataFrame:
     """A four-sided polygon per supplier."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_nationkey") + 5.3).alias("w"), (F.pmod(F.col("s_suppkey"), F.lit(17)) + 4.7).alias("h"))

@@ -399,3 +399,16 @@ def test_waterline_passes_a_lagoon_by(spark):
     assert len(there) > 35 and all(r.x == pytest.approx(300, abs=1) for r in there)
     kept = [r for r in got if r.kept]
     assert 2 <= len(kept) < len(got) / 2 and {min(r.station for r in got), max(r.station for r in got)} <= {r.station for r in kept}
+
+
+def test_tiles_grow_with_the_table_and_stay_half_set(spark):
+    from shorespark.plans import scenes
+
+    orders = {}
+    for f in ("sf0.001", "sf0.01"):
+        grid, mask = scenes._tiles(spark, f"/root/testdata/{f}")
+        orders[f] = grid.count()
+        assert 0.4 < mask.count() / orders[f] < 0.6
+    assert orders["sf0.01"] > 9 * orders["sf0.001"]
+    sizes = [r["count"] for r in scenes.water_components(spark, "/root/testdata/sf0.01").groupBy("tile", "component").count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 1600
