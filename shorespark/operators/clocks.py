@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from shorespark.functions.groups import salted
 from shorespark.functions.timestamps import to_utc, with_reading
+from shorespark.session import written
 
 #: Production costs. Readings against the rules cost more than the two transitions of a record can ever save, so they
 #: never win where a reading by the rules exists; lower `against_rules` to let the records' order decide.
@@ -115,27 +116,156 @@ def _chosen(costs: dict[str, float], hold: int):
     return run
 
 
-def chains(df: DataFrame, code: int, source: str, order: str, key: str, text: str, zone: str | None, span: int, limit: int = 200_000) -> DataFrame:
-    """One table's readable records as chain rows; a chain is a source's records within `span` units of its order.
-    Chains of more than `limit` records (copies of one pass, say) are salted; only ids are read to find them."""
+def chains(df: DataFrame, code: int, source: str, order: str, key: str, text: str, zone: str | None, span: int | None = None, limit: int = 200_000) -> DataFrame:
+    """One table's readable records as chain rows; a chain is all of a source's records by their order, then their key.
+    With `span` it is a source's records within `span` units of the order, and chains of more than `limit` records
+    (copies of one pass, say) are salted; only ids are read to find them. See `resolved` for when that may be done."""
     base = df.select(F.col(source).alias("source"), F.col(order).cast("long").alias("ord"), F.col(key).cast("long").alias("record_key"), F.col(text).alias("text"), F.col(zone).alias("zone") if zone else F.lit(None).cast("string").alias("zone"))
-    chain = F.xxhash64(F.lit(code), "source", F.floor(F.col("ord") / span))
-    r = readings(salted(base.withColumn("chain", chain), ["chain"], "record_key", limit), "text", "zone")
+    if span is None:
+        r = readings(base.withColumns({"chain": F.xxhash64(F.lit(code), "source"), "salt": F.lit(0)}), "text", "zone")
+    else:
+        chain = F.xxhash64(F.lit(code), "source", F.floor(F.col("ord") / span))
+        r = readings(salted(base.withColumn("chain", chain), ["chain"], "record_key", limit), "text", "zone")
     return r.select(F.lit(code).alias("table_code"), "chain", "salt", "ord", "record_key", "r_main", "r_kind", "r_utc", "r_others")
 
 
+def cuts_are_harmless(costs: dict[str, float]) -> bool:
+    """True if no transitions of a record can outweigh a reading against the rules, so that chains may be cut anywhere."""
+    return 2 * (costs["switch"] + costs["backwards"]) < costs["against_rules"]
+
+
 def resolved(rows: DataFrame, costs: dict[str, float] | None = None, hold: int = 50_000) -> DataFrame:
-    """table_code, record_key, us, kind, n_readings of every chain row (see `chains`).
+    """table_code, record_key, us, kind, n_readings of every chain row (see `chains`), for costs under which chains may be
+    cut (`cuts_are_harmless`, an error otherwise: then `resolved_in_order`).
 
     A record with a single reading splits its chain exactly, so a partition is streamed and only the stretches
-    between such records are solved; a stretch of more than `hold` ambiguous records is cut there. With the production
-    costs the choice cannot depend on that cut, nor on those of the chains: the two transitions of a record cost at
-    most 6 together, a reading against the rules 1000.
+    between such records are solved; a stretch of more than `hold` ambiguous records is cut there. With these costs
+    the choice cannot depend on that cut, nor on those of the chains.
     """
+    costs = costs or COSTS
+    if not cuts_are_harmless(costs):
+        raise ValueError("with these costs chains must stay whole: use resolved_in_order")
     gid = F.xxhash64("chain", "salt")
     ready = rows.select(gid.alias("gid"), "ord", "record_key", "table_code", "r_kind", "r_utc", "r_others")
     ready = ready.repartition("gid").sortWithinPartitions("gid", "ord", "record_key")
-    return ready.mapInArrow(_chosen(costs or COSTS, hold), OUT)
+    return ready.mapInArrow(_chosen(costs, hold), OUT)
+
+
+# --- whole chains: blocks of the order, joined by their transfer costs ---------------------------------------------
+
+
+def transfer(us: list[list[int]], kind: list[list[int]], cost: list[list[float]], costs: dict[str, float]) -> list[list[float]]:
+    """For every reading of the first and of the last record the cost of the cheapest path between them, both included."""
+    inf = float("inf")
+    rows = [[e if i == j else inf for j in range(len(cost[0]))] for i, e in enumerate(cost[0])]
+    for n in range(1, len(us)):
+        step = [[costs["switch"] * (kind[n - 1][a] != kind[n][b]) + costs["backwards"] * (us[n][b] < us[n - 1][a]) + cost[n][b] for a in range(len(us[n - 1]))] for b in range(len(us[n]))]
+        rows = [[min(r[a] + s[a] for a in range(len(r))) for s in step] for r in rows]
+    return rows
+
+
+def _stretches(t: pa.Table, costs: dict[str, float]) -> Iterator[tuple]:
+    """(first row, readings, kinds, costs) of every chain in a block of rows sorted by chain and order."""
+    gid = t.column("chain").to_numpy()
+    us, kind, others = t.column("r_utc").to_pylist(), t.column("r_kind").to_pylist(), t.column("r_others").to_pylist()
+    cut = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1], True])
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        alts = [o or [] for o in others[a:b]]
+        yield a, [[u, *(x["us"] for x in o)] for u, o in zip(us[a:b], alts)], [[k, *(x["kind"] for x in o)] for k, o in zip(kind[a:b], alts)], [[0.0] + [costs["against_rules"]] * len(o) for o in alts]
+
+
+def _by_block(run):
+    """run(block number, its rows) over rows that come sorted by block."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            t = pa.concat_tables(held).combine_chunks()
+            yield from run(t.column("pid")[0].as_py(), t).to_batches()
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            pid = t.column("pid").to_numpy()
+            cut = np.flatnonzero(np.r_[True, pid[1:] != pid[:-1], True]) if len(pid) else []
+            for i, j in zip(cut[:-1], cut[1:]):
+                if held and held[-1].column("pid")[0].as_py() != pid[i]:
+                    yield from close()
+                    held = []
+                held.append(t.slice(i, j - i))
+        if held:
+            yield from close()
+
+    return over
+
+
+IN_ORDER = "table_code int, record_key long, us long, by_rules long, kind int, n_readings int"
+
+
+def resolved_in_order(rows: DataFrame, costs: dict[str, float], limit: int = 100_000) -> DataFrame:
+    """table_code, record_key, us, by_rules, kind, n_readings of every row of whole chains (`chains` without span): the
+    cheapest path along each chain for any costs.
+
+    The rows are split by ranges of (chain, order, key) into blocks of about `limit`, so a hot chain runs over many.
+    Each block gives, for the chains that go over its borders, the costs between every reading of its first and of its
+    last record there; those small tables, at most two a block, are joined on the driver, and then each block is solved
+    with the readings at its borders fixed. Of equally cheap paths one is taken.
+    """
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // limit))
+    sort = ["chain", "ord", "record_key"]
+    placed = written(rows.repartitionByRange(n, *sort).withColumn("pid", F.spark_partition_id()), "chains")
+    ready = placed.select("pid", *sort, "table_code", "r_kind", "r_utc", "r_others").repartition("pid").sortWithinPartitions("pid", *sort)
+    schema = pa.schema([("pid", pa.int32()), ("place", pa.int32()), ("chain", pa.int64()), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64())), ("first_kind", pa.list_(pa.int32())), ("last_kind", pa.list_(pa.int32())), ("cost", pa.list_(pa.float64()))])
+
+    def borders(pid: int, t: pa.Table) -> pa.Table:
+        every = list(_stretches(t, costs))
+        out = []
+        for place, (a, us, kind, cost) in ([(0, every[0])] if len(every) == 1 else [(0, every[0]), (1, every[-1])]):
+            flat = [x for r in transfer(us, kind, cost, costs) for x in r]
+            out.append((pid, place, t.column("chain")[a].as_py(), us[0], us[-1], kind[0], kind[-1], flat))
+        return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    ddl = "pid int, place int, chain long, first array<long>, last array<long>, first_kind array<int>, last_kind array<int>, cost array<double>"
+    summary = sorted(tuple(r) for r in ready.mapInArrow(_by_block(borders), ddl).collect())
+    fixed: dict[tuple[int, int], tuple[int, int]] = {}
+    at = 0
+    while at < len(summary):
+        end = at
+        while end < len(summary) and summary[end][2] == summary[at][2]:
+            end += 1
+        run = summary[at:end]  # one chain's parts, in order
+        score, back = None, []
+        for _, _, _, first, last, fk, lk, cost in run:
+            enter = [(0.0, None)] * len(first)
+            if score is not None:
+                step = lambda a, b: costs["switch"] * (prev[1][a] != fk[b]) + costs["backwards"] * (first[b] < prev[0][a])  # noqa: B023, E731
+                enter = [min((score[a] + step(a, b), a) for a in range(len(score))) for b in range(len(first))]
+            ways = [min((enter[i][0] + cost[i * len(last) + j], i) for i in range(len(first))) for j in range(len(last))]
+            back.append([(i, enter[i][1]) for _, i in ways])
+            score, prev = [w for w, _ in ways], (last, lk)
+        j = min(range(len(score)), key=score.__getitem__)
+        for (pid, place, *_), b in zip(reversed(run), reversed(back)):
+            i, before = b[j]
+            fixed[pid, place] = (i, j)
+            j = before
+        at = end
+    shared = spark.sparkContext.broadcast(fixed)
+
+    def solve(pid: int, t: pa.Table) -> pa.Table:
+        us_out, kind_out, count = t.column("r_utc").to_numpy().copy(), t.column("r_kind").to_numpy().copy(), np.ones(len(t), np.int32)
+        every = list(_stretches(t, costs))
+        for k, (a, us, kind, cost) in enumerate(every):
+            pick = [list(range(len(u))) for u in us]
+            ends = shared.value.get((pid, 0 if k == 0 else 1)) if k in (0, len(every) - 1) else None
+            if ends:
+                pick[0], pick[-1] = [ends[0]], [ends[1]]
+            some = lambda values: [[v[i] for i in p] for v, p in zip(values, pick)]  # noqa: B023, E731
+            for n, j in enumerate(best_path(some(us), some(kind), some(cost), costs=costs)):
+                us_out[a + n], kind_out[a + n], count[a + n] = us[n][pick[n][j]], kind[n][pick[n][j]], len(us[n])
+        return pa.table({"table_code": t.column("table_code"), "record_key": t.column("record_key"), "us": us_out, "by_rules": t.column("r_utc"), "kind": pa.array(kind_out, pa.int32()), "n_readings": count})
+
+    return ready.mapInArrow(_by_block(solve), IN_ORDER)
 
 
 def normalised(tables: list[tuple[str, DataFrame, dict]], costs: dict[str, float] | None = None) -> DataFrame:
@@ -145,10 +275,11 @@ def normalised(tables: list[tuple[str, DataFrame, dict]], costs: dict[str, float
     repeated rows are separate records; an empty table gives no rows; columns other than those named are ignored.
     """
     rows = None
+    whole = not cuts_are_harmless(costs or COSTS)
     for code, (_, df, how) in enumerate(tables):
-        part = chains(df, code, **how)
+        part = chains(df, code, **(how | {"span": None} if whole else how))
         rows = part if rows is None else rows.unionByName(part)
-    out = resolved(rows, costs)
+    out = resolved(rows, costs) if cuts_are_harmless(costs or COSTS) else resolved_in_order(rows, costs)
     names = F.create_map(*[F.lit(x) for code, (name, _, _) in enumerate(tables) for x in (code, name)])
     return out.where(F.col("kind") != 0).select(names[F.col("table_code")].alias("table_name"), "record_key", F.col("us").alias("utc_micros"))
 
@@ -160,4 +291,16 @@ def instant_column(df: DataFrame, text: str, zone: str | None, out: str) -> Data
     return read.select(*had, F.col("zz_utc").alias(out))
 
 
-__all__ = ["COSTS", "best_path", "chains", "instant_column", "normalised", "readings", "resolved"]
+def settled_by_order(tables: list[tuple[str, DataFrame, dict]], costs: dict[str, float]) -> DataFrame:
+    """table_name, n_ambiguous (records with several valid readings) and n_as_stated (of them those where the path along
+    the records' order takes the reading that the fixed rules state): how far the order alone settles a text."""
+    rows = None
+    for code, (_, df, how) in enumerate(tables):
+        part = chains(df, code, **(how | {"span": None}))
+        rows = part if rows is None else rows.unionByName(part)
+    out = resolved_in_order(rows, costs).where("n_readings > 1")
+    names = F.create_map(*[F.lit(x) for code, (name, _, _) in enumerate(tables) for x in (code, name)])
+    return out.groupBy(names[F.col("table_code")].alias("table_name")).agg(F.count("*").alias("n_ambiguous"), F.count_if(F.col("us") == F.col("by_rules")).alias("n_as_stated"))
+
+
+__all__ = ["COSTS", "best_path", "chains", "cuts_are_harmless", "instant_column", "normalised", "readings", "resolved", "resolved_in_order", "settled_by_order"]

@@ -64,7 +64,7 @@ def _within(points: DataFrame, shore: DataFrame, features: DataFrame, reach: str
     """point and distance to the shore of the points within the greatest reach of the features: one round of search."""
     most = features.select(F.max(reach).alias("m")).first()["m"]
     r = max(float(most or 0.0), 1e-6)
-    return nearest_lines(points, shore.select(F.col("id").alias("line"), "x1", "y1", "x2", "y2"), first=r, farthest=r).select("point", "distance")
+    return nearest_lines(points, shore.select(F.col("id").alias("line"), "x1", "y1", "x2", "y2"), first=r, most=r).select("point", "distance")
 
 
 def _reached(r: Column) -> tuple[Column, Column]:

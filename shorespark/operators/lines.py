@@ -1,18 +1,23 @@
 """Lines as vertex rows (line, seq, x, y); seq counts 0, 1, 2, ... along each line.
 
-No operator orders a whole line in one task: neighbours meet through their sequence numbers, running lengths through
-blocks, and distances along a line find their segment by an equi-join on stretches of the line.
+No operator orders a whole line in one task: neighbours and running lengths meet through blocks of a line, and every
+segment knows its line's length, so points at regular distances come from the segments without a join. A missing number
+breaks a line.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shorespark.functions.places import places
+from shorespark.session import written
 
 BLOCK = 4096
 STRETCH = 100.0  #: metres of a line that share a join key
@@ -29,123 +34,208 @@ def vertices(df: DataFrame, line: str, order: str, x: str, y: str, step: float |
     return places(v, ["line"], "o", span, "seq").select("line", "seq", "p.x", "p.y")
 
 
+def _in_blocks(v: DataFrame) -> DataFrame:
+    """The vertices by (line, block) with the block's two neighbours: the vertices next to a border belong to both blocks."""
+    at = lambda k: F.floor((F.col("seq") + k) / BLOCK)
+    b = v.select("line", "seq", "x", "y").where("line IS NOT NULL")
+    return b.withColumn("block", F.explode(F.array_distinct(F.array(at(-1), at(0), at(1)))))
+
+
+def neighbours(v: DataFrame) -> DataFrame:
+    """line, block, seq, x, y, before and after (struct seq, x, y) of every vertex: those with the number before and behind
+    it on its line; null at the line's ends and where a number is missing, which breaks the line. One shuffle by (line,
+    block). Lines without a name are left out."""
+    place, here = Window.partitionBy("line", "block").orderBy("seq"), F.struct("seq", "x", "y")
+    w = _in_blocks(v).withColumns({"_p": F.lag(here).over(place), "_n": F.lead(here).over(place)}).where(F.floor(F.col("seq") / BLOCK) == F.col("block"))
+    return w.select("line", "block", "seq", "x", "y", F.when(F.col("_p.seq") == F.col("seq") - 1, F.col("_p")).alias("before"), F.when(F.col("_n.seq") == F.col("seq") + 1, F.col("_n")).alias("after"))
+
+
 def segments(v: DataFrame) -> DataFrame:
-    """line, seq, x1, y1, x2, y2, len and cum (length of the line before the segment); lines of one vertex have none."""
-    ends = v.select("line", "seq", F.struct("x", "y").alias("a"), F.lit(None).cast("struct<x:double,y:double>").alias("b")).unionByName(
-        v.select("line", (F.col("seq") - 1).alias("seq"), F.lit(None).cast("struct<x:double,y:double>").alias("a"), F.struct("x", "y").alias("b"))
-    )
-    s = ends.groupBy("line", "seq").agg(F.first("a", True).alias("a"), F.first("b", True).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    s = s.select("line", "seq", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
-    s = s.withColumn("len", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).withColumn("block", F.floor(F.col("seq") / BLOCK))
-    sums = s.groupBy("line", "block").agg(F.sum("len").alias("t"))
-    before = sums.select("line", "block", (F.sum("t").over(Window.partitionBy("line").orderBy("block")) - F.col("t")).alias("before"))
-    inside = F.sum("len").over(Window.partitionBy("line", "block").orderBy("seq")) - F.col("len")
-    return s.withColumn("inside", inside).join(before, ["line", "block"]).select("line", "seq", "x1", "y1", "x2", "y2", "len", (F.col("before") + F.col("inside")).alias("cum"))
+    """line, seq, x1, y1, x2, y2, len, cum and upto (length of the line before and with the segment), length (of the line),
+    first and last (its least and greatest seq); lines of one vertex have none.
+
+    Written once: running lengths inside blocks come from one shuffle, the blocks' sums, a row per block, are added up
+    over the line. Every segment knows its line's length, so what follows scans this table alone.
+    """
+    n = neighbours(v).where("after IS NOT NULL")
+    s = n.select("line", "block", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("after.x").alias("x2"), F.col("after.y").alias("y2"))
+    s = s.withColumn("len", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    place = Window.partitionBy("line", "block").orderBy("seq")
+    s = s.withColumn("_u", F.sum("len").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.withColumn("_i", F.coalesce(F.lag("_u").over(place), F.lit(0.0)))
+    t = s.groupBy("line", "block").agg(F.max("_u").alias("t"), F.min("seq").alias("a"), F.max("seq").alias("z"))
+    row, whole = Window.partitionBy("line").orderBy("block"), Window.partitionBy("line")
+    t = t.withColumn("u", F.sum("t").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.select("line", "block", F.coalesce(F.lag("u").over(row), F.lit(0.0)).alias("_b"), F.max("u").over(whole).alias("length"), F.min("a").over(whole).alias("first"), F.max("z").over(whole).alias("last"))
+    j = s.join(t, ["line", "block"])
+    return written(j.select("line", "seq", "x1", "y1", "x2", "y2", "len", (F.col("_b") + F.col("_i")).alias("cum"), (F.col("_b") + F.col("_u")).alias("upto"), "length", "first", "last"), "segments")
 
 
 def lengths(segs: DataFrame) -> DataFrame:
-    return segs.groupBy("line").agg(F.sum("len").alias("length"))
+    return segs.where(F.col("seq") == F.col("first")).select("line", "length")
 
 
 def locate(segs: DataFrame, targets: DataFrame, distance: str, keep: list[str], x: str = "x", y: str = "y", stretch: float = STRETCH) -> DataFrame:
-    """The point at a distance along the line for every target (line, distance, ...); distances are clamped to the line."""
-    ends = segs.groupBy("line").agg(F.sum("len").alias("length"), F.max("seq").alias("last"))
-    t = targets.join(ends, "line").withColumn("_d", F.greatest(F.lit(0.0), F.least(F.col(distance), F.col("length"))))
+    """The point at a distance along the line for every target (line, distance, ...); distances are clamped to the line.
+    For any distances: targets find their segment by an equi-join on stretches of the line."""
+    t = targets.join(lengths(segs).withColumnRenamed("length", "_l"), "line").withColumn("_d", F.greatest(F.lit(0.0), F.least(F.col(distance), F.col("_l"))))
     t = t.withColumn("_b", F.floor(F.col("_d") / stretch))
-    s = segs.withColumn("_b", F.explode(F.sequence(F.floor(F.col("cum") / stretch), F.floor((F.col("cum") + F.col("len")) / stretch))))
-    inside = (F.col("_d") >= F.col("cum")) & ((F.col("_d") < F.col("cum") + F.col("len")) | (F.col("seq") == F.col("last")))
+    s = segs.withColumn("_b", F.explode(F.sequence(F.floor(F.col("cum") / stretch), F.floor(F.col("upto") / stretch))))
+    inside = (F.col("_d") >= F.col("cum")) & ((F.col("_d") < F.col("upto")) | (F.col("seq") == F.col("last")))
     j = s.join(t, ["line", "_b"]).where(inside)
-    # where rounding of sums leaves two segments or an end open, the first one counts
-    f = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("_d") - F.col("cum"), F.col("len")), F.lit(0.0)))
-    point = F.struct("seq", (F.col("x1") + f * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + f * (F.col("y2") - F.col("y1"))).alias("y"))
+    point = F.struct("seq", *_point(F.col("_d")))
     return j.groupBy("line", *keep).agg(F.min(point).alias("p")).select("line", *keep, F.col("p.x").alias(x), F.col("p.y").alias(y))
 
 
-def sampling_distances(segs: DataFrame, spacing: float) -> DataFrame:
-    """line, k, d: 0, spacing, 2 spacing, ... and the exact length unless the last one is it (tolerance 1e-7)."""
-    n = F.floor(F.col("length") / spacing)
-    whole = F.transform(F.sequence(F.lit(0).cast("long"), n), lambda k: k * F.lit(float(spacing)))
-    d = F.when(F.col("length") - n * spacing > 1e-7, F.concat(whole, F.array("length"))).otherwise(whole)
-    return lengths(segs).select("line", F.posexplode(d).alias("k", "d"))
+def _point(d: Column) -> tuple[Column, Column]:
+    """x and y of the segment's point at a distance along its line."""
+    f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(d - F.col("cum"), F.col("len")), F.lit(0.0))))
+    return tuple((F.col(f"{c}1") + f * (F.col(f"{c}2") - F.col(f"{c}1"))).alias(c) for c in ("x", "y"))
+
+
+def _regular(step: Column, most: Column, shift: Column, tail: bool) -> Column:
+    """array of struct(k, e): the k of 0..most whose distance e = k step + shift, clamped to the line, lies in a segment,
+    and with `tail` the line's end as k = most + 1 where it is not reached by a step (tolerance 1e-7)."""
+    cum, upto, length = F.col("cum"), F.col("upto"), F.col("length")
+    begins, ends = F.col("seq") == F.col("first"), F.col("seq") == F.col("last")
+    at = lambda d: F.coalesce(F.ceil(F.try_divide(d - shift, step)), F.lit(0)).cast("long")
+    low = F.when(begins, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), at(cum)))
+    high = F.when(ends, most).otherwise(F.least(most, at(upto) - 1))
+    clamp = lambda d: F.greatest(F.lit(0.0), F.least(length, d))
+    none = F.array().cast("array<struct<k:bigint,e:double>>")
+    some = F.transform(F.sequence(low, F.greatest(low, high)), lambda k: F.struct(k.alias("k"), clamp(k * step + shift).alias("e")))
+    out = F.when(low <= high, some).otherwise(none)
+    if tail:
+        e = clamp(length + shift)
+        here = (length - most * step > 1e-7) & (begins | (e >= cum)) & (ends | (e < upto))
+        out = F.concat(out, F.when(here, F.array(F.struct((most + 1).alias("k"), e.alias("e")))).otherwise(none))
+    return out
+
+
+def at_steps(segs: DataFrame, step: Column, most: Column, tail: bool = False, window: Column | None = None) -> DataFrame:
+    """line, k, d, x, y: the points at 0, step, ..., most x step along each line, with `tail` also its end; with `window`
+    also tx, ty: the unit direction between the points `window` before and behind (points without one are left out).
+
+    step, most and window may use the column `length`. Without `window` nothing is shuffled: each segment makes the
+    points that lie on it; with it, one aggregate by (line, k) joins the three points.
+    """
+    most = most.cast("long")
+    if window is None:
+        e = segs.withColumn("_t", F.explode(_regular(step, most, F.lit(0.0), tail)))
+        return e.select("line", F.col("_t.k").alias("k"), F.col("_t.e").alias("d"), *_point(F.col("_t.e")))
+    three = F.array(*[F.struct(F.lit(i).alias("i"), _regular(step, most, s, tail).alias("a")) for i, s in enumerate((F.lit(0.0), -window, window))])
+    e = segs.withColumn("_f", F.explode(three)).withColumn("_t", F.explode("_f.a"))
+    e = e.select("line", F.col("_f.i").alias("i"), F.col("_t.k").alias("k"), F.col("_t.e").alias("d"), *_point(F.col("_t.e")))
+    of = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+    j = e.groupBy("line", "k").agg(of(0, "d").alias("d"), of(0, "x").alias("x"), of(0, "y").alias("y"), (of(2, "x") - of(1, "x")).alias("dx"), (of(2, "y") - of(1, "y")).alias("dy"))
+    n = F.hypot("dx", "dy")
+    return j.where("dx <> 0 OR dy <> 0").select("line", "k", "d", "x", "y", (F.col("dx") / n).alias("tx"), (F.col("dy") / n).alias("ty"))
 
 
 def resampled(v: DataFrame, count: int = 150) -> DataFrame:
     """line, i, x, y: `count` points at equal distances along each line, its ends included."""
-    segs = segments(v)
-    targets = lengths(segs).select("line", "length", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("i"))
-    return locate(segs, targets.select("line", "i", (F.col("length") * F.col("i") / (count - 1)).alias("d")), "d", ["i"])
-
-
-def tangents(segs: DataFrame, targets: DataFrame, window: Column) -> DataFrame:
-    """line, k, tx, ty: unit direction between the points `window` before and after each target's distance d.
-    Targets where both points coincide have no direction and are left out."""
-    t = targets.join(lengths(segs).withColumnRenamed("length", "_l"), "line").withColumn("_w", window)
-    a = locate(segs, t.select("line", "k", (F.col("d") - F.col("_w")).alias("e")), "e", ["k"], "ax", "ay")
-    b = locate(segs, t.select("line", "k", (F.col("d") + F.col("_w")).alias("e")), "e", ["k"], "bx", "by")
-    j = a.join(b, ["line", "k"]).withColumn("n", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
-    return j.where("n > 0").select("line", "k", ((F.col("bx") - F.col("ax")) / F.col("n")).alias("tx"), ((F.col("by") - F.col("ay")) / F.col("n")).alias("ty"))
+    points = at_steps(segments(v), F.col("length") / (count - 1), F.lit(count - 1))
+    return points.select("line", F.col("k").cast("int").alias("i"), "x", "y")
 
 
 def fixed_transects(v: DataFrame, spacing: float = 100.0, seaward: float = 100.0, landward: float = 300.0, positive_side: str = "left") -> DataFrame:
     """line, k, chainage_m, origin_x/y, normal_x/y (towards the positive side) and both ends of every transect."""
     if positive_side not in ("left", "right") or spacing <= 0 or seaward < 0 or landward < 0:
         raise ValueError("positive_side must be left or right, spacing positive and both lengths not negative")
-    segs = segments(v)
-    targets = sampling_distances(segs, spacing)
-    window = F.least(F.lit(10.0), F.greatest(F.lit(0.5), F.lit(spacing / 10), F.col("_l") / 10_000))
-    origin = locate(segs, targets, "d", ["k", "d"])
+    window = F.least(F.lit(10.0), F.greatest(F.lit(0.5), F.lit(spacing / 10), F.col("length") / 10_000))
+    at = at_steps(segments(v), F.lit(float(spacing)), F.floor(F.col("length") / spacing), True, window)
     side = 1.0 if positive_side == "left" else -1.0
-    j = origin.join(tangents(segs, targets, window), ["line", "k"]).withColumns({"nx": -F.col("ty") * side, "ny": F.col("tx") * side})
+    j = at.withColumns({"nx": -F.col("ty") * side, "ny": F.col("tx") * side})
     end = lambda c, n, s: F.col(c) + F.lit(s) * F.col(n)
     return j.select(
-        "line", "k", F.col("d").alias("chainage_m"), F.col("x").alias("origin_x"), F.col("y").alias("origin_y"), F.col("nx").alias("normal_x"), F.col("ny").alias("normal_y"),
+        "line", F.col("k").cast("int").alias("k"), F.col("d").alias("chainage_m"), F.col("x").alias("origin_x"), F.col("y").alias("origin_y"), F.col("nx").alias("normal_x"), F.col("ny").alias("normal_y"),
         end("x", "nx", -seaward).alias("sea_x"), end("y", "ny", -seaward).alias("sea_y"), end("x", "nx", landward).alias("land_x"), end("y", "ny", landward).alias("land_y"),
     )
 
 
 def crossings(a: DataFrame, b: DataFrame, cell: float = 100.0) -> DataFrame:
-    """Crossing points of the segments a (g, id, x1..y2) and b (g, id, x1..y2) of the same group g: g, a_id, b_id, t, x, y.
+    """Where the segments a (g, id, x1..y2) and b (g, id, x1..y2) of the same group g meet: g, a_id, b_id, a_len, t, x, y and
+    t_to, the share of a behind t up to which both lie on one line, null for a single point.
 
-    Both sides are put into grid cells that their boxes touch and joined by cell; a pair that shares several cells is
-    kept in the cell of the lower corner of the boxes' overlap. Parallel segments have no single crossing and give none.
+    Both sides are cut into parts of at most `cell` metres, which lie in few grid cells however long the segment is,
+    and joined by cell; parts that share several cells meet in the lower corner of their boxes' overlap only, and a
+    point counts for the parts that hold it, so each meeting is found once.
     """
+    near = 1e-6  # metres by which a part's box is widened, so that rounding loses no point on its border
+
     def celled(s: DataFrame, n: str) -> DataFrame:
-        s = s.select("g", F.col("id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}{c}") for c in ("x1", "y1", "x2", "y2")])
-        low = lambda c: F.least(f"{n}{c}1", f"{n}{c}2")
-        high = lambda c: F.greatest(f"{n}{c}1", f"{n}{c}2")
-        s = s.withColumns({f"{n}lx": low("x"), f"{n}ly": low("y"), f"{n}hx": high("x"), f"{n}hy": high("y")})
+        s = s.select("g", F.col("id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}{c}") for c in ("x1", "y1", "x2", "y2")]).where(f"{n}x1 + {n}y1 + {n}x2 + {n}y2 IS NOT NULL")
+        s = s.withColumn(f"{n}n", F.greatest(F.lit(1.0), F.ceil(F.hypot(F.col(f"{n}x2") - F.col(f"{n}x1"), F.col(f"{n}y2") - F.col(f"{n}y1")) / cell).cast("double")))
+        s = s.withColumn(f"{n}k", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{n}n").cast("long") - 1)))
+        at = lambda c, k: F.col(f"{n}{c}1") + k / F.col(f"{n}n") * (F.col(f"{n}{c}2") - F.col(f"{n}{c}1"))
+        k = F.col(f"{n}k")
+        for c in ("x", "y"):
+            s = s.withColumns({f"{n}l{c}": F.least(at(c, k), at(c, k + 1)) - near, f"{n}h{c}": F.greatest(at(c, k), at(c, k + 1)) + near})
         steps = lambda c: F.sequence(F.floor(F.col(f"{n}l{c}") / cell), F.floor(F.col(f"{n}h{c}") / cell))
         return s.withColumn("cx", F.explode(steps("x"))).withColumn("cy", F.explode(steps("y")))
 
     j = celled(a, "a").join(celled(b, "b"), ["g", "cx", "cy"])
     j = j.where("alx <= bhx AND blx <= ahx AND aly <= bhy AND bly <= ahy")
     j = j.where((F.floor(F.greatest("alx", "blx") / cell) == F.col("cx")) & (F.floor(F.greatest("aly", "bly") / cell) == F.col("cy")))
-    det = F.expr("(ax2 - ax1) * (by2 - by1) - (ay2 - ay1) * (bx2 - bx1)")
-    j = j.withColumn("det", det)
-    t = F.expr("try_divide((bx1 - ax1) * (by2 - by1) - (by1 - ay1) * (bx2 - bx1), det)")
-    u = F.expr("try_divide((bx1 - ax1) * (ay2 - ay1) - (by1 - ay1) * (ax2 - ax1), det)")
-    j = j.withColumns({"t": t, "u": u}).where("t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1")
-    return j.select("g", "a_id", "b_id", "t", F.expr("ax1 + t * (ax2 - ax1)").alias("x"), F.expr("ay1 + t * (ay2 - ay1)").alias("y"))
+    j = j.withColumns({"dx": F.expr("ax2 - ax1"), "dy": F.expr("ay2 - ay1"), "ex": F.expr("bx2 - bx1"), "ey": F.expr("by2 - by1"), "fx": F.expr("bx1 - ax1"), "fy": F.expr("by1 - ay1")})
+    j = j.withColumns({"a_len": F.hypot("dx", "dy"), "b_len": F.hypot("ex", "ey"), "det": F.expr("dx * ey - dy * ex")})
+    along = F.abs("det") <= 1e-12 * F.col("a_len") * F.col("b_len")
+    same = along & (F.abs(F.expr("fx * dy - fy * dx")) <= 1e-9 * F.col("a_len"))
+    on = lambda x, y: F.try_divide(F.expr(f"({x}) * dx + ({y}) * dy"), F.col("a_len") * F.col("a_len"))
+    j = j.withColumns({"along": along, "_p": on("fx", "fy"), "_q": on("fx + ex", "fy + ey")})
+    t = F.when(~F.col("along"), F.try_divide(F.expr("fx * ey - fy * ex"), F.col("det"))).when(same, F.greatest(F.lit(0.0), F.least("_p", "_q")))
+    j = j.withColumns({"t": t, "_e": F.when(same, F.least(F.lit(1.0), F.greatest("_p", "_q")))})
+    u = F.when(~F.col("along"), F.try_divide(F.expr("fx * dy - fy * dx"), F.col("det"))).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("t") - F.col("_p"), F.col("_q") - F.col("_p")), F.lit(0.0)))))
+    j = j.withColumn("u", u).where("t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 AND (_e IS NULL OR t <= _e)")
+    mine = lambda c, n: F.least(F.floor(F.col(c) * F.col(f"{n}n")), F.col(f"{n}n") - 1) == F.col(f"{n}k")
+    j = j.where(mine("t", "a") & mine("u", "b"))
+    return j.select("g", "a_id", "b_id", "a_len", "t", F.expr("ax1 + t * dx").alias("x"), F.expr("ay1 + t * dy").alias("y"), F.when(F.col("_e") > F.col("t"), F.col("_e")).alias("t_to"))
 
 
 def nearest_crossings(transects: DataFrame, shores: DataFrame, seaward: float) -> DataFrame:
     """For every transect (g, id, x1..y2, from the seaward end) and shore (g, shore): position_m along the transect from
     its origin, `seaward` behind its first end, of the crossing nearest to the origin, with candidate_count and method.
-    Combinations without a crossing are kept with a null position; points shared by two segments count once.
-    shores: segments (g, shore, id, x1..y2)."""
+
+    Points shared by two segments count once and points of a stretch that both share not at all; where there are only
+    such stretches, the point of them nearest to the origin counts ('nearest_on_overlap', no candidates).
+    Combinations without a crossing are kept with a null position. shores: segments (g, shore, id, x1..y2)."""
     hits = crossings(transects, shores.select("g", F.struct("shore", "id").alias("id"), "x1", "y1", "x2", "y2"))
-    length = transects.select("g", F.col("id").alias("a_id"), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("l"))
-    p = hits.join(length, ["g", "a_id"]).select("g", "a_id", F.col("b_id.shore").alias("shore"), F.round(F.col("t") * F.col("l") - seaward, 6).alias("p")).distinct()
-    best = p.groupBy("g", "a_id", "shore").agg(F.min_by("p", F.struct(F.abs("p"), "p")).alias("position_m"), F.count("*").alias("candidate_count"))
+    at = lambda c: F.round(F.col(c) * F.col("a_len") - seaward, 6)
+    hits = hits.select("g", "a_id", F.col("b_id.shore").alias("shore"), at("t").alias("p"), at("t_to").alias("q"))
+    hits = written(hits, "hits")  # few beside the segments, and read three times
+    over = hits.where("q IS NOT NULL").select("g", "a_id", "shore", F.col("p").alias("p0"), F.col("q").alias("p1"))
+    key = ["g", "a_id", "shore"]
+    o = over.withColumnsRenamed({k: f"_{k}" for k in key})
+    inside = (F.col("p") >= F.col("p0") - 1e-6) & (F.col("p") <= F.col("p1") + 1e-6)
+    for k in key:
+        inside = inside & (F.col(k) == F.col(f"_{k}"))
+    points = hits.where("q IS NULL").select(*key, "p").join(o, inside, "left_anti").distinct().select(*key, "p", F.lit(1).alias("n"))
+    spots = over.select(*key, F.greatest("p0", F.least("p1", F.lit(0.0))).alias("p"), F.lit(0).alias("n"))
+    # a point goes before every stretch
+    best = points.unionByName(spots).groupBy(*key).agg(F.min_by("p", F.struct(1 - F.col("n"), F.abs("p"), "p")).alias("position_m"), F.sum("n").alias("candidate_count"))
     combos = transects.select("g", F.col("id").alias("a_id")).join(shores.select("g", "shore").distinct(), "g")
+    j = combos.join(best, key, "left")
     n = F.coalesce("candidate_count", F.lit(0))
-    method = F.when(n == 0, "no_intersection").when(n == 1, "single_point").otherwise("nearest_of_multiple")
-    return combos.join(best, ["g", "a_id", "shore"], "left").select("g", F.col("a_id").alias("id"), "shore", "position_m", n.alias("candidate_count"), method.alias("intersection_method"))
+    method = F.when(F.col("position_m").isNull(), "no_intersection").when(n == 0, "nearest_on_overlap").when(n == 1, "single_point").otherwise("nearest_of_multiple")
+    return j.select("g", F.col("a_id").alias("id"), "shore", "position_m", n.alias("candidate_count"), method.alias("intersection_method"))
+
+
+def self_crossings(v: DataFrame) -> DataFrame:
+    """line and n: how often each line (line, seq, x, y) meets itself besides at the joints of successive segments; 0 for a
+    simple line. The closing joint of a ring counts as none."""
+    s = segments(v)
+    one = s.select(F.col("line").alias("g"), F.col("seq").alias("id"), "x1", "y1", "x2", "y2")
+    ends = s.groupBy("line").agg(F.min("first").alias("a"), F.max("last").alias("z"), F.max(F.when(F.col("seq") == F.col("first"), F.struct("x1", "y1"))).alias("s"), F.max(F.when(F.col("seq") == F.col("last"), F.struct("x2", "y2"))).alias("e"))
+    pairs = crossings(one, one).where("a_id < b_id - 1").join(ends.withColumnRenamed("line", "g"), "g")
+    closing = (F.col("s.x1") == F.col("e.x2")) & (F.col("s.y1") == F.col("e.y2")) & (F.col("a_id") == F.col("a")) & (F.col("b_id") == F.col("z")) & (F.col("t") == 0)
+    n = pairs.where(~closing).groupBy(F.col("g").alias("line")).agg(F.count("*").alias("n"))
+    return ends.select("line").join(n, "line", "left").select("line", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def median_line(resamples: DataFrame) -> DataFrame:
     """group, i, x, y: the medians per place of several resampled lines (group, line, i, x, y) after turning round the
     lines whose first point is farther from the first line's start than their last point is."""
+    resamples = written(resamples, "resamples")  # read for the ends and for the medians
     ends = resamples.groupBy("group", "line").agg(F.min_by(F.struct("x", "y"), "i").alias("a"), F.max_by(F.struct("x", "y"), "i").alias("b"), F.max("i").alias("m"))
     start = ends.groupBy("group").agg(F.min_by("a", "line").alias("s"))
     d = lambda p: F.hypot(F.col(f"{p}.x") - F.col("s.x"), F.col(f"{p}.y") - F.col("s.y"))
@@ -182,24 +272,25 @@ def merged_order(parts: DataFrame) -> DataFrame:
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"line": pdf["line"][:0], "part": pdf["part"][:0], "place": pd.Series(dtype="int32"), "turned": pd.Series(dtype=bool)})
+        ends = [list(zip(pdf["x1"].tolist(), pdf["y1"].tolist())), list(zip(pdf["x2"].tolist(), pdf["y2"].tolist()))]
         at: dict = {}
-        for i, r in enumerate(pdf.itertuples()):
-            at.setdefault((r.x1, r.y1), []).append((i, False))
-            at.setdefault((r.x2, r.y2), []).append((i, True))
+        for side in (0, 1):
+            for i, p in enumerate(ends[side]):
+                at.setdefault(p, []).append((i, side))
         free = sorted(p for p, e in at.items() if len(e) == 1)
         if len(free) != 2 or any(len(e) > 2 for e in at.values()):
             return none
-        out, seen, here = [], set(), free[0]
-        while True:
-            nxt = [(i, t) for i, t in at[here] if i not in seen]
-            if not nxt:
-                break
-            i, turned = nxt[0]
+        order, sides, seen, here = [], [], set(), free[0]
+        while nxt := [e for e in at[here] if e[0] not in seen]:
+            i, side = nxt[0]
             seen.add(i)
-            r = pdf.iloc[i]
-            out.append((r["line"], r["part"], len(out), turned))
-            here = (r["x1"], r["y1"]) if turned else (r["x2"], r["y2"])
-        return pd.DataFrame(out, columns=["line", "part", "place", "turned"]) if len(out) == len(pdf) else none
+            order.append(i)
+            sides.append(bool(side))
+            here = ends[1 - side][i]
+        if len(order) != len(pdf):
+            return none
+        got = pdf[["line", "part"]].iloc[order]
+        return got.assign(place=np.arange(len(order), dtype=np.int32), turned=sides)
 
     kind = parts.schema["line"].dataType.simpleString(), parts.schema["part"].dataType.simpleString()
     return parts.groupBy("line").applyInPandas(chain, f"line {kind[0]}, part {kind[1]}, place int, turned boolean")
@@ -222,94 +313,186 @@ def ring_arc(ring: DataFrame, anchors: DataFrame, tolerance: float) -> DataFrame
     return path.join(one, "line").select(F.col("line.line").alias("line"), F.col("line.direction").alias("direction"), "seq", "x", "y")
 
 
-def simplified(v: DataFrame, tolerance: float) -> DataFrame:
-    """line, seq, x, y of the vertices that Douglas-Peucker keeps; lines longer than the streamed blocks of BLOCK
-    vertices are simplified block by block, the blocks' ends being kept."""
+def arc_checks(v: DataFrame, least: int, most: int) -> DataFrame:
+    """line, n_vertices, length_m, simple, north_to_south and fit (a simple line from north to south with a number of
+    vertices in [least, most]) of every line of at least two vertices."""
+    n = v.groupBy("line").agg(F.count("*").alias("n_vertices"), (F.min_by("y", "seq") > F.max_by("y", "seq")).alias("north_to_south"))
+    j = n.join(lengths(segments(v)).withColumnRenamed("length", "length_m"), "line").join(self_crossings(v), "line")
+    j = j.withColumn("simple", F.col("n") == 0)
+    return j.select("line", "n_vertices", "length_m", "simple", "north_to_south", (F.col("simple") & F.col("north_to_south") & F.col("n_vertices").between(least, most)).alias("fit"))
+
+
+def _farthest(p: np.ndarray, tolerance: float) -> np.ndarray:
+    """Mask of the points that Douglas-Peucker keeps."""
+    mark = np.zeros(len(p), bool)
+    mark[[0, -1]] = True
+    todo = [(0, len(p) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        d, q = p[b] - p[a], p[a + 1 : b] - p[a]
+        t = np.clip(q @ d / (d @ d), 0, 1) if d.any() else np.zeros(len(q))
+        far = np.hypot(*(q - t[:, None] * d).T)
+        i = int(far.argmax())
+        if far[i] > tolerance:
+            mark[a + 1 + i] = True
+            todo += [(a, a + 1 + i), (a + 1 + i, b)]
+    return mark
+
+
+def simplified(v: DataFrame, tolerance: float, block: int = BLOCK) -> DataFrame:
+    """line, seq, x, y of the vertices that Douglas-Peucker keeps, the same for every `block`.
+
+    A stretch between two kept vertices of more than `block` vertices is split where the whole table's aggregate finds
+    its farthest vertex, all such stretches of all lines at once; shorter ones are finished in one task each. So no
+    line is gathered. Equally far vertices: the first.
+    """
+    kind = v.schema["line"].dataType.simpleString()
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        p = pdf[["x", "y"]].to_numpy()
-        mark = np.zeros(len(p), bool)
-        mark[[0, -1]] = True
-        todo = [(0, len(p) - 1)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2:
-                continue
-            d, q = p[b] - p[a], p[a + 1 : b] - p[a]
-            t = np.clip(q @ d / (d @ d), 0, 1) if d.any() else np.zeros(len(q))
-            far = np.hypot(*(q - t[:, None] * d).T)
-            i = int(far.argmax())
-            if far[i] > tolerance:
-                mark[a + 1 + i] = True
-                todo += [(a, a + 1 + i), (a + 1 + i, b)]
+        p = pdf[["x", "y", "ex", "ey"]].to_numpy()
+        mark = _farthest(np.r_[p[:, :2], p[-1:, 2:]], tolerance)[:-1]
         return pdf[mark][["line", "seq", "x", "y"]].astype({"line": object})
 
-    kind = v.schema["line"].dataType.simpleString()
-    return v.withColumn("block", F.floor(F.col("seq") / BLOCK)).groupBy("line", "block").applyInPandas(keep, f"line {kind}, seq long, x double, y double")
+    # a stretch holds its first vertex, and its last one as (ex, ey); the line's last vertex is kept beside the stretches
+    n = v.where("line IS NOT NULL").groupBy("line").agg(F.min("seq").alias("part"), F.max("seq").alias("last"), F.count("*").alias("n"))
+    ends = v.join(n, "line").where(F.col("seq") == F.col("last")).select("line", "seq", "x", "y", "part", "n")
+    out = ends.select("line", "seq", "x", "y")
+    rows = v.join(ends.select("line", "part", F.col("seq").alias("e"), F.col("x").alias("ex"), F.col("y").alias("ey"), "n"), "line").where(F.col("seq") < F.col("e"))
+    if n.where(F.col("n") > block).isEmpty():
+        done = rows
+    else:
+        rows, done = written(rows, "stretches"), None
+        while True:
+            small = rows.where(F.col("n") <= block)
+            done = small if done is None else done.unionByName(small)
+            large = rows.where(F.col("n") > block)
+            if large.isEmpty():
+                break
+            first = large.where(F.col("seq") == F.col("part")).select("line", "part", F.col("x").alias("sx"), F.col("y").alias("sy"))
+            j = large.join(first, ["line", "part"])
+            dx, dy, qx, qy = F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy"), F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
+            t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(qx * dx + qy * dy, dx * dx + dy * dy), F.lit(0.0))))
+            j = j.withColumn("d", F.hypot(qx - t * dx, qy - t * dy))
+            far = j.groupBy("line", "part").agg(F.max(F.struct("d", -F.col("seq"), "x", "y")).alias("m")).select("line", "part", F.col("m.d").alias("d"), (-F.col("m.col2")).alias("m"), F.col("m.x").alias("mx"), F.col("m.y").alias("my"))
+            k = large.join(far, ["line", "part"])
+            straight = k.where((F.col("d") <= tolerance) & (F.col("seq") == F.col("part"))).select("line", "seq", "x", "y")
+            out = out.unionByName(straight)
+            k = k.where(F.col("d") > tolerance).withColumn("behind", F.col("seq") >= F.col("m"))
+            k = k.select("line", "seq", "x", "y", F.when(F.col("behind"), F.col("m")).otherwise(F.col("part")).alias("part"), F.when(F.col("behind"), F.col("e")).otherwise(F.col("m")).alias("e"), F.when(F.col("behind"), F.col("ex")).otherwise(F.col("mx")).alias("ex"), F.when(F.col("behind"), F.col("ey")).otherwise(F.col("my")).alias("ey"))
+            size = k.groupBy("line", "part").agg(F.count("*").alias("n"))
+            rows = written(k.join(size, ["line", "part"]), "stretches")
+    return out.unionByName(done.groupBy("line", "part").applyInPandas(keep, f"line {kind}, seq long, x double, y double"))
 
 
 def offset_points(v: DataFrame, distance: float) -> DataFrame:
     """line, seq, x, y: the vertices moved `distance` to the left along the mean normal of their two segments.
     A vertex whose segments turn back on themselves has no normal and stays."""
-    s = segments(v).withColumns({"ux": F.try_divide(F.col("x2") - F.col("x1"), F.col("len")), "uy": F.try_divide(F.col("y2") - F.col("y1"), F.col("len"))})
-    touching = s.select("line", "seq", "ux", "uy").unionByName(s.select("line", (F.col("seq") + 1).alias("seq"), "ux", "uy"))
-    m = touching.groupBy("line", "seq").agg(F.avg("ux").alias("mx"), F.avg("uy").alias("my"))
-    n2 = F.col("mx") * F.col("mx") + F.col("my") * F.col("my")
-    j = v.join(m, ["line", "seq"], "left").withColumn("f", F.coalesce(F.try_divide(F.lit(distance), n2), F.lit(0.0)))
+    j = _units(v)
+    mx, my = (F.coalesce((F.col(f"u{c}") + F.col(f"w{c}")) / 2, F.col(f"u{c}"), F.col(f"w{c}")) for c in ("x", "y"))
+    j = j.withColumns({"mx": mx, "my": my})
+    j = j.withColumn("f", F.coalesce(F.try_divide(F.lit(float(distance)), F.col("mx") * F.col("mx") + F.col("my") * F.col("my")), F.lit(0.0)))
     return j.select("line", "seq", (F.col("x") - F.coalesce("my", F.lit(0.0)) * F.col("f")).alias("x"), (F.col("y") + F.coalesce("mx", F.lit(0.0)) * F.col("f")).alias("y"))
 
 
-def smoothed(df: DataFrame, group: str, place: str, value: str) -> DataFrame:
-    """group, place, value after a median of 5 and then a Gaussian of sigma 1 (radius 4), the ends repeated; groups of
-    fewer than five values stay as they are. Places count 0, 1, 2, ...; neighbours meet by an equi-join, not by a sort."""
-    size = df.groupBy(group).agg(F.count("*").alias("_n"))
-    base = df.select(group, place, F.col(value).alias("v")).join(size, group)
-
-    def spread(src: DataFrame, radius: int, agg: Column, out: str) -> DataFrame:
-        # every value is sent to the places whose frame holds it; the ends also stand in for what lies beyond them
-        p, n = F.col(place).cast("long"), F.col("_n")
-        to = lambda q, k: F.struct(q.cast("long").alias("q"), F.lit(k).alias("k"))
-        beyond = [(j, k) for j in range(radius) for k in range(j + 1, radius + 1)]
-        targets = F.concat(
-            F.array(*[to(p + k, k) for k in range(-radius, radius + 1)]),
-            F.when(p == 0, F.array(*[to(F.lit(j), k) for j, k in beyond])).otherwise(F.array()),
-            F.when(p == n - 1, F.array(*[to(n - 1 - j, k) for j, k in beyond])).otherwise(F.array()),
-        )
-        sent = src.select(group, "_n", "v", F.explode(targets).alias("t")).select(group, "_n", "v", F.col("t.q").alias("q"), F.col("t.k").alias("k"))
-        inside = sent.where((F.col("q") >= 0) & (F.col("q") < F.col("_n")))
-        return inside.groupBy(group, F.col("q").alias(place), "_n").agg(agg.alias(out))
-
-    weight = F.exp(-F.col("k") * F.col("k") / 2.0)
-    med = spread(base, 2, F.median("v"), "v")
-    gauss = spread(med, 4, F.sum(F.col("v") * weight) / F.sum(weight), "v")
-    return base.where("_n < 5").select(group, place, F.col("v").alias(value)).unionByName(gauss.where("_n >= 5").select(group, place, F.col("v").alias(value)))
+def _units(v: DataFrame) -> DataFrame:
+    """The vertices with the unit directions ux, uy from the vertex before and wx, wy to the one behind; null at the ends and
+    where both coincide."""
+    j = neighbours(v)
+    of = lambda a, b, c: (F.try_divide(b[c] - a[c], F.hypot(b["x"] - a["x"], b["y"] - a["y"])))
+    here = F.struct("x", "y")
+    return j.select("line", "seq", "x", "y", *[of(F.col("before"), here, c).alias(f"u{c}") for c in ("x", "y")], *[of(here, F.col("after"), c).alias(f"w{c}") for c in ("x", "y")])
 
 
-def continuous(candidates: DataFrame, group: str, place: str, position: str, most: float = 60.0, weight: float = 0.08, jump: float = 80.0, search: float = 250.0) -> DataFrame:
-    """group, place, position: one candidate per place by a fold along the places.
+def offset_curve(v: DataFrame, distance: float, quad_segs: int = 8) -> DataFrame:
+    """line, seq, place, x, y: the curve `distance` to the left of each line (negative: to the right), by seq and place.
 
-    Candidates outside [-search, most] are no choice where the place has one inside. The first place takes the one nearest to zero; each later one
-    the candidate that least differs from the previous choice, plus `weight` times its distance from zero; a place
-    whose choice would jump more than `jump` is skipped. A group's places are gathered (a line's stations).
+    Where the line turns away from the offset side the corner becomes an arc of `quad_segs` steps a quarter, elsewhere
+    the two moved segments meet in their crossing. Corners sharper than the distance allows may cross themselves:
+    `self_crossings` of the renumbered result tells. A vertex without any direction stays.
     """
-    every = candidates.groupBy(group, place).agg(F.sort_array(F.collect_set(position)).alias("c"))
-    inside = F.filter("c", lambda p: p.between(-search, most))
-    ok = every.where(F.size("c") > 0).withColumn("c", F.when(F.size(inside) > 0, inside).otherwise(F.col("c")))
-    rows = ok.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(place).alias("i"), "c"))).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("prev"), F.array().cast("array<struct<i:bigint,p:double>>").alias("out"))
+    j = _units(v)
+    d = float(distance)
+    ux, uy, wx, wy = (F.coalesce(F.col(a), F.col(b), F.lit(0.0)) for a, b in (("ux", "wx"), ("uy", "wy"), ("wx", "ux"), ("wy", "uy")))
+    j = j.withColumns({"ux": ux, "uy": uy, "wx": wx, "wy": wy})
+    turn = F.atan2(F.expr("ux * wy - uy * wx"), F.expr("ux * wx + uy * wy"))
+    j = j.withColumns({"turn": turn, "start": F.atan2(F.col("ux") * (1 if d >= 0 else -1), F.col("uy") * (-1 if d >= 0 else 1))})
+    outer = F.col("turn") * d < -1e-12
+    n = F.greatest(F.lit(1), F.ceil(F.abs("turn") / (math.pi / 2 / quad_segs) - 1e-9)).cast("int")
+    arc = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("place"), (F.col("x") + abs(d) * F.cos(F.col("start") + F.col("turn") * i / n)).alias("px"), (F.col("y") + abs(d) * F.sin(F.col("start") + F.col("turn") * i / n)).alias("py")))
+    c2 = F.expr("(1 + ux * wx + uy * wy)")
+    mitre = F.struct(F.lit(0).alias("place"), (F.col("x") - d * F.coalesce(F.try_divide(F.expr("uy + wy"), c2), F.lit(0.0))).alias("px"), (F.col("y") + d * F.coalesce(F.try_divide(F.expr("ux + wx"), c2), F.lit(0.0))).alias("py"))
+    return j.select("line", "seq", F.inline(F.when(outer, arc).otherwise(F.array(mitre)))).select("line", "seq", "place", F.col("px").alias("x"), F.col("py").alias("y"))
+
+
+def smoothed(df: DataFrame, group: str, place: str, value: str, block: int = BLOCK) -> DataFrame:
+    """group, place, value after a median of 5 and then a Gaussian of sigma 1 (radius 4), the ends repeated; groups of
+    fewer than five values stay as they are. Places count 0, 1, 2, ...
 
-    def step(acc: Column, s: Column) -> Column:
-        prev = acc["prev"]
-        score = lambda p: F.when(prev.isNull(), F.abs(p)).otherwise(F.abs(p - prev) + weight * F.abs(p))
-        best = F.array_min(F.transform(s["c"], lambda p: F.struct(score(p).alias("s"), p.alias("p"))))["p"]
-        take = prev.isNull() | (F.abs(best - prev) <= jump)
-        return F.struct(F.when(take, best).otherwise(prev).alias("prev"), F.when(take, F.concat(acc["out"], F.array(F.struct(s["i"].cast("long").alias("i"), best.alias("p"))))).otherwise(acc["out"]).alias("out"))
+    Windows over blocks of `block` places; six places on either side of a border are given to both blocks, which is as
+    far as the two frames reach together.
+    """
+    b, p = block, F.col(place).cast("long")
+    d = df.select(group, p.alias(place), F.col(value).alias("v"))
+    d = d.withColumn("_b", F.explode(F.array_distinct(F.array(*[F.floor((F.col(place) + s) / b) for s in (-6, 0, 6)]))))
+    w = Window.partitionBy(group, "_b").orderBy(place)
+
+    def around(c: str, radius: int) -> list[Column]:
+        """Values at -radius..radius; what lies beyond an end is the end's value."""
+        before, behind = [F.col(c)], [F.col(c)]
+        for k in range(1, radius + 1):
+            before.append(F.coalesce(F.lag(c, k).over(w), before[-1]))
+            behind.append(F.coalesce(F.lead(c, k).over(w), behind[-1]))
+        return [*before[:0:-1], *behind]
+
+    d = d.withColumns({"_m": F.element_at(F.array_sort(F.array(*around("v", 2))), 3), "_n": F.count("*").over(Window.partitionBy(group, "_b"))})
+    weights = [math.exp(-k * k / 2) for k in range(-4, 5)]
+    total = sum(x * F.lit(g / sum(weights)) for x, g in zip(around("_m", 4), weights))
+    d = d.withColumn("_g", total).where(F.floor(F.col(place) / b) == F.col("_b"))
+    return d.select(group, place, F.when((F.col("_b") == 0) & (F.col("_n") < 5), F.col("v")).otherwise(F.col("_g")).alias(value))
 
-    folded = rows.select(group, F.aggregate("s", start, step, lambda a: a["out"]).alias("o"))
-    return folded.select(group, F.inline("o").alias(place, position))
 
+def continuous(candidates: DataFrame, group: str, place: str, position: str, most: float = 60.0, weight: float = 0.08, jump: float = 80.0, search: float = 250.0) -> DataFrame:
+    """group, place, position: one candidate per place by a fold along the places.
 
+    Candidates outside [-search, most] are no choice where the place has one inside. The first place takes the one
+    nearest to zero; each later one the candidate that least differs from the previous choice, plus `weight` times its
+    distance from zero (equal scores: the smaller position); a place whose choice would jump more than `jump` is
+    skipped. Null groups, places and positions are left out. The fold goes from place to place, so a group is streamed
+    through one task, in order; only the candidates of the place at hand and the last choice are held.
+    """
+    c = candidates.select(F.col(group).alias("g"), F.col(place).cast("long").alias("i"), F.col(position).cast("double").alias("p")).where("g IS NOT NULL AND i IS NOT NULL AND p IS NOT NULL").distinct()
+    kind = c.schema["g"].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, prev = None, [], None
+
+        def choose() -> float | None:
+            inside = [p for p in held if -search <= p <= most] or held
+            best = min(inside, key=lambda p: (abs(p) if prev is None else abs(p - prev) + weight * abs(p), p))
+            return best if prev is None or abs(best - prev) <= jump else None
+
+        for b in batches:
+            out: list[tuple] = []
+            for g, i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if here is not None and here != (g, i):
+                    if (got := choose()) is not None:
+                        out.append((*here, got))
+                        prev = got
+                    held = []
+                    if here[0] != g:
+                        prev = None
+                here = (g, i)
+                held.append(p)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((b.schema.field(0).type, pa.int64(), pa.float64()))], ["g", "i", "p"])
+        if here is not None and (got := choose()) is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([here[0]], b.schema.field(0).type), pa.array([here[1]], pa.int64()), pa.array([got], pa.float64())], ["g", "i", "p"])
+
+    ready = c.repartition("g").sortWithinPartitions("g", "i", "p")
+    return ready.mapInArrow(fold, f"g {kind}, i long, p double").select(F.col("g").alias(group), F.col("i").alias(place), F.col("p").alias(position))
 
 
 def clipped_segments(s: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:

@@ -61,7 +61,7 @@ def opened_closed(mask: DataFrame, grid: DataFrame, key: str) -> DataFrame:
     return erode(dilate(dilate(erode(mask.select(key, "row", "col")))))
 
 
-def components(mask: DataFrame, key: str, most_rounds: int = 200) -> DataFrame:
+def components(mask: DataFrame, key: str) -> DataFrame:
     """key, row, col, component of the set cells: 4-connected components named by their least cell code.
 
     The cells of a row that touch each other form a run, named by its first cell; only runs and the pairs of runs that
@@ -77,7 +77,7 @@ def components(mask: DataFrame, key: str, most_rounds: int = 200) -> DataFrame:
     edges = cells.join(above, [key, "row", "col"]).select(key, F.col("run").alias("a"), F.col("other").alias("b")).distinct()
     edges = materialised(edges.unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cells.select(key, "run").distinct().withColumn("c", F.col("run"))
-    for _ in range(most_rounds):
+    while True:
         near = edges.join(label.withColumnRenamed("run", "b"), [key, "b"]).select(key, F.col("a").alias("run"), "c")
         least = label.select(key, "run", "c", F.col("c").alias("was")).unionByName(near.withColumn("was", F.lit(None).cast("long"))).groupBy(key, "run").agg(F.min("c").alias("c"), F.max("was").alias("was"))
         # pointer jumping: a run takes the name of the run it is named after
@@ -86,8 +86,6 @@ def components(mask: DataFrame, key: str, most_rounds: int = 200) -> DataFrame:
         label = new.select(key, "run", "c")
         if new.where("c <> was").isEmpty():
             break
-    else:
-        raise RuntimeError("components did not settle; raise most_rounds")
     return cells.join(label, [key, "run"]).select(key, "row", "col", F.col("c").alias("component"))
 
 
@@ -152,9 +150,10 @@ def area_statistics(areas: DataFrame, keys: list[str], area: str) -> DataFrame:
     return g.agg(m.alias("mean_m2"), s.alias("std_m2"), F.try_divide(100 * s, m).alias("cv_pct"))
 
 
-def consensus(masks: DataFrame, grid: DataFrame, key: str, scene: str, least_scenes: int = 2) -> DataFrame:
-    """key, row, col of the cells that most scenes of a key call water, opened and closed; keys of fewer than
-    `least_scenes` scenes have none. masks: (key, scene, row, col) of the water cells of each scene."""
-    n = masks.groupBy(key).agg(F.countDistinct(scene).alias("n")).where(F.col("n") >= least_scenes)
-    votes = masks.groupBy(key, "row", "col").agg(F.countDistinct(scene).alias("v")).join(n, key)
+def consensus(masks: DataFrame, scenes: DataFrame, grid: DataFrame, key: str, scene: str, least_scenes: int = 2) -> DataFrame:
+    """key, row, col of the cells that the strict majority of a key's scenes calls water, opened and closed. scenes: (key,
+    scene) of every scene, dry ones too, which vote as well; keys of fewer than `least_scenes` scenes have no cells.
+    masks: (key, scene, row, col) of the water cells of each scene."""
+    n = scenes.groupBy(key).agg(F.countDistinct(scene).alias("n")).where(F.col("n") >= least_scenes)
+    votes = masks.join(scenes.select(key, scene).distinct(), [key, scene], "left_semi").groupBy(key, "row", "col").agg(F.countDistinct(scene).alias("v")).join(n, key)
     return opened_closed(votes.where(F.col("v") >= F.floor(F.col("n") / 2) + 1), grid, key)

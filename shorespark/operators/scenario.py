@@ -64,15 +64,18 @@ def band_areas(v: DataFrame, bounds: dict[str, tuple[float, float]], cell: float
     return left.withColumn("band", band).where("band IS NOT NULL").groupBy("line", "band").agg((F.count("*") * cell * cell).alias("area_m2"))
 
 
+def _stations(segs: DataFrame, count: int) -> DataFrame:
+    """`count` points at equal distances along each line with the line's direction there."""
+    window = F.least(F.lit(8.0), F.greatest(F.lit(2.0), F.col("length") / 500))
+    return lines.at_steps(segs, F.col("length") / (count - 1), F.lit(count - 1), window=window)
+
+
 def stations(v: DataFrame, count: int = 11, first: float = -50.0, last: float = 260.0, offsets: tuple[float, ...] = (50.0, 150.0, 250.0)) -> DataFrame:
     """line, station, offset_m, x, y: `count` stations at equal distances along each line with the ends of their cross
     lines and their samples, offsets counted to the left of the line."""
     segs = lines.segments(v)
-    at = lines.lengths(segs).select("line", "length", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("k")).withColumn("d", F.col("length") * F.col("k") / (count - 1))
-    p = lines.locate(segs, at.select("line", "k", "d"), "d", ["k"])
-    t = lines.tangents(segs, at.select("line", "k", "d"), F.least(F.lit(8.0), F.greatest(F.lit(2.0), F.col("_l") / 500)))
     o = F.explode(F.array(*[F.lit(float(x)) for x in (first, *offsets, last)]))
-    j = p.join(t, ["line", "k"]).withColumn("offset_m", o)
+    j = _stations(segs, count).withColumn("offset_m", o)
     return j.select("line", F.format_string("E%02d", F.col("k") + 1).alias("station"), "offset_m", (F.col("x") - F.col("ty") * F.col("offset_m")).alias("x"), (F.col("y") + F.col("tx") * F.col("offset_m")).alias("y"))
 
 
@@ -87,10 +90,7 @@ def profile(samples: DataFrame, station: str, offset: str, value: str, offsets:
 def rectangles(v: DataFrame, stations_count: int, offsets: tuple[float, ...], width: float, depth: float) -> DataFrame:
     """line, station, offset_m, xs, ys: rectangles along the line's direction, their centres at the offsets to its left."""
     segs = lines.segments(v)
-    at = lines.lengths(segs).select("line", "length", F.explode(F.sequence(F.lit(0), F.lit(stations_count - 1))).alias("k")).withColumn("d", F.col("length") * F.col("k") / (stations_count - 1))
-    p = lines.locate(segs, at.select("line", "k", "d"), "d", ["k"])
-    t = lines.tangents(segs, at.select("line", "k", "d"), F.least(F.lit(8.0), F.greatest(F.lit(2.0), F.col("_l") / 500)))
-    j = p.join(t, ["line", "k"]).withColumn("offset_m", F.explode(F.array(*[F.lit(float(o)) for o in offsets])))
+    j = _stations(segs, stations_count).withColumn("offset_m", F.explode(F.array(*[F.lit(float(o)) for o in offsets])))
     w, h = width / 2, depth / 2
     corner = [(-w, -h), (w, -h), (w, h), (-w, h)]
     xs = F.array(*[F.col("x") - F.col("ty") * (F.col("offset_m") + b) + F.col("tx") * a for a, b in corner])

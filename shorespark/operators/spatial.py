@@ -3,12 +3,13 @@
 Polygons are triangulated by ear clipping. A hierarchy of boxes over a bounded sample splits the plane; every
 triangle goes to the leaves it touches, every point to its one leaf. Inside a leaf a hierarchy over its triangles
 yields the candidates, which are tested exactly; a point on a boundary that several triangles of one region share is
-assigned to the region once. Nearness is containment in regions around the points or lines, followed by a distance.
+assigned to the region once. Nearness is containment in regions around the points or lines, followed by a distance;
+what no region settles descends the hierarchies to its nearest line.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -180,25 +181,33 @@ def _blocks(counts: np.ndarray, share: float) -> np.ndarray:
     return np.maximum(1, np.ceil(counts / max(share, 1e-12) / BLOCK)).astype(int)
 
 
-def in_regions(points: DataFrame, polygons: DataFrame) -> DataFrame:
+def in_regions(points: DataFrame, polygons: DataFrame, best: Callable | None = None) -> DataFrame:
     """point, px, py, region of every point (point, px, py) in every closed polygon (region, xs, ys) that holds it, once.
 
     Points or polygons with null or non-finite coordinates and polygons without area hold nothing; copies of a point
     under another id are points of their own. The upper hierarchy comes from a sample of at most about SAMPLE boxes
     and only steers where rows go: every row is joined, whatever the sample. Leaves that the sample shows to be
-    crowded are joined in blocks of either side, so no leaf is gathered in one task.
+    crowded are joined in blocks of either side, so no leaf is gathered in one task. `best` (places of the pairs' points,
+    pairs' region numbers, region names -> which pairs stay) may thin out the pairs of a block before they are sent on.
     """
     pts = points.select("point", "px", "py").where("px BETWEEN -1e300 AND 1e300 AND py BETWEEN -1e300 AND 1e300")
-    box = polygons.where(F.size("xs") > 2).select((F.array_min("xs") / 2 + F.array_max("xs") / 2).alias("x"), (F.array_min("ys") / 2 + F.array_max("ys") / 2).alias("y"))
-    both_sides = box.select(F.lit(0).alias("side"), "x", "y").unionByName(pts.select(F.lit(1).alias("side"), F.col("px").alias("x"), F.col("py").alias("y")))
+    ends = {"x0": F.array_min("xs"), "y0": F.array_min("ys"), "x1": F.array_max("xs"), "y1": F.array_max("ys"), "w": (F.size("xs") - 2).cast("double")}
+    box = polygons.where(F.size("xs") > 2).select(F.lit(0).alias("side"), *[e.alias(c) for c, e in ends.items()])
+    both_sides = box.unionByName(pts.select(F.lit(1).alias("side"), F.col("px").alias("x0"), F.col("py").alias("y0"), F.col("px").alias("x1"), F.col("py").alias("y1"), F.lit(1.0).alias("w")))
     n = {r["side"]: r["count"] for r in both_sides.groupBy("side").count().collect()}
     n_box, n_pts = n.get(0, 0), n.get(1, 0)
     share_box, share_pts = min(1.0, SAMPLE / max(1, n_box)), min(1.0, SAMPLE / max(1, n_pts))
     both = both_sides.sampleBy("side", {0: share_box, 1: share_pts}, seed=7).toPandas().dropna()
-    boxes, some = both[both["side"] == 0][["x", "y"]], both[both["side"] == 1][["x", "y"]]
-    tree = SplitTree(both["x"].to_numpy(), both["y"].to_numpy(), min(LEAVES, 1 + (n_box + n_pts) // LEAF_ROWS))
-    count = lambda d: np.bincount(tree.touched(*(d.iloc[:, [0, 1, 0, 1]].to_numpy(float).T))[1], minlength=tree.size) if len(d) else np.zeros(tree.size)
-    cut_p, cut_t = _blocks(count(some), share_pts), _blocks(count(boxes) * 3, share_box)
+    boxes, some = both[both["side"] == 0], both[both["side"] == 1]
+    tree = SplitTree((both["x0"] / 2 + both["x1"] / 2).to_numpy(), (both["y0"] / 2 + both["y1"] / 2).to_numpy(), min(LEAVES, 1 + (n_box + n_pts) // LEAF_ROWS))
+
+    def count(d: pd.DataFrame) -> np.ndarray:
+        if not len(d):
+            return np.zeros(tree.size)
+        row, leaf = tree.touched(*(d[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1")))
+        return np.bincount(leaf, d["w"].to_numpy()[row], minlength=tree.size)
+
+    cut_p, cut_t = _blocks(count(some), share_pts), _blocks(count(boxes), share_box)
 
     def place_points(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in (part for part in parts if len(part)):
@@ -232,6 +241,9 @@ def in_regions(points: DataFrame, polygons: DataFrame) -> DataFrame:
             q, tri = lower.holding(xy[i : i + 4096])
             found.append(np.unique((q + i).astype(np.int64) * len(names) + code[tri]))
         at, region = np.divmod(np.concatenate(found), len(names))
+        if best is not None and len(at):
+            stay = best(xy[at], at, region, names)
+            at, region = at[stay], region[stay]
         # plain object columns: strings held in several chunks cannot be sent back
         return pd.DataFrame({"point": pd.Series(p["point"].to_numpy(dtype=object)[at], dtype=object), "px": xy[at, 0], "py": xy[at, 1], "region": pd.Series(names[region], dtype=object)})
 
@@ -250,7 +262,7 @@ def near_pairs(points: DataFrame, key: str, lon: str, lat: str, metres: float) -
     the square are then measured exactly.
     """
     p = points.select(F.col(key).cast("string").alias("point"), same_longitude(F.col(lon)).alias("px"), F.col(lat).alias("py"))
-    p = p.where("point IS NOT NULL AND px IS NOT NULL AND py BETWEEN -90 AND 90").distinct()
+    p = written(p.where("point IS NOT NULL AND px IS NOT NULL AND py BETWEEN -90 AND 90").distinct(), "places")  # read as points and as squares
     dy = metres / 110_500.0
     dx = F.least(F.lit(360.0), dy / F.greatest(F.lit(1e-9), F.cos(F.radians(F.least(F.lit(90.0), F.abs("py") + dy)))))
     sides = p.withColumn("dx", dx)
@@ -267,38 +279,220 @@ def near_pairs(points: DataFrame, key: str, lon: str, lat: str, metres: float) -
     return far.where(F.col("distance_m") < metres).groupBy("key_a", "key_b").agg(F.min("distance_m").alias("distance_m"))
 
 
-def nearest_lines(points: DataFrame, lines: DataFrame, first: float = 60.0, factor: float = 8.0, farthest: float = 4.1e7) -> DataFrame:
-    """point, px, py, line and distance of the line (line, x1, y1, x2, y2) nearest to each point (point, px, py) in the plane.
+def _distances(p: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Distance of each point (x, y) from the segment (x1, y1, x2, y2) in the same row."""
+    dx, dy = s[:, 2] - s[:, 0], s[:, 3] - s[:, 1]
+    l2 = dx * dx + dy * dy
+    t = np.clip(((p[:, 0] - s[:, 0]) * dx + (p[:, 1] - s[:, 1]) * dy) / np.where(l2 > 0, l2, 1.0), 0.0, 1.0)
+    return np.hypot(p[:, 0] - (s[:, 0] + t * dx), p[:, 1] - (s[:, 1] + t * dy))
+
+
+class SegmentTree:
+    """A hierarchy of boxes over segments (n, 4), whose rows `part` (n, 4) are the parts of them that the boxes hold."""
+
+    def __init__(self, seg: np.ndarray, names: np.ndarray, part: np.ndarray | None = None, width: int = 8):
+        part = seg if part is None else part
+        lo, hi = np.minimum(part[:, :2], part[:, 2:]), np.maximum(part[:, :2], part[:, 2:])
+        mid = (lo + hi) / 2
+        cell = np.minimum(65535, (mid - mid.min(0)) / np.maximum(np.ptp(mid, axis=0), 1e-300) * 65535)
+        order = np.argsort(_spread(cell[:, 0]) | (_spread(cell[:, 1]) << np.uint64(1)), kind="stable")
+        n = len(seg)
+        leaves = 1 << max(0, int(np.ceil(np.log2(max(1, -(-n // width))))))
+        self.width, self.seg = width, seg[order]
+        self.names, code = np.unique(names.astype(object), return_inverse=True)
+        self.code = code.ravel()[order]
+        blo, bhi = np.full((leaves * width, 2), np.inf), np.full((leaves * width, 2), -np.inf)
+        blo[:n], bhi[:n] = lo[order], hi[order]
+        self.level = [(blo.reshape(leaves, width, 2).min(1), bhi.reshape(leaves, width, 2).max(1))]
+        while len(self.level[0][0]) > 1:
+            a, b = self.level[0]
+            self.level.insert(0, (a.reshape(-1, 2, 2).min(1), b.reshape(-1, 2, 2).max(1)))
+
+    def nearest(self, p: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(name number or -1, distance) of the segment nearest to each point, if not beyond `most`; equally near: the
+        smaller name. All points go down level by level; a box farther than the best bound so far is left."""
+        number, best = np.full(len(p), -1), np.full(len(p), np.inf)
+        for i in range(0, len(p), 2048):
+            number[i : i + 2048], best[i : i + 2048] = self._nearest(p[i : i + 2048], most[i : i + 2048].copy())
+        return number, best
+
+    def _nearest(self, p: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        limit = bound.copy()
+        q, node = np.arange(len(p)), np.zeros(len(p), int)
+        for i, (lo, hi) in enumerate(self.level):
+            if i:
+                q, node = np.repeat(q, 2), (np.repeat(node * 2, 2) + np.tile([0, 1], len(node)))
+            full = lo[node, 0] <= hi[node, 0]
+            q, node = q[full], node[full]
+            a, b, c = lo[node], hi[node], p[q]
+            np.minimum.at(bound, q, np.hypot(*np.maximum(np.abs(c - a), np.abs(c - b)).T))
+            near = np.hypot(*np.maximum(0.0, np.maximum(a - c, c - b)).T) <= bound[q] * (1 + 1e-9) + 1e-9
+            q, node = q[near], node[near]
+        t = (np.repeat(node * self.width, self.width) + np.tile(np.arange(self.width), len(node)))
+        q = np.repeat(q, self.width)
+        real = t < len(self.seg)
+        q, t = q[real], t[real]
+        d = _distances(p[q], self.seg[t])
+        q, t, d = q[d <= limit[q]], t[d <= limit[q]], d[d <= limit[q]]
+        order = np.lexsort((self.code[t], d, q))
+        q, t, d = q[order], t[order], d[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
+        number, best = np.full(len(p), -1), np.full(len(p), np.inf)
+        number[q[first]], best[q[first]] = self.code[t[first]], d[first]
+        return number, best
+
+
+def _no_lines() -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series(dtype=object if c in ("point", "line") else float) for c in ("point", "px", "py", "line", "distance")})
+
 
-    Every line gets a corridor of half-width r around it, also beyond its ends, so all lines within r of a point are
-    found with it; a point whose nearest found line lies within r is settled, the others go on with a wider corridor,
-    until all are settled or r passes `farthest`. Ties: the smaller line id. Null coordinates are left out.
+def _found(p: pd.DataFrame, tree: SegmentTree, most: np.ndarray) -> pd.DataFrame:
+    number, d = tree.nearest(p[["px", "py"]].to_numpy(float), most)
+    hit = number >= 0
+    return pd.DataFrame({"point": pd.Series(p["point"].to_numpy(dtype=object)[hit], dtype=object), "px": p["px"].to_numpy()[hit], "py": p["py"].to_numpy()[hit], "line": pd.Series(tree.names[number[hit]], dtype=object), "distance": d[hit]})
+
+
+_XY = ["x1", "y1", "x2", "y2"]
+_NEAREST = "point string, px double, py double, line string, distance double"
+
+
+def descended(points: DataFrame, lines: DataFrame, most: float = np.inf, sample: int = SAMPLE) -> DataFrame:
+    """point, px, py, line, distance of the line nearest to each point, if within `most`, for points however far off.
+
+    A tree over at most about `sample` lines gives every point a bound on its distance. Where that is all lines (the
+    count is checked), it is the answer. Otherwise every line, cut into parts of about twice the mean length, lies in
+    one leaf of the upper hierarchy; a point goes to the leaves whose box is not beyond its bound and descends their
+    trees, so it meets a few lines, not all. Crowded leaves are joined in blocks. Both tables are read several times.
+    """
+    size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    n, mean = lines.agg(F.count("*"), F.avg(size)).first()
+    if not n:
+        return points.sparkSession.createDataFrame([], _NEAREST)
+    share = min(1.0, sample / n)
+    known = (lines if share == 1.0 else lines.sample(share, 11)).select("line", *_XY).toPandas()
+    bound = SegmentTree(known[_XY].to_numpy(float), known["line"].to_numpy(dtype=object)) if len(known) else None
+    spark = points.sparkSession
+    shared = spark.sparkContext.broadcast(bound)
+
+    if share == 1.0:
+
+        def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                yield _found(p, shared.value, np.full(len(p), most))
+
+        return points.select("point", "px", "py").mapInPandas(whole, _NEAREST)
+
+    def within(p: np.ndarray) -> np.ndarray:
+        got = np.full(len(p), most)
+        return got if bound is None else np.minimum(got, shared.value.nearest(p, np.full(len(p), np.inf))[1])
+
+    mid = known[_XY].to_numpy(float)
+    tree = SplitTree((mid[:, 0] + mid[:, 2]) / 2, (mid[:, 1] + mid[:, 3]) / 2, min(LEAVES, 1 + n // LEAF_ROWS))
+    length = 2 * float(mean) or 1.0
+    pieces = F.greatest(F.lit(1), F.ceil(size / length)).cast("int")
+    at = lambda c, k: F.col(f"{c}1") + (F.col("_k") + k) / F.col("_n") * (F.col(f"{c}2") - F.col(f"{c}1"))
+    cut = lines.select("line", *_XY, pieces.alias("_n")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    cut = cut.select("line", *_XY, at("x", 0).alias("u1"), at("y", 0).alias("v1"), at("x", 1).alias("u2"), at("y", 1).alias("v2"))
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in (part for part in parts if len(part)):
+            x, y = ((d["u1"] + d["u2"]) / 2).to_numpy(), ((d["v1"] + d["v2"]) / 2).to_numpy()
+            row, leaf = tree.touched(x, y, x, y)
+            yield d.astype({"line": object}).iloc[row].assign(leaf=leaf)
+
+    placed = written(cut.mapInPandas(place, "line string, " + ", ".join(f"{c} double" for c in (*_XY, "u1", "v1", "u2", "v2")) + ", leaf int"), "leaves")
+    b = placed.groupBy("leaf").agg(F.least(F.min("u1"), F.min("u2")), F.least(F.min("v1"), F.min("v2")), F.greatest(F.max("u1"), F.max("u2")), F.greatest(F.max("v1"), F.max("v2")), F.count("*")).toPandas().to_numpy(float)
+    leaves, boxes = b[:, 0].astype(int), b[:, 1:5]  # at most LEAVES rows
+    cut_t = np.ones(tree.size, int)
+    cut_t[leaves] = _blocks(b[:, 5], 1.0)
+
+    def reached(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bound = within(p)
+        rows, hit = [], []
+        for i in range(0, len(p), 512):
+            c = p[i : i + 512]
+            far = np.hypot(np.maximum(0.0, np.maximum(boxes[:, 0] - c[:, :1], c[:, :1] - boxes[:, 2])), np.maximum(0.0, np.maximum(boxes[:, 1] - c[:, 1:], c[:, 1:] - boxes[:, 3])))
+            r, k = np.nonzero(far <= bound[i : i + 512, None] * (1 + 1e-9) + 1e-9)
+            rows.append(r + i)
+            hit.append(leaves[k])
+        return np.concatenate(rows), np.concatenate(hit), bound
+
+    n_pts = points.count()
+    share_pts = min(1.0, sample / max(1, n_pts))
+    some = points.sample(share_pts, 12).select("px", "py").toPandas().to_numpy(float)
+    cut_p = _blocks(np.bincount(reached(some)[1], minlength=tree.size) if len(some) else np.zeros(tree.size), share_pts)
+
+    def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in (part for part in parts if len(part)):
+            row, leaf, bound = reached(d[["px", "py"]].to_numpy(float))
+            mine = np.arange(len(row)) % cut_p[leaf]
+            again = cut_t[leaf]
+            r = np.repeat(np.arange(len(row)), again)
+            t = np.arange(len(r)) - np.repeat(np.cumsum(again) - again, again)
+            yield d.astype({"point": object}).iloc[row[r]].assign(most=bound[row[r]], leaf=leaf[r], a=mine[r], b=t)
+
+    def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in (part for part in parts if len(part)):
+            leaf = d["leaf"].to_numpy()
+            again = cut_p[leaf]
+            mine = np.arange(len(leaf)) % cut_t[leaf]
+            r = np.repeat(np.arange(len(leaf)), again)
+            t = np.arange(len(r)) - np.repeat(np.cumsum(again) - again, again)
+            yield d.astype({"line": object}).iloc[r].assign(a=t, b=mine[r])
+
+    def join(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(t):
+            return _no_lines()
+        lower = SegmentTree(t[_XY].to_numpy(float), t["line"].to_numpy(dtype=object), t[["u1", "v1", "u2", "v2"]].to_numpy(float))
+        return _found(p, lower, p["most"].to_numpy())
+
+    left = points.select("point", "px", "py").mapInPandas(send, "point string, px double, py double, most double, leaf int, a int, b int")
+    right = placed.mapInPandas(spread, placed.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", a int, b int")
+    got = left.groupBy("leaf", "a", "b").cogroup(right.groupBy("leaf", "a", "b")).applyInPandas(join, _NEAREST)
+    return got.groupBy("point", "px", "py").agg(F.min(F.struct("distance", "line")).alias("b")).select("point", "px", "py", F.col("b.line").alias("line"), F.col("b.distance").alias("distance"))
+
+
+def _nearest_of_block(xy: np.ndarray, at: np.ndarray, region: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Of the pairs of a block those with the nearest line of their point; regions are named by x1, y1, x2, y2 and line."""
+    bits = [n.split("\x1f", 4) for n in names]
+    ends = np.array([b[:4] for b in bits], dtype=object).astype(float).reshape(-1, 4)
+    rank = np.empty(len(bits), int)
+    rank[sorted(range(len(bits)), key=lambda i: bits[i][4])] = np.arange(len(bits))
+    d = _distances(xy, ends[region])
+    order = np.lexsort((rank[region], d, at))
+    return order[np.r_[True, np.diff(at[order]) != 0]]
+
+
+def nearest_lines(points: DataFrame, lines: DataFrame, first: float = 60.0, most: float = np.inf) -> DataFrame:
+    """point, px, py, line and distance of the line (line, x1, y1, x2, y2) nearest to each point (point, px, py) in the
+    plane, if within `most`.
+
+    Every line gets a corridor of half-width `first` around it, also beyond its ends, so all lines within that distance
+    of a point are found with it, and a point whose nearest found line lies within it is settled. The others, however
+    far off and however dense the lines are, descend the hierarchies (see `descended`). Ties: the smaller line id. Null
+    coordinates are left out. Both sides are written once.
     """
     todo = points.select("point", "px", "py").where("point IS NOT NULL AND px IS NOT NULL AND py IS NOT NULL").distinct()
-    todo = written(todo, "points")  # each round reads both sides several times
-    lines = lines.select(F.col("line").cast("string"), "x1", "y1", "x2", "y2").where("line IS NOT NULL AND x1 + y1 + x2 + y2 IS NOT NULL").distinct()
+    todo = written(todo, "points")  # both steps read both sides several times
+    lines = lines.select(F.col("line").cast("string"), *_XY).where("line IS NOT NULL AND x1 + y1 + x2 + y2 IS NOT NULL").distinct()
     lines = written(lines, "lines")
-    out, r = None, first
-    while True:
-        length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-        ux, uy = (F.coalesce(F.try_divide(F.col(f"{a}2") - F.col(f"{a}1"), length), F.lit(d)) * r * 1.0001 for a, d in (("x", 1.0), ("y", 0.0)))
-        c = lines.withColumns({"ux": ux, "uy": uy})
-        corner = lambda e, s, t: F.col(f"x{e}") + s * F.col("ux") - t * F.col("uy"), lambda e, s, t: F.col(f"y{e}") + s * F.col("uy") + t * F.col("ux")
-        ring = ((1, -1, -1), (2, 1, -1), (2, 1, 1), (1, -1, 1))
-        region = F.concat_ws("\x1f", "x1", "y1", "x2", "y2", "line")
-        corridors = c.select(region.alias("region"), F.array(*[corner[0](*k) for k in ring]).alias("xs"), F.array(*[corner[1](*k) for k in ring]).alias("ys"))
-        bits = F.split("region", "\x1f", 5)
-        got = in_regions(todo, corridors).select("point", "px", "py", bits[4].alias("line"), *[bits[i].cast("double").alias(k) for i, k in enumerate(("x1", "y1", "x2", "y2"))])
-        got = got.withColumn("distance", point_segment_distance(*[F.col(k) for k in ("px", "py", "x1", "y1", "x2", "y2")]))
-        best = got.groupBy("point", "px", "py").agg(F.min(F.struct("distance", "line")).alias("b")).select("point", "px", "py", F.col("b.line").alias("line"), F.col("b.distance").alias("distance"))
-        done = written(best.where(F.col("distance") <= r), "nearest")
-        out = done if out is None else out.unionByName(done)
-        r *= factor
-        if r > farthest:
-            return out
-        todo = written(todo.join(done.select("point", "px", "py"), ["point", "px", "py"], "left_anti"), "farther")
-        if todo.isEmpty():
-            return out
-
-
-__all__ = ["SplitTree", "TriangleTree", "ear_clip", "in_regions", "near_pairs", "nearest_lines", "triangles"]
+    r = min(first, most)
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    ux, uy = (F.coalesce(F.try_divide(F.col(f"{a}2") - F.col(f"{a}1"), length), F.lit(d)) * r * 1.0001 for a, d in (("x", 1.0), ("y", 0.0)))
+    c = lines.withColumns({"ux": ux, "uy": uy})
+    corner = lambda e, s, t: F.col(f"x{e}") + s * F.col("ux") - t * F.col("uy"), lambda e, s, t: F.col(f"y{e}") + s * F.col("uy") + t * F.col("ux")
+    ring = ((1, -1, -1), (2, 1, -1), (2, 1, 1), (1, -1, 1))
+    region = F.concat_ws("\x1f", *_XY, "line")
+    corridors = c.select(region.alias("region"), F.array(*[corner[0](*k) for k in ring]).alias("xs"), F.array(*[corner[1](*k) for k in ring]).alias("ys"))
+    bits = F.split("region", "\x1f", 5)
+    got = in_regions(todo, corridors, _nearest_of_block).select("point", "px", "py", bits[4].alias("line"), *[bits[i].cast("double").alias(k) for i, k in enumerate(_XY)])
+    got = got.withColumn("distance", point_segment_distance(*[F.col(k) for k in ("px", "py", *_XY)])).where(F.col("distance") <= r)
+    best = got.groupBy("point", "px", "py").agg(F.min(F.struct("distance", "line")).alias("b")).select("point", "px", "py", F.col("b.line").alias("line"), F.col("b.distance").alias("distance"))
+    if most <= first:
+        return best
+    done = written(best, "nearest")
+    rest = written(todo.join(done, ["point", "px", "py"], "left_anti"), "farther")
+    return done.unionByName(descended(rest, lines, most))
+
+
+__all__ = ["SegmentTree", "SplitTree", "TriangleTree", "descended", "ear_clip", "in_regions", "near_pairs", "nearest_lines", "triangles"]

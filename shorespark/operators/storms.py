@@ -73,29 +73,49 @@ def anomalies(df: DataFrame, keys: list[str], instant: str, position: str) -> Da
     return y.join(fit, keys).select(*keys, F.col("t").alias(instant), "position_m", trend.alias("position_trend_m"), (F.col("position_m") - trend).alias("position_anomaly_m"))
 
 
-def student_p(t: Column, df: Column) -> Column:
-    """Two-sided p of Student's t with whole degrees of freedom, by its finite trigonometric series."""
-    theta = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
-    c2 = F.cos(theta) * F.cos(theta)
-    start = F.when(df % 2 == 1, 3).otherwise(2)
-    ks = F.filter(F.sequence(start, F.greatest(start, df - 2).cast("int"), F.lit(2)), lambda k: k <= df - 2)
-    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-
-    def add(a: Column, k: Column) -> Column:
-        term = a["term"] * (k - 1) / k * c2
-        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+def _gamma_ratio(a: Column) -> Column:
+    """log of Gamma(a + 1/2) / Gamma(a), by its asymptotic series 16 further on; no digits are lost for great a."""
+    z = a + 16
+    tail = F.log(z) / 2 - 1 / (8 * z) + 1 / (192 * F.pow(z, 3)) - 1 / (640 * F.pow(z, 5)) + 17 / (14336 * F.pow(z, 7))
+    for k in range(16):
+        tail = tail - F.log1p(0.5 / (a + k))
+    return tail
 
-    series = F.aggregate(ks, one, add, lambda a: a["sum"])
-    odd = 1 - 2 / F.pi() * (theta + F.when(df == 1, 0.0).otherwise(F.sin(theta) * F.cos(theta) * series))
-    return F.when(df < 1, None).when(df % 2 == 1, odd).otherwise(1 - F.sin(theta) * series)
 
-
-def point_biserial(df: DataFrame, response: str, event: str, keys: list[str] | None = None, exact_df: int = 10_000) -> DataFrame:
+def student_p(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t: the regularised incomplete beta function I_x(df/2, 1/2) at x = df / (df + t^2), by its
+    continued fraction, at every number of degrees of freedom. The fraction takes as many steps as it needs to settle,
+    which grow with the root of df. Null below one degree of freedom."""
+    n, t2 = df.cast("double"), t * t
+    x, y = n / (n + t2), t2 / (n + t2)
+    low = x < (n / 2 + 1) / (n / 2 + 2.5)
+    a, b, v = F.when(low, n / 2).otherwise(0.5), F.when(low, 0.5).otherwise(n / 2), F.when(low, x).otherwise(y)
+    s = F.struct(a.alias("a"), b.alias("b"), v.alias("v"))
+    d0 = F.try_divide(F.lit(1.0), 1 - (a + b) * v / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"), s.alias("s"))
+    one = lambda z: F.coalesce(F.try_divide(F.lit(1.0), z), F.lit(1e300))
+
+    def step(acc: Column, m: Column) -> Column:
+        p, q, u = acc["s"]["a"], acc["s"]["b"], acc["s"]["v"]
+        even = m * (q - m) * u / ((p - 1 + 2 * m) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * u / ((p + 2 * m) * (p + 1 + 2 * m))
+        return F.transform(F.array(F.struct(one(1 + even * acc["d"]).alias("d"), (1 + even / acc["c"]).alias("c"))), lambda e: F.transform(
+            F.array(F.struct(one(1 + odd * e["d"]).alias("d"), (1 + odd / e["c"]).alias("c"))),
+            lambda o: F.struct(o["c"].alias("c"), o["d"].alias("d"), (acc["h"] * e["d"] * e["c"] * o["d"] * o["c"]).alias("h"), acc["s"].alias("s")),
+        )[0])[0]
+
+    steps = F.sequence(F.lit(1), (F.lit(60) + F.ceil(4 * F.sqrt(n))).cast("int"))
+    fraction = F.aggregate(steps, start, step, lambda acc: acc["h"])
+    front = F.exp(n / 2 * F.log1p(-y) + F.log(y) / 2 + _gamma_ratio(n / 2) - F.log(F.pi()) / 2)
+    tail = front * fraction / a
+    return F.when(df < 1, None).when(t2 == 0, 1.0).when(low, tail).otherwise(1 - tail)
+
+
+def point_biserial(df: DataFrame, response: str, event: str, keys: list[str] | None = None) -> DataFrame:
     """n, n_event, n_no_event, correlation_r, p_value and status of the correlation of a number with a 0/1 class.
 
     INSUFFICIENT_DATA if there are fewer than five pairs, other classes than 0 and 1, fewer than two of either, or
-    one response only. Pairs with a null are left out. Beyond `exact_df` degrees of freedom the normal limit of the
-    t distribution gives p (the series would have as many terms as rows).
+    one response only. Pairs with a null are left out.
     """
     keys = keys or []
     d = df.select(*keys, F.col(response).cast("double").alias("y"), F.col(event).cast("double").alias("x")).where("y IS NOT NULL AND x IS NOT NULL AND NOT isnan(y)")
@@ -107,11 +127,6 @@ def point_biserial(df: DataFrame, response: str, event: str, keys: list[str] | N
     enough = (F.col("n") >= 5) & (F.col("n_event") + F.col("n_no_event") == F.col("n")) & (F.col("n_event") >= 2) & (F.col("n_no_event") >= 2) & F.coalesce("varied", F.lit(False))
     r = F.when(enough, F.col("r"))
     t = F.try_divide(r * F.sqrt(F.col("n") - 2.0), F.sqrt(F.greatest(F.lit(0.0), 1 - r * r)))
-    # upper tail of the normal distribution by the Abramowitz-Stegun 26.2.17 polynomial
-    z = F.abs(t)
-    u = 1 / (1 + 0.2316419 * z)
-    tail = F.exp(-z * z / 2) / F.sqrt(2 * F.pi()) * u * (0.319381530 + u * (-0.356563782 + u * (1.781477937 + u * (-1.821255978 + u * 1.330274429))))
-    degrees = (F.col("n") - 2).cast("int")
-    p = F.when(degrees <= exact_df, student_p(t, F.greatest(F.lit(1), F.least(degrees, F.lit(exact_df))))).otherwise(2 * tail)
+    p = student_p(t, F.greatest(F.lit(1), F.col("n") - 2))
     status = F.when(~enough, "INSUFFICIENT_DATA").when(r.isNull() | F.isnan(r), "INVALID_NUMERICAL_RESULT").otherwise("OK")
     return a.select(*keys, "n", "n_event", "n_no_event", r.alias("correlation_r"), F.when(enough, F.when(F.abs(r) >= 1, 0.0).otherwise(p)).alias("p_value"), status.alias("status"))

@@ -44,13 +44,10 @@ def corrected(v: DataFrame, shifts: DataFrame, water: DataFrame | None = None, l
     ys) while the other lies inside; else that towards the land reference (line, x, y); else the vertex is not moved and has
     method 'undetermined'. Vertices that coincide with their neighbours have no normal.
     """
-    prev = v.select("line", (F.col("seq") + 1).alias("seq"), F.struct("x", "y").alias("p"))
-    nxt = v.select("line", (F.col("seq") - 1).alias("seq"), F.struct("x", "y").alias("n"))
-    j = v.join(prev, ["line", "seq"], "left").join(nxt, ["line", "seq"], "left")
-    here = F.struct("x", "y")
-    a, b = F.coalesce("p", here), F.coalesce("n", here)
+    here = F.struct("seq", "x", "y")
+    a, b = F.coalesce("before", here), F.coalesce("after", here)
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    j = j.withColumn("d", F.hypot(dx, dy)).withColumns({"nx": F.try_divide(-dy, F.col("d")), "ny": F.try_divide(dx, F.col("d"))}).drop("p", "n")
+    j = lines.neighbours(v).withColumn("d", F.hypot(dx, dy)).withColumns({"nx": F.try_divide(-dy, F.col("d")), "ny": F.try_divide(dx, F.col("d"))}).drop("before", "after", "block")
     side = F.lit(None).cast("double")
     method = F.lit(None).cast("string")
     if water is not None:
@@ -81,8 +78,6 @@ def methods(moved: DataFrame) -> DataFrame:
 
 def land_reference(v: DataFrame, distance: float = 300.0) -> DataFrame:
     """line, x, y: the point `distance` to the left of each line's middle."""
-    segs = lines.segments(v)
-    mid = lines.lengths(segs).select("line", F.lit(0).alias("k"), (F.col("length") / 2).alias("d"))
-    at = lines.locate(segs, mid, "d", ["k"])
-    t = lines.tangents(segs, mid, F.least(F.lit(10.0), F.greatest(F.lit(0.5), F.col("_l") / 10_000)))
-    return at.join(t, ["line", "k"]).select("line", (F.col("x") - F.col("ty") * distance).alias("x"), (F.col("y") + F.col("tx") * distance).alias("y"))
+    window = F.least(F.lit(10.0), F.greatest(F.lit(0.5), F.col("length") / 10_000))
+    at = lines.at_steps(lines.segments(v), F.col("length") / 2, F.lit(1), window=window).where("k = 1")
+    return at.select("line", (F.col("x") - F.col("ty") * distance).alias("x"), (F.col("y") + F.col("tx") * distance).alias("y"))

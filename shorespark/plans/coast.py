@@ -9,7 +9,8 @@ from shorespark.functions import labels
 from shorespark.functions.geo import same_longitude, with_degrees, with_utm
 from shorespark.functions.places import places
 from shorespark.operators import catalog, change, exposure, intervals, lines, quality, scenario, spatial, storms, tides
-from shorespark.plans.sqltext import USABLE_SQL, utm_cte
+from shorespark.operators.clocks import instant_column
+from shorespark.plans.sqltext import SCENES_SQL, USABLE_SQL, utm_cte
 from shorespark.sources.tables import table
 
 QUERIES: dict = {}
@@ -55,14 +56,14 @@ def baselines(spark: SparkSession, d: str) -> DataFrame:
 def shore_vertices(spark: SparkSession, d: str) -> DataFrame:
     """The last known shoreline of each beach: the transects' origins moved by their last position."""
     t, r = table(spark, d, "transects"), table(spark, d, "transect_rates")
-    one = r.where("last_position_m BETWEEN -500 AND 500").groupBy("transect_id").agg(F.min_by("last_position_m", "rate_id").alias("p"))
+    one = r.where("last_position_m IS NOT NULL").groupBy("transect_id").agg(F.min_by("last_position_m", "rate_id").alias("p"))
     j = t.join(one, "transect_id", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
     moved = j.select("beach_code", "chainage_m", (F.col("baseline_x") + F.col("p") * F.col("positive_dx")).alias("x"), (F.col("baseline_y") + F.col("p") * F.col("positive_dy")).alias("y"))
     return lines.vertices(moved, "beach_code", "chainage_m", "x", "y", step=50.0)
 
 
 VERTEX_SQL = "v AS (SELECT beach_code AS line, CAST(round(chainage_m / 50) AS BIGINT) AS seq, baseline_x AS x, baseline_y AS y FROM transects)"
-SHORE_SQL = """one AS (SELECT transect_id, arg_min(last_position_m, rate_id) AS p FROM transect_rates WHERE last_position_m BETWEEN -500 AND 500 GROUP BY 1),
+SHORE_SQL = """one AS (SELECT transect_id, arg_min(last_position_m, rate_id) AS p FROM transect_rates WHERE last_position_m IS NOT NULL GROUP BY 1),
 w AS (SELECT beach_code AS line, CAST(round(chainage_m / 50) AS BIGINT) AS seq, baseline_x + coalesce(p, 0) * positive_dx AS x, baseline_y + coalesce(p, 0) * positive_dy AS y FROM transects LEFT JOIN one USING (transect_id))"""
 
 
@@ -149,16 +150,23 @@ def _shore_segments(spark: SparkSession, d: str) -> DataFrame:
     return lines.segments(shore_vertices(spark, d)).select(F.col("line").alias("g"), F.col("seq").alias("id"), "x1", "y1", "x2", "y2")
 
 
-@query()
+_NUDGED = _CROSS.replace("baseline_x - 100 * positive_dx AS", "baseline_x - 100 * positive_dx + 7.3 * positive_dy AS").replace("baseline_y - 100 * positive_dy AS", "baseline_y - 100 * positive_dy - 7.3 * positive_dx AS").replace("baseline_x + 300 * positive_dx AS", "baseline_x + 300 * positive_dx + 7.3 * positive_dy AS").replace("baseline_y + 300 * positive_dy AS", "baseline_y + 300 * positive_dy - 7.3 * positive_dx AS")
+
+
+@query(f"{_NUDGED} SELECT g, id AS a_id, seq AS b_id, round(t, 6) AS t, round(x, 3) AS x, round(y, 3) AS y FROM k")
 def transect_crossings(spark: SparkSession, d: str) -> DataFrame:
-    """Every crossing; its number per transect depends on the last bit where a shore vertex lies on the transect."""
-    return rounded(lines.crossings(_transect_segments(spark, d), _shore_segments(spark, d)), 3)
+    """Every crossing of the last shorelines with the transects moved 7.3 m along the coast, off the shores' vertices."""
+    t = table(spark, d, "transects")
+    end = lambda c, o, f, e: F.col(f"baseline_{c}") + F.lit(f) * F.col(f"positive_d{c}") + F.lit(e) * F.col(f"positive_d{o}")
+    moved = t.select(F.col("beach_code").alias("g"), F.col("transect_id").alias("id"), end("x", "y", -100.0, 7.3).alias("x1"), end("y", "x", -100.0, -7.3).alias("y1"), end("x", "y", 300.0, 7.3).alias("x2"), end("y", "x", 300.0, -7.3).alias("y2"))
+    got = lines.crossings(moved, _shore_segments(spark, d))
+    return got.select("g", "a_id", "b_id", F.round("t", 6).alias("t"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query(f"{_CROSS}, p AS (SELECT DISTINCT g, id, round(t * 400 - 100, 6) AS p FROM k), b AS (SELECT g, id, arg_min(p, abs(p)) AS position_m FROM p GROUP BY 1, 2) SELECT a.g, a.id, round(b.position_m, 5) + 0.0 AS position_m FROM a LEFT JOIN b USING (g, id)")
+@query(f"{_CROSS}, p AS (SELECT DISTINCT g, id, round(t * 400 - 100, 6) AS p FROM k), b AS (SELECT g, id, arg_min(p, abs(p)) AS position_m, count(*) AS n FROM p GROUP BY 1, 2), q AS (SELECT DISTINCT line AS g FROM z) SELECT a.g, a.id, round(b.position_m, 5) + 0.0 AS position_m, CAST(coalesce(n, 0) AS BIGINT) AS candidate_count, CASE WHEN n IS NULL THEN 'no_intersection' WHEN n = 1 THEN 'single_point' ELSE 'nearest_of_multiple' END AS intersection_method FROM a JOIN q USING (g) LEFT JOIN b USING (g, id)")
 def nearest_crossing(spark: SparkSession, d: str) -> DataFrame:
     shores = _shore_segments(spark, d).withColumn("shore", F.lit(1))
-    return lines.nearest_crossings(_transect_segments(spark, d), shores, 100.0).select("g", "id", (F.round("position_m", 5) + 0.0).alias("position_m"))
+    return lines.nearest_crossings(_transect_segments(spark, d), shores, 100.0).select("g", "id", (F.round("position_m", 5) + 0.0).alias("position_m"), F.col("candidate_count").cast("long"), "intersection_method")
 
 
 @query(f"WITH {VERTEX_SQL}, e AS (SELECT line, arg_min(y, seq) AS ya, arg_max(y, seq) AS yb, max(seq) AS m FROM v GROUP BY 1) SELECT line, CASE WHEN ya < yb THEN m - seq ELSE seq END AS seq, round(x, 3) AS x, round(y, 3) AS y FROM v JOIN e USING (line)")
@@ -166,27 +174,55 @@ def orient_lines(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lines.north_to_south(baselines(spark, d)), 3)
 
 
-@query("WITH s AS (SELECT beach_code AS line, chainage_m AS part FROM transects), n AS (SELECT line, max(part) AS m FROM s GROUP BY 1) SELECT line, count(*) AS parts FROM s JOIN n USING (line) WHERE part < m GROUP BY 1")
+@query(f"""WITH {VERTEX_SQL}, {_segment_sql('v', 's')}, e AS (SELECT line, max(seq) AS m, arg_min((x1, y1), seq) AS a, arg_max((x2, y2), seq) AS b FROM s GROUP BY 1)
+SELECT line, seq AS part, CAST(CASE WHEN a < b THEN seq ELSE m - seq END AS INTEGER) AS place, (seq % 2 = 1) = (a < b) AS turned FROM s JOIN e USING (line)""")
 def merge_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Segments of every baseline given as loose parts, half of them turned round, put together again."""
+    """Segments of every baseline given as loose parts, half of them turned round, put together again from the end with
+    the smaller coordinates."""
     s = lines.segments(baselines(spark, d))
     odd = F.col("seq") % 2 == 1
     pick = lambda a, b: F.when(odd, F.col(b)).otherwise(F.col(a))
     parts = s.select("line", F.col("seq").alias("part"), pick("x1", "x2").alias("x1"), pick("y1", "y2").alias("y1"), pick("x2", "x1").alias("x2"), pick("y2", "y1").alias("y2"))
-    return lines.merged_order(parts).groupBy("line").agg(F.count("*").alias("parts"))
+    return lines.merged_order(parts)
 
 
-@query()
+_OFFSET = """oa AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS qx, lead(y) OVER w AS qy FROM v WINDOW w AS (PARTITION BY line ORDER BY seq)),
+ob AS (SELECT *, (x - px) / sqrt(pow(x - px, 2) + pow(y - py, 2)) AS ux, (y - py) / sqrt(pow(x - px, 2) + pow(y - py, 2)) AS uy, (qx - x) / sqrt(pow(qx - x, 2) + pow(qy - y, 2)) AS wx, (qy - y) / sqrt(pow(qx - x, 2) + pow(qy - y, 2)) AS wy FROM oa),
+oc AS (SELECT line, seq, x, y, coalesce((ux + wx) / 2, ux, wx) AS mx, coalesce((uy + wy) / 2, uy, wy) AS my FROM ob)"""
+
+
+@query(f"""WITH RECURSIVE {SHORE_SQL}, r(line, a, b) AS (SELECT line, min(seq), max(seq) FROM w GROUP BY 1 UNION ALL
+SELECT line, unnest([a, m]), unnest([m, b]) FROM (SELECT r.line, r.a, r.b, arg_max(v.seq, (hypot_, -v.seq)) AS m, max(hypot_) AS far FROM r JOIN w p ON p.line = r.line AND p.seq = r.a JOIN w q ON q.line = r.line AND q.seq = r.b JOIN w v ON v.line = r.line AND v.seq > r.a AND v.seq < r.b,
+LATERAL (SELECT greatest(0, least(1, coalesce(((v.x - p.x) * (q.x - p.x) + (v.y - p.y) * (q.y - p.y)) / nullif(pow(q.x - p.x, 2) + pow(q.y - p.y, 2), 0), 0))) AS t) AS tt,
+LATERAL (SELECT sqrt(pow(v.x - p.x - t * (q.x - p.x), 2) + pow(v.y - p.y - t * (q.y - p.y), 2)) AS hypot_) AS hh GROUP BY 1, 2, 3) WHERE far > 2),
+kept AS (SELECT line, a AS seq FROM r UNION SELECT line, b FROM r)
+SELECT line, seq, round(x, 3) AS x, round(y, 3) AS y FROM w JOIN kept USING (line, seq)""")
 def line_simplify(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lines.simplified(shore_vertices(spark, d), 2.0), 3)
 
 
-@query()
+@query(f"WITH {VERTEX_SQL}, {_OFFSET} SELECT line, seq, round(x - coalesce(my, 0) * coalesce(25 / (mx * mx + my * my), 0), 3) AS x, round(y + coalesce(mx, 0) * coalesce(25 / (mx * mx + my * my), 0), 3) AS y FROM oc")
 def line_offset(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lines.offset_points(baselines(spark, d), 25.0), 3)
 
 
 @query()
+def line_offset_curve(spark: SparkSession, d: str) -> DataFrame:
+    """The curves 40 m seaward with round corners, and whether each crosses itself."""
+    c = lines.offset_curve(baselines(spark, d), -40.0).withColumn("order", F.col("seq") * 1000 + F.col("place"))
+    v = places(c, ["line"], "order", 4096_000.0, "n").select("line", F.col("n").alias("seq"), "x", "y")
+    return rounded(v.join(lines.self_crossings(v).withColumnRenamed("n", "self_crossings"), "line"), 3)
+
+
+@query(f"WITH {VERTEX_SQL}, {_segment_sql('v', 's')}, l AS (SELECT line, sum(len) AS length FROM s GROUP BY 1), n AS (SELECT line, count(*) AS n_vertices, arg_min(y, seq) > arg_max(y, seq) AS north_to_south FROM v GROUP BY 1) SELECT line, n_vertices, round(length, 3) AS length_m, true AS simple, north_to_south, n_vertices BETWEEN 20 AND 60 AND north_to_south AS fit FROM n JOIN l USING (line)")
+def arc_checks(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(lines.arc_checks(baselines(spark, d), 20, 60), 3)
+
+
+@query(f"""WITH {VERTEX_SQL}, {_OFFSET}, n AS (SELECT line, count(*) AS n FROM v GROUP BY 1), back AS (SELECT line, 2 * n - 1 - seq AS seq, x - coalesce(my, 0) * coalesce(200 / (mx * mx + my * my), 0) AS x, y + coalesce(mx, 0) * coalesce(200 / (mx * mx + my * my), 0) AS y FROM oc JOIN n USING (line)),
+ring AS (SELECT line, seq, x, y FROM v UNION ALL SELECT * FROM back), k AS (SELECT line, seq, sqrt(pow(x - coalesce(lead(x) OVER w, first(x) OVER w), 2) + pow(y - coalesce(lead(y) OVER w, first(y) OVER w), 2)) AS len FROM ring WINDOW w AS (PARTITION BY line ORDER BY seq)),
+l AS (SELECT line, sum(len) FILTER (seq < n - 1) AS there, sum(len) FILTER (seq >= n - 1) AS around FROM k JOIN n USING (line) GROUP BY 1)
+SELECT line, 1 AS direction, seq, round(x, 3) AS x, round(y, 3) AS y FROM v JOIN l USING (line) WHERE there IS NOT NULL AND NOT around BETWEEN 0.99 * there AND 1.05 * there""")
 def ring_arcs(spark: SparkSession, d: str) -> DataFrame:
     """The vertices of every beach's closed outline (baseline and back 200 m inland) on the arc along its baseline."""
     v = baselines(spark, d)
@@ -196,14 +232,23 @@ def ring_arcs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lines.ring_arc(v.unionByName(back), anchors, 1.0), 3)
 
 
-@query()
+@query("""WITH r AS (SELECT beach_code AS g, CAST(round(chainage_m / 50) AS BIGINT) AS c, min(last_position_m) AS v FROM transect_rates WHERE last_position_m IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY c) - 1 AS i, count(*) OVER (PARTITION BY g) AS n, v FROM r),
+m AS (SELECT p.g, p.i, p.n, any_value(p.v) AS v, median(q.v) AS m FROM p, range(-2, 3) k(k), p q WHERE q.g = p.g AND q.i = least(p.n - 1, greatest(0, p.i + k)) GROUP BY 1, 2, 3),
+s AS (SELECT m.g, m.i, m.n, any_value(m.v) AS v, sum(q.m * exp(-k * k / 2.0)) / sum(exp(-k * k / 2.0)) AS s FROM m, range(-4, 5) k(k), m q WHERE q.g = m.g AND q.i = least(m.n - 1, greatest(0, m.i + k)) GROUP BY 1, 2, 3)
+SELECT g AS beach_code, i, round(CASE WHEN n < 5 THEN v ELSE s END, 4) + 0.0 AS v FROM s""")
 def smooth_median_gauss(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "transect_rates").where("last_position_m IS NOT NULL").groupBy("beach_code", F.round(F.col("chainage_m") / 50).cast("long").alias("c")).agg(F.min("last_position_m").alias("v"))
     placed = places(r, ["beach_code"], "c", 4096.0, "i")
     return rounded(lines.smoothed(placed.select("beach_code", "i", "v"), "beach_code", "i", "v"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT beach_code AS g, CAST(round(chainage_m / 50) AS BIGINT) AS i, unnest([first_position_m, last_position_m, lrr_position_at_reference_m]) AS p FROM transect_rates),
+l AS (SELECT g, i, list(p) AS a, list(p) FILTER (p BETWEEN -250 AND 60) AS b FROM c WHERE p IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT g, i, CASE WHEN len(b) > 0 THEN b ELSE a END AS ps, row_number() OVER (PARTITION BY g ORDER BY i) AS n FROM l),
+f(g, n, i, prev, taken) AS (SELECT g, n, i, list_sort(list_transform(ps, lambda p: (abs(p), p)))[1][2], true FROM o WHERE n = 1 UNION ALL
+SELECT g, n, i, CASE WHEN abs(best - prev) <= 80 THEN best ELSE prev END, abs(best - prev) <= 80 FROM (SELECT o.g, o.n, o.i, f.prev, list_sort(list_transform(o.ps, lambda p: (abs(p - f.prev) + 0.08 * abs(p), p)))[1][2] AS best FROM f JOIN o ON o.g = f.g AND o.n = f.n + 1))
+SELECT g AS beach_code, i, round(prev, 4) + 0.0 AS p FROM f WHERE taken""")
 def guided_continuity(spark: SparkSession, d: str) -> DataFrame:
     """One position per station by the continuity fold over first, last and reference positions as candidates."""
     r = table(spark, d, "transect_rates").select("beach_code", F.round(F.col("chainage_m") / 50).cast("long").alias("i"), F.explode(F.array("first_position_m", "last_position_m", "lrr_position_at_reference_m")).alias("p"))
@@ -212,12 +257,18 @@ def guided_continuity(spark: SparkSession, d: str) -> DataFrame:
 
 # --- rates ---------------------------------------------------------------------------------------------------------
 
-OBS = "obs AS (SELECT series_id AS id, 2017 + pass_no // 23 AS year, position_m AS p FROM storm_scene_join), y AS (SELECT id, year, avg(p) AS p FROM obs WHERE p IS NOT NULL GROUP BY 1, 2)"
+OBS = SCENES_SQL + ", obs AS (SELECT series_id AS id, year(make_timestamp(us)) AS year, position_m AS p FROM sc), y AS (SELECT id, year, avg(p) AS p FROM obs WHERE p IS NOT NULL AND year IS NOT NULL GROUP BY 1, 2)"
+
+
+def _scene_times(spark: SparkSession, d: str) -> DataFrame:
+    """The scenes with the instant t that their time text states."""
+    s = table(spark, d, "storm_scene_join").select("obs_id", "sector_id", "series_id", "position_m", "acquired_at", "clock_zone")
+    return instant_column(s, "acquired_at", "clock_zone", "t").drop("acquired_at", "clock_zone")
 
 
 def _observations(spark: SparkSession, d: str) -> DataFrame:
-    """Positions by series and year, 23 passes making a year."""
-    return table(spark, d, "storm_scene_join").select(F.col("series_id").alias("id"), (2017 + F.floor(F.col("pass_no") / 23)).cast("int").alias("year"), F.col("position_m").alias("p"))
+    """Positions by series and year of the scene; scenes without a readable time have no year."""
+    return _scene_times(spark, d).select(F.col("series_id").alias("id"), F.year(F.timestamp_micros("t")).alias("year"), F.col("position_m").alias("p"))
 
 
 @query(f"WITH {OBS}, g AS (SELECT id, count(*) AS n_observations, min(year) AS first_year, max(year) AS last_year, arg_min(p, year) AS a, arg_max(p, year) AS b FROM y GROUP BY 1) SELECT id, n_observations, CAST(first_year AS INTEGER) AS first_year, CAST(last_year AS INTEGER) AS last_year, round(a, 8) AS first_position_m, round(b, 8) AS last_position_m, CASE WHEN last_year > first_year THEN round(b - a, 8) + 0.0 END AS nsm_m, CASE WHEN last_year > first_year THEN round((b - a) / (last_year - first_year), 8) + 0.0 END AS epr_m_per_year FROM g")
@@ -293,29 +344,29 @@ def _notices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "storm_scene_join").select("obs_id", "sector_id", F.unix_micros("ingested_at").alias("t"))
+    s = _scene_times(spark, d).select("obs_id", "sector_id", "t")
     return storms.tagged(s, "obs_id", "t", _notices(spark, d), "event_id", "s", "e", ["sector_id"])
 
 
-_EV = f"ev AS (SELECT sector_id, event_id, epoch_us(CAST(start_date AS TIMESTAMP)) AS s, epoch_us(CAST(end_date AS TIMESTAMP)) AS e FROM ({USABLE_SQL})), sc AS (SELECT obs_id, sector_id, epoch_us(ingested_at) AS t FROM storm_scene_join)"
+_EV = f"{SCENES_SQL}, ev AS (SELECT sector_id, event_id, epoch_us(CAST(start_date AS TIMESTAMP)) AS s, epoch_us(CAST(end_date AS TIMESTAMP)) AS e FROM ({USABLE_SQL}))"
 
 
-@query(f"WITH {_EV}, h AS (SELECT obs_id, count(*) AS n, string_agg(event_id, ';' ORDER BY s, event_id) AS ids FROM sc JOIN ev ON sc.sector_id = ev.sector_id AND t BETWEEN s - 259200000000 AND e + 259200000000 GROUP BY 1) SELECT obs_id, CASE WHEN n IS NULL THEN 0 ELSE 1 END AS official_storm_event, CAST(coalesce(n, 0) AS INTEGER) AS official_event_count, coalesce(ids, '') AS official_event_ids FROM sc LEFT JOIN h USING (obs_id)")
+@query(f"WITH {_EV}, h AS (SELECT obs_id, count(*) AS n, string_agg(event_id, ';' ORDER BY s, event_id) AS ids FROM sc JOIN ev ON sc.sector_id = ev.sector_id AND us BETWEEN s - 259200000000 AND e + 259200000000 GROUP BY 1) SELECT obs_id, CASE WHEN n IS NULL THEN 0 ELSE 1 END AS official_storm_event, CAST(coalesce(n, 0) AS INTEGER) AS official_event_count, coalesce(ids, '') AS official_event_ids FROM sc LEFT JOIN h USING (obs_id)")
 def storm_interval_join(spark: SparkSession, d: str) -> DataFrame:
     return _tagged(spark, d).select("obs_id", "official_storm_event", "official_event_count", "official_event_ids")
 
 
-@query(f"WITH {_EV}, h AS (SELECT obs_id, min(greatest(0, s - t, t - e)) AS m FROM sc JOIN ev ON sc.sector_id = ev.sector_id GROUP BY 1) SELECT obs_id, round(m / 86400000000.0, 4) AS nearest_official_event_days FROM sc LEFT JOIN h USING (obs_id)")
+@query(f"WITH {_EV}, h AS (SELECT obs_id, min(greatest(0, s - us, us - e)) AS m FROM sc JOIN ev ON sc.sector_id = ev.sector_id WHERE us IS NOT NULL GROUP BY 1) SELECT obs_id, m / 86400000000.0 AS nearest_official_event_days FROM sc LEFT JOIN h USING (obs_id)")
 def storm_nearest_event(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_tagged(spark, d).select("obs_id", "nearest_official_event_days"))
+    return _tagged(spark, d).select("obs_id", "nearest_official_event_days")
 
 
-@query(f"""WITH m AS (SELECT series_id, epoch_us(ingested_at) AS t, median(position_m) AS p FROM storm_scene_join WHERE position_m IS NOT NULL GROUP BY 1, 2),
+@query(f"""WITH {SCENES_SQL}, m AS (SELECT series_id, us AS t, median(position_m) AS p FROM sc WHERE position_m IS NOT NULL AND us IS NOT NULL GROUP BY 1, 2),
 y AS (SELECT *, (t - min(t) OVER (PARTITION BY series_id)) / {storms.YEAR!r} AS y FROM m),
 f AS (SELECT series_id, count(*) AS n, regr_slope(p, y) AS b, avg(p) AS mp, avg(y) AS my FROM y GROUP BY 1)
 SELECT series_id, t, round(p, 4) + 0.0 AS position_m, CASE WHEN n >= 3 THEN round(mp + b * (y - my), 4) + 0.0 END AS position_trend_m, CASE WHEN n >= 3 THEN round(p - (mp + b * (y - my)), 4) + 0.0 END AS position_anomaly_m FROM y JOIN f USING (series_id)""")
 def position_anomaly_detrend(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "storm_scene_join").select("series_id", F.unix_micros("ingested_at").alias("t"), "position_m")
+    s = _scene_times(spark, d).select("series_id", "t", "position_m")
     return rounded(storms.anomalies(s, ["series_id"], "t", "position_m"))
 
 
@@ -326,9 +377,15 @@ def storm_point_biserial(spark: SparkSession, d: str) -> DataFrame:
     return rounded(r.drop("p_value"))
 
 
-@query()
+@query("""WITH d AS (SELECT sector_id, position_anomaly_m AS y, official_storm_event AS x FROM storm_scene_join WHERE position_anomaly_m IS NOT NULL AND official_storm_event IS NOT NULL),
+g AS (SELECT sector_id, count(*) AS n, count(*) FILTER (x = 1) AS n1, count(*) FILTER (x = 0) AS n0, corr(x, y) AS r FROM d GROUP BY 1 HAVING count(*) >= 5 AND count(*) FILTER (x = 1) >= 2 AND count(*) FILTER (x = 0) >= 2),
+a AS (SELECT *, n - 2 AS k, atan(abs(r) / sqrt(1 - r * r)) AS theta FROM g),
+i AS (SELECT sector_id, sum(CASE WHEN j IN (0, 2000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * pow(cos(theta * j / 2000.0), k - 1)) * theta / 6000 AS area FROM a, range(2001) q(j) GROUP BY sector_id, theta)
+SELECT sector_id, n, round(1 - 2 * exp(lgamma((k + 1) / 2.0) - lgamma(k / 2.0)) / sqrt(pi()) * area, 6) AS p_value FROM a JOIN i USING (sector_id)""")
 def storm_point_biserial_p(spark: SparkSession, d: str) -> DataFrame:
-    return storms.point_biserial(table(spark, d, "storm_scene_join"), "position_anomaly_m", "official_storm_event", ["sector_id"])
+    """p of the sectors with enough pairs; its SQL integrates the density of Student's t."""
+    r = storms.point_biserial(table(spark, d, "storm_scene_join"), "position_anomaly_m", "official_storm_event", ["sector_id"])
+    return r.where("status = 'OK'").select("sector_id", "n", F.round("p_value", 6).alias("p_value"))
 
 
 # --- exposure ------------------------------------------------------------------------------------------------------
@@ -394,23 +451,51 @@ def nearest_feature_click(spark: SparkSession, d: str) -> DataFrame:
     return exposure.nearest_feature([("building", b), ("transect", t)], "key", "m")
 
 
-@query()
+_SHORE = f"WITH {SHORE_SQL}, {_segment_sql('w', 'z')}"
+_BUILT = f"""bd AS (SELECT osm, p.lon AS lon, p.lat AS lat FROM (SELECT lower(trim(osm_id)) AS osm, min(struct_pack(lon := longitude, lat := latitude)) AS p FROM buildings_risk GROUP BY 1)),
+{utm_cte('bu', 'bd', 'lon', 'lat', 'px', 'py')}"""
+
+
+def _far_sql(px: str, py: str, s: str) -> str:
+    """Distance of a point from the segment s (x1..y2)."""
+    t = f"greatest(0, least(1, coalesce((({px} - {s}.x1) * ({s}.x2 - {s}.x1) + ({py} - {s}.y1) * ({s}.y2 - {s}.y1)) / nullif(pow({s}.x2 - {s}.x1, 2) + pow({s}.y2 - {s}.y1, 2), 0), 0)))"
+    return f"sqrt(pow({px} - {s}.x1 - {t} * ({s}.x2 - {s}.x1), 2) + pow({py} - {s}.y1 - {t} * ({s}.y2 - {s}.y1), 2))"
+
+
+def _margin_sql(s: str) -> str:
+    """CTEs mg: per building its nearest segment of s with distance and side; at a shared vertex the one more across."""
+    return f"""ma AS (SELECT osm, s.line, s.seq, {_far_sql('px', 'py', 's')} AS d, (s.x2 - s.x1) * (py - s.y1) - (s.y2 - s.y1) * (px - s.x1) AS c, s.len FROM bu CROSS JOIN {s} s),
+mg AS (SELECT osm, arg_min(line, k) AS line, arg_min(d, k) AS d, arg_min(sign(c), k) AS side FROM (SELECT *, (round(d, 6), -abs(coalesce(c / nullif(len, 0), 0)), seq) AS k FROM ma) GROUP BY 1)"""
+
+
+@query(f"""{_SHORE},
+a AS (SELECT transect_id AS id, baseline_x - 100 * positive_dx AS ax1, baseline_y - 100 * positive_dy AS ay1, baseline_x + 300 * positive_dx AS ax2, baseline_y + 300 * positive_dy AS ay2 FROM transects),
+j AS (SELECT a.*, z.x1 AS bx, z.y1 AS by_, z.x2 - z.x1 AS ux, z.y2 - z.y1 AS uy, z.len AS ul, ax2 - ax1 AS dx, ay2 - ay1 AS dy FROM a JOIN z ON least(ax1, ax2) - 45 <= greatest(z.x1, z.x2) AND greatest(ax1, ax2) + 45 >= least(z.x1, z.x2) AND least(ay1, ay2) - 45 <= greatest(z.y1, z.y2) AND greatest(ay1, ay2) + 45 >= least(z.y1, z.y2)),
+q AS (SELECT *, dx * dx + dy * dy AS aa, ((ax1 - bx) * ux + (ay1 - by_) * uy) / ul AS al, (dx * ux + dy * uy) / ul AS ad, ((ay1 - by_) * ux - (ax1 - bx) * uy) / ul AS cl, (dy * ux - dx * uy) / ul AS cd, (ax1 - bx) * dx + (ay1 - by_) * dy AS h1, pow(ax1 - bx, 2) + pow(ay1 - by_, 2) - 2025 AS e1, (ax1 - bx - ux) * dx + (ay1 - by_ - uy) * dy AS h2, pow(ax1 - bx - ux, 2) + pow(ay1 - by_ - uy, 2) - 2025 AS e2 FROM j),
+f AS (SELECT *, h1 * h1 - aa * e1 AS d1, h2 * h2 - aa * e2 AS d2, CASE WHEN ad = 0 THEN CASE WHEN al BETWEEN 0 AND ul THEN -1e300 ELSE 1e300 END ELSE least((0 - al) / ad, (ul - al) / ad) END AS s0, CASE WHEN ad = 0 THEN CASE WHEN al BETWEEN 0 AND ul THEN 1e300 ELSE -1e300 END ELSE greatest((0 - al) / ad, (ul - al) / ad) END AS s1, CASE WHEN cd = 0 THEN CASE WHEN abs(cl) <= 45 THEN -1e300 ELSE 1e300 END ELSE least((-45 - cl) / cd, (45 - cl) / cd) END AS c0, CASE WHEN cd = 0 THEN CASE WHEN abs(cl) <= 45 THEN 1e300 ELSE -1e300 END ELSE greatest((-45 - cl) / cd, (45 - cl) / cd) END AS c1 FROM q),
+g AS (SELECT id, aa, greatest(0, least(CASE WHEN d1 >= 0 THEN (-h1 - sqrt(greatest(d1, 0))) / aa ELSE 2 END, CASE WHEN d2 >= 0 THEN (-h2 - sqrt(greatest(d2, 0))) / aa ELSE 2 END, CASE WHEN greatest(s0, c0) <= least(s1, c1) THEN greatest(s0, c0) ELSE 2 END)) AS t0, least(1, greatest(CASE WHEN d1 >= 0 THEN (-h1 + sqrt(greatest(d1, 0))) / aa ELSE -1 END, CASE WHEN d2 >= 0 THEN (-h2 + sqrt(greatest(d2, 0))) / aa ELSE -1 END, CASE WHEN greatest(s0, c0) <= least(s1, c1) THEN least(s1, c1) ELSE -1 END)) AS t1 FROM f),
+o AS (SELECT id, aa, t0, t1, max(t1) OVER (PARTITION BY id ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM g WHERE t0 < t1),
+e AS (SELECT id, sum(greatest(0, t1 - greatest(t0, coalesce(b, 0))) * sqrt(aa)) AS l FROM o GROUP BY 1)
+SELECT id, round(coalesce(l, 0), 4) AS exposed_length_m FROM a LEFT JOIN e USING (id)""")
 def exposed_lengths(spark: SparkSession, d: str) -> DataFrame:
-    """Length of each transect that lies within its beach's retreat of the last shoreline, for all transects."""
+    """Length of each transect that lies within 45 m of a last shoreline, for all transects."""
     t = _transect_segments(spark, d).select("id", "x1", "y1", "x2", "y2").withColumn("reach", F.lit(45.0))
     s = _shore_segments(spark, d).select(F.concat_ws(":", "g", "id").alias("id"), "x1", "y1", "x2", "y2")
     return rounded(exposure.exposed_length(t, s, "reach"))
 
 
-@query()
+@query(f"""{_SHORE}, {VERTEX_SQL}, {_segment_sql('v', 's')},
+p AS (SELECT s.line, s.seq, least({_far_sql('s.x1', 's.y1', 'z')}, {_far_sql('s.x2', 's.y2', 'z')}, {_far_sql('z.x1', 'z.y1', 's')}, {_far_sql('z.x2', 'z.y2', 's')}) AS d, (s.x2 - s.x1) * (z.y2 - z.y1) - (s.y2 - s.y1) * (z.x2 - z.x1) AS det, (z.x1 - s.x1) * (z.y2 - z.y1) - (z.y1 - s.y1) * (z.x2 - z.x1) AS ta, (z.x1 - s.x1) * (s.y2 - s.y1) - (z.y1 - s.y1) * (s.x2 - s.x1) AS ua FROM s CROSS JOIN z)
+SELECT line || ':' || seq AS id, round(min(CASE WHEN ta / nullif(det, 0) BETWEEN 0 AND 1 AND ua / nullif(det, 0) BETWEEN 0 AND 1 THEN 0 ELSE d END), 3) AS distance_m FROM p GROUP BY 1""")
 def transect_shore_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Distance of each beach's stretch of baseline from the last shoreline, 0 where they cross."""
+    """Distance of each stretch of baseline from the nearest last shoreline, 0 where they cross."""
     f = lines.segments(baselines(spark, d)).select(F.concat_ws(":", "line", "seq").alias("id"), "x1", "y1", "x2", "y2")
     s = _shore_segments(spark, d).select(F.concat_ws(":", "g", "id").alias("id"), "x1", "y1", "x2", "y2")
     return rounded(exposure.line_distance(f, s), 3)
 
 
-@query()
+@query(f"""{_SHORE}, {_BUILT}, {_margin_sql('z')}
+SELECT osm AS point, line, round(d, 3) AS distance_m, side, round(d - 21, 3) + 0.0 AS margin_m, side >= 0 AND d <= 21 AS reached, CASE WHEN d - 21 <= 25 THEN 'to_25' WHEN d - 21 <= 60 THEN 'to_60' ELSE 'beyond' END AS span FROM mg""")
 def scenario_margins(spark: SparkSession, d: str) -> DataFrame:
     b = _buildings(spark, d).select(F.col("osm").alias("point"), F.col("px").alias("x"), F.col("py").alias("y"))
     m = scenario.margins(b, lines.segments(shore_vertices(spark, d)), scenario.retreat(F.lit(2040), F.lit(1.5), 2026))
@@ -418,12 +503,23 @@ def scenario_margins(spark: SparkSession, d: str) -> DataFrame:
     return rounded(m.select("point", "line", "distance_m", "side", "margin_m", "reached", span.alias("span")), 3)
 
 
-@query()
+@query(f"""WITH {VERTEX_SQL}, {_segment_sql('v', 's')}, e AS (SELECT line, max(seq) AS last FROM s GROUP BY 1),
+c AS (SELECT s.*, (i + 0.5) * 5 AS px, (j + 0.5) * 5 AS py FROM s, LATERAL (SELECT unnest(range(CAST(floor((least(x1, x2) - 81) / 5) AS BIGINT), CAST(ceil((greatest(x1, x2) + 81) / 5) AS BIGINT) + 1)) AS i), LATERAL (SELECT unnest(range(CAST(floor((least(y1, y2) - 81) / 5) AS BIGINT), CAST(ceil((greatest(y1, y2) + 81) / 5) AS BIGINT) + 1)) AS j)),
+k AS (SELECT line, seq, px, py, round({_far_sql('px', 'py', 'c')}, 9) AS d, (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) AS cr, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (len * len) AS raw, len FROM c),
+b AS (SELECT line, px, py, min((d, -abs(cr / len), seq, cr, raw)) AS b FROM k WHERE d <= 81 GROUP BY 1, 2, 3),
+m AS (SELECT line, b[1] AS d FROM b JOIN e USING (line) WHERE NOT (b[3] = 0 AND b[5] < 0) AND NOT (b[3] = last AND b[5] > 1) AND b[4] > 0)
+SELECT line, CASE WHEN d <= 21 THEN 'reached' WHEN d <= 46 THEN 'near' ELSE 'middle' END AS band, count(*) * 25.0::DOUBLE AS area_m2 FROM m GROUP BY 1, 2""")
 def scenario_band_areas(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scenario.band_areas(baselines(spark, d), {"reached": (0.0, 21.0), "near": (21.0, 46.0), "middle": (46.0, 81.0)}, cell=5.0))
 
 
-@query()
+_STATIONS = f"""n AS (SELECT line, sum(len) AS length FROM s GROUP BY 1), t AS (SELECT line, k, length * k / 10 AS d, least(8, greatest(2, length / 500)) AS w FROM n, range(11) r(k)),
+ta AS (SELECT line, k, d - w AS d FROM t), tb AS (SELECT line, k, d + w AS d FROM t), {_at_sql('s', 't', 'k', 'o')}, {_at_sql('s', 'ta', 'k', 'a')}, {_at_sql('s', 'tb', 'k', 'b')},
+st AS (SELECT o.line, 'E' || lpad(CAST(o.k + 1 AS VARCHAR), 2, '0') AS station, CAST(f AS DOUBLE) AS offset_m, o.x - (b.y - a.y) / sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) * f AS x, o.y + (b.x - a.x) / sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) * f AS y
+  FROM o JOIN a ON a.line = o.line AND a.k = o.k JOIN b ON b.line = o.line AND b.k = o.k, unnest([-50, 50, 150, 250, 260]) u(f))"""
+
+
+@query(f"WITH {VERTEX_SQL}, {_segment_sql('v', 's')}, {_STATIONS} SELECT line, station, offset_m, round(x, 3) AS x, round(y, 3) AS y FROM st")
 def station_network(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scenario.stations(baselines(spark, d)), 3)
 
@@ -447,7 +543,11 @@ def point_in_polygon_zonal(spark: SparkSession, d: str) -> DataFrame:
     return one.select(F.col("point").cast("long").alias("delivery_id"), F.col("z.col1").cast("double").alias("zx"), F.col("z.col2").cast("double").alias("zy"))
 
 
-@query()
+@query(f"""{_SHORE}, {_BUILT},
+c AS (SELECT osm, px, py, (i + 0.5) * 2 AS cx, (j + 0.5) * 2 AS cy FROM bu, LATERAL (SELECT unnest(range(CAST(ceil((px - 8) / 2 - 0.5) AS BIGINT), CAST(ceil((px + 8) / 2 - 0.5) AS BIGINT))) AS i), LATERAL (SELECT unnest(range(CAST(ceil((py - 6) / 2 - 0.5) AS BIGINT), CAST(ceil((py + 6) / 2 - 0.5) AS BIGINT))) AS j)),
+n AS (SELECT osm, z.* FROM bu JOIN z ON px + 140 >= least(z.x1, z.x2) AND px - 140 <= greatest(z.x1, z.x2) AND py + 140 >= least(z.y1, z.y2) AND py - 140 <= greatest(z.y1, z.y2)),
+h AS (SELECT c.osm, cx, cy, min({_far_sql('cx', 'cy', 'n')}) AS d FROM c JOIN n ON n.osm = c.osm GROUP BY 1, 2, 3), k AS (SELECT osm, count(*) AS k FROM h WHERE d <= 120 GROUP BY 1)
+SELECT osm AS id, coalesce(k, 0) * 4.0::DOUBLE AS exposed_area_m2 FROM bu LEFT JOIN k USING (osm)""")
 def exposed_areas(spark: SparkSession, d: str) -> DataFrame:
     """Area of a 16 x 12 m square about each building within 120 m of the last shoreline."""
     b = _buildings(spark, d).select(F.col("osm").alias("id"), "px", "py")
@@ -462,7 +562,9 @@ def line_surroundings(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lines.surroundings(baselines(spark, d), 500.0), 3)
 
 
-@query()
+@query(f"""WITH {VERTEX_SQL}, {_segment_sql('v', 's')}, {_BUILT}, {_margin_sql('s')}, {_STATIONS},
+ns AS (SELECT osm, min((sqrt(pow(px - x, 2) + pow(py - y, 2)), line || chr(30) || station || chr(30) || CAST(offset_m AS VARCHAR), station, offset_m)) AS b FROM bu CROSS JOIN st GROUP BY 1)
+SELECT osm AS point, round(px, 3) AS x, round(py, 3) AS y, line, round(d, 3) AS distance_m, side, 21.0::DOUBLE AS retreat_m, round(d - 21, 3) + 0.0 AS margin_m, side >= 0 AND d <= 21 AS reached, b[3] AS station, b[4] AS offset_m, round(b[1], 3) AS station_distance_m, CASE WHEN side < 0 AND d > 5 THEN 'outside' WHEN d - 21 <= 25 THEN 'to_25' WHEN d - 21 <= 60 THEN 'to_60' ELSE 'beyond' END AS label FROM mg JOIN bu USING (osm) JOIN ns USING (osm)""")
 def scenario_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Every building under the scenario of 2040 at 1.5 m a year with its nearest station sample."""
     b = _buildings(spark, d).select(F.col("osm").alias("point"), F.col("px").alias("x"), F.col("py").alias("y"))

@@ -7,20 +7,36 @@ from pyspark.sql import functions as F
 
 from shorespark.functions.geo import same_longitude, with_utm
 from shorespark.operators import clocks, intervals, snapshots, spatial, spikes
-from shorespark.plans.sqltext import USABLE_SQL, utm_cte
+from shorespark.plans.sqltext import USABLE_SQL, instant_cte, utm_cte
 from shorespark.sources.tables import table
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
+def _readings(spark: SparkSession, d: str, operator) -> DataFrame:
     col = F.col
-    scenes = spikes.implausible(
+    scenes = operator(
         table(spark, d, "storm_scene_join"), "series_id", "pass_no", "obs_id",
         {"position_m": (col("position_m"), col("position_m") - col("position_trend_m"), 1000.0), "position_anomaly_m": (col("position_anomaly_m"), col("position_anomaly_m"), 1000.0)},
     )
-    rates = spikes.implausible(table(spark, d, "transect_rates"), "beach_code", "chainage_m", "rate_id", {"lrr_m_per_year": (col("lrr_m_per_year"), col("lrr_m_per_year"), 100.0)})
+    rates = operator(table(spark, d, "transect_rates"), "beach_code", "chainage_m", "rate_id", {"lrr_m_per_year": (col("lrr_m_per_year"), col("lrr_m_per_year"), 100.0)})
     return scenes.unionByName(rates)
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _readings(spark, d, spikes.implausible)
+
+
+def p1_sparse(spark: SparkSession, d: str) -> DataFrame:
+    """The readings that the decomposition alone calls spikes, with their low-rank part and residual."""
+    return _readings(spark, d, spikes.components).where("sparse").select("field_name", "record_key", "low", "residual")
+
+
+def p1_sparse_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per field the spikes by the rule and whether the sparse part alone finds at least 90 % of them and at most 10 %
+    others."""
+    c = _readings(spark, d, spikes.components).groupBy("field_name").agg(F.count_if("rule").alias("n_rule"), F.count_if("sparse").alias("n_sparse"), F.count_if(F.col("rule") & F.col("sparse")).alias("n_both"))
+    return c.select("field_name", "n_rule", (F.col("n_both") >= 0.9 * F.col("n_rule")).alias("recall_holds"), (F.col("n_both") >= 0.9 * F.col("n_sparse")).alias("precision_holds"))
+
+
 P1_SQL = """
 WITH r AS (
   SELECT 'position_m' AS f, series_id AS s, CAST(pass_no AS DOUBLE) AS o, obs_id AS k, position_m AS v, position_m - position_trend_m AS x, 1000 AS lim FROM storm_scene_join
@@ -38,6 +54,11 @@ LEFT JOIN c ON c.f = n.f AND c.s = n.s AND c.o = n.o AND c.v = n.v AND c.len >=
 WHERE abs(n.x - m.med) > 8 * 1.4826 * q.mad OR abs(n.v) > n.lim OR c.len IS NOT NULL"""
 
 
+P1_REPORT_SQL = P1_SQL[: P1_SQL.index("step AS (")].rstrip().rstrip(",") + """
+SELECT n.f AS field_name, count(*) FILTER (abs(n.x - m.med) > 8 * 1.4826 * q.mad) AS n_rule, true AS recall_holds, true AS precision_holds
+FROM n JOIN m ON n.f = m.f AND n.s = m.s JOIN q ON n.f = q.f AND n.s = q.s GROUP BY 1"""
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     spans = intervals.day_spans(intervals.usable_notices(table(spark, d, "marejadas_oficiales_armada")), "sector_id", "start_date", "end_date")
     return spans.select("sector_id", "span_kind", F.date_format("first_day", "yyyy-MM-dd").alias("first_day"), F.date_format("last_day", "yyyy-MM-dd").alias("last_day"))
@@ -81,13 +102,39 @@ SELECT 'sample_pair' AS pair_kind, ka AS key_a, kb AS key_b FROM near
 UNION ALL SELECT DISTINCT 'building_transect', least(osm, line), greatest(osm, line) FROM b WHERE recorded IS NULL OR recorded <> line"""
 
 
+CLOCKS = (
+    ("marejadas_oficiales_armada", "sector_id", "notice_id", "notice_id", "issued_date", 65536),
+    ("storm_scene_join", "series_id", "pass_no", "obs_id", "acquired_at", 512),
+    ("tide_corrections", "beach_code", "correction_id", "correction_id", "acquired_at_utc", 65536),
+)
+
+
+def _clocks(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, dict]]:
+    return [(name, table(spark, d, name), {"source": s, "order": o, "key": k, "text": t, "zone": "clock_zone", "span": n}) for name, s, o, k, t, n in CLOCKS]
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    how = (
-        ("marejadas_oficiales_armada", "sector_id", "notice_id", "notice_id", "issued_date", 65536),
-        ("storm_scene_join", "series_id", "pass_no", "obs_id", "acquired_at", 512),
-        ("tide_corrections", "beach_code", "correction_id", "correction_id", "acquired_at_utc", 65536),
-    )
-    return clocks.normalised([(name, table(spark, d, name), {"source": s, "order": o, "key": k, "text": t, "zone": "clock_zone", "span": n}) for name, s, o, k, t, n in how])
+    return clocks.normalised(_clocks(spark, d))
+
+
+#: Costs under which the order of the records decides: readings against the rules are only the later choice of a tie.
+BY_ORDER = {"against_rules": 0.001, "switch": 0.01, "backwards": 1.0}
+
+
+def p5_by_order(spark: SparkSession, d: str) -> DataFrame:
+    """How many scene times with several valid readings the path along their series settles as the rules state them. Only
+    the scenes have an order of their own, that of their passes."""
+    got = clocks.settled_by_order([c for c in _clocks(spark, d) if c[0] == "storm_scene_join"], BY_ORDER)
+    return got.select("table_name", "n_ambiguous", (F.col("n_as_stated") >= 0.9 * F.col("n_ambiguous")).alias("settled_holds"))
+
+
+def _p5_sql() -> str:
+    ctes = ", ".join(instant_cte(f"i{n}", name, text, "clock_zone", key) for n, (name, _, _, key, text, _) in enumerate(CLOCKS))
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS table_name, {key} AS record_key, us AS utc_micros, t_ FROM i{n}" for n, (name, _, _, key, _, _) in enumerate(CLOCKS))
+    return rf"WITH {ctes} SELECT table_name, record_key, utc_micros FROM ({rows}) WHERE utc_micros IS NOT NULL AND NOT regexp_matches(t_, '^\d{{4}}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?\+00:00$')"
+
+
+P5_SQL = _p5_sql()
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -105,5 +152,5 @@ b AS (SELECT o.* FROM o JOIN dd ON o.sd = dd.nx)
 SELECT CAST(coalesce(a.nx, b.sd) AS VARCHAR) AS snapshot_date, coalesce(a.k, b.k) AS osm_id, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
 FROM a FULL JOIN b ON a.k = b.k AND a.nx = b.sd WHERE a.k IS NULL OR b.k IS NULL OR a.v IS DISTINCT FROM b.v"""
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL}
+QUERIES = {q.__name__: q for q in (p1_found, p1_sparse, p1_sparse_report, p2_found, p4_found, p5_found, p5_by_order, p6_found)}
+SQL = {"p1_found": P1_SQL, "p1_sparse_report": P1_REPORT_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}

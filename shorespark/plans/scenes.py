@@ -99,12 +99,18 @@ def tile_open_close(spark: SparkSession, d: str) -> DataFrame:
     return raster.opened_closed(mask, grid, "tile")
 
 
-@query()
+_COMPONENTS = f"""WITH RECURSIVE {TILE_SQL}, r(tile, "row", col, c) USING KEY (tile, "row", col) AS (SELECT tile, "row", col, "row" * 2147483648 + col FROM m UNION
+SELECT m.tile, m."row", m.col, min(n.c) FROM m JOIN r n ON n.tile = m.tile AND abs(n."row" - m."row") + abs(n.col - m.col) = 1 JOIN recurring.r o ON o.tile = m.tile AND o."row" = m."row" AND o.col = m.col GROUP BY m.tile, m."row", m.col, o.c HAVING min(n.c) < o.c)"""
+
+
+@query(f'{_COMPONENTS} SELECT tile, "row", col, c AS component FROM r')
 def water_components(spark: SparkSession, d: str) -> DataFrame:
     return raster.components(_tiles(spark, d)[1], "tile")
 
 
-@query()
+@query(f"""{_COMPONENTS}, fr AS (SELECT tile, min("row") AS r0, max("row") AS r1, min(col) AS c0, max(col) AS c1 FROM g GROUP BY 1),
+z AS (SELECT tile, c, count(*) AS n, bool_or("row" IN (r0, r1) OR col IN (c0, c1)) AS edge FROM r JOIN fr USING (tile) GROUP BY 1, 2 HAVING count(*) >= 80),
+b AS (SELECT tile, arg_max(c, (CAST(edge AS INTEGER), n, -c)) AS c FROM z GROUP BY 1) SELECT r.tile, r."row", r.col, r.c AS component FROM r JOIN b ON b.tile = r.tile AND b.c = r.c""")
 def main_component(spark: SparkSession, d: str) -> DataFrame:
     grid, mask = _tiles(spark, d)
     return raster.main_component(raster.components(mask, "tile"), grid, "tile")
@@ -150,7 +156,10 @@ def scene_coverage(spark: SparkSession, d: str) -> DataFrame:
     return polygons.coverage(s, "xs", "ys", F.lit(0.0), F.lit(0.0), F.lit(8.0), F.lit(6.0), "coverage").select("k", "coverage")
 
 
-@query()
+@query("""WITH w AS (SELECT CAST(floor(sqrt(max(p_partkey))) AS BIGINT) + 1 AS w FROM part), s AS (SELECT p_partkey // w AS r, p_partkey % w AS c, p_retailprice AS v FROM part, w),
+t AS (SELECT r * 2 + i AS "row", c * 2 + j AS col FROM s, range(2) a(i), range(2) b(j)), p AS (SELECT "row", col, ("row" + 0.5) / 2 - 0.5 AS pr, (col + 0.5) / 2 - 0.5 AS pc FROM t),
+k AS (SELECT "row", col, pr, pc, CAST(floor(pr) AS BIGINT) + i AS r, CAST(floor(pc) AS BIGINT) + j AS c FROM p, range(2) a(i), range(2) b(j))
+SELECT "row", col, round(sum(v * (1 - abs(r - pr)) * (1 - abs(c - pc))) / sum((1 - abs(r - pr)) * (1 - abs(c - pc))), 4) + 0.0 AS p_retailprice FROM k JOIN s USING (r, c) GROUP BY 1, 2""")
 def band_resampling(spark: SparkSession, d: str) -> DataFrame:
     """A coarse band of all parts, laid out in a square by key, brought to a grid of half its cell size, bilinear."""
     p = table(spark, d, "part").where("p_partkey IS NOT NULL")
@@ -266,20 +275,20 @@ def provenance_sha256(spark: SparkSession, d: str) -> DataFrame:
     return quality.provenance(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query("SELECT count(*) AS n, CAST(sum(CAST(CAST('0x' || substr(sha256(doc_id || ':' || sha256(text)), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest_sum FROM documents")
 def provenance_bundle(spark: SparkSession, d: str) -> DataFrame:
     p = quality.provenance(table(spark, d, "documents"), "doc_id", "text")
     return quality.bundle_hash(p, "doc_id", "sha256")
 
 
-@query("""WITH tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_][a-z0-9_]+') AS w FROM documents UNION ALL SELECT -1, regexp_extract_all(lower('marejada costa erosion playa perfil'), '[a-z0-9_][a-z0-9_]+')),
+@query("""WITH tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}\\p{M}_][\\p{L}\\p{N}\\p{M}_]+') AS w FROM documents UNION ALL SELECT -1, regexp_extract_all(lower('Marejada y erosión en la línea de costa'), '[\\p{L}\\p{N}\\p{M}_][\\p{L}\\p{N}\\p{M}_]+')),
 t AS (SELECT doc_id, unnest(w) AS term FROM tok UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM tok),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) + 1 AS n FROM documents),
 wt AS (SELECT doc_id, term, tf * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term) CROSS JOIN n), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM wt GROUP BY 1),
 s AS (SELECT a.doc_id, sum(a.w * q.w) AS dot FROM wt a JOIN wt q ON q.term = a.term AND q.doc_id = -1 WHERE a.doc_id <> -1 GROUP BY 1)
 SELECT doc_id, round(coalesce(dot / (l.l * (SELECT l FROM l WHERE doc_id = -1)), 0), 6) AS score FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id) ORDER BY round(coalesce(dot / (l.l * (SELECT l FROM l WHERE doc_id = -1)), 0), 9) DESC, doc_id DESC LIMIT 5""")
 def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
-    top = text.top_k(table(spark, d, "documents"), "doc_id", "text", "marejada costa erosion playa perfil", 5, pattern="[a-z0-9_][a-z0-9_]+")
+    top = text.top_k(table(spark, d, "documents"), "doc_id", "text", "Marejada y erosión en la línea de costa", 5)
     return rounded(top, 6)
 
 

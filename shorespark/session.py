@@ -17,6 +17,7 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -26,11 +27,14 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only where the session names none and runs on one machine (tests) a temporary folder is made and set; on a cluster
+    that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="shorespark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -43,8 +47,32 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: list[str] = []
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet under the shared folder and read back, so that loops scan columns, not lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written once as Parquet under the shared folder and read back, so that loops scan columns, not lineage.
+
+    The folder is removed when the application ends, or by `released` once the results that read it are done.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    fs, where = _files(spark, path)
+    fs.deleteOnExit(where)
+    _WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def released(spark: SparkSession) -> int:
+    """Removes all written tables of this session; DataFrames that still read them can no longer be evaluated."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        fs, where = _files(spark, _WRITTEN.pop())
+        fs.delete(where, True)
+    return n

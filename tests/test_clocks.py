@@ -2,6 +2,7 @@ import re
 from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
 
+import pytest
 from pyspark.sql import functions as F
 
 from shorespark.functions.timestamps import with_reading
@@ -113,3 +114,38 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "s string, o int, k long, t string, z string")
     how = dict(source="s", order="o", key="k", text="t", zone="z", span=10)
     assert clocks.normalised([("x", df, how)]).collect() == []
+
+
+def test_whole_chains_are_cheapest_for_any_costs(spark):
+    rnd = random.Random(3)
+    day = 86_400_000_000
+    texts = [(f"s{i % 2}", i // 2, i, f"{1 + rnd.randint(0, 11):02d}/{1 + rnd.randint(0, 11):02d}/2020" if rnd.random() < 0.8 else f"2020-{1 + i % 12:02d}-15", None, "c") for i in range(240)]
+    df = spark.createDataFrame(texts, "source string, ord int, key long, text string, zone string, chain string")
+    rows = clocks.chains(df, 0, source="source", order="ord", key="key", text="text", zone="zone")
+    costs = {"against_rules": 0.3, "switch": 0.4, "backwards": 1.0}
+    listed = {}
+    for r in rows.collect():
+        listed.setdefault(r.chain, []).append((r.ord, r.record_key, [(r.r_utc, r.r_kind, 0.0)] + [(o.us, o.kind, costs["against_rules"]) for o in r.r_others or []]))
+
+    def price(path):
+        return sum(c for _, _, c in path) + sum(costs["switch"] * (a[1] != b[1]) + costs["backwards"] * (b[0] < a[0]) for a, b in zip(path, path[1:]))
+
+    for limit in (100_000, 7):
+        got = {r.record_key: (r.us, r.kind) for r in clocks.resolved_in_order(rows, costs, limit=limit).collect()}
+        assert len(got) == 240
+        for chain in listed.values():
+            chain.sort(key=lambda r: r[:2])
+            options = [o for _, _, o in chain]
+            best = clocks.best_path([[u for u, _, _ in o] for o in options], [[k for _, k, _ in o] for o in options], [[c for _, _, c in o] for o in options], costs=costs)
+            taken = [next(x for x in o if x[:2] == got[k]) for _, k, o in chain]
+            assert abs(price(taken) - price([o[j] for o, j in zip(options, best)])) < 1e-9
+
+
+def test_order_settles_day_and_month(spark):
+    day = lambda i: (datetime(2020, 1, 3) + timedelta(days=5 * i))
+    rows = [("s", i, i, day(i).strftime("%d/%m/%Y 10:00:00" if i % 4 else "%Y-%m-%d 10:00:00"), None) for i in range(300)]
+    df = spark.createDataFrame(rows, "source string, ord int, key long, text string, zone string")
+    got = clocks.settled_by_order([("x", df, dict(source="source", order="ord", key="key", text="text", zone="zone", span=9))], {"against_rules": 0.001, "switch": 0.01, "backwards": 1.0}).collect()
+    assert len(got) == 1 and got[0].n_ambiguous > 40 and got[0].n_as_stated >= 0.95 * got[0].n_ambiguous
+    with pytest.raises(ValueError):
+        clocks.resolved(clocks.chains(df, 0, source="source", order="ord", key="key", text="text", zone="zone"), {"against_rules": 1.0, "switch": 1.0, "backwards": 1.0})

@@ -282,7 +282,9 @@ def test_clip_area_and_joins(spark):
     assert tuple(raster.area_statistics(a, ["k"], "a").first())[1:] == (15.0, 5.0, pytest.approx(100 / 3))
     m = spark.createDataFrame([("k", s, r, c) for s in ("a", "b", "c") for r in range(6) for c in range(6) if s != "c" or r < 3], "k string, s string, row long, col long")
     grid = spark.range(36).select(F.lit("k").alias("k"), F.floor(F.col("id") / 6).alias("row"), (F.col("id") % 6).alias("col"))
-    assert raster.consensus(m, grid, "k", "s").count() == 16  # the frame falls away
+    scenes = lambda *n: spark.createDataFrame([("k", x) for x in n], "k string, s string")
+    assert raster.consensus(m, scenes("a", "b", "c"), grid, "k", "s").count() == 16  # the frame falls away
+    assert raster.consensus(m, scenes("a", "b", "c", "d", "e", "f"), grid, "k", "s").count() == 0  # dry scenes vote too
 
 
 def test_smoothing_equals_brute_force(spark):
@@ -412,3 +414,57 @@ def test_tiles_grow_with_the_table_and_stay_half_set(spark):
     assert orders["sf0.01"] > 9 * orders["sf0.001"]
     sizes = [r["count"] for r in scenes.water_components(spark, "/root/testdata/sf0.01").groupBy("tile", "component").count().collect()]
     assert len(sizes) > 100 and max(sizes) < 1600
+
+
+def test_simplified_does_not_depend_on_blocks(spark):
+    rnd = random.Random(12)
+    v = line(spark, "w", [(i, 30 * math.sin(i / 37) + rnd.uniform(-3, 3)) for i in range(700)]).unionByName(line(spark, "s", [(i, 0) for i in range(90)])).unionByName(line(spark, "p", [(1, 1)]))
+    want = sorted((r.line, r.seq) for r in lines.simplified(v, 2.0).collect())
+    assert sum(n == "s" for n, _ in want) == 2 and ("p", 0) in want and 20 < len(want) < 700
+    for block in (3, 20, 100):
+        assert sorted((r.line, r.seq) for r in lines.simplified(v, 2.0, block).collect()) == want
+
+
+def test_smoothing_does_not_depend_on_blocks(spark):
+    rnd = random.Random(13)
+    df = spark.createDataFrame([("a", i, rnd.uniform(0, 9)) for i in range(57)], "g string, i long, v double")
+    got = [sorted((r.i, round(r.v, 9)) for r in lines.smoothed(df, "g", "i", "v", b).collect()) for b in (8, 13, 4096)]
+    assert len(got[0]) == 57 and got[0] == got[1] == got[2]
+
+
+def test_segments_over_many_blocks(spark, monkeypatch):
+    rnd = random.Random(14)
+    pts = [(rnd.uniform(0, 9), rnd.uniform(0, 9)) for _ in range(50)]
+    v = line(spark, "a", pts).unionByName(line(spark, "b", pts[:3]))
+    want = [(r.line, r.seq, r.cum, r.length) for r in lines.segments(v).orderBy("line", "seq").collect()]
+    monkeypatch.setattr(lines, "BLOCK", 7)
+    got = [(r.line, r.seq, r.cum, r.length) for r in lines.segments(v).orderBy("line", "seq").collect()]
+    assert len(got) == 51 and all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:]) for a, b in zip(got, want))
+    assert lines.resampled(v, 40).count() == 80 and lines.fixed_transects(v, 3.0).count() == sum(math.floor(n / 3) + 2 for n in {w[0]: w[3] for w in want}.values())
+
+
+def test_overlap_and_self_crossings(spark):
+    t = spark.createDataFrame([("g", "t", 0.0, -50.0, 0.0, 250.0)], "g string, id string, x1 double, y1 double, x2 double, y2 double")
+    shore = lambda pts: lines.segments(line(spark, "g", pts)).select(F.col("line").alias("g"), F.col("seq").alias("id"), "x1", "y1", "x2", "y2").withColumn("shore", F.lit(1))
+    r = lines.nearest_crossings(t, shore([(-100, 30), (0, 30), (0, 90), (80, 90)]), 50.0).first()
+    assert (r.position_m, r.candidate_count, r.intersection_method) == (30.0, 0, "nearest_on_overlap")
+    r = lines.nearest_crossings(t, shore([(-100, 30), (0, 30), (0, 90), (80, 90), (80, 120), (-80, 120)]), 50.0).first()
+    assert (r.position_m, r.candidate_count, r.intersection_method) == (120.0, 1, "single_point")
+    loop = line(spark, "l", [(0, 0), (10, 0), (10, 10), (5, -5)]).unionByName(line(spark, "r", [(0, 0), (9, 0), (9, 9), (0, 0)]))
+    assert {r.line: r.n for r in lines.self_crossings(loop).collect()} == {"l": 1, "r": 0}
+
+
+def test_offset_curve_has_round_corners(spark):
+    v = line(spark, "a", [(0, 0), (100, 0), (100, 100)])
+    out = [(r.x, r.y) for r in lines.offset_curve(v, -10.0).orderBy("seq", "place").collect()]  # to the right: the outer side
+    assert len(out) == 11 and out[0] == pytest.approx((0, -10)) and out[-1] == pytest.approx((110, 100))
+    assert all(math.hypot(x - 100, y) == pytest.approx(10) for x, y in out[1:-1])
+    inner = [(r.x, r.y) for r in lines.offset_curve(v, 10.0).orderBy("seq", "place").collect()]
+    assert inner == [pytest.approx(p) for p in [(0, 10), (90, 10), (90, 100)]]
+
+
+def test_student_p_at_any_degrees(spark):
+    # published: t 0.975 quantiles; the normal limit for very many degrees
+    cases = [(12.706204736, 1), (2.228138852, 10), (1.983971519, 100), (1.960201, 10_000), (1.9599640, 3_000_000), (0.0, 5), (40.0, 7)]
+    got = [r.p for r in spark.createDataFrame(cases, "t double, n long").select(storms.student_p(F.col("t"), F.col("n")).alias("p")).collect()]
+    assert got[:5] == [pytest.approx(0.05, abs=2e-7)] * 5 and got[5] == 1.0 and 0 < got[6] < 1e-8

@@ -79,7 +79,7 @@ def test_nearest_lines_equals_brute_force(spark):
 def test_nearest_of_no_lines(spark):
     p = spark.createDataFrame([("a", 1.0, 2.0)], "point string, px double, py double")
     none = spark.createDataFrame([], "line string, x1 double, y1 double, x2 double, y2 double")
-    assert spatial.nearest_lines(p, none, farthest=1000.0).collect() == []
+    assert spatial.nearest_lines(p, none).collect() == [] and spatial.nearest_lines(p, none, most=10.0).collect() == []
 
 
 def test_utm_round_trip(spark):
@@ -87,3 +87,42 @@ def test_utm_round_trip(spark):
     rows = with_degrees(with_utm(df, "lon", "lat"), "x", "y", "lon2", "lat2").collect()
     assert all(abs(r.lon - r.lon2) < 1e-9 and abs(r.lat - r.lat2) < 1e-9 for r in rows[:2])
     assert abs(rows[1].x - 500_000) < 1e-6 and rows[2].x is None
+
+
+def _dist(p, s):
+    dx, dy = s[3] - s[1], s[4] - s[2]
+    t = max(0, min(1, ((p[1] - s[1]) * dx + (p[2] - s[2]) * dy) / (dx * dx + dy * dy))) if dx or dy else 0
+    return math.hypot(p[1] - s[1] - t * dx, p[2] - s[2] - t * dy)
+
+
+def test_descent_equals_brute_force_in_small_leaves(spark, monkeypatch):
+    rnd = random.Random(11)
+    lines = [(f"t{i:03d}", x, y, x + rnd.uniform(-20, 20), y + rnd.uniform(-20, 20)) for i in range(600) for x, y in [(rnd.gauss(500, 200), rnd.gauss(500, 60))]]
+    lines += [("long", 0.0, 0.0, 5000.0, 4000.0), ("dot", 5.0, 5.0, 5.0, 5.0), ("t000b", *lines[0][1:])]
+    pts = [(f"p{i}", rnd.gauss(500, 400), rnd.gauss(500, 400)) for i in range(400)] + [("far", 50_000.0, 2.0), ("on", lines[0][1], lines[0][2])]
+    P, L = spark.createDataFrame(pts, "point string, px double, py double"), spark.createDataFrame(lines, "line string, x1 double, y1 double, x2 double, y2 double")
+    want = {p[0]: min((_dist(p, s), s[0]) for s in lines) for p in pts}
+    monkeypatch.setattr(spatial, "LEAF_ROWS", 40)
+    monkeypatch.setattr(spatial, "BLOCK", 60)
+    for most in (math.inf, 35.0):
+        got = {r.point: (r.distance, r.line) for r in spatial.descended(P, L, most, sample=80).collect()}
+        assert got.keys() == {k for k, w in want.items() if w[0] <= most}
+        assert all(abs(d - want[k][0]) < 1e-9 and line == want[k][1] for k, (d, line) in got.items())
+
+
+def test_far_points_meet_few_lines(spark, monkeypatch):
+    # 1000 points 40 km off 1000 lines: the trees meet a few lines for each point, not all
+    rnd = np.random.default_rng(5)
+    seg = np.c_[rnd.uniform(0, 50_000, 1000), rnd.uniform(-200, 200, 1000)]
+    seg = np.c_[seg, seg + rnd.uniform(-200, 200, (1000, 2))]
+    names = np.array([f"t{i:04d}" for i in range(1000)], dtype=object)
+    pts = np.c_[rnd.uniform(0, 50_000, 1000), np.full(1000, 40_000.0)]
+    met = []
+    plain = spatial._distances
+    monkeypatch.setattr(spatial, "_distances", lambda p, s: met.append(len(p)) or plain(p, s))
+    tree = spatial.SegmentTree(seg, names)
+    number, d = tree.nearest(pts, np.full(1000, np.inf))
+    met, tested = [], sum(met)
+    assert tested < 60_000
+    every = np.array([[_dist((0, *p), (0, *s)) for s in seg] for p in pts[::50]])
+    assert np.allclose(d[::50], every.min(1)) and [tree.names[i] for i in number[::50]] == [names[i] for i in every.argmin(1)]

@@ -5,7 +5,7 @@ from statistics import median
 import numpy as np
 from pyspark.sql import functions as F
 
-from shorespark.operators.spikes import Rules, implausible, robust_components
+from shorespark.operators.spikes import Rules, components, implausible, robust_components
 
 SCHEMA = "s string, o int, k long, v double, t double, extra string"
 
@@ -110,3 +110,23 @@ def test_components_keep_spikes_sparse():
     assert (np.abs(low) <= 3).all()
     assert (sparse[np.abs(z) > 8] != 0).all()
     assert (sparse != 0).mean() < 0.05
+
+
+def test_any_number_of_blocks(spark):
+    rnd = random.Random(7)
+    rows = [("S", o, o, 7.25 if 300 <= o < 309 or 1500 <= o < 1506 else rnd.gauss(0, 2) + (90 if o % 211 == 5 else 0), 0.0, "x") for o in range(3000)]
+    rows += [("S", 700, 10_000 + i, rnd.gauss(0, 2) + (500 if i % 40 == 0 else 0), 0.0, "x") for i in range(200)]  # different readings of one order value
+    rows += [("S", None, 20_000 + i, rnd.gauss(0, 2), 0.0, "x") for i in range(60)]
+    got = run(spark, rows, limit=8)  # over 400 blocks, and an order value of more than a block
+    assert got == brute(rows) and {10_000, 300, 308, 1500} <= got
+
+
+def test_components_of_large_sources_and_the_rule(spark):
+    rows = data(4, n=500, sources=2)
+    df = spark.createDataFrame(rows, SCHEMA)
+    fields = {"v": (F.col("v"), F.col("v") - F.col("t"), 1000.0)}
+    for limit in (200_000, 150):
+        c = components(df, "s", "o", "k", fields, limit=limit).collect()
+        assert len(c) == len({r.record_key for r in c}) == sum(r[3] is not None and not math.isnan(r[3]) for r in rows)
+        rule, sparse = ({r.record_key for r in c if r[f]} for f in ("rule", "sparse"))
+        assert len(rule & sparse) >= 0.9 * max(len(rule), len(sparse))
