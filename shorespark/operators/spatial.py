@@ -326,13 +326,24 @@ class SegmentTree:
             q, node = q[full], node[full]
             a, b, c = lo[node], hi[node], p[q]
             np.minimum.at(bound, q, np.hypot(*np.maximum(np.abs(c - a), np.abs(c - b)).T))
-            near = np.hypot(*np.maximum(0.0, np.maximum(a - c, c - b)).T) <= bound[q] * (1 + 1e-9) + 1e-9
-            q, node = q[near], node[near]
-        t = (np.repeat(node * self.width, self.width) + np.tile(np.arange(self.width), len(node)))
-        q = np.repeat(q, self.width)
-        real = t < len(self.seg)
-        q, t = q[real], t[real]
-        d = _distances(p[q], self.seg[t])
+            away = np.hypot(*np.maximum(0.0, np.maximum(a - c, c - b)).T)
+            near = away <= bound[q] * (1 + 1e-9) + 1e-9
+            q, node, away = q[near], node[near], away[near]
+
+        def inside(q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            t = (np.repeat(node * self.width, self.width) + np.tile(np.arange(self.width), len(node)))
+            q = np.repeat(q, self.width)
+            real = t < len(self.seg)
+            return q[real], t[real], _distances(p[q[real]], self.seg[t[real]])
+
+        # the nearest box of each point first: its segments bound the distance of the others
+        order = np.lexsort((away, q))
+        head = np.r_[True, np.diff(q[order]) != 0] if len(q) else np.zeros(0, bool)
+        q1, t1, d1 = inside(q[order[head]], node[order[head]])
+        np.minimum.at(bound, q1, d1)
+        rest = order[~head]
+        rest = rest[away[rest] <= bound[q[rest]] * (1 + 1e-9) + 1e-9]
+        q, t, d = (np.concatenate(x) for x in zip((q1, t1, d1), inside(q[rest], node[rest])))
         q, t, d = q[d <= limit[q]], t[d <= limit[q]], d[d <= limit[q]]
         order = np.lexsort((self.code[t], d, q))
         q, t, d = q[order], t[order], d[order]

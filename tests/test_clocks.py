@@ -1,3 +1,4 @@
+import random
 import re
 from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
