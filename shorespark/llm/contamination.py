@@ -1,7 +1,9 @@
 """Evaluation texts inside training texts.
 
 The n-grams of the evaluation items, in normalised words, form a hash set that every task holds; the windows of each
-document are looked up in it, and each hit is verified word by word.
+document are looked up in it, and each hit is verified word by word. A hash set too large for one broadcast goes out in
+parts of bounded size, one scan of the documents each; only the hits, never the documents' windows, are then joined
+with the items' words.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shorespark.llm.words import PLACED, folded_words
+from shorespark.session import written
 
 WORDS = 12
-#: Most n-grams that are broadcast (40 MB with their words); a larger item table is joined by hash instead.
-MOST_BROADCAST = 200_000
+#: Most n-grams that are broadcast with their words (40 MB), and most hashes a part of a larger set has (32 MB).
+MOST_BROADCAST, MOST_HASHES = 200_000, 4_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,20 +112,56 @@ def _small(spark_grams, keep_spans: bool):
     return _batches(find)
 
 
-def _window_hashes(n: int):
+def _window_hashes(n: int, wanted=None):
+    """id, sig, place, hash and words of every window of n words of (id, sig, text), or of those whose hash is in the
+    broadcast sorted array `wanted`."""
+
     def find(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids, hashes, words = [], [], []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ws = folded_words(t) if t else []
-            for w in dict.fromkeys(" ".join(ws[k : k + n]) for k in range(len(ws) - n + 1)):
-                ids.append(i)
-                hashes.append(int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big", signed=True))
-                words.append(w)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(words, pa.string())], ["id", "hash", "words"])
+        texts = [folded_words(t) if t else [] for t in b.column(2).to_pylist()]
+        known: dict[str, int] = {}
+        of = lambda w: known.get(w) or known.setdefault(w, int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") or 1)
+        flat = np.fromiter((x for ws in texts for x in (*map(of, ws), 0)), np.uint64)
+        if len(flat) < n:
+            return None
+        zeros = np.concatenate([[0], np.cumsum(flat == 0)])
+        at = np.flatnonzero(zeros[n:] == zeros[:-n])
+        h = Grams._hash([flat[at + i] for i in range(n)]).view(np.int64) if len(at) else np.zeros(0, np.int64)
+        if wanted is not None:
+            near = np.searchsorted(wanted.value, h)
+            hit = wanted.value[np.minimum(near, len(wanted.value) - 1)] == h
+            at, h = at[hit], h[hit]
+        starts = np.cumsum([0, *(len(ws) + 1 for ws in texts)])
+        row = np.searchsorted(starts, at, "right") - 1
+        place = at - starts[row]
+        words = [" ".join(texts[r][p : p + n]) for r, p in zip(row, place)]
+        side = [b.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(side[0], pa.int64()), pa.array(side[1], pa.int64()), pa.array(place, pa.int32()), pa.array(h, pa.int64()), pa.array(words, pa.string())], ["id", "sig", "place", "hash", "words"])
 
     return _batches(find)
 
 
+_WINDOW = "id long, sig long, place int, hash long, words string"
+
+
+def _hits(docs: DataFrame, items: DataFrame, n: int, hashes: int) -> DataFrame:
+    """item_id, doc_id, sig, place of every verified window of docs (doc_id, sig, text) that items (id, text) hold; for
+    item tables of any size."""
+    spark = docs.sparkSession
+    grams = items.select("id", F.lit(0).cast("long").alias("sig"), "text").mapInArrow(_window_hashes(n), _WINDOW).select("id", "hash", "words").distinct()
+    grams = written(grams, "item-windows")
+    parts = max(1, -(-grams.select("hash").distinct().count() // hashes))
+    found = None
+    for k in range(parts):
+        some = grams.where(F.pmod("hash", F.lit(parts)) == k).select("hash").distinct().toPandas()["hash"].to_numpy(np.int64)
+        if not len(some):
+            continue
+        got = docs.select("doc_id", "sig", "text").mapInArrow(_window_hashes(n, spark.sparkContext.broadcast(np.sort(some))), _WINDOW)
+        found = got if found is None else found.unionByName(got)
+    if found is None:
+        return spark.createDataFrame([], "item_id long, doc_id long, sig long, place int")
+    return found.withColumnRenamed("id", "doc_id").join(grams.withColumnRenamed("id", "item_id"), ["hash", "words"]).select("item_id", "doc_id", "sig", "place")
+
+
 def _grams(items: DataFrame, item: str, text: str, n: int, most: int):
     """The broadcast n-grams, or None if there are more of them than may be broadcast."""
     words = items.select(F.sum(F.length(F.col(text))).alias("c")).first()["c"] or 0
@@ -133,45 +172,38 @@ def _grams(items: DataFrame, item: str, text: str, n: int, most: int):
     return items.sparkSession.sparkContext.broadcast(grams) if len(grams.hashes) <= most else None
 
 
-def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, n: int = WORDS, most: int = MOST_BROADCAST) -> DataFrame:
+def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, n: int = WORDS, most: int = MOST_BROADCAST, hashes: int = MOST_HASHES) -> DataFrame:
     """item_id, doc_id of every document that holds at least n consecutive words of an item, once.
 
     Words are runs of letters or digits without letter case and accents. Null and empty texts and texts of fewer than
     n words neither hold nor leak anything; copies of a document are found each; an n-gram that several items share
     counts for each of them. Ids must be whole numbers and not null. The item table's size is checked first: within
-    `most` n-grams they are broadcast and the documents are read once without a shuffle, beyond it both sides'
-    windows are joined on their hash and compared as words.
+    `most` n-grams they are broadcast with their words and the documents are read once without a shuffle; beyond it
+    their hashes are, in parts of at most `hashes`, and the hits are joined with the items' words.
     """
     docs = documents.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     grams = _grams(items, item, item_text, n, most)
     if grams is not None:
         return docs.mapInArrow(_small(grams, False), "item_id long, doc_id long")
-    schema = "id long, hash long, words string"
-    left = docs.mapInArrow(_window_hashes(n), schema).withColumnRenamed("id", "doc_id")
-    right = items.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("t")).mapInArrow(_window_hashes(n), schema).withColumnRenamed("id", "item_id")
-    return left.join(right, ["hash", "words"]).select("item_id", "doc_id").distinct()
+    held = items.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL")
+    return _hits(docs.withColumn("sig", F.lit(0).cast("long")), held, n, hashes).select("item_id", "doc_id").distinct()
 
 
-def without_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, n: int = WORDS, most_share: float = 0.5, most: int = MOST_BROADCAST) -> DataFrame:
-    """doc_id, words, leaked_words, action ('keep', 'cut', 'drop') and clean_text of every document.
+_CLEAN = "doc_id long, words int, leaked_words int, action string, clean_text string"
 
-    Leaked words are those inside a window that an item holds. Documents without any are kept as they are; where at
-    most `most_share` of the words leaked, the stretches from the first to the last leaked word are cut out; others
-    are dropped (clean_text null). Null texts are kept. Needs an item table that can be broadcast.
-    """
-    grams = _grams(items, item, item_text, n, most)
-    if grams is None:
-        raise ValueError("the item table has more n-grams than may be broadcast; use leaks() and drop whole documents")
+
+def _cleaned(n: int, most_share: float, windows):
+    """Cleans the documents of a batch; windows(batch, texts) gives (text number, word place) of their leaked windows."""
 
     def clean(b: pa.RecordBatch) -> pa.RecordBatch:
         raw = b.column(1).to_pylist()
         texts = [folded_words(t) if t else [] for t in raw]
-        where, place, _ = grams.value.windows(texts)
+        where, place = windows(b, texts)
         out = {"doc_id": b.column(0), "words": [len(t) for t in texts], "leaked_words": [0] * len(raw), "action": ["keep"] * len(raw), "clean_text": list(raw)}
         for i in np.unique(where):
             covered = np.zeros(len(texts[i]), bool)
             for p in place[where == i]:
-                covered[p : p + grams.value.n] = True
+                covered[p : p + n] = True
             out["leaked_words"][i] = int(covered.sum())
             spans = list(PLACED.finditer(raw[i]))
             if covered.mean() > most_share or len(spans) != len(covered):
@@ -185,5 +217,28 @@ def without_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, i
             out["action"][i], out["clean_text"][i] = "cut", "".join([*pieces, t[last:]])
         return pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("words", pa.int32()), ("leaked_words", pa.int32()), ("action", pa.string()), ("clean_text", pa.string())]))
 
+    return _batches(clean)
+
+
+def without_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, n: int = WORDS, most_share: float = 0.5, most: int = MOST_BROADCAST, hashes: int = MOST_HASHES) -> DataFrame:
+    """doc_id, words, leaked_words, action ('keep', 'cut', 'drop') and clean_text of every document.
+
+    Leaked words are those inside a window that an item holds. Documents without any are kept as they are; where at
+    most `most_share` of the words leaked, the stretches from the first to the last leaked word are cut out; others
+    are dropped (clean_text null). Null texts are kept. The item table may have any size, as in `leaks`; beyond one
+    broadcast the places of a document's hits, no more than its words, are joined back to it.
+    """
     docs = documents.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return docs.mapInArrow(_batches(clean), "doc_id long, words int, leaked_words int, action string, clean_text string")
+    grams = _grams(items, item, item_text, n, most)
+    if grams is not None:
+        return docs.mapInArrow(_cleaned(n, most_share, lambda b, texts: grams.value.windows(texts)[:2]), _CLEAN)
+    held = items.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL")
+    signed = docs.withColumn("sig", F.xxhash64("text"))
+    places = _hits(signed, held, n, hashes).groupBy("doc_id", "sig").agg(F.collect_set("place").alias("places")).withColumnsRenamed({"doc_id": "_d", "sig": "_s"})
+    j = signed.join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("sig") == F.col("_s")), "left").select("doc_id", "text", "places")
+
+    def given(b: pa.RecordBatch, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        got = [(i, p) for i, ps in enumerate(b.column(2).to_pylist()) for p in ps or []]
+        return np.array([i for i, _ in got], int), np.array([p for _, p in got], int)
+
+    return j.mapInArrow(_cleaned(n, most_share, given), _CLEAN)

@@ -1,7 +1,7 @@
 """Modified Kneser-Ney n-gram model counted by Spark, and perplexity bands per language.
 
-The model is a table of n-gram hashes in sorted order with their log-probabilities. It is never gathered: documents'
-n-grams meet it in a merge join on the sorted hashes.
+The model is a table of n-gram hashes in sorted order with their log-probabilities. It is never gathered: the n-grams
+that make up much of all texts, a bounded number, are broadcast, the others meet it in a merge join on the sorted hashes.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from shorespark.llm.words import lower_words, numbered
 from shorespark.session import written
 
 ORDER = 3
+MOST_FREQUENT = 50_000  #: bound on the n-grams that are broadcast
 
 
 def _word_hash(w: str) -> int:
@@ -61,7 +62,8 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float,
 
 
 def train(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """h (hash of the n-gram, sorted) and logp (natural log of its probability) from the n-grams of all documents."""
+    """h (hash of the n-gram, sorted), logp (natural log of its probability) and c (its count) from the n-grams of all
+    documents."""
     names = [f"w{i + 1}" for i in range(order)]
     levels = {order: grams.groupBy(*names).agg(F.sum("n").cast("long").alias("c"))}
     levels[order] = written(levels[order], "ngrams")
@@ -81,25 +83,31 @@ def train(grams: DataFrame, order: int = ORDER) -> DataFrame:
     d = counts[1]
     whole = levels[1].agg(F.sum("c").alias("s"), F.sum(taken(F.col("c"), d)).alias("free")).first()
     total, free = float(whole["s"] or 1), float(whole["free"] or 0)
-    p = levels[1].select(*names[order - 1 :], ((F.col("c") - taken(F.col("c"), d)) / total + free / total / max(1, words)).alias("p"))
+    p = levels[1].select(*names[order - 1 :], *(["c"] if order == 1 else []), ((F.col("c") - taken(F.col("c"), d)) / total + free / total / max(1, words)).alias("p"))
     for k in range(2, order + 1):
         own, shorter, context = names[order - k :], names[order - k + 1 :], names[order - k : order - 1]
         d = counts[k]
         sums = levels[k].groupBy(*context).agg(F.sum("c").alias("s"), F.sum(taken(F.col("c"), d)).alias("free"))
         j = levels[k].join(sums, context).join(p, shorter)
-        p = j.select(*own, ((F.col("c") - taken(F.col("c"), d) + F.col("free") * F.col("p")) / F.col("s")).alias("p"))
+        p = j.select(*own, *(["c"] if k == order else []), ((F.col("c") - taken(F.col("c"), d) + F.col("free") * F.col("p")) / F.col("s")).alias("p"))
     # a discount may reach the whole count of an n-gram; what is left of the mass keeps every probability positive
-    model = p.select(F.xxhash64(*names).alias("h"), F.log("p").cast("float").alias("logp"))
+    model = p.select(F.xxhash64(*names).alias("h"), F.log("p").alias("logp"), "c")
     return written(model.repartitionByRange("h").sortWithinPartitions("h"), "model")
 
 
 def perplexities(documents: DataFrame, doc: str, text: str, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, perplexity of every document with words, under the model of the whole corpus."""
-    grams = document_grams(documents, doc, text, order)
+    grams = written(document_grams(documents, doc, text, order), "document-grams")  # the texts are cut into words once
     model = train(grams, order)
     names = [f"w{i + 1}" for i in range(order)]
-    hashed = grams.select("doc_id", F.xxhash64(*names).alias("h"), "n")
-    scored = hashed.join(model, "h").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("logp")).alias("s"), F.sum("n").alias("n_words"))
+    # fewer than MOST_FREQUENT n-grams can occur more often than the mean of that many
+    often = (grams.agg(F.sum("n")).first()[0] or 0) / MOST_FREQUENT
+    frequent = model.where(F.col("c") > often).select("h", F.col("logp").alias("_p"))
+    hashed = grams.select("doc_id", F.xxhash64(*names).alias("h"), "n").join(F.broadcast(frequent), "h", "left")
+    sums = lambda d, p: d.groupBy("doc_id").agg(F.sum(F.col("n") * F.col(p)).alias("s"), F.sum("n").alias("n_words"))
+    near = sums(hashed.where("_p IS NOT NULL"), "_p")
+    rest = sums(hashed.where("_p IS NULL").select("doc_id", "h", "n").join(model.where(F.col("c") <= often).select("h", "logp"), "h"), "logp")
+    scored = near.unionByName(rest).groupBy("doc_id").agg(F.sum("s").alias("s"), F.sum("n_words").alias("n_words"))
     return scored.select("doc_id", "n_words", F.exp(-F.col("s") / F.col("n_words")).alias("perplexity"))
 
 

@@ -32,8 +32,8 @@ def test_leaks_by_both_ways(spark):
     d, i = frames(spark)
     grams = lambda t: {tuple(w[k : k + 12]) for w in [words(t)] for k in range(len(w) - 11)}
     want = {(a, b) for a, t, _ in ITEMS for b, u, _ in DOCS if grams(t) & grams(u)}
-    for most in (200_000, 1):
-        got = [tuple(r) for r in contamination.leaks(d, "doc_id", "text", i, "item_id", "text", most=most).collect()]
+    for most, hashes in ((200_000, 9), (1, 4_000_000), (1, 4)):
+        got = [tuple(r) for r in contamination.leaks(d, "doc_id", "text", i, "item_id", "text", most=most, hashes=hashes).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert {b for _, b in want} == {10, 11, 13, 16, 17, 19}
     assert contamination.leaks(d.limit(0), "doc_id", "text", i, "item_id", "text").collect() == []
@@ -42,7 +42,8 @@ def test_leaks_by_both_ways(spark):
 
 def test_cleaning(spark):
     d, i = frames(spark)
-    got = {r.doc_id: r for r in contamination.without_leaks(d, "doc_id", "text", i, "item_id", "text").collect()}
+    got, *others = ({r.doc_id: r for r in contamination.without_leaks(d, "doc_id", "text", i, "item_id", "text", **kw).collect()} for kw in ({}, {"most": 1}, {"most": 1, "hashes": 4}))
+    assert all(o == got for o in others)  # whatever the size of a broadcast
     assert len(got) == len(DOCS)
     assert got[12].action == "keep" and got[12].clean_text == DOCS[2][1] and got[14].clean_text is None and got[14].action == "keep"
     assert got[10].action == "drop" and got[19].action == "cut" and got[19].leaked_words == 14 and got[19].clean_text == "relleno " * 50_000
@@ -117,8 +118,8 @@ def test_mixture_reaches_its_shares(spark):
         assert report[s].reached_share == pytest.approx(share / live, abs=0.003)
         assert report[s].drawn_tokens == sum(r.copies * r.n_tokens for r in draw if r.source == s)
     assert report["absent"].drawn_tokens == 0 and sum(r.saturated for r in report.values()) == 1
-    again, _ = _mix(spark, docs, targets)
-    assert sorted(map(tuple, again)) == sorted(map(tuple, draw))
+    again, same = _mix(spark, docs, targets, chunk=1)  # the sources one after another
+    assert sorted(map(tuple, again)) == sorted(map(tuple, draw)) and same == report
 
 
 def test_mixture_of_given_size_and_of_nothing(spark):
