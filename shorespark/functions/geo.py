@@ -27,7 +27,7 @@ _BETA = _powers((1 / 2, -2 / 3, 37 / 96, -1 / 360), (1 / 48, 1 / 15, -437 / 1440
 _DELTA = _powers((2, -2 / 3, -2, 116 / 45), (7 / 3, -8 / 5, -227 / 45), (56 / 15, -136 / 35), (4279 / 630,))
 
 
-def _fenced(df: DataFrame, given: list[str], out: dict[str, Column]) -> DataFrame:
+def fenced(df: DataFrame, given: list[str], out: dict[str, Column]) -> DataFrame:
     """df with the columns of `out` behind a generator, which keeps later conditions from being copied into them."""
     return df.select(*[F.col(c) for c in given if c not in out], F.inline(F.array(F.struct(*[e.alias(c) for c, e in out.items()]))))
 
@@ -43,7 +43,7 @@ def with_utm(df: DataFrame, lon: str, lat: str, x: str = "x", y: str = "y") -> D
     for j, a in enumerate(_ALPHA, 1):
         east = east + F.lit(a) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + F.lit(a) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return _fenced(df, given, {x: F.lit(FALSE_EAST) + F.lit(SCALE * _A) * east, y: F.lit(FALSE_NORTH) + F.lit(SCALE * _A) * north})
+    return fenced(df, given, {x: F.lit(FALSE_EAST) + F.lit(SCALE * _A) * east, y: F.lit(FALSE_NORTH) + F.lit(SCALE * _A) * north})
 
 
 def with_degrees(df: DataFrame, x: str, y: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -60,7 +60,7 @@ def with_degrees(df: DataFrame, x: str, y: str, lon: str = "lon", lat: str = "la
     rest = F.col("_chi")
     for j, d in enumerate(_DELTA, 1):
         rest = rest + F.lit(d) * F.sin(2 * j * F.col("_chi"))
-    return _fenced(df, given, {lon: F.lit(MERIDIAN) + F.degrees(F.atan2(F.sinh("_ep"), F.cos("_xp"))), lat: F.degrees(rest)})
+    return fenced(df, given, {lon: F.lit(MERIDIAN) + F.degrees(F.atan2(F.sinh("_ep"), F.cos("_xp"))), lat: F.degrees(rest)})
 
 
 def ground_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

@@ -77,20 +77,50 @@ def document(scenes: DataFrame, group: list[str], year: str, sets: dict[str, str
     return scenes.groupBy(*group).agg(F.count("*").alias("scene_count"), *aggs, F.to_json(nested).alias("scenes"))
 
 
-def stac_items(items: DataFrame) -> DataFrame:
-    """item_id, year, provider, level, cloud, tile, href_green, href_nir, href_scl, needs_auth, self_url and status of
-    STAC items (struct columns id, properties map, assets map of struct(href), links array of struct(rel, href),
-    provider). An item without a green or near-infrared asset is 'incomplete'."""
-    asset = lambda *names: F.coalesce(*[F.col("assets")[n]["href"] for n in names])
+# How items of each known provider are read: assets of green, near infrared, scene classes and product in
+# order of preference, the collection where the item names none, level, need of authorisation and status.
+PROVIDERS = {
+    "earth-search": (("green", "B03"), ("nir", "B08"), ("scl", "SCL"), (), "sentinel-2-l2a", "L2A", False, "public_cog_ready"),
+    "earth-search-l1c": (("green", "B03"), ("nir", "B08"), (), (), "sentinel-s2-l1c", "L1C", False, "public_l1c_jp2_ready"),
+    "copernicus-data-space": (("B03", "green"), ("B08", "nir"), ("SCL", "scl"), ("Product", "product"), "sentinel-2-l1c", "L1C", True, "catalogued_auth_download_required"),
+}
+# Object store prefixes of public products and the addresses that serve them.
+PUBLIC = {"s3://sentinel-s2-l1c/": "https://sentinel-s2-l1c.s3.eu-central-1.amazonaws.com/"}
+
+
+def stac_items(items: DataFrame, providers: dict[str, tuple] | None = None) -> DataFrame:
+    """item_id, scene_year, acquired_at, provider, collection, level, cloud_cover, tile, href_green, href_nir, href_scl,
+    href_product, needs_auth, self_url and status of STAC items (id, collection, properties map, assets map of
+    struct(href), links array of struct(rel, href), provider), each read by the rules of its provider.
+
+    An item without a green or near-infrared asset has status 'incomplete', one of an unknown provider
+    'unknown_provider' and nothing read by rules.
+    """
+    rules = providers or PROVIDERS
     p = lambda n: F.col("properties")[n]
-    green, nir, scl = asset("green", "B03"), asset("nir", "B08"), asset("scl", "SCL")
-    plain = lambda c: F.regexp_replace(c, r"^s3://([^/]+)/", "https://$1.s3.amazonaws.com/")
+
+    def by(i: int, make) -> Column:
+        out = F.lit(None)
+        for name, rule in rules.items():
+            out = F.when(F.col("provider") == name, make(rule[i])).otherwise(out)
+        return out
+
+    asset = lambda names: F.coalesce(*[F.when(F.col("assets")[n]["href"] != "", F.col("assets")[n]["href"]) for n in names]) if names else F.lit(None).cast("string")
     link = F.filter("links", lambda x: x["rel"] == "self")
-    level = F.when(F.upper(F.col("id")).contains("L2A"), "L2A").when(F.upper(F.col("id")).contains("L1C"), "L1C").otherwise("unknown")
-    return items.select(
-        F.col("id").alias("item_id"), F.year(p("datetime").try_cast("timestamp")).alias("scene_year"), "provider", level.alias("level"), p("eo:cloud_cover").try_cast("double").alias("cloud_cover"),
-        F.coalesce(p("grid:code"), p("s2:mgrs_tile")).alias("tile"), plain(green).alias("href_green"), plain(nir).alias("href_nir"), plain(scl).alias("href_scl"),
-        F.coalesce(green.startswith("s3://"), F.lit(False)).alias("needs_auth"), F.get(link, F.lit(0))["href"].alias("self_url"), F.when(green.isNull() | nir.isNull(), "incomplete").otherwise("ready").alias("status"),
+
+    def served(c: Column) -> Column:
+        out = c
+        for at, to in PUBLIC.items():
+            out = F.when(c.startswith(at), F.concat(F.lit(to), F.substring(c, len(at) + 1, 2**30))).otherwise(out)
+        return out
+
+    df = items.withColumns({"_g": served(by(0, asset)), "_n": served(by(1, asset)), "_s": by(2, asset), "_p": by(3, asset)})
+    when = F.coalesce(p("datetime"), p("start_datetime"))
+    status = F.when(~F.col("provider").isin(*rules) | F.col("provider").isNull(), "unknown_provider").when(F.col("_g").isNull() | F.col("_n").isNull(), "incomplete").otherwise(by(7, F.lit))
+    return df.select(
+        F.col("id").alias("item_id"), F.year(when.try_cast("timestamp")).alias("scene_year"), when.alias("acquired_at"), "provider", F.coalesce(F.when(F.col("collection") != "", F.col("collection")), by(4, F.lit)).alias("collection"), by(5, F.lit).alias("level"),
+        p("eo:cloud_cover").try_cast("double").alias("cloud_cover"), F.coalesce(p("grid:code"), p("s2:mgrs_tile")).alias("tile"), F.col("_g").alias("href_green"), F.col("_n").alias("href_nir"), F.col("_s").alias("href_scl"), F.col("_p").alias("href_product"),
+        by(6, F.lit).alias("needs_auth"), F.get(link, F.lit(0))["href"].alias("self_url"), status.alias("status"),
     )
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shorespark.functions.geo import point_segment_distance
+from shorespark.functions.geo import fenced, point_segment_distance
 from shorespark.operators.lines import crossings
+from shorespark.operators.polygons import centroid
 from shorespark.operators.raster import rasterised
 from shorespark.operators.spatial import in_regions, nearest_lines
+from shorespark.session import written
 
 
 def nearest_rates(features: DataFrame, key: str, x: str, y: str, rates: DataFrame, line: str, rate: str) -> DataFrame:
@@ -67,32 +69,37 @@ def _within(points: DataFrame, shore: DataFrame, features: DataFrame, reach: str
     return nearest_lines(points, shore.select(F.col("id").alias("line"), "x1", "y1", "x2", "y2"), first=r, most=r).select("point", "distance")
 
 
-def _reached(r: Column) -> tuple[Column, Column]:
-    """Shares t0 and t1 of the segment a (ax1..ay2) between which it lies within r of the segment b (bx1..by2); t0 > t1
-    or null where it nowhere does. What lies within r of a segment is convex (two circles and a strip between them),
-    so there is one stretch, from the least to the greatest root of the three."""
-    c = F.col
-    dx, dy, ux, uy = c("ax2") - c("ax1"), c("ay2") - c("ay1"), c("bx2") - c("bx1"), c("by2") - c("by1")
-    fx, fy, a = c("ax1") - c("bx1"), c("ay1") - c("by1"), dx * dx + dy * dy
+def _reached(df: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, t0 and t1: the shares of the segment a (ax1..ay2) between which it lies within _r of the segment b (bx1..by2);
+    t0 > t1 or null where it nowhere does. What lies within a distance of a segment is convex (two circles and a strip
+    between them), so there is one stretch, from the least to the greatest root of the three. The steps are fenced: each
+    is used several times and computed once."""
+    e = F.expr
+    df = fenced(df, [*keep, "bx1"], {"dx": e("ax2 - ax1"), "dy": e("ay2 - ay1"), "ux": e("bx2 - bx1"), "uy": e("by2 - by1"), "fx": e("ax1 - bx1"), "fy": e("ay1 - by1")})
+    df = fenced(df, keep, {
+        "a": e("dx * dx + dy * dy"), "ul": e("hypot(ux, uy)"), "h1": e("fx * dx + fy * dy"), "e1": e("fx * fx + fy * fy - _r * _r"),
+        "h2": e("(fx - ux) * dx + (fy - uy) * dy"), "e2": e("(fx - ux) * (fx - ux) + (fy - uy) * (fy - uy) - _r * _r"),
+        "al": e("fx * ux + fy * uy"), "ad": e("dx * ux + dy * uy"), "cl": e("fy * ux - fx * uy"), "cd": e("dy * ux - dx * uy"),
+    })
+    always = lambda start, low, high: F.when(start.between(low, high), 1e300).otherwise(-1e300)  # noqa: E731  # parallel: everywhere or nowhere
 
-    def circle(fx: Column, fy: Column) -> tuple[Column, Column]:
-        h = fx * dx + fy * dy
-        disc = h * h - a * (fx * fx + fy * fy - r * r)
-        root = F.sqrt(F.greatest(F.lit(0.0), disc))
-        return tuple(F.when(disc >= 0, F.try_divide(-h + s * root, a)) for s in (-1, 1))
+    def slab(start: str, slope: str, low: Column, high: Column) -> tuple[Column, Column]:
+        ends = F.try_divide(low - F.col(start), F.col(slope)), F.try_divide(high - F.col(start), F.col(slope))
+        level = always(F.col(start), low, high)
+        return F.when(F.col(slope) == 0, -level).otherwise(F.least(*ends)), F.when(F.col(slope) == 0, level).otherwise(F.greatest(*ends))
 
-    def slab(start: Column, slope: Column, low: Column, high: Column) -> tuple[Column, Column]:
-        ends = F.try_divide(low - start, slope), F.try_divide(high - start, slope)
-        always = F.when(start.between(low, high), 1e300).otherwise(-1e300)  # parallel: everywhere or nowhere
-        return F.when(slope == 0, -always).otherwise(F.least(*ends)), F.when(slope == 0, always).otherwise(F.greatest(*ends))
+    # along and across are in units of the length of b
+    wide = F.col("_r") * F.col("ul")
+    along, across = slab("al", "ad", F.lit(0.0), F.col("ul") * F.col("ul")), slab("cl", "cd", -wide, wide)
+    df = fenced(df, [*keep, "a", "ul", "h1", "h2"], {"q1": e("h1 * h1 - a * e1"), "q2": e("h2 * h2 - a * e2"), "low": F.greatest(along[0], across[0]), "high": F.least(along[1], across[1])})
 
-    length = F.hypot(ux, uy)
-    ex, ey = F.try_divide(ux, length), F.try_divide(uy, length)
-    along, across = slab(fx * ex + fy * ey, dx * ex + dy * ey, F.lit(0.0), length), slab(fy * ex - fx * ey, dy * ex - dx * ey, -r, r)
-    low, high = F.greatest(along[0], across[0]), F.least(along[1], across[1])
-    strip = (length > 0) & (low <= high)
-    one, two = circle(fx, fy), circle(fx - ux, fy - uy)
-    return F.greatest(F.lit(0.0), F.least(one[0], two[0], F.when(strip, low), F.lit(2.0))), F.least(F.lit(1.0), F.greatest(one[1], two[1], F.when(strip, high), F.lit(-1.0)))
+    def root(n: int, sign: int) -> Column:
+        return F.when(F.col(f"q{n}") >= 0, F.try_divide(-F.col(f"h{n}") + sign * F.sqrt(F.greatest(F.lit(0.0), F.col(f"q{n}"))), F.col("a")))
+
+    strip = (F.col("ul") > 0) & (F.col("low") <= F.col("high"))
+    t0 = F.greatest(F.lit(0.0), F.least(root(1, -1), root(2, -1), F.when(strip, F.col("low")), F.lit(2.0)))
+    t1 = F.least(F.lit(1.0), F.greatest(root(1, 1), root(2, 1), F.when(strip, F.col("high")), F.lit(-1.0)))
+    return fenced(df, keep, {"t0": t0, "t1": t1})
 
 
 def exposed_length(roads: DataFrame, shore: DataFrame, reach: str, cell: float = 100.0) -> DataFrame:
@@ -122,9 +129,8 @@ def exposed_length(roads: DataFrame, shore: DataFrame, reach: str, cell: float =
     j = celled(a, "a", F.col("_r") * 1.0001).join(celled(parts(shore, "b", []), "b", F.lit(0.0)), ["cx", "cy"])
     j = j.where("alx <= bhx AND blx <= ahx AND aly <= bhy AND bly <= ahy")
     j = j.where((F.floor(F.greatest("alx", "blx") / cell) == F.col("cx")) & (F.floor(F.greatest("aly", "bly") / cell) == F.col("cy")))
-    t0, t1 = _reached(F.col("_r"))
     part = ["id", "_r", "ax1", "ay1", "ax2", "ay2"]
-    j = j.select(*part, t0.alias("t0"), t1.alias("t1")).where("t0 < t1")
+    j = _reached(j, part).where("t0 < t1")
     before = F.max("t1").over(Window.partitionBy(*part).orderBy("t0", "t1").rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.lit(0.0), F.col("t1") - F.greatest("t0", before)) * F.hypot(F.col("ax2") - F.col("ax1"), F.col("ay2") - F.col("ay1"))
     hit = j.select("id", new.alias("_l")).groupBy("id").agg(F.sum("_l").alias("exposed_length_m"))
@@ -167,3 +173,21 @@ def line_distance(features: DataFrame, shore: DataFrame, cell: float = 100.0) ->
     back = inside.select(bits[4].alias("id"), point_segment_distance(F.col("px"), F.col("py"), *[bits[i].cast("double") for i in range(4)]).alias("d"))
     crossing = crossings(one(features), one(shore), cell).select(F.col("a_id").cast("string").alias("id"), F.lit(0.0).alias("d"))
     return forth.unionByName(crossing).unionByName(back).groupBy("id").agg(F.min("d").alias("distance_m"))
+
+
+def assessed(buildings: DataFrame, shore: DataFrame, rates: DataFrame, line: str, rate: str, horizon: int = 30, cell: float = 1.0) -> DataFrame:
+    """id, transect, rate, distance_m, years_to_impact, horizon_years and exposed_area_m2 of every building (id, xs, ys): the
+    rate of the transect nearest to its centre, its distance from the nearest shore segment (id, x1..y2), the time until
+    the shore is there and the area within what it retreats in `horizon` years. Without a positive rate nothing is
+    exposed and the time is null. `id` must be unique; polygons without area have no centre and are left out."""
+    c = centroid(F.col("xs"), F.col("ys"))
+    b = buildings.select(F.col("id").cast("string").alias("id"), "xs", "ys", c.alias("c")).where("c IS NOT NULL")
+    near = nearest_rates(b.select("id", F.col("c.x").alias("px"), F.col("c.y").alias("py")), "id", "px", "py", rates, line, rate).select("id", line, rate)
+    n = F.size("xs")
+    at = lambda a, i: F.element_at(a, i)
+    sides = b.select("id", "xs", "ys", F.explode(F.sequence(F.lit(1), n)).alias("i"))
+    sides = sides.select(F.concat_ws("\x1e", F.col("i").cast("string"), "id").alias("id"), at("xs", F.col("i")).alias("x1"), at("ys", F.col("i")).alias("y1"), at("xs", F.col("i") % n + 1).alias("x2"), at("ys", F.col("i") % n + 1).alias("y2"))
+    far = line_distance(sides, shore).groupBy(F.split("id", "\x1e", 2)[1].alias("id")).agg(F.min("distance_m").alias("distance_m"))
+    j = written(b.drop("c").join(near, "id").join(far, "id", "left"), "assessed")
+    area = exposed_area(j.select("id", "xs", "ys", (F.greatest(F.lit(0.0), F.col(rate)) * horizon).alias("reach")), shore, "reach", cell)
+    return j.join(area, "id").select("id", line, rate, "distance_m", years_to_impact(F.col("distance_m"), F.col(rate)).alias("years_to_impact"), F.lit(horizon).alias("horizon_years"), "exposed_area_m2")

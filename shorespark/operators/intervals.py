@@ -1,8 +1,8 @@
 """Overlapping and gapped day intervals per entity: continuous periods and the gaps between them.
 
 An ordered map of disjoint intervals is kept per entity; each insertion finds its overlaps by binary search, merges
-them and so updates the gaps. The map is filled twice: inside each input partition, which leaves at most the disjoint
-periods of each entity to shuffle, and per entity over those. A streaming form keeps the map as state.
+them and so updates the gaps. The map is filled inside each input partition, which leaves at most the disjoint
+periods of each entity to shuffle, over groups of partitions, and per entity over those. A streaming form keeps the map as state.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 YES = ("true", "t", "yes", "y", "1", "si", "sí", "s", "verdadero", "v", "cierto", "on")
 
 
+SALTS = 32  #: tasks that merge an entity's maps before the last one
+
+
 def says_yes(text: Column) -> Column:
     """True where a text says yes in a usual English or Spanish spelling, whatever its case and outer blanks."""
     return F.coalesce(F.lower(F.trim(text)).isin(*YES, "1.0"), F.lit(False))
@@ -55,7 +58,8 @@ def _combine(limit: int):
         maps: dict = {}
         seen = 0
         for b in batches:
-            for k, s, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            # in order of the starts, so that an insertion moves little
+            for k, s, e in sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()), key=lambda r: r[1]):
                 m = maps.get(k)
                 if m is None:
                     m = maps[k] = IntervalMap()
@@ -72,8 +76,8 @@ def _combine(limit: int):
 
 def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
     m = IntervalMap()
-    for s, e in zip(pdf["first"], pdf["last"]):
-        m.insert(int(s), int(e))
+    for s, e in sorted(zip(pdf["first"].tolist(), pdf["last"].tolist())):
+        m.insert(s, e)
     rows = [("period", s, e) for s, e in zip(m.starts, m.ends)] + [("gap", s, e) for s, e in m.gaps()]
     out = pd.DataFrame(rows, columns=["span_kind", "first", "last"])
     out.insert(0, "entity", pdf["entity"].iloc[0])
@@ -85,10 +89,13 @@ def spans(df: DataFrame, limit: int = 200_000) -> DataFrame:
 
     Closed intervals that overlap, nest or follow directly form one period; a gap lies between two consecutive periods
     of an entity. A partition keeps at most about `limit` periods before it passes them on; what one entity gathers is
-    bounded by the disjoint periods of its partitions, never by its rows.
+    bounded by its disjoint periods in SALTS groups of partitions, never by its rows or the number of partitions.
     """
     valid = df.select(F.col("entity").cast("string").alias("entity"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")).where("first IS NOT NULL AND last IS NOT NULL AND last >= first")
-    partial = valid.mapInArrow(_combine(limit), "entity string, first long, last long")
+    schema = "entity string, first long, last long"
+    partial = valid.mapInArrow(_combine(limit), schema).withColumn("_s", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    # an entity's partial maps meet in SALTS tasks first, so the last one gathers as many maps at most
+    partial = partial.repartition("entity", "_s").drop("_s").mapInArrow(_combine(limit), schema)
     return partial.groupBy("entity").applyInPandas(_spans, "entity string, span_kind string, first long, last long")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shorespark.functions.places import places
+from shorespark.operators.spatial import nearest_lines
 from shorespark.session import written
 
 BLOCK = 4096
@@ -296,6 +297,37 @@ def merged_order(parts: DataFrame) -> DataFrame:
     return parts.groupBy("line").applyInPandas(chain, f"line {kind[0]}, part {kind[1]}, place int, turned boolean")
 
 
+def stitched(parts: DataFrame) -> DataFrame:
+    """line, part, ring, place, turned: the order in which the parts (line, part, x1, y1, x2, y2) of each line join end to end
+    into closed rings, numbered by their smallest corner. Parts that belong to no simple ring are left out; a part that
+    is closed by itself is a ring. The parts of one line, a shape's ways, are gathered."""
+
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends = [list(zip(pdf["x1"].tolist(), pdf["y1"].tolist())), list(zip(pdf["x2"].tolist(), pdf["y2"].tolist()))]
+        at: dict = {}
+        for side in (0, 1):
+            for i, p in enumerate(ends[side]):
+                at.setdefault(p, []).append((i, side))
+        seen, rows = set(), []
+        for start in sorted(at):
+            if len(at[start]) != 2 or at[start][0][0] in seen:
+                continue
+            ring, here = [], start
+            while nxt := [e for e in at[here] if e[0] not in seen]:
+                i, side = nxt[0]
+                seen.add(i)
+                ring.append((i, bool(side)))
+                here = ends[1 - side][i]
+            if here == start and all(len(at[ends[s][i]]) == 2 for i, _ in ring for s in (0, 1)):
+                rows += [(i, start, k, t) for k, (i, t) in enumerate(ring)]
+        names = {c: n for n, c in enumerate(sorted({r[1] for r in rows}))}
+        got = pdf[["line", "part"]].iloc[[r[0] for r in rows]]
+        return got.assign(ring=np.array([names[r[1]] for r in rows], np.int32), place=np.array([r[2] for r in rows], np.int32), turned=np.array([r[3] for r in rows], bool))
+
+    kind = parts.schema["line"].dataType.simpleString(), parts.schema["part"].dataType.simpleString()
+    return parts.groupBy("line").applyInPandas(close, f"line {kind[0]}, part {kind[1]}, ring int, place int, turned boolean")
+
+
 def ring_arc(ring: DataFrame, anchors: DataFrame, tolerance: float) -> DataFrame:
     """line, direction, seq, x, y: the arc of each closed ring (line, seq, x, y; closing vertex left out) between the
     vertices nearest (by |dx| + |dy| within tolerance) to the line's two anchors whose length lies in [least, most];
@@ -313,6 +345,24 @@ def ring_arc(ring: DataFrame, anchors: DataFrame, tolerance: float) -> DataFrame
     return path.join(one, "line").select(F.col("line.line").alias("line"), F.col("line.direction").alias("direction"), "seq", "x", "y")
 
 
+def centroids(segs: DataFrame) -> DataFrame:
+    """line, x, y: the centre of each line, its segments weighted by their lengths; none for lines without length."""
+    of = lambda c: F.try_divide(F.sum((F.col(f"{c}1") + F.col(f"{c}2")) / 2 * F.col("len")), F.sum("len")).alias(c)
+    return segs.groupBy("line").agg(of("x"), of("y")).where("x IS NOT NULL")
+
+
+def projected(points: DataFrame, segs: DataFrame) -> DataFrame:
+    """point, line, chainage_m and distance_m: the place along the nearest line of the point of it that is nearest to each
+    point (point, px, py). Equally near: the smaller (seq, line). Null coordinates are left out."""
+    name = F.concat_ws("\x1e", F.lpad(F.col("seq").cast("string"), 12, "0"), "line")
+    near = nearest_lines(points, segs.select(name.alias("line"), "x1", "y1", "x2", "y2"))
+    bits = F.split("line", "\x1e", 2)
+    j = near.select("point", "px", "py", "distance", bits[0].cast("long").alias("seq"), bits[1].alias("line")).join(segs.select("line", "seq", "x1", "y1", "x2", "y2", "len", "cum"), ["line", "seq"])
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    t = F.coalesce(F.try_divide((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy, F.col("len")), F.lit(0.0))
+    return j.select("point", "line", (F.col("cum") + F.greatest(F.lit(0.0), F.least(F.col("len"), t))).alias("chainage_m"), F.col("distance").alias("distance_m"))
+
+
 def arc_checks(v: DataFrame, least: int, most: int) -> DataFrame:
     """line, n_vertices, length_m, simple, north_to_south and fit (a simple line from north to south with a number of
     vertices in [least, most]) of every line of at least two vertices."""

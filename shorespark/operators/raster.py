@@ -110,6 +110,49 @@ def outline(mask: DataFrame, key: str, size: float, frame: DataFrame | None = No
     return s.select(key, (F.col("ca") * size).alias("x1"), (F.col("ra") * size).alias("y1"), (F.col("cb") * size).alias("x2"), (F.col("rb") * size).alias("y2"))
 
 
+def rings(mask: DataFrame, key: str, size: float) -> DataFrame:
+    """key, ring, place, x1, y1, x2, y2: the boundary of the set cells as closed rings of cell sides in order; cells that
+    meet at a corner only are not joined. Outer rings turn left, holes right; `ring` is the code of the ring's least
+    side. Repeated cells count once; an empty mask gives no rows.
+
+    Every side knows the next one by an equi-join on corners. Jumping over 1, 2, 4, ... sides, each round one join, finds
+    a ring's least side and then each side's distance from it, so the rounds grow with the logarithm of a ring's length.
+    """
+    cells = materialised(mask.select(key, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).distinct())
+    sides = [(0, 0, 0, -1, 0), (0, 1, 1, 0, 1), (1, 1, 2, 1, 0), (1, 0, 3, 0, -1)]  # start corner, direction (+x, +y, -x, -y), cell across
+    each = F.explode(F.array(*[F.struct((F.col("row") + a).alias("r"), (F.col("col") + b).alias("c"), F.lit(d).alias("d"), (F.col("row") + e).alias("row"), (F.col("col") + f).alias("col")) for a, b, d, e, f in sides]))
+    s = cells.select(key, each.alias("s")).select(key, "s.*").join(cells, [key, "row", "col"], "left_anti").select(key, "r", "c", "d")
+    s = materialised(s.withColumn("id", (F.col("r") * F.lit(2**29) + F.col("c")) * 4 + F.col("d")))
+    er = F.col("r") + F.when(F.col("d") == 1, 1).when(F.col("d") == 3, -1).otherwise(0)
+    ec = F.col("c") + F.when(F.col("d") == 0, 1).when(F.col("d") == 2, -1).otherwise(0)
+    here = s.select(key, "id", "d", er.alias("r"), ec.alias("c"))
+    turn = F.pmod(F.col("d2") - F.col("d"), F.lit(4))
+    nxt = here.join(s.select(key, "r", "c", F.col("d").alias("d2"), F.col("id").alias("id2")), [key, "r", "c"]).groupBy(key, "id").agg(F.min_by("id2", F.when(turn == 1, 0).when(turn == 0, 1).otherwise(2)).alias("jump"))
+    nxt = materialised(nxt)
+    low = nxt.withColumn("low", F.col("id"))
+    while True:
+        there = low.select(key, F.col("id").alias("jump"), F.col("low").alias("low2"), F.col("jump").alias("jump2"))
+        new = materialised(low.join(there, [key, "jump"]).select(key, "id", F.col("jump2").alias("jump"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")))
+        low = new.drop("moved")
+        if new.where("moved").isEmpty():
+            break
+    head = F.col("id") == F.col("low")
+    rank = nxt.join(low.select(key, "id", "low"), [key, "id"]).select(key, "id", "low", F.when(head, F.col("id")).otherwise(F.col("jump")).alias("jump"), F.when(head, 0).otherwise(1).cast("long").alias("n"))
+    while True:
+        there = rank.select(key, F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("n").alias("n2"))
+        rank = materialised(rank.join(there, [key, "jump"]).select(key, "id", "low", F.col("jump2").alias("jump"), (F.col("n") + F.col("n2")).alias("n")))
+        if rank.where("jump <> low").isEmpty():
+            break
+    size_of = rank.groupBy(key, "low").agg((F.max("n") + 1).alias("whole"))
+    j = rank.join(size_of, [key, "low"]).withColumn("place", F.pmod(-F.col("n"), F.col("whole"))).select(key, "id", F.col("low").alias("ring"), "place")
+    return j.join(s, [key, "id"]).select(key, "ring", "place", (F.col("c") * size).alias("x1"), (F.col("r") * size).alias("y1"), (ec * size).alias("x2"), (er * size).alias("y2"))
+
+
+def ring_areas(sides: DataFrame, key: str) -> DataFrame:
+    """key, ring, area of rings of sides (key, ring, x1..y2), positive for outer rings, negative for holes."""
+    return sides.groupBy(key, "ring").agg((F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2).alias("area"))
+
+
 def rasterised(polygons: DataFrame, key: str, size: float, most_cells: int = 4_000_000) -> DataFrame:
     """key, row, col of the cells whose centre lies in the polygon (key, xs, ys; open or closed ring, even-odd rule).
 

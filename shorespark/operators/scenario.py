@@ -17,13 +17,13 @@ def retreat(year: Column, rate: Column, base: int) -> Column:
 
 
 def margins(points: DataFrame, segs: DataFrame, retreat_m: Column) -> DataFrame:
-    """points (point, x, y, ...) with line (the nearest), distance_m, side (1 to its left, -1 to its right, 0 on it),
+    """points (point, x, y, ...) with line (the nearest), chainage_m (the place along it), distance_m, side (1 to its left, -1 to its right, 0 on it),
     retreat_m, margin_m (distance less retreat) and reached (not to the right and within the retreat).
 
     The nearest segment comes from the spatial search; its neighbours are looked at too, as at a shared vertex the
     segment that is more across the view decides the side. `point` must be unique; null coordinates are left out.
     """
-    s = segs.select(F.concat_ws("\x1e", "seq", "line").alias("id"), F.col("line").alias("l"), "seq", "x1", "y1", "x2", "y2")
+    s = segs.select(F.concat_ws("\x1e", "seq", "line").alias("id"), F.col("line").alias("l"), "seq", "x1", "y1", "x2", "y2", "len", "cum")
     near = nearest_lines(points.select(F.col("point").cast("string").alias("point"), F.col("x").alias("px"), F.col("y").alias("py")), s.withColumnRenamed("id", "line"))
     bits = F.split("line", "\x1e", 2)
     tries = near.select("point", "px", "py", bits[1].alias("l"), F.explode(F.array(*[bits[0].cast("long") + k for k in (-1, 0, 1)])).alias("seq"))
@@ -31,8 +31,9 @@ def margins(points: DataFrame, segs: DataFrame, retreat_m: Column) -> DataFrame:
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     d = point_segment_distance(*[F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")])
     cross = dx * (F.col("py") - F.col("y1")) - dy * (F.col("px") - F.col("x1"))
-    best = j.groupBy("point").agg(F.min(F.struct(F.round(d, 6).alias("r"), (-F.abs(F.coalesce(F.try_divide(cross, F.hypot(dx, dy)), F.lit(0.0)))).alias("o"), "seq", F.signum(cross).alias("side"), d.alias("d"), F.col("l").alias("line"))).alias("b"))
-    out = points.withColumn("point", F.col("point").cast("string")).join(best, "point").withColumns({"line": F.col("b.line"), "distance_m": F.col("b.d"), "side": F.col("b.side")}).drop("b")
+    along = F.col("cum") + F.greatest(F.lit(0.0), F.least(F.col("len"), F.coalesce(F.try_divide((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy, F.col("len")), F.lit(0.0))))
+    best = j.groupBy("point").agg(F.min(F.struct(F.round(d, 6).alias("r"), (-F.abs(F.coalesce(F.try_divide(cross, F.hypot(dx, dy)), F.lit(0.0)))).alias("o"), "seq", F.signum(cross).alias("side"), d.alias("d"), F.col("l").alias("line"), along.alias("along"))).alias("b"))
+    out = points.withColumn("point", F.col("point").cast("string")).join(best, "point").withColumns({"line": F.col("b.line"), "chainage_m": F.col("b.along"), "distance_m": F.col("b.d"), "side": F.col("b.side")}).drop("b")
     out = out.withColumn("retreat_m", retreat_m)
     return out.withColumns({"margin_m": F.col("distance_m") - F.col("retreat_m"), "reached": (F.col("side") >= 0) & (F.col("distance_m") <= F.col("retreat_m"))})
 

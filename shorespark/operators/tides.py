@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shorespark.functions.geo import ground_distance
 from shorespark.operators import lines, polygons
 
 
@@ -23,17 +26,59 @@ def harmonic(times: DataFrame, key: list[str], instant: str, constituents: DataF
     """key and tide_height_m: the sum of amplitude x cos(speed x hours + phase) over the constituents (amplitude_m,
     speed_deg_per_hour, phase_deg), hours since 1970 UTC of `instant` in microseconds.
 
-    The constituents, a few dozen by nature (an error beyond 1000), become one array beside each time, so the times
-    are neither joined nor shuffled.
+    The constituents become one array in one row beside each time, so the times are neither joined nor shuffled.
+    Constituents with a null are left out; without any the height is 0.
     """
-    table = [tuple(float(v) for v in r) for r in constituents.select("amplitude_m", "speed_deg_per_hour", "phase_deg").limit(1001).collect()]
-    if len(table) > 1000:
-        raise ValueError("more than 1000 tidal constituents")
+    c = constituents.select(F.col("amplitude_m").cast("double").alias("a"), F.col("speed_deg_per_hour").cast("double").alias("s"), F.col("phase_deg").cast("double").alias("p")).where("a + s + p IS NOT NULL")
+    one = c.agg(F.sort_array(F.collect_list(F.struct("a", "s", "p"))).alias("_c"))  # one row, a few dozen constituents by nature
     hours = F.col(instant) / 3_600_000_000
-    total = F.lit(0.0)
-    for a, speed, phase in sorted(table):
-        total = total + F.lit(a) * F.cos(F.radians(F.lit(speed) * hours + F.lit(phase)))
-    return times.select(*key, total.alias("tide_height_m"))
+    total = F.aggregate("_c", F.lit(0.0), lambda t, k: t + k["a"] * F.cos(F.radians(k["s"] * hours + k["p"])))
+    return times.crossJoin(F.broadcast(one)).select(*key, total.alias("tide_height_m"))
+
+
+def gridded(points: DataFrame, key: list[str], lon: str, lat: str, instant: str, grid: DataFrame, step: float, cutoff_km: float = 10.0) -> DataFrame:
+    """key and tide_height_m at points (lon, lat in degrees, instant in microseconds) from a gridded model: rows (row, col,
+    name, speed_deg_per_hour, amplitude_m, phase_deg) at latitude row x step and longitude col x step.
+
+    Amplitude and phase of each constituent are interpolated as a complex number between the four surrounding nodes,
+    the weights of absent ones left out; a point without any takes its nearest node within `cutoff_km`, beyond that,
+    and for null places or times, the height is null. Points meet nodes by an equi-join on (row, col). `key` must be
+    unique.
+    """
+    g = grid.select(F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c"), "name", F.col("speed_deg_per_hour").alias("w"), (F.col("amplitude_m") * F.cos(F.radians("phase_deg"))).alias("re"), (F.col("amplitude_m") * F.sin(F.radians("phase_deg"))).alias("im")).where("re + im + w IS NOT NULL")
+    pts = points.select(*key, F.col(lon).cast("double").alias("_x"), F.col(lat).cast("double").alias("_y"), F.col(instant).alias("_t"))
+    at = pts.where("_x + _y + _t IS NOT NULL").withColumns({"_i": F.floor(F.col("_y") / step), "_j": F.floor(F.col("_x") / step)})
+    four = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
+    near = at.withColumn("k", four).select(*key, "_t", (F.col("_i") + F.col("k.a")).alias("r"), (F.col("_j") + F.col("k.b")).alias("c"), "_x", "_y")
+    near = near.withColumn("weight", (1 - F.abs(F.col("_y") / step - F.col("r"))) * (1 - F.abs(F.col("_x") / step - F.col("c")))).where("weight > 0")
+    inside = near.join(g, ["r", "c"]).select(*key, "_t", "name", "w", "weight", "re", "im")
+    # the others look at the nodes as far as the cut-off reaches
+    alone = at.join(inside.select(*key).distinct(), key, "left_anti")
+    reach = int(math.ceil(cutoff_km / (110.5 * step))) + 1
+    wide = F.least(F.lit(360.0 / step), F.ceil(reach / F.greatest(F.lit(0.01), F.cos(F.radians("_y"))))).cast("long")
+    around = alone.withColumn("r", F.explode(F.sequence(F.col("_i") - reach, F.col("_i") + reach))).withColumn("c", F.explode(F.sequence(F.col("_j") - wide, F.col("_j") + wide)))
+    far = ground_distance(F.col("_x"), F.col("_y"), F.col("c") * step, F.col("r") * step)
+    nodes = g.select("r", "c").distinct()
+    best = around.withColumn("d", far).where(F.col("d") <= cutoff_km * 1000).join(nodes, ["r", "c"]).groupBy(*key, "_t").agg(F.min(F.struct("d", "r", "c")).alias("b"))
+    outside = best.select(*key, "_t", F.col("b.r").alias("r"), F.col("b.c").alias("c")).join(g, ["r", "c"]).select(*key, "_t", "name", "w", F.lit(1.0).alias("weight"), "re", "im")
+    mean = lambda c: F.sum(F.col("weight") * F.col(c)) / F.sum("weight")
+    each = inside.unionByName(outside).groupBy(*key, "_t", "name").agg(F.first("w").alias("w"), mean("re").alias("re"), mean("im").alias("im"))
+    turn = F.radians(F.col("w") * F.col("_t") / 3_600_000_000)
+    height = each.groupBy(*key).agg(F.sum(F.col("re") * F.cos(turn) - F.col("im") * F.sin(turn)).alias("tide_height_m"))
+    return points.select(*key).join(height, key, "left")
+
+
+def model_check(files: DataFrame, expected: list[str]) -> DataFrame:
+    """missing, unexpected and bad_header (sorted, joined by ';'), n and valid of a folder of model files (path, content as
+    `binaryFile` reads them): the names without ending against the expected ones, and the eight bytes that open an HDF5
+    container."""
+    name = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", ""))
+    f = files.select(name.alias("name"), (F.hex(F.substring("content", 1, 8)) == "894844460D0A1A0A").alias("ok"))
+    one = f.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("name")).alias("names"), F.sort_array(F.collect_set(F.when(~F.col("ok"), F.col("name")))).alias("bad"))
+    want = F.array(*[F.lit(e.lower()) for e in sorted(expected)])
+    missing, more = F.array_except(want, "names"), F.array_except("names", want)
+    text = lambda a: F.array_join(a, ";")
+    return one.select(text(missing).alias("missing"), text(more).alias("unexpected"), text("bad").alias("bad_header"), "n", ((F.size(missing) == 0) & (F.size("bad") == 0)).alias("valid"))
 
 
 def corrected(v: DataFrame, shifts: DataFrame, water: DataFrame | None = None, land: DataFrame | None = None, probe: float = 5.0) -> DataFrame:

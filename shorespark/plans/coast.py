@@ -10,7 +10,7 @@ from shorespark.functions.geo import same_longitude, with_degrees, with_utm
 from shorespark.functions.places import places
 from shorespark.operators import catalog, change, exposure, intervals, lines, quality, scenario, spatial, storms, tides
 from shorespark.operators.clocks import instant_column
-from shorespark.plans.sqltext import SCENES_SQL, USABLE_SQL, utm_cte
+from shorespark.plans.sqltext import SCENES_SQL, USABLE_SQL, instant_cte, utm_cte
 from shorespark.sources.tables import table
 
 QUERIES: dict = {}
@@ -464,8 +464,8 @@ def _far_sql(px: str, py: str, s: str) -> str:
 
 def _margin_sql(s: str) -> str:
     """CTEs mg: per building its nearest segment of s with distance and side; at a shared vertex the one more across."""
-    return f"""ma AS (SELECT osm, s.line, s.seq, {_far_sql('px', 'py', 's')} AS d, (s.x2 - s.x1) * (py - s.y1) - (s.y2 - s.y1) * (px - s.x1) AS c, s.len FROM bu CROSS JOIN {s} s),
-mg AS (SELECT osm, arg_min(line, k) AS line, arg_min(d, k) AS d, arg_min(sign(c), k) AS side FROM (SELECT *, (round(d, 6), -abs(coalesce(c / nullif(len, 0), 0)), seq) AS k FROM ma) GROUP BY 1)"""
+    return f"""ma AS (SELECT osm, s.line, s.seq, {_far_sql('px', 'py', 's')} AS d, s.cum + greatest(0, least(s.len, ((px - s.x1) * (s.x2 - s.x1) + (py - s.y1) * (s.y2 - s.y1)) / s.len)) AS ch, (s.x2 - s.x1) * (py - s.y1) - (s.y2 - s.y1) * (px - s.x1) AS c, s.len FROM bu CROSS JOIN {s} s),
+mg AS (SELECT osm, arg_min(line, k) AS line, arg_min(ch, k) AS ch, arg_min(d, k) AS d, arg_min(sign(c), k) AS side FROM (SELECT *, (round(d, 6), -abs(coalesce(c / nullif(len, 0), 0)), seq) AS k FROM ma) GROUP BY 1)"""
 
 
 @query(f"""{_SHORE},
@@ -564,13 +564,72 @@ def line_surroundings(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {VERTEX_SQL}, {_segment_sql('v', 's')}, {_BUILT}, {_margin_sql('s')}, {_STATIONS},
 ns AS (SELECT osm, min((sqrt(pow(px - x, 2) + pow(py - y, 2)), line || chr(30) || station || chr(30) || CAST(offset_m AS VARCHAR), station, offset_m)) AS b FROM bu CROSS JOIN st GROUP BY 1)
-SELECT osm AS point, round(px, 3) AS x, round(py, 3) AS y, line, round(d, 3) AS distance_m, side, 21.0::DOUBLE AS retreat_m, round(d - 21, 3) + 0.0 AS margin_m, side >= 0 AND d <= 21 AS reached, b[3] AS station, b[4] AS offset_m, round(b[1], 3) AS station_distance_m, CASE WHEN side < 0 AND d > 5 THEN 'outside' WHEN d - 21 <= 25 THEN 'to_25' WHEN d - 21 <= 60 THEN 'to_60' ELSE 'beyond' END AS label FROM mg JOIN bu USING (osm) JOIN ns USING (osm)""")
+SELECT osm AS point, round(px, 3) AS x, round(py, 3) AS y, line, round(ch, 3) AS chainage_m, round(d, 3) AS distance_m, side, 21.0::DOUBLE AS retreat_m, round(d - 21, 3) + 0.0 AS margin_m, side >= 0 AND d <= 21 AS reached, b[3] AS station, b[4] AS offset_m, round(b[1], 3) AS station_distance_m, CASE WHEN side < 0 AND d > 5 THEN 'outside' WHEN d - 21 <= 25 THEN 'to_25' WHEN d - 21 <= 60 THEN 'to_60' ELSE 'beyond' END AS label FROM mg JOIN bu USING (osm) JOIN ns USING (osm)""")
 def scenario_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Every building under the scenario of 2040 at 1.5 m a year with its nearest station sample."""
     b = _buildings(spark, d).select(F.col("osm").alias("point"), F.col("px").alias("x"), F.col("py").alias("y"))
     return rounded(scenario.evaluated(b, baselines(spark, d), 2040, 1.5, 2026, [(25.0, True, "to_25"), (60.0, True, "to_60")], "beyond", 5.0), 3)
 
 
+@query(f"WITH {VERTEX_SQL}, {_segment_sql('v', 's')}, {_BUILT}, {_margin_sql('s')} SELECT osm AS point, line, round(ch, 3) AS chainage_m, round(d, 3) AS distance_m FROM mg")
+def line_project(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every building along its nearest baseline."""
+    got = lines.projected(_buildings(spark, d).select(F.col("osm").alias("point"), "px", "py"), lines.segments(baselines(spark, d)))
+    return rounded(got, 3)
+
+
+@query(f"WITH {VERTEX_SQL}, {_segment_sql('v', 's')} SELECT line, round(sum((x1 + x2) / 2 * len) / sum(len), 3) AS x, round(sum((y1 + y2) / 2 * len) / sum(len), 3) AS y FROM s GROUP BY 1")
+def line_centroid(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(lines.centroids(lines.segments(baselines(spark, d))), 3)
+
+
+@query("SELECT beach_code, scene_year, correction_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY beach_code, scene_year ORDER BY correction_id) AS n FROM tide_corrections) WHERE n = 1")
+def keep_first_corrections(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "tide_corrections").select("beach_code", "scene_year", "correction_id", "item_id")
+    return quality.keep_first(t, ["beach_code", "scene_year"], ["correction_id"])
+
+
+_NODE = "SELECT r, c, n, w, (0.2 + 0.1 * ((r * 7 + c * 3 + n) % 5)) AS a, CAST((r * 31 + c * 17 + n * 40) % 360 AS DOUBLE) AS ph"
+
+
+@query(f"""WITH {instant_cte('tc', 'tide_corrections', 'acquired_at_utc', 'clock_zone', 'correction_id, reference_longitude, reference_latitude')},
+p AS (SELECT correction_id, reference_longitude / 0.25 AS u, reference_latitude / 0.25 AS v, us FROM tc WHERE us IS NOT NULL AND reference_longitude IS NOT NULL AND reference_latitude IS NOT NULL),
+k AS (SELECT *, CAST(floor(v) AS BIGINT) + i AS r, CAST(floor(u) AS BIGINT) + j AS c FROM p, range(2) a(i), range(2) b(j)),
+g AS ({_NODE} FROM (SELECT DISTINCT r, c FROM k WHERE abs(r + c) % 3 <> 0), (VALUES (1, 28.9841042), (2, 30.0), (3, 15.0410686)) z(n, w)),
+e AS (SELECT correction_id, us, n, any_value(w) AS w, sum((1 - abs(v - r)) * (1 - abs(u - c)) * a * cos(radians(ph))) / sum((1 - abs(v - r)) * (1 - abs(u - c))) AS re, sum((1 - abs(v - r)) * (1 - abs(u - c)) * a * sin(radians(ph))) / sum((1 - abs(v - r)) * (1 - abs(u - c))) AS im FROM k JOIN g USING (r, c) GROUP BY 1, 2, 3),
+h AS (SELECT correction_id, sum(re * cos(radians(w * (us / 3600000000.0))) - im * sin(radians(w * (us / 3600000000.0)))) AS h FROM e GROUP BY 1)
+SELECT correction_id, round(h, 4) + 0.0 AS tide_height_m FROM tide_corrections LEFT JOIN h USING (correction_id)""")
+def tide_gridded(spark: SparkSession, d: str) -> DataFrame:
+    """Heights from a gridded model of three constituents with holes, at the reference place and time of every correction."""
+    t = table(spark, d, "tide_corrections").select("correction_id", "reference_longitude", "reference_latitude", "acquired_at_utc", "clock_zone")
+    t = instant_column(t, "acquired_at_utc", "clock_zone", "t")
+    u, v = F.col("reference_longitude") / 0.25, F.col("reference_latitude") / 0.25
+    corner = F.explode(F.array(*[F.struct((F.floor(v) + i).alias("row"), (F.floor(u) + j).alias("col")) for i in (0, 1) for j in (0, 1)]))
+    node = t.where("t IS NOT NULL AND reference_longitude IS NOT NULL AND reference_latitude IS NOT NULL").select(corner.alias("k")).select("k.*").distinct().where(F.abs(F.col("row") + F.col("col")) % 3 != 0)
+    grid = node.withColumn("m", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(w).alias("w")) for n, w in ((1, 28.9841042), (2, 30.0), (3, 15.0410686))])))
+    r, c, n = F.col("row"), F.col("col"), F.col("m.n")
+    grid = grid.select("row", "col", n.cast("string").alias("name"), F.col("m.w").alias("speed_deg_per_hour"), (0.2 + 0.1 * ((r * 7 + c * 3 + n) % 5)).alias("amplitude_m"), ((r * 31 + c * 17 + n * 40) % 360).cast("double").alias("phase_deg"))
+    return rounded(tides.gridded(t, ["correction_id"], "reference_longitude", "reference_latitude", "t", grid, 0.25))
+
+
+@query(f"""{_NEAR.replace('WITH bd', f'WITH {SHORE_SQL}, {_segment_sql("w", "z")}, bd')},
+sq AS (SELECT osm, px, py, unnest([{{'xa': -8, 'ya': -6, 'xb': 8, 'yb': -6}}, {{'xa': 8, 'ya': -6, 'xb': 8, 'yb': 6}}, {{'xa': 8, 'ya': 6, 'xb': -8, 'yb': 6}}, {{'xa': -8, 'ya': 6, 'xb': -8, 'yb': -6}}]) AS q FROM bu),
+sd AS (SELECT osm, px + q.xa AS x1, py + q.ya AS y1, px + q.xb AS x2, py + q.yb AS y2 FROM sq),
+pd AS (SELECT osm, least({_far_sql('sd.x1', 'sd.y1', 'z')}, {_far_sql('sd.x2', 'sd.y2', 'z')}, {_far_sql('z.x1', 'z.y1', 'sd')}, {_far_sql('z.x2', 'z.y2', 'sd')}) AS dd, (sd.x2 - sd.x1) * (z.y2 - z.y1) - (sd.y2 - sd.y1) * (z.x2 - z.x1) AS det, (z.x1 - sd.x1) * (z.y2 - z.y1) - (z.y1 - sd.y1) * (z.x2 - z.x1) AS ta, (z.x1 - sd.x1) * (sd.y2 - sd.y1) - (z.y1 - sd.y1) * (sd.x2 - sd.x1) AS ua FROM sd CROSS JOIN z),
+fd AS (SELECT osm, min(CASE WHEN ta / nullif(det, 0) BETWEEN 0 AND 1 AND ua / nullif(det, 0) BETWEEN 0 AND 1 THEN 0 ELSE dd END) AS far FROM pd GROUP BY 1),
+cc AS (SELECT osm, b.rate * 30 AS reach, (i + 0.5) * 2 AS cx, (j + 0.5) * 2 AS cy FROM bu JOIN b USING (osm), LATERAL (SELECT unnest(range(CAST(ceil((px - 8) / 2 - 0.5) AS BIGINT), CAST(ceil((px + 8) / 2 - 0.5) AS BIGINT))) AS i), LATERAL (SELECT unnest(range(CAST(ceil((py - 6) / 2 - 0.5) AS BIGINT), CAST(ceil((py + 6) / 2 - 0.5) AS BIGINT))) AS j) WHERE b.rate > 0),
+hh AS (SELECT cc.osm, cx, cy, any_value(reach) AS reach, min({_far_sql('cx', 'cy', 'z')}) AS dd FROM cc CROSS JOIN z GROUP BY 1, 2, 3), kk AS (SELECT osm, count(*) AS k FROM hh WHERE dd <= reach GROUP BY 1)
+SELECT osm AS id, line AS transect_id, round(rate, 6) + 0.0 AS rate, round(far, 3) AS distance_m, CASE WHEN rate > 0 THEN round(far / rate, 3) END AS years_to_impact, 30 AS horizon_years, coalesce(k, 0) * 4.0::DOUBLE AS exposed_area_m2 FROM b JOIN fd USING (osm) LEFT JOIN kk USING (osm)""")
+def building_assessment(spark: SparkSession, d: str) -> DataFrame:
+    """Every building as a square of 16 x 12 m against the last shorelines over 30 years."""
+    b = _buildings(spark, d)
+    side = lambda c, a, e: F.array(F.col(c) - a, F.col(c) + (a if e else -a), F.col(c) + a, F.col(c) + (-a if e else a))
+    sq = b.select(F.col("osm").alias("id"), side("px", 8.0, True).alias("xs"), side("py", 6.0, False).alias("ys"))
+    s = _shore_segments(spark, d).select(F.concat_ws(":", "g", "id").alias("id"), "x1", "y1", "x2", "y2")
+    got = exposure.assessed(sq, s, _transect_rates(spark, d), "transect_id", "rate", 30, 2.0)
+    return got.select("id", "transect_id", (F.round("rate", 6) + 0.0).alias("rate"), F.round("distance_m", 3).alias("distance_m"), F.round("years_to_impact", 3).alias("years_to_impact"), "horizon_years", "exposed_area_m2")
+
+
 @query("SELECT delivery_id, CASE lower(trim(risk_level)) WHEN 'bajo' THEN 'low' WHEN 'moderado' THEN 'medium' WHEN 'critico' THEN 'high' ELSE 'none' END AS label, printf('https://www.openstreetmap.org/?mlat=%.7f&mlon=%.7f', latitude, longitude) AS link, round(exposed_area_m2 / 10000, 8) + 0.0 AS hectares, 'B' || CASE WHEN length(CAST(delivery_id AS VARCHAR)) >= 6 THEN CAST(delivery_id AS VARCHAR) ELSE lpad(CAST(delivery_id AS VARCHAR), 6, '0') END AS code FROM buildings_risk")
 def feature_labels(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "buildings_risk")

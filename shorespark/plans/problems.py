@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shorespark.functions.geo import same_longitude, with_utm
 from shorespark.operators import clocks, intervals, snapshots, spatial, spikes
-from shorespark.plans.sqltext import USABLE_SQL, instant_cte, utm_cte
+from shorespark.plans.sqltext import SCENES_SQL, USABLE_SQL, instant_cte, offset_sql, utm_cte
 from shorespark.sources.tables import table
 
 
@@ -135,6 +135,9 @@ def _p5_sql() -> str:
 
 
 P5_SQL = _p5_sql()
+_OK = f"(c1 + {offset_sql('c1')} = w)", f"(c2 + {offset_sql('c2')} = w)"
+P5_ORDER_SQL = rf"""WITH {SCENES_SQL} SELECT 'storm_scene_join' AS table_name, count(*) FILTER (w IS NOT NULL AND ((regexp_matches(t_, '^\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{4}}') AND TRY_CAST(m AS INTEGER) <= 12 AND TRY_CAST(d AS INTEGER) <= 12 AND TRY_CAST(m AS INTEGER) <> TRY_CAST(d AS INTEGER))
+OR (o IS NULL AND zn NOT IN ('UTC', 'GMT') AND ({_OK[0]} AND {_OK[1]} AND c1 <> c2 OR NOT {_OK[0]} AND NOT {_OK[1]})))) AS n_ambiguous, true AS settled_holds FROM sc_f"""
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -143,6 +146,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.date_format("snapshot_date", "yyyy-MM-dd").alias("snapshot_date"), F.col("key").alias("osm_id"), "change_kind")
 
 
+def p6_typed(spark: SparkSession, d: str) -> DataFrame:
+    """Which of several columns changed between consecutive snapshots."""
+    compared = {"risk_level": snapshots.folded(F.col("risk_level")), "building": F.col("building"), "erosion_rate_m_per_year": F.round("erosion_rate_m_per_year", 2)}
+    got = snapshots.changes(table(spark, d, "buildings_risk"), "snapshot_date", F.lower(F.trim("osm_id")), compared, ["delivered_at", "delivery_id"])
+    return got.select(F.date_format("snapshot_date", "yyyy-MM-dd").alias("snapshot_date"), F.col("key").alias("osm_id"), "change_kind", "changed")
+
+
 P6_SQL = """
 WITH r AS (SELECT snapshot_date AS sd, lower(trim(osm_id)) AS k, strip_accents(lower(trim(risk_level))) AS v, delivered_at AS t, delivery_id AS i FROM buildings_risk),
 o AS (SELECT sd, k, v FROM (SELECT *, row_number() OVER (PARTITION BY sd, k ORDER BY t DESC, i DESC) AS n FROM r) WHERE n = 1),
@@ -152,5 +162,9 @@ b AS (SELECT o.* FROM o JOIN dd ON o.sd = dd.nx)
 SELECT CAST(coalesce(a.nx, b.sd) AS VARCHAR) AS snapshot_date, coalesce(a.k, b.k) AS osm_id, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
 FROM a FULL JOIN b ON a.k = b.k AND a.nx = b.sd WHERE a.k IS NULL OR b.k IS NULL OR a.v IS DISTINCT FROM b.v"""
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_sparse, p1_sparse_report, p2_found, p4_found, p5_found, p5_by_order, p6_found)}
-SQL = {"p1_found": P1_SQL, "p1_sparse_report": P1_REPORT_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
+P6_TYPED_SQL = P6_SQL.replace("AS v, delivered_at AS t", "AS v, building AS b, round(erosion_rate_m_per_year, 2) AS e, delivered_at AS t").replace("o AS (SELECT sd, k, v FROM", "o AS (SELECT sd, k, v, b AS bb, e FROM").replace(
+    "END AS change_kind\nFROM", "END AS change_kind, CASE WHEN a.k IS NULL OR b.k IS NULL THEN '' ELSE concat_ws(',', CASE WHEN a.v IS DISTINCT FROM b.v THEN 'risk_level' END, CASE WHEN a.bb IS DISTINCT FROM b.bb THEN 'building' END, CASE WHEN a.e IS DISTINCT FROM b.e THEN 'erosion_rate_m_per_year' END) END AS changed\nFROM"
+).replace("OR a.v IS DISTINCT FROM b.v", "OR a.v IS DISTINCT FROM b.v OR a.bb IS DISTINCT FROM b.bb OR a.e IS DISTINCT FROM b.e")
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_sparse, p1_sparse_report, p2_found, p4_found, p5_found, p5_by_order, p6_found, p6_typed)}
+SQL = {"p1_found": P1_SQL, "p1_sparse_report": P1_REPORT_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_by_order": P5_ORDER_SQL, "p6_found": P6_SQL, "p6_typed": P6_TYPED_SQL}

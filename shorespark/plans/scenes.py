@@ -129,6 +129,17 @@ def tile_outline(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("tile").agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("perimeter_m"))
 
 
+@query(f"""{_COMPONENTS}, n AS (SELECT tile, count(*) AS n_cells FROM m GROUP BY 1), k AS (SELECT tile, count(DISTINCT c) AS n_outer FROM r GROUP BY 1),
+e AS (SELECT m.tile, 4 * count(*) AS s FROM m GROUP BY 1), i AS (SELECT m.tile, count(*) AS k FROM m JOIN m o ON o.tile = m.tile AND ((o."row" = m."row" + 1 AND o.col = m.col) OR (o."row" = m."row" AND o.col = m.col + 1)) GROUP BY 1)
+SELECT tile, n_outer, s - 2 * coalesce(k, 0) AS n_sides, n_cells * 100.0::DOUBLE AS area_m2 FROM n JOIN k USING (tile) JOIN e USING (tile) LEFT JOIN i USING (tile)""")
+def tile_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Per tile the outer rings of its set cells, the sides of all rings and their area less the holes."""
+    s = raster.rings(_tiles(spark, d)[1], "tile", 10.0)
+    n = s.groupBy("tile").agg(F.count("*").alias("n_sides"))
+    a = raster.ring_areas(s, "tile").groupBy("tile").agg(F.count_if(F.col("area") > 0).alias("n_outer"), F.sum("area").alias("area_m2"))
+    return n.join(a, "tile").select("tile", "n_outer", "n_sides", "area_m2")
+
+
 def _quads(spark: SparkSession, d: str) -> DataFrame:
     """A four-sided polygon per supplier."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_nationkey") + 5.3).alias("w"), (F.pmod(F.col("s_suppkey"), F.lit(17)) + 4.7).alias("h"))
@@ -218,16 +229,33 @@ def catalog_document(spark: SparkSession, d: str) -> DataFrame:
     return doc.select("y", "grp", "scene_count", F.array_join("priorities", ";").alias("priorities"))
 
 
-@query("SELECT o_orderkey, 'S2A_L2A_' || o_orderkey AS item_id, CAST(year(o_orderdate) AS INTEGER) AS scene_year, CASE WHEN o_orderkey % 3 = 0 THEN 'https://b.s3.amazonaws.com/' || o_orderkey || '/g.tif' ELSE '/' || o_orderkey || '/B03.tif' END AS href_green, o_orderkey % 3 = 0 AS needs_auth FROM orders")
+@query("""WITH k AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'earth-search' WHEN 1 THEN 'earth-search-l1c' WHEN 2 THEN 'copernicus-data-space' ELSE 'elsewhere' END AS provider, o_orderkey % 7 = 0 AS bare, year(o_orderdate) AS y FROM orders)
+SELECT o_orderkey, CAST(y AS INTEGER) AS scene_year, provider, CASE provider WHEN 'earth-search' THEN 'sentinel-2-l2a' WHEN 'earth-search-l1c' THEN 'sentinel-s2-l1c' WHEN 'copernicus-data-space' THEN 'named' END AS collection, CASE provider WHEN 'earth-search' THEN 'L2A' WHEN 'elsewhere' THEN NULL ELSE 'L1C' END AS level,
+CASE provider WHEN 'earth-search' THEN '/g' WHEN 'earth-search-l1c' THEN 'https://sentinel-s2-l1c.s3.eu-central-1.amazonaws.com/' || o_orderkey || '/g' WHEN 'copernicus-data-space' THEN '/b3' END AS href_green, CASE provider WHEN 'copernicus-data-space' THEN '/product' END AS href_product,
+CASE provider WHEN 'copernicus-data-space' THEN true WHEN 'elsewhere' THEN NULL ELSE false END AS needs_auth, CASE WHEN provider = 'elsewhere' THEN 'unknown_provider' WHEN bare THEN 'incomplete' WHEN provider = 'earth-search' THEN 'public_cog_ready' WHEN provider = 'earth-search-l1c' THEN 'public_l1c_jp2_ready' ELSE 'catalogued_auth_download_required' END AS status FROM k""")
 def stac_normalise(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as items of three known providers and an unknown one; every seventh has no near-infrared asset."""
     o = table(spark, d, "orders")
     k = F.col("o_orderkey").cast("string")
+    n = F.col("o_orderkey") % 4
+    provider = F.when(n == 0, "earth-search").when(n == 1, "earth-search-l1c").when(n == 2, "copernicus-data-space").otherwise("elsewhere")
     ref = lambda c: F.struct(c.alias("href"))
-    assets = F.when(F.col("o_orderkey") % 3 == 0, F.create_map(F.lit("green"), ref(F.concat(F.lit("s3://b/"), k, F.lit("/g.tif"))), F.lit("nir"), ref(k))).otherwise(F.create_map(F.lit("B03"), ref(F.concat(F.lit("/"), k, F.lit("/B03.tif"))), F.lit("B08"), ref(k)))
+    green = F.when(n == 1, F.concat(F.lit("s3://sentinel-s2-l1c/"), k, F.lit("/g"))).otherwise("/g")
+    nir = F.when(F.col("o_orderkey") % 7 != 0, k)
+    assets = F.create_map(F.lit("green"), ref(green), F.lit("B03"), ref(F.lit("/b3")), F.lit("nir"), ref(nir), F.lit("Product"), ref(F.lit("/product")))
     links = F.array(F.struct(F.lit("self").alias("rel"), k.alias("href")))
-    items = o.select("o_orderkey", F.concat(F.lit("S2A_L2A_"), k).alias("id"), F.create_map(F.lit("datetime"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("properties"), assets.alias("assets"), links.alias("links"), F.lit("p").alias("provider"))
+    when = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    items = o.select(k.alias("id"), F.when(n == 2, "named").alias("collection"), F.create_map(F.when(F.col("o_orderkey") % 5 == 0, "start_datetime").otherwise("datetime"), when).alias("properties"), assets.alias("assets"), links.alias("links"), provider.alias("provider"))
     got = catalog.stac_items(items)
-    return got.select(F.split("item_id", "_")[2].cast("long").alias("o_orderkey"), "item_id", "scene_year", "href_green", "needs_auth")
+    return got.select(F.col("item_id").cast("long").alias("o_orderkey"), "scene_year", "provider", "collection", "level", "href_green", "href_product", "needs_auth", "status")
+
+
+@query("SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY o_orderkey) - 1 AS INTEGER) AS ordinal, CAST(year(o_orderdate) AS INTEGER) AS scene_year, 'i' || o_orderkey AS item_id, CASE WHEN o_orderpriority <> '5-LOW' THEN round(o_totalprice % 100, 4) END AS cloud_cover_pct FROM (SELECT *, o_custkey % 50 AS grp FROM orders)")
+def catalogue_reader(spark: SparkSession, d: str) -> DataFrame:
+    """Orders written as catalogue documents, one for each fiftieth of the customers, and read again in their order."""
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("grp"), "o_orderkey", F.struct(F.year("o_orderdate").alias("year"), F.concat(F.lit("i"), F.col("o_orderkey").cast("string")).alias("item_id"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice") % 100).alias("cloud_cover_pct")).alias("s"))
+    docs = o.groupBy("grp").agg(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "s"))), lambda x: x["s"]).alias("scenes"))).alias("text"))
+    return files.catalogue_scenes(docs, "text", ["grp"]).select("grp", "ordinal", F.col("year").alias("scene_year"), "item_id", F.round("cloud_cover_pct", 4).alias("cloud_cover_pct"))
 
 
 # --- sources -------------------------------------------------------------------------------------------------------
@@ -261,6 +289,19 @@ def overpass_features(spark: SparkSession, d: str) -> DataFrame:
     return files.overpass(docs, "text").groupBy("osm_id").agg(F.count("*").alias("n"))
 
 
+@query("SELECT 'relation/' || delivery_id AS osm_id, CAST(5 AS BIGINT) AS n, round(longitude, 7) AS lon, round(latitude, 7) AS lat FROM buildings_risk")
+def overpass_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Building rows as relations whose outline comes in two ways, one turned round, put together again."""
+    b = table(spark, d, "buildings_risk").select("delivery_id", same_longitude(F.col("longitude")).alias("lon"), F.col("latitude").alias("lat"))
+    at = lambda i, j: F.struct((F.col("lon") + i * 1e-4).alias("lon"), (F.col("lat") + j * 1e-4).alias("lat"))
+    way = lambda role, *p: F.struct(F.lit(role).alias("role"), F.array(*p).alias("geometry"))
+    members = F.array(way("outer", at(0, 0), at(1, 0), at(1, 1)), way("", at(0, 0), at(0, 1), at(1, 1)), way("inner", at(0, 0), at(1, 1)))
+    e = F.struct(F.lit("relation").alias("type"), F.col("delivery_id").alias("id"), F.create_map(F.lit("building"), F.lit("yes")).alias("tags"), members.alias("members"))
+    docs = b.groupBy((F.col("delivery_id") % 500).alias("g")).agg(F.to_json(F.struct(F.collect_list(e).alias("elements"))).alias("text"))
+    got = files.overpass_outlines(docs, "text")
+    return got.select("osm_id", F.size("line").cast("long").alias("n"), F.round(F.array_min(F.transform("line", lambda p: p["lon"])), 7).alias("lon"), F.round(F.array_min(F.transform("line", lambda p: p["lat"])), 7).alias("lat"))
+
+
 @query("SELECT event_type, count(*) AS n, round(max(value), 4) AS max_height_m, round(avg(value), 4) AS mean_height_m, CAST(arg_min(CAST(ts AS DATE), struct_pack(v := -value, d := CAST(ts AS DATE))) AS VARCHAR) AS max_day FROM events WHERE value IS NOT NULL GROUP BY 1")
 def wave_summary(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))

@@ -24,6 +24,11 @@ YES_SQL = "lower(trim(affects_cartagena)) IN ('true', 't', 'yes', 'y', '1', '1.0
 USABLE_SQL = f"SELECT DISTINCT sector_id, event_id, start_date, end_date FROM marejadas_oficiales_armada WHERE {YES_SQL} AND start_date IS NOT NULL AND end_date >= start_date"
 
 
+def offset_sql(u: str) -> str:
+    """Microseconds that the clocks of zone zn are ahead of UTC at the instant u."""
+    return f"(epoch_us(timezone(zn, to_timestamp(CAST(floor(({u}) / 1000000.0) AS BIGINT)))) - CAST(floor(({u}) / 1000000.0) AS BIGINT) * 1000000)"
+
+
 def instant_cte(name: str, source: str, text: str, zone: str, keep: str) -> str:
     """CTEs with the columns `keep` of `source`, t_ (the trimmed text) and us: the instant a timestamp text states, in
     microseconds, null if it states none. Written from the statement of the problem, one pattern a kind of text."""
@@ -40,7 +45,7 @@ def instant_cte(name: str, source: str, text: str, zone: str, keep: str) -> str:
     get = lambda c: "coalesce(" + ", ".join(f"nullif(r_{k}.{c}, '')" for k, (_, names) in forms.items() if c in names.split()) + ")"
     months = ("ene jan", "feb fev", "mar", "abr apr", "may mai", "jun", "jul", "ago aug", "sep set", "oct out", "nov", "dic dec dez")
     named = "CASE " + " ".join(f"WHEN n3 IN ({', '.join(repr(m) for m in ms.split())}) THEN '{i}'" for i, ms in enumerate(months, 1)) + " END"
-    off = lambda u: f"(epoch_us(timezone(zn, to_timestamp(CAST(floor(({u}) / 1000000.0) AS BIGINT)))) - CAST(floor(({u}) / 1000000.0) AS BIGINT) * 1000000)"
+    off = offset_sql
     return f"""{name}_a AS (SELECT {keep}, trim({text}) AS t_, coalesce({zone}, 'UTC') AS zn FROM {source}),
 {name}_b AS (SELECT *, {parts} FROM {name}_a),
 {name}_c AS (SELECT {', '.join(k.strip() for k in keep.split(','))}, t_, zn, {get('y')} AS y, {get('m')} AS m, {get('d')} AS d, {get('doy')} AS doy, lower(substr({get('n')}, 1, 3)) AS n3, TRY_CAST({get('h')} AS INTEGER) AS h, TRY_CAST({get('i')} AS INTEGER) AS i, coalesce(TRY_CAST({get('s')} AS INTEGER), 0) AS s, coalesce(TRY_CAST(rpad(substr({get('f')}, 1, 6), 6, '0') AS INTEGER), 0) AS f, {get('z')} AS z, lower({get('p')}) AS p FROM {name}_b),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,21 +62,48 @@ def write_features(df: DataFrame, path: str, properties: list[str], kind: str, c
 
 # --- tables --------------------------------------------------------------------------------------------------------
 
-EVENT_SCHEMA = "event_id string, issued_date string, start_date date, end_date date, source_agency string, event_type string, direction string, max_wave_m double, affects_cartagena string, spatial_scope string, source_url string, verification_status string"
+REQUIRED = ("event_id", "start_date", "end_date", "source_agency", "source_url", "affects_cartagena")  #: columns of an event file
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Storm events of a CSV with header, ordered by start and id, affects as BOOLEAN. Missing required columns, a
-    missing date and an end before the start are errors."""
-    from shorespark.operators.intervals import says_yes
-
+    missing date, an end before the start and a boolean other than true or false are errors."""
     raw = spark.read.csv(path, header=True, encoding="UTF-8")
-    need = {"event_id", "start_date", "end_date", "affects_cartagena", "event_type", "source_url"}
-    if missing := sorted(need - set(raw.columns)):
+    if missing := sorted(set(REQUIRED) - set(raw.columns)):
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    df = raw.withColumns({"start_date": F.to_date("start_date"), "end_date": F.to_date("end_date"), "affects_cartagena": says_yes(F.col("affects_cartagena"))})
+    said = F.lower(F.trim("affects_cartagena"))
+    df = raw.withColumns({"start_date": F.to_date("start_date"), "end_date": F.to_date("end_date"), "affects_cartagena": F.when(said == "true", True).when(said == "false", False)})
     fine = F.assert_true(F.coalesce(F.col("end_date") >= F.col("start_date"), F.lit(False)), F.lit("an event ends before it starts or lacks a date"))
-    return df.where(fine.isNull()).orderBy("start_date", "event_id")
+    known = F.assert_true(F.col("affects_cartagena").isNotNull(), F.lit("affects_cartagena must be true or false"))
+    return df.where(fine.isNull() & known.isNull()).orderBy("start_date", "event_id")
+
+
+SCENE = (
+    "year int, item_id string, acquired_at string, cloud_cover_pct double, provider string, collection string, processing_level string, tile_code string, coverage_fraction double, "
+    "green_asset string, nir_asset string, scl_asset string, product_asset string, requires_authentication boolean, item_url string, data_status string"
+)
+
+
+def catalogue_scenes(documents: DataFrame, text: str, keep: list[str] | None = None) -> DataFrame:
+    """The scenes of catalogue documents with the columns of SCENE and ordinal, their place in the document, which is the
+    order that later steps keep within a year. Documents without scenes and unreadable ones give no rows."""
+    doc = F.from_json(text, f"struct<scenes:array<struct<{SCENE.replace(', ', ',').replace(' ', ':')}>>>")
+    return documents.select(*(keep or []), F.posexplode(doc["scenes"]).alias("ordinal", "s")).select(*(keep or []), "ordinal", "s.*")
+
+
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """The scenes of catalogue files (one document each), with their file and ordinal."""
+    return catalogue_scenes(spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name()), "value", ["file"])
+
+
+def read_csv_or_error(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame | None, str | None]:
+    """(rows, error): the rows of a CSV with header, or why there are none: no file, or the columns that it lacks."""
+    try:
+        df = spark.read.csv(path, header=True, encoding="UTF-8")
+    except AnalysisException as e:
+        return None, str(e).split("\n")[0]
+    missing = [c for c in columns if c not in df.columns]
+    return (None, f"missing columns: {', '.join(missing)}") if missing else (df, None)
 
 
 def wave_days(documents: DataFrame, text: str) -> DataFrame:
@@ -142,6 +170,24 @@ def overpass(documents: DataFrame, text: str) -> DataFrame:
     return of(b, "building", "building").unionByName(of(r, "road", "highway"))
 
 
+def overpass_outlines(documents: DataFrame, text: str) -> DataFrame:
+    """osm_id, ring and line (array of struct lon, lat, closed) of the outer rings of relations tagged building, whose outer
+    ways are put together end to end (`lines.stitched`); members without a role are outer too. Ways that close no ring
+    give no rows. The relations' ids must be unique."""
+    from shorespark.operators.lines import stitched
+
+    e = documents.select(F.explode(F.from_json(text, OVERPASS)["elements"]).alias("e")).select("e.*").where((F.col("type") == "relation") & F.try_element_at("tags", F.lit("building")).isNotNull())
+    m = e.select(F.concat_ws("/", "type", "id").alias("line"), F.posexplode("members").alias("part", "m")).where(F.coalesce("m.role", F.lit("outer")).isin("", "outer") & (F.size("m.geometry") > 1))
+    m = m.select("line", "part", F.col("m.geometry").alias("g"))
+    end = lambda i, c: F.element_at("g", i)[c]
+    order = stitched(m.select("line", "part", end(1, "lon").alias("x1"), end(1, "lat").alias("y1"), end(-1, "lon").alias("x2"), end(-1, "lat").alias("y2")))
+    j = order.join(m, ["line", "part"]).withColumn("g", F.when(F.col("turned"), F.reverse("g")).otherwise(F.col("g")))
+    rings = j.groupBy("line", "ring").agg(F.sort_array(F.collect_list(F.struct("place", "g"))).alias("a"))
+    # the first vertex of each way is the last one of the way before; the ring closes on its first vertex
+    inner = F.flatten(F.transform("a", lambda x: F.slice(x["g"], 1, F.size(x["g"]) - 1)))
+    return rings.select(F.col("line").alias("osm_id"), "ring", F.concat(inner, F.slice(inner, 1, 1)).alias("line")).where(F.size("line") >= 4)
+
+
 def overpass_query(south: float, west: float, north: float, east: float, timeout: int = 60) -> str:
     """Text of a request for the buildings and roads of a box; the box must have an area and lie on the globe."""
     if not (-90 <= south < north <= 90 and -180 <= west < east <= 180):

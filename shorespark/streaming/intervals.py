@@ -11,22 +11,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shorespark.operators.intervals import IntervalMap
 
-_OUT = "entity string, span_kind string, first long, last long"
+_OUT = "entity string, change string, span_kind string, first long, last long"
 _STATE = "starts array<long>, ends array<long>"
 
 
+def _spans(m: IntervalMap) -> set[tuple]:
+    return {("period", s, e) for s, e in zip(m.starts, m.ends)} | {("gap", s, e) for s, e in m.gaps()}
+
+
 def _update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     m = IntervalMap(*state.get) if state.exists else IntervalMap()
+    old = _spans(m)
     for pdf in parts:
-        for s, e in zip(pdf["first"], pdf["last"]):
-            m.insert(int(s), int(e))
+        for s, e in sorted(zip(pdf["first"].tolist(), pdf["last"].tolist())):
+            m.insert(s, e)
     state.update((m.starts, m.ends))
-    rows = [(key[0], "period", s, e) for s, e in zip(m.starts, m.ends)] + [(key[0], "gap", s, e) for s, e in m.gaps()]
-    yield pd.DataFrame(rows, columns=["entity", "span_kind", "first", "last"])
+    new = _spans(m)
+    rows = [(key[0], "withdrawn", *x) for x in sorted(old - new)] + [(key[0], "added", *x) for x in sorted(new - old)]
+    yield pd.DataFrame(rows, columns=["entity", "change", "span_kind", "first", "last"])
 
 
 def streaming_day_spans(stream: DataFrame, entity: str, start: str, end: str) -> DataFrame:
-    """The current periods and gaps of every entity touched by a micro-batch (update mode).
+    """The changes of the periods and gaps of every entity that a micro-batch touches (update mode): entity, change ('added' or
+    'withdrawn', as a merge swallows periods and a new period splits a gap), span_kind, first and last day number. All
+    changes so far add up to the present spans.
 
     State per entity is its ordered disjoint-interval map. Rows with a null date or a reversed interval are dropped.
     """

@@ -192,14 +192,21 @@ def test_sources(spark, tmp_path):
     ring = files.osm_way(spark.createDataFrame([(OSM,)], "t string"), "t", 7)
     assert [(r.seq, r.node, r.lon) for r in ring.orderBy("seq").collect()] == [(0, 1, -71.1), (1, 2, -71.2), (2, 9, None), (3, 1, -71.1)]
     assert tuple(files.way_checks(ring).first()) == (4, 1, True)
-    (tmp_path / "e.csv").write_text("event_id,start_date,end_date,affects_cartagena,event_type,source_url\nb,2017-03-11,2017-03-15,TRUE,m,u\na,2016-03-11,2016-03-15,no,m,u\n", "utf-8")
-    assert [(r.event_id, r.affects_cartagena) for r in files.read_events(spark, str(tmp_path / "e.csv")).collect()] == [("a", False), ("b", True)]
-    (tmp_path / "bad.csv").write_text("event_id,start_date,end_date,affects_cartagena,event_type,source_url\nb,2017-03-11,2017-03-05,TRUE,m,u\n", "utf-8")
+    head = "event_id,start_date,end_date,affects_cartagena,source_agency,source_url\n"
+    events = lambda name, *rows: ((tmp_path / name).write_text(head + "\n".join(rows) + "\n", "utf-8"), files.read_events(spark, str(tmp_path / name)))[1]
+    got = events("e.csv", "b,2017-03-11,2017-03-15,TRUE,m,u", "a,2016-03-11,2016-03-15,false,m,u")
+    assert [(r.event_id, r.affects_cartagena) for r in got.collect()] == [("a", False), ("b", True)]
     with pytest.raises(Exception, match="ends before"):
-        files.read_events(spark, str(tmp_path / "bad.csv")).collect()
+        events("bad.csv", "b,2017-03-11,2017-03-05,TRUE,m,u").collect()
+    with pytest.raises(Exception, match="true or false"):
+        events("what.csv", "b,2017-03-11,2017-03-15,maybe,m,u").collect()
     (tmp_path / "few.csv").write_text("event_id\nx\n", "utf-8")
     with pytest.raises(ValueError, match="missing columns"):
         files.read_events(spark, str(tmp_path / "few.csv"))
+    assert files.read_csv_or_error(spark, str(tmp_path / "few.csv"), ["event_id"])[1] is None and "missing" in files.read_csv_or_error(spark, str(tmp_path / "few.csv"), ["x"])[1]
+    assert files.read_csv_or_error(spark, str(tmp_path / "absent.csv"), [])[0] is None
+    (tmp_path / "c.json").write_text('{"scenes": [{"year": 2017, "item_id": "z", "cloud_cover_pct": 0.0}, {"year": 2016, "item_id": "a"}]}')
+    assert [(r.ordinal, r.year, r.item_id, r.cloud_cover_pct) for r in files.read_catalogue(spark, str(tmp_path / "c.json")).orderBy("ordinal").collect()] == [(0, 2017, "z", 0.0), (1, 2016, "a", None)]
     waves = files.wave_days(spark.createDataFrame([('{"2017-03-10": 2.558, "2017-01-19": 1.699, "2017-04-01": 2.558}',)], "t string"), "t")
     w = quality.wave_summary(waves, [], "day", "height_m").first()
     assert (w.n, w.max_height_m, w.max_day) == (3, 2.558, "2017-03-10")
@@ -468,3 +475,60 @@ def test_student_p_at_any_degrees(spark):
     cases = [(12.706204736, 1), (2.228138852, 10), (1.983971519, 100), (1.960201, 10_000), (1.9599640, 3_000_000), (0.0, 5), (40.0, 7)]
     got = [r.p for r in spark.createDataFrame(cases, "t double, n long").select(storms.student_p(F.col("t"), F.col("n")).alias("p")).collect()]
     assert got[:5] == [pytest.approx(0.05, abs=2e-7)] * 5 and got[5] == 1.0 and 0 < got[6] < 1e-8
+
+
+def test_scenes_of_the_tables_follow_their_positions(spark):
+    from shorespark.plans import waterline
+
+    d = "/root/testdata/sf0.001"
+    px = waterline.coast_pixels(spark, d)
+    got = waterline.scene_waterlines(spark, d).collect()
+    wet = {(r.scene, r["row"]): r.n for r in px.where("green > nir").groupBy("scene", "row").agg(F.count("*").alias("n")).collect()}
+    last = {r.scene: r.m for r in px.groupBy("scene").agg(F.max("row").alias("m")).collect()}
+    assert len(got) > 100
+    near = 0
+    for r in got:
+        row = min(last[r.scene], max(0, int(r.y // 25)))
+        near += abs(wet.get((r.scene, row), 0) * 25 - r.x) <= 60
+    assert near > 0.8 * len(got)
+    lines_ = {r.line for r in waterline.consensus_waterlines(spark, d).collect()}
+    assert lines_ and lines_ <= {r.scene.split("/")[0] for r in got}
+
+
+def test_gridded_tides(spark):
+    grid = spark.createDataFrame([(0, 0, "m2", 30.0, 1.0, 0.0), (0, 1, "m2", 30.0, 3.0, 0.0), (1, 0, "m2", 30.0, 1.0, 0.0), (1, 1, "m2", 30.0, 3.0, 0.0)], "row int, col int, name string, speed_deg_per_hour double, amplitude_m double, phase_deg double")
+    hour = 3_600_000_000
+    pts = spark.createDataFrame([(1, 0.05, 0.05, 0), (2, 0.05, 0.05, 6 * hour), (3, 0.15, 0.05, 0), (4, 5.0, 5.0, 0), (5, None, 0.0, 0), (6, 0.1, 0.1, 0), (7, -0.05, -0.03, 0)], "k int, x double, y double, t long")
+    got = {r.k: r.tide_height_m for r in tides.gridded(pts, ["k"], "x", "y", "t", grid, 0.1).collect()}
+    assert got[1] == pytest.approx(2.0) and got[2] == pytest.approx(-2.0) and got[3] == pytest.approx(3.0) and got[4] is None and got[5] is None and got[6] == pytest.approx(3.0)
+    assert got[7] == pytest.approx(1.0)  # one of its corners is there
+    off = spark.createDataFrame([(1, 0.18, 0.05, 0), (2, 0.25, 0.05, 0)], "k int, x double, y double, t long")
+    lone = grid.where("col = 1")
+    assert {r.k: r.tide_height_m for r in tides.gridded(off, ["k"], "x", "y", "t", lone.where("row = 0"), 0.05, 10.0).collect()}.keys() == {1, 2}
+    far = {r.k: r.tide_height_m for r in tides.gridded(off.withColumn("x", F.col("x") + 0.03), ["k"], "x", "y", "t", lone, 0.1, 10.0).collect()}
+    assert far == {1: None, 2: None} or far[2] is None
+
+
+def test_model_folder_check(spark):
+    f = spark.createDataFrame([("file:/m/M2.nc", bytearray(b"\x89HDF\r\n\x1a\n...")), ("file:/m/zz.nc", bytearray(b"text"))], "path string, content binary")
+    r = tides.model_check(f, ["m2", "s2"]).first()
+    assert tuple(r) == ("s2", "zz", "zz", 2, False)
+
+
+def test_rings_of_a_mask(spark):
+    # a block with a hole, and a cell that meets it at a corner only
+    cells = [(r, c) for r in range(3) for c in range(4) if (r, c) != (1, 1)] + [(3, 4)]
+    s = raster.rings(spark.createDataFrame([("k", r, c) for r, c in cells + cells[:2]], "k string, row long, col long"), "k", 10.0)
+    rows = {}
+    for r in s.orderBy("ring", "place").collect():
+        rows.setdefault(r.ring, []).append(r)
+    assert sorted(len(x) for x in rows.values()) == [4, 4, 14]
+    for x in rows.values():
+        assert [r.place for r in x] == list(range(len(x))) and all((a.x2, a.y2) == (b.x1, b.y1) for a, b in zip(x, x[1:] + x[:1]))
+    assert sorted(r.area for r in raster.ring_areas(s, "k").collect()) == [-100.0, 100.0, 1200.0]
+
+
+def test_stitched_ways(spark):
+    p = spark.createDataFrame([("a", 0, 0.0, 0.0, 1.0, 1.0), ("a", 1, 0.0, 0.0, 1.0, 1.0), ("a", 2, 5.0, 5.0, 6.0, 6.0), ("a", 3, 9.0, 9.0, 9.0, 9.0), ("b", 0, 0.0, 0.0, 1.0, 0.0)], "line string, part int, x1 double, y1 double, x2 double, y2 double")
+    got = sorted((r.line, r.part, r.ring, r.place, r.turned) for r in lines.stitched(p).collect())
+    assert got == [("a", 0, 0, 0, False), ("a", 1, 0, 1, True), ("a", 3, 1, 0, False)]
