@@ -271,30 +271,62 @@ def merged_order(parts: DataFrame) -> DataFrame:
     a line's number of parts is small beside its vertices, which are not.
     """
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"line": pdf["line"][:0], "part": pdf["part"][:0], "place": pd.Series(dtype="int32"), "turned": pd.Series(dtype=bool)})
-        ends = [list(zip(pdf["x1"].tolist(), pdf["y1"].tolist())), list(zip(pdf["x2"].tolist(), pdf["y2"].tolist()))]
-        at: dict = {}
-        for side in (0, 1):
-            for i, p in enumerate(ends[side]):
-                at.setdefault(p, []).append((i, side))
+    def chain(rows: list[tuple]) -> Iterator[tuple]:
+        ends, at = _joints(rows)
         free = sorted(p for p, e in at.items() if len(e) == 1)
         if len(free) != 2 or any(len(e) > 2 for e in at.values()):
-            return none
-        order, sides, seen, here = [], [], set(), free[0]
+            return
+        order, seen, here = [], set(), free[0]
         while nxt := [e for e in at[here] if e[0] not in seen]:
             i, side = nxt[0]
             seen.add(i)
-            order.append(i)
-            sides.append(bool(side))
-            here = ends[1 - side][i]
-        if len(order) != len(pdf):
-            return none
-        got = pdf[["line", "part"]].iloc[order]
-        return got.assign(place=np.arange(len(order), dtype=np.int32), turned=sides)
+            order.append((i, side))
+            here = ends[i][1 - side]
+        if len(order) == len(rows):
+            yield from ((rows[i][1], place, bool(side)) for place, (i, side) in enumerate(order))
 
-    kind = parts.schema["line"].dataType.simpleString(), parts.schema["part"].dataType.simpleString()
-    return parts.groupBy("line").applyInPandas(chain, f"line {kind[0]}, part {kind[1]}, place int, turned boolean")
+    return _by_line(parts, chain, {"place": pa.int32(), "turned": pa.bool_()})
+
+
+def _joints(rows: list[tuple]) -> tuple[list, dict]:
+    """Both ends of each part (line, part, x1, y1, x2, y2), and the parts' ends (number, side) by their place."""
+    ends = [((r[2], r[3]), (r[4], r[5])) for r in rows]
+    at: dict = {}
+    for side in (0, 1):
+        for i, e in enumerate(ends):
+            at.setdefault(e[side], []).append((i, side))
+    return ends, at
+
+
+def _by_line(parts: DataFrame, make, columns: dict[str, pa.DataType]) -> DataFrame:
+    """line, part and `columns` of the rows (part, ...) that make(parts of one line) gives; many lines go through a task in
+    one stream. Parts with a null are left out."""
+    p = parts.select("line", "part", "x1", "y1", "x2", "y2").where("line IS NOT NULL AND part IS NOT NULL AND x1 + y1 + x2 + y2 IS NOT NULL")
+    kinds = {f.name: f.dataType.simpleString() for f in p.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        schema = None
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+        for b in batches:
+            schema = pa.schema([b.schema.field(0), b.schema.field(1), *columns.items()])
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[0][0] != row[0]:
+                    out += [(held[0][0], *r) for r in make(held)]
+                    held = []
+                held.append(row)
+            if out:
+                yield table(out)
+        if held:
+            yield table([(held[0][0], *r) for r in make(held)])
+
+    types = {pa.int32(): "int", pa.bool_(): "boolean"}
+    ddl = f"line {kinds['line']}, part {kinds['part']}, " + ", ".join(f"{n} {types[t]}" for n, t in columns.items())
+    return p.repartition("line").sortWithinPartitions("line", "part").mapInArrow(run, ddl)
 
 
 def stitched(parts: DataFrame) -> DataFrame:
@@ -302,13 +334,9 @@ def stitched(parts: DataFrame) -> DataFrame:
     into closed rings, numbered by their smallest corner. Parts that belong to no simple ring are left out; a part that
     is closed by itself is a ring. The parts of one line, a shape's ways, are gathered."""
 
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = [list(zip(pdf["x1"].tolist(), pdf["y1"].tolist())), list(zip(pdf["x2"].tolist(), pdf["y2"].tolist()))]
-        at: dict = {}
-        for side in (0, 1):
-            for i, p in enumerate(ends[side]):
-                at.setdefault(p, []).append((i, side))
-        seen, rows = set(), []
+    def close(rows: list[tuple]) -> Iterator[tuple]:
+        ends, at = _joints(rows)
+        seen, found = set(), []
         for start in sorted(at):
             if len(at[start]) != 2 or at[start][0][0] in seen:
                 continue
@@ -316,16 +344,13 @@ def stitched(parts: DataFrame) -> DataFrame:
             while nxt := [e for e in at[here] if e[0] not in seen]:
                 i, side = nxt[0]
                 seen.add(i)
-                ring.append((i, bool(side)))
-                here = ends[1 - side][i]
-            if here == start and all(len(at[ends[s][i]]) == 2 for i, _ in ring for s in (0, 1)):
-                rows += [(i, start, k, t) for k, (i, t) in enumerate(ring)]
-        names = {c: n for n, c in enumerate(sorted({r[1] for r in rows}))}
-        got = pdf[["line", "part"]].iloc[[r[0] for r in rows]]
-        return got.assign(ring=np.array([names[r[1]] for r in rows], np.int32), place=np.array([r[2] for r in rows], np.int32), turned=np.array([r[3] for r in rows], bool))
-
-    kind = parts.schema["line"].dataType.simpleString(), parts.schema["part"].dataType.simpleString()
-    return parts.groupBy("line").applyInPandas(close, f"line {kind[0]}, part {kind[1]}, ring int, place int, turned boolean")
+                ring.append((i, side))
+                here = ends[i][1 - side]
+            if here == start and all(len(at[p]) == 2 for i, _ in ring for p in ends[i]):
+                found.append(ring)
+        yield from ((rows[i][1], n, place, bool(side)) for n, ring in enumerate(found) for place, (i, side) in enumerate(ring))
+
+    return _by_line(parts, close, {"ring": pa.int32(), "place": pa.int32(), "turned": pa.bool_()})
 
 
 def ring_arc(ring: DataFrame, anchors: DataFrame, tolerance: float) -> DataFrame:
