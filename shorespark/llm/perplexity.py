@@ -18,7 +18,7 @@ from shorespark.llm.words import lower_words, numbered
 from shorespark.session import written
 
 ORDER = 3
-MOST_FREQUENT = 50_000  #: bound on the n-grams that are broadcast
+MOST_FREQUENT = 200_000  #: bound on the n-grams that are broadcast
 
 
 def _word_hash(w: str) -> int:
