@@ -39,6 +39,15 @@ def by_name(level: Column, names: dict[str, str], other: str) -> Column:
     return out.otherwise(other) if out is not None else F.lit(other)
 
 
+def by_part(level: Column, names: dict[str, str], other: str) -> Column:
+    """The label (or colour) of the first name that occurs in a level, compared without letter case; else `other`."""
+    low = F.lower(level)
+    out = F.lit(other)
+    for name, label in reversed(names.items()):
+        out = F.when(low.contains(name), label).otherwise(out)
+    return out
+
+
 def hectares(square_metres: Column) -> Column:
     return square_metres / 10_000
 

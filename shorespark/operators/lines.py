@@ -246,9 +246,16 @@ def median_line(resamples: DataFrame) -> DataFrame:
 
 
 def between(a: DataFrame, b: DataFrame, progress: float) -> DataFrame:
-    """line, i, x, y at a share (clamped to 0..1) of the way between two resampled lines of the same name and count."""
+    """line, i, x, y at a share (clamped to 0..1) of the way between two resampled lines of the same name and count; the
+    second is turned round where its last point is nearer to the start of the first than its first point is."""
     p = min(1.0, max(0.0, progress))
-    j = a.join(b.withColumnsRenamed({"x": "bx", "y": "by"}), ["line", "i"])
+    a, b = written(a, "resampled"), written(b, "resampled")  # read for the ends and for the points
+    end = b.groupBy("line").agg(F.max("i").alias("m"), F.min_by(F.struct("x", "y"), "i").alias("s"), F.max_by(F.struct("x", "y"), "i").alias("e"))
+    start = a.groupBy("line").agg(F.min_by(F.struct("x", "y"), "i").alias("p"))
+    d = lambda q: F.hypot(F.col(f"{q}.x") - F.col("p.x"), F.col(f"{q}.y") - F.col("p.y"))
+    turn = end.join(start, "line").select("line", "m", (d("e") < d("s")).alias("turned"))
+    b = b.join(turn, "line").select("line", F.when(F.col("turned"), F.col("m") - F.col("i")).otherwise(F.col("i")).alias("i"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    j = a.join(b, ["line", "i"])
     return j.select("line", "i", (F.col("x") * (1 - p) + F.col("bx") * p).alias("x"), (F.col("y") * (1 - p) + F.col("by") * p).alias("y"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shorespark.functions.geo import point_segment_distance
+
 
 def _sides(xs: Column, ys: Column) -> Column:
     n = F.size(xs)
@@ -38,6 +40,12 @@ def contains(xs: Column, ys: Column, x: Column, y: Column) -> Column:
     return F.size(hit) % 2 == 1
 
 
+def covers(xs: Column, ys: Column, x: Column, y: Column, tolerance: float = 0.0) -> Column:
+    """The polygon holds the point, or the point is at most `tolerance` away from one of its sides."""
+    far = F.transform(_sides(xs, ys), lambda s: point_segment_distance(x, y, s["xa"], s["ya"], s["xb"], s["yb"]))
+    return contains(xs, ys, x, y) | (F.array_min(far) <= tolerance)
+
+
 def _clip_half(ring: Column, axis: str, bound: Column, keep_above: bool) -> Column:
     """One step of Sutherland-Hodgman: the part of a ring (array of struct x, y) on one side of an axis-parallel line."""
     n = F.size(ring)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shorespark.operators.spatial import in_regions
 from shorespark.session import materialised
 
 # Scene classes that are no clear surface (no data, defects, cloud shadow, clouds, cirrus, snow).
@@ -186,6 +187,44 @@ def synthetic_pixels(spark, rows: int, cols: int) -> DataFrame:
     return g.select("row", "col", (F.when(wet, 0.32).otherwise(0.21) + 0.02 * F.cos(F.col("row") / 7)).cast("float").alias("green"), (F.when(wet, 0.12).otherwise(0.28) + 0.02 * F.sin(F.col("col") / 5)).cast("float").alias("nir"))
 
 
+# The published sample scene: 120 x 160 pixels of 30 m, its upper left corner in UTM, and its three zones.
+SAMPLE_ROWS, SAMPLE_COLS, SAMPLE_SIZE, SAMPLE_X, SAMPLE_Y = 120, 160, 30.0, 245_000.0, 6_315_000.0
+SAMPLE_ZONES = (("norte", "playa"), ("centro", "urbano"), ("sur", "humedal"))
+
+
+def sample_scene(spark) -> DataFrame:
+    """row, col, x, y, green, nir, dem of the published sample scene; x and y are the pixels' centres, rows run southward."""
+    g = spark.range(SAMPLE_ROWS * SAMPLE_COLS).select(F.floor(F.col("id") / SAMPLE_COLS).alias("row"), (F.col("id") % SAMPLE_COLS).alias("col"))
+    r, c = F.col("row"), F.col("col")
+    inland = c - (58 + 0.22 * r + 6 * F.sin(r / 12))
+    band = lambda wet, dry: F.when(inland < 0, wet).otherwise(dry)
+    return g.select(
+        "row", "col", (SAMPLE_X + (c + 0.5) * SAMPLE_SIZE).alias("x"), (SAMPLE_Y - (r + 0.5) * SAMPLE_SIZE).alias("y"),
+        (band(0.42, 0.18) + 0.03 * F.sin(c / 10) + 0.01 * F.cos(r / 8)).cast("float").alias("green"),
+        (band(0.08, 0.46) + 0.04 * F.cos(c / 14) - 0.01 * F.sin(r / 9)).cast("float").alias("nir"),
+        (F.greatest(F.lit(0.0), 5 + 1.4 * inland) + 8 * F.sin(c / 18) + 4 * F.cos(r / 16)).cast("float").alias("dem"),
+    )
+
+
+def sample_zones(spark) -> DataFrame:
+    """zone, use, xs, ys of the sample scene's zones: its thirds from north to south, 150 m inside their borders."""
+    high, wide = SAMPLE_ROWS * SAMPLE_SIZE / 3, SAMPLE_COLS * SAMPLE_SIZE
+    x0, x1 = SAMPLE_X + 150, SAMPLE_X + wide - 150
+    rows = [(n, u, [x0, x1, x1, x0], [y - high + 150, y - high + 150, y - 150, y - 150]) for i, (n, u) in enumerate(SAMPLE_ZONES) for y in (SAMPLE_Y - i * high,)]
+    return spark.createDataFrame(rows, "zone string, use string, xs array<double>, ys array<double>")
+
+
+def zonal_by_polygon(pixels: DataFrame, zones: DataFrame, zone: str, value: str) -> DataFrame:
+    """zone and the statistics (see `zonal`) of the pixels (x, y of the centre, value) whose centre lies in the zone's polygon
+    (zone, xs, ys; a point on the border lies inside); zones without a pixel have a count of 0."""
+    p = pixels.select(F.concat_ws("\x1f", F.col(value).cast("double").cast("string"), F.monotonically_increasing_id().cast("string")).alias("point"), F.col("x").alias("px"), F.col("y").alias("py"))
+    hit = in_regions(p, zones.select(F.col(zone).cast("string").alias("region"), "xs", "ys"))
+    v = F.split("point", "\x1f")
+    got = hit.select(F.col("region").alias("_z"), F.when(F.size(v) > 1, v[0].cast("double")).alias("v"))
+    s = zonal(got, ["_z"], "v")
+    return zones.select(zone).join(s, F.col(zone).cast("string") == F.col("_z"), "left").drop("_z").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def area_statistics(areas: DataFrame, keys: list[str], area: str) -> DataFrame:
     """Mean, population deviation and coefficient of variation (per cent, null for a mean of 0) of areas per key."""
     g = areas.groupBy(*keys) if keys else areas.groupBy()

@@ -107,13 +107,14 @@ def mean_displacement(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_BOTH} SELECT o.line, CAST(o.i AS INTEGER) AS i, round(o.x * 0.75 + oz.x * 0.25, 3) AS x, round(o.y * 0.75 + oz.y * 0.25, 3) AS y FROM o JOIN oz ON o.line = oz.line AND o.i = oz.i")
 def line_interpolate(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(lines.between(lines.resampled(baselines(spark, d)), lines.resampled(shore_vertices(spark, d)), 0.25), 3)
+    back = lines.resampled(shore_vertices(spark, d)).withColumn("i", 149 - F.col("i"))  # is turned round before it is met
+    return rounded(lines.between(lines.resampled(baselines(spark, d)), back, 0.25), 3)
 
 
 @query(f"{_BOTH} SELECT line AS \"group\", CAST(i AS INTEGER) AS i, round(median(x), 3) AS x, round(median(y), 3) AS y FROM (SELECT * FROM o UNION ALL SELECT * FROM oz) GROUP BY 1, 2")
 def median_line(spark: SparkSession, d: str) -> DataFrame:
     a = lines.resampled(baselines(spark, d)).select(F.col("line").alias("group"), F.lit(1).alias("line"), "i", "x", "y")
-    b = lines.resampled(shore_vertices(spark, d)).select(F.col("line").alias("group"), F.lit(2).alias("line"), "i", "x", "y")
+    b = lines.resampled(shore_vertices(spark, d)).select(F.col("line").alias("group"), F.lit(2).alias("line"), (149 - F.col("i")).alias("i"), "x", "y")  # the other way round
     return rounded(lines.median_line(a.unionByName(b)), 3)
 
 
@@ -287,7 +288,9 @@ def linear_regression_rate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(r.select("id", "lrr_m_per_year", "lrr_r2", "lrr_reference_year", "lrr_position_at_reference_m", "lrr_standard_error_m_per_year"))
 
 
-_T_SQL = "CASE " + " ".join(f"WHEN n - 2 = {i} THEN {t}" for i, t in enumerate(change.T_975, 1)) + " WHEN n - 2 BETWEEN 31 AND 40 THEN 2.021 END"
+# The table of Student's t again, for the SQL: 1 to 30 degrees of freedom, then by ranges.
+_T_SQL = """CASE WHEN n - 2 BETWEEN 1 AND 30 THEN [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086,
+2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042][CAST(n - 2 AS INTEGER)]::DOUBLE WHEN n - 2 <= 40 THEN 2.021 WHEN n - 2 <= 60 THEN 2.0 WHEN n - 2 <= 120 THEN 1.98 ELSE 1.96 END"""
 
 
 @query(f"{_FIT}, x AS (SELECT count(DISTINCT year) AS k FROM obs WHERE year IS NOT NULL) SELECT o.id, coalesce(n, 0) AS n_observations, k AS n_expected_years, round(100.0 * coalesce(n, 0) / k, 4) AS temporal_completeness_pct, round(b - {_T_SQL} * se, 4) + 0.0 AS lrr_ci95_low_m_per_year, round(b + {_T_SQL} * se, 4) + 0.0 AS lrr_ci95_high_m_per_year, CASE WHEN se IS NULL THEN 'not_available' ELSE 'student_t_95' END AS uncertainty_method, CASE WHEN n IS NULL THEN 'no_intersections' WHEN n < 2 THEN 'insufficient_observations' WHEN y1 <= y0 THEN 'insufficient_time_span' WHEN se IS NULL THEN 'ok_without_lrr_uncertainty' ELSE 'ok' END AS analysis_status FROM (SELECT DISTINCT id FROM obs) o LEFT JOIN e USING (id) CROSS JOIN x")

@@ -122,11 +122,11 @@ def mask_outline(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("tile").agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("perimeter_m"))
 
 
-@query(f"WITH {TILE_SQL}, a AS (SELECT tile, count(*) AS n FROM m GROUP BY 1), i AS (SELECT m.tile, count(*) AS k FROM m JOIN m o ON o.tile = m.tile AND ((o.\"row\" = m.\"row\" + 1 AND o.col = m.col) OR (o.\"row\" = m.\"row\" AND o.col = m.col + 1)) GROUP BY 1) SELECT a.tile, CAST((4 * n - 2 * coalesce(k, 0)) * 10 AS DOUBLE) AS perimeter_m FROM a LEFT JOIN i USING (tile)")
+@query(f"""WITH {TILE_SQL}, s AS (SELECT tile, unnest([{{'r': "row" - 1, 'c': col, 'ra': "row", 'ca': col, 'rb': "row", 'cb': col + 1}}, {{'r': "row" + 1, 'c': col, 'ra': "row" + 1, 'ca': col, 'rb': "row" + 1, 'cb': col + 1}}, {{'r': "row", 'c': col - 1, 'ra': "row", 'ca': col, 'rb': "row" + 1, 'cb': col}}, {{'r': "row", 'c': col + 1, 'ra': "row", 'ca': col + 1, 'rb': "row" + 1, 'cb': col + 1}}]) AS q FROM m)
+SELECT s.tile, q.ca * 10.0::DOUBLE AS x1, q.ra * 10.0::DOUBLE AS y1, q.cb * 10.0::DOUBLE AS x2, q.rb * 10.0::DOUBLE AS y2 FROM s ANTI JOIN m ON m.tile = s.tile AND m."row" = q.r AND m.col = q.c""")
 def tile_outline(spark: SparkSession, d: str) -> DataFrame:
-    """Outlines over tiles whose number grows with the table; mask_outline keeps its 16."""
-    s = raster.outline(_tiles(spark, d)[1], "tile", 10.0)
-    return s.groupBy("tile").agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("perimeter_m"))
+    """The sides of the outlines over tiles whose number grows with the table; mask_outline keeps its 16 and sums them."""
+    return raster.outline(_tiles(spark, d)[1], "tile", 10.0).select("tile", "x1", "y1", "x2", "y2")
 
 
 @query(f"""{_COMPONENTS}, n AS (SELECT tile, count(*) AS n_cells FROM m GROUP BY 1), k AS (SELECT tile, count(DISTINCT c) AS n_outer FROM r GROUP BY 1),
@@ -140,6 +140,18 @@ def tile_rings(spark: SparkSession, d: str) -> DataFrame:
     return n.join(a, "tile").select("tile", "n_outer", "n_sides", "area_m2")
 
 
+@query(f"""WITH {TILE_SQL}, z(zone, xa, ya, xb, yb, xc, yc) AS (VALUES ('low', 0.3, 0.2, 39.7, 0.4, 0.3, 38.9), ('high', 5.2, 39.6, 39.8, 5.1, 39.9, 39.7)),
+k AS (SELECT zone, q, sign((xb - xa) * ("row" + 0.5 - ya) - (yb - ya) * (col + 0.5 - xa)) AS a, sign((xc - xb) * ("row" + 0.5 - yb) - (yc - yb) * (col + 0.5 - xb)) AS b, sign((xa - xc) * ("row" + 0.5 - yc) - (ya - yc) * (col + 0.5 - xc)) AS d FROM c CROSS JOIN z)
+SELECT zone, round(min(q), 4) AS v_min, round(avg(q), 4) AS v_mean, round(max(q), 4) AS v_max, round(stddev_pop(q), 4) AS v_std, count(*) AS n FROM k WHERE a = b AND b = d GROUP BY 1""")
+def polygon_zonal_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Mean quantities of the orders' cells under two triangles that lie on every tile."""
+    k = F.col("l_orderkey")
+    c = table(spark, d, "lineitem").where(k.isNotNull()).groupBy(k.alias("k")).agg(F.avg("l_quantity").alias("q"))
+    px = c.select((F.expr("k % 40") + 0.5).alias("x"), (F.expr("k % 1600 div 40") + 0.5).alias("y"), "q")
+    zones = spark.createDataFrame([("low", [0.3, 39.7, 0.3], [0.2, 0.4, 38.9]), ("high", [5.2, 39.8, 39.9], [39.6, 5.1, 39.7])], "zone string, xs array<double>, ys array<double>")
+    return rounded(raster.zonal_by_polygon(px, zones, "zone", "q"))
+
+
 def _quads(spark: SparkSession, d: str) -> DataFrame:
     """A four-sided polygon per supplier."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_nationkey") + 5.3).alias("w"), (F.pmod(F.col("s_suppkey"), F.lit(17)) + 4.7).alias("h"))
@@ -149,9 +161,9 @@ def _quads(spark: SparkSession, d: str) -> DataFrame:
 QUAD_SQL = "q AS (SELECT s_suppkey AS k, s_nationkey + 5.3 AS w, s_suppkey % 17 + 4.7 AS h FROM supplier), sides AS (SELECT k, unnest([{'xa': 0.0, 'ya': 0.0, 'xb': w, 'yb': 1.0}, {'xa': w, 'ya': 1.0, 'xb': w + 3.0, 'yb': h}, {'xa': w + 3.0, 'ya': h, 'xb': 2.0, 'yb': h + 2.0}, {'xa': 2.0, 'ya': h + 2.0, 'xb': 0.0, 'yb': 0.0}]) AS s FROM q)"
 
 
-@query(f"WITH {QUAD_SQL}, c AS (SELECT k, r AS \"row\", c AS col, r + 0.5 AS y, c + 0.5 AS x FROM q, range(40) a(r), range(60) b(c)), h AS (SELECT c.k, c.\"row\", c.col, count(*) AS n FROM c JOIN sides ON sides.k = c.k AND (s.ya > y) <> (s.yb > y) AND x < s.xa + (y - s.ya) / (s.yb - s.ya) * (s.xb - s.xa) GROUP BY 1, 2, 3) SELECT k, count(*) AS n_cells, CAST(sum(\"row\") AS BIGINT) AS rows, CAST(sum(col) AS BIGINT) AS cols FROM h WHERE n % 2 = 1 GROUP BY 1")
+@query(f"WITH {QUAD_SQL}, c AS (SELECT k, r AS \"row\", c AS col, r + 0.5 AS y, c + 0.5 AS x FROM q, range(40) a(r), range(60) b(c)), h AS (SELECT c.k, c.\"row\", c.col, count(*) AS n FROM c JOIN sides ON sides.k = c.k AND (s.ya > y) <> (s.yb > y) AND x < s.xa + (y - s.ya) / (s.yb - s.ya) * (s.xb - s.xa) GROUP BY 1, 2, 3) SELECT k, \"row\", col FROM h WHERE n % 2 = 1")
 def rasterize_polygons(spark: SparkSession, d: str) -> DataFrame:
-    return raster.rasterised(_quads(spark, d), "k", 1.0).groupBy("k").agg(F.count("*").alias("n_cells"), F.sum("row").alias("rows"), F.sum("col").alias("cols"))
+    return raster.rasterised(_quads(spark, d), "k", 1.0).select("k", F.col("row").cast("long"), F.col("col").cast("long"))
 
 
 @query(f"WITH {QUAD_SQL}, a AS (SELECT k, sum(s.xa * s.yb - s.xb * s.ya) / 2 AS a, sum((s.xa + s.xb) * (s.xa * s.yb - s.xb * s.ya)) AS cx, sum((s.ya + s.yb) * (s.xa * s.yb - s.xb * s.ya)) AS cy FROM sides GROUP BY 1) SELECT k, round(abs(a), 4) AS area, round(cx / (6 * a), 4) AS cx, round(cy / (6 * a), 4) AS cy FROM a")
@@ -277,16 +289,17 @@ def geojson_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return rounded(files.features(docs, "text").select(F.col("properties")["transect_id"].alias("transect_id"), p[0]["lon"].alias("lon1"), p[0]["lat"].alias("lat1"), p[1]["lon"].alias("lon2"), p[1]["lat"].alias("lat2")), 7)
 
 
-@query("SELECT lower(trim(osm_id)) AS osm_id, count(*) AS n FROM buildings_risk GROUP BY 1")
+@query("SELECT lower(trim(osm_id)) AS osm_id, count(*) AS n, CAST(5 AS BIGINT) AS n_vertices, round(min(longitude), 7) AS lon, round(min(latitude), 7) AS lat FROM buildings_risk GROUP BY 1")
 def overpass_features(spark: SparkSession, d: str) -> DataFrame:
-    """Building rows written as elements of responses and parsed again, counted by id."""
+    """Building rows written as elements of responses and parsed again, by id: their number, vertices and place."""
     b = table(spark, d, "buildings_risk").select(F.split(F.lower(F.trim("osm_id")), "/").alias("o"), same_longitude(F.col("longitude")).alias("lon"), F.col("latitude").alias("lat"), "delivery_id")
     at = lambda i, j: F.struct((F.col("lon") + i * 1e-4).alias("lon"), (F.col("lat") + j * 1e-4).alias("lat"))
     ring = F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1))
     way = F.col("o")[0] == "way"
     e = F.struct(F.col("o")[0].alias("type"), F.col("o")[1].cast("long").alias("id"), F.create_map(F.lit("building"), F.lit("yes")).alias("tags"), F.when(way, ring).alias("geometry"), F.when(~way, F.array(F.struct(F.lit("outer").alias("role"), ring.alias("geometry")))).alias("members"))
     docs = b.groupBy((F.col("delivery_id") % 500).alias("g")).agg(F.to_json(F.struct(F.collect_list(e).alias("elements"))).alias("text"))
-    return files.overpass(docs, "text").groupBy("osm_id").agg(F.count("*").alias("n"))
+    got = files.overpass(docs, "text").withColumns({"lon": F.array_min(F.transform("line", lambda p: p["lon"])), "lat": F.array_min(F.transform("line", lambda p: p["lat"]))})
+    return got.groupBy("osm_id").agg(F.count("*").alias("n"), F.max(F.size("line")).cast("long").alias("n_vertices"), F.round(F.min("lon"), 7).alias("lon"), F.round(F.min("lat"), 7).alias("lat"))
 
 
 @query("SELECT 'relation/' || delivery_id AS osm_id, CAST(5 AS BIGINT) AS n, round(longitude, 7) AS lon, round(latitude, 7) AS lat FROM buildings_risk")

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from shorespark.functions import geo
+# Published constants of the transverse Mercator projection on WGS84, zone 19 south: k0 times the radius of
+# the rectifying sphere, the first eccentricity and the four series coefficients.
+UTM_RADIUS, UTM_E = 6364902.166165087, 0.08181919084262149
+UTM_ALPHA = (8.377318206244698e-4, 7.608527773572307e-7, 1.197645503329453e-9, 2.429170607201359e-12)
 
 
 def utm_cte(name: str, source: str, lon: str, lat: str, x: str, y: str) -> str:
     """CTEs that add easting x and northing y to all columns of `source`; the last one is called `name`."""
-    k = geo.SCALE * geo._A
     atanh = lambda v: f"(0.5 * ln((1 + ({v})) / (1 - ({v}))))"
     sinh = lambda v: f"((exp({v}) - exp(-({v}))) / 2)"
     cosh = lambda v: f"((exp({v}) + exp(-({v}))) / 2)"
-    inner = f"{atanh(f'sin(radians({lat}))')} - {geo._E!r} * {atanh(f'{geo._E!r} * sin(radians({lat}))')}"
-    east = " + ".join(f"{c!r} * cos({2 * j} * xi_) * {sinh(f'{2 * j} * eta_')}" for j, c in enumerate(geo._ALPHA, 1))
-    north = " + ".join(f"{c!r} * sin({2 * j} * xi_) * {cosh(f'{2 * j} * eta_')}" for j, c in enumerate(geo._ALPHA, 1))
-    return f"""{name}_a AS (SELECT *, {inner} AS w_, radians({lon} - ({geo.MERIDIAN!r})) AS dl_ FROM {source}),
+    inner = f"{atanh(f'sin(radians({lat}))')} - {UTM_E!r} * {atanh(f'{UTM_E!r} * sin(radians({lat}))')}"
+    east = " + ".join(f"{c!r} * cos({2 * j} * xi_) * {sinh(f'{2 * j} * eta_')}" for j, c in enumerate(UTM_ALPHA, 1))
+    north = " + ".join(f"{c!r} * sin({2 * j} * xi_) * {cosh(f'{2 * j} * eta_')}" for j, c in enumerate(UTM_ALPHA, 1))
+    return f"""{name}_a AS (SELECT *, {inner} AS w_, radians({lon} + 69) AS dl_ FROM {source}),
 {name}_b AS (SELECT *, {sinh('w_')} AS t_ FROM {name}_a),
 {name}_c AS (SELECT *, atan2(t_, cos(dl_)) AS xi_, {atanh('sin(dl_) / sqrt(1 + t_ * t_)')} AS eta_ FROM {name}_b),
-{name} AS (SELECT * EXCLUDE (w_, dl_, t_, xi_, eta_), {geo.FALSE_EAST!r} + {k!r} * (eta_ + {east}) AS {x}, {geo.FALSE_NORTH!r} + {k!r} * (xi_ + {north}) AS {y} FROM {name}_c)"""
+{name} AS (SELECT * EXCLUDE (w_, dl_, t_, xi_, eta_), 500000 + {UTM_RADIUS!r} * (eta_ + {east}) AS {x}, 10000000 + {UTM_RADIUS!r} * (xi_ + {north}) AS {y} FROM {name}_c)"""
 
 
 YES_SQL = "lower(trim(affects_cartagena)) IN ('true', 't', 'yes', 'y', '1', '1.0', 'si', 'sí', 's', 'verdadero', 'v', 'cierto', 'on')"

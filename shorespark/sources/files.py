@@ -147,6 +147,16 @@ def way_checks(ring: DataFrame) -> DataFrame:
     return ring.agg(F.count("*").alias("n_nodes"), F.count_if(F.col("lon").isNull()).alias("n_missing"), (F.min_by("node", "seq") == F.max_by("node", "seq")).alias("closed"))
 
 
+def tagged_ring(documents: DataFrame, text: str, way: int, key: str = "natural", value: str = "beach") -> DataFrame:
+    """seq, node, lon, lat of a way that must have the tag, know all its nodes and be closed; anything else is an error."""
+    ring = osm_way(documents, text, way)
+    tags = documents.select(F.explode(F.xpath(text, F.lit(f"/osm/way[@id='{int(way)}']/tag[@k='{key}']/@v"))).alias("v")).agg(F.coalesce(F.bool_or(F.col("v") == value), F.lit(False)).alias("fits"))
+    fine = F.assert_true(F.col("fits"), F.lit(f"the way is not tagged {key}={value}"))
+    whole = F.assert_true((F.col("n_missing") == 0) & F.col("closed") & (F.col("n_nodes") > 3), F.lit("the way is open or lacks nodes"))
+    ok = way_checks(ring).crossJoin(F.broadcast(tags)).where(fine.isNull() & whole.isNull()).select(F.lit(True).alias("_ok"))  # one row each
+    return ring.crossJoin(F.broadcast(ok)).drop("_ok")
+
+
 OVERPASS = "struct<elements:array<struct<type:string,id:bigint,tags:map<string,string>,geometry:array<struct<lon:double,lat:double>>,members:array<struct<role:string,geometry:array<struct<lon:double,lat:double>>>>>>>"
 
 
@@ -213,8 +223,10 @@ def read_window(spark: SparkSession, path: str, rows: tuple[int, int], cols: tup
 
 
 def cached_pixels(spark: SparkSession, path: str, item: str, threshold: float) -> DataFrame:
-    """Cached index pixels of an item; an error if they were made for another threshold."""
+    """Cached index pixels of an item; an error if there are none or they were made for another threshold."""
     df = spark.read.parquet(path).where(F.col("item_id") == item)
+    if df.isEmpty():
+        raise ValueError(f"no cached pixels of {item}")
     same = F.assert_true(F.col("threshold") == threshold, F.lit("cached for another threshold"))
     return df.where(same.isNull())
 

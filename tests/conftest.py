@@ -4,6 +4,8 @@ import sys
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+# many small plans that run once: the first compiler alone is faster
+os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--driver-java-options -XX:TieredStopAtLevel=1 pyspark-shell")
 
 
 @pytest.fixture(scope="session")

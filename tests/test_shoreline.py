@@ -532,3 +532,37 @@ def test_stitched_ways(spark):
     p = spark.createDataFrame([("a", 0, 0.0, 0.0, 1.0, 1.0), ("a", 1, 0.0, 0.0, 1.0, 1.0), ("a", 2, 5.0, 5.0, 6.0, 6.0), ("a", 3, 9.0, 9.0, 9.0, 9.0), ("b", 0, 0.0, 0.0, 1.0, 0.0)], "line string, part int, x1 double, y1 double, x2 double, y2 double")
     got = sorted((r.line, r.part, r.ring, r.place, r.turned) for r in lines.stitched(p).collect())
     assert got == [("a", 0, 0, 0, False), ("a", 1, 0, 1, True), ("a", 3, 1, 0, False)]
+
+
+def test_published_zonal_statistics(spark):
+    want = {
+        "norte": (-0.5347180962562561, 0.8570998907089233, 0.058361531575520834, 0.5803804454934435), "centro": (-0.5288863778114319, 0.854817271232605, 0.06065518527560764, 0.571784744062164),
+        "sur": (-0.5207223296165466, 0.8183582425117493, 0.1664309353298611, 0.5580729883252181),
+    }
+    px = raster.sample_scene(spark)
+    g, n = F.col("green"), F.col("nir")
+    got = raster.zonal_by_polygon(px.withColumn("v", raster.ndwi(g, n, F.lit(True))), raster.sample_zones(spark), "zone", "v").collect()
+    assert {r.zone for r in got} == set(want) and all(r.n == 4500 and (r.v_min, r.v_max, r.v_mean, r.v_std) == pytest.approx(want[r.zone], abs=2e-7) for r in got)
+    none = spark.createDataFrame([("far", [0.0, 1.0, 1.0], [0.0, 0.0, 1.0])], "zone string, xs array<double>, ys array<double>")
+    assert [tuple(r) for r in raster.zonal_by_polygon(px.withColumn("v", g), none, "zone", "v").collect()] == [("far", None, None, None, None, 0)]
+
+
+def test_tolerance_labels_and_tagged_rings(spark, tmp_path):
+    from shorespark.functions import labels
+
+    df = spark.createDataFrame([([0.0, 4.0, 4.0, 0.0], [0.0, 0.0, 2.0, 2.0], 4.1, 1.0, "Riesgo ALTO")], "xs array<double>, ys array<double>, x double, y double, l string")
+    c = lambda t: polygons.covers(F.col("xs"), F.col("ys"), F.col("x"), F.col("y"), t)
+    r = df.select(c(0.05).alias("a"), c(0.15).alias("b"), labels.by_part(F.col("l"), {"alto": "red", "riesgo": "grey"}, "none").alias("c"), labels.by_part(F.col("l"), {"bajo": "green"}, "none").alias("d")).first()
+    assert tuple(r) == (False, True, "red", "none")
+    osm = lambda tag, last: spark.createDataFrame([(f'<osm>{"".join(f"""<node id="{i}" lat="-33.{i}" lon="-71.{i}"/>""" for i in (1, 2, 3))}<way id="7"><nd ref="1"/><nd ref="2"/><nd ref="3"/><nd ref="{last}"/><tag k="natural" v="{tag}"/></way></osm>',)], "t string")
+    assert files.tagged_ring(osm("beach", 1), "t", 7).count() == 4
+    for bad, why in ((osm("wood", 1), "tagged"), (osm("beach", 2), "open"), (osm("beach", 9), "open")):
+        with pytest.raises(Exception, match=why):
+            files.tagged_ring(bad, "t", 7).collect()
+
+
+def test_lines_are_turned_before_they_are_met(spark):
+    a = spark.createDataFrame([("l", i, float(i), 0.0) for i in range(5)], "line string, i int, x double, y double")
+    b = spark.createDataFrame([("l", i, 4.0 - i, 2.0) for i in range(5)], "line string, i int, x double, y double")
+    got = sorted((r.i, r.x, r.y) for r in lines.between(a, b, 0.5).collect())
+    assert got == [(i, float(i), 1.0) for i in range(5)]
