@@ -8,10 +8,10 @@ def test_problem_queries_on_odd_tables(spark, edge_dir):
 
 
 def test_shoreline_queries_on_odd_tables(spark, edge_dir):
-    for name in ("ring_arcs", "nearest_crossing", "rate_status_completeness", "storm_interval_join", "storm_point_biserial", "tide_vertex_correction", "nearest_feature_click", "tide_gridded", "keep_first_corrections", "line_project", "line_offset_curve", "exposed_lengths"):
+    for name in ("ring_arcs", "nearest_crossing", "rate_status_completeness", "storm_interval_join", "storm_point_biserial", "tide_vertex_correction", "nearest_feature_click", "keep_first_corrections", "exposed_lengths"):
         coast.QUERIES[name](spark, edge_dir).collect()
 
 
 def test_scene_queries_on_odd_tables(spark, edge_dir):
-    for name in ("tile_rings", "polygon_zonal_stats", "catalogue_reader", "stac_normalise", "overpass_outlines", "tfidf_topk"):
+    for name in ("polygon_zonal_stats", "catalogue_reader", "stac_normalise"):
         scenes.QUERIES[name](spark, edge_dir).collect()
