@@ -45,26 +45,27 @@ def gridded(points: DataFrame, key: list[str], lon: str, lat: str, instant: str,
     and for null places or times, the height is null. Points meet nodes by an equi-join on (row, col). `key` must be
     unique.
     """
-    g = grid.select(F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c"), "name", F.col("speed_deg_per_hour").alias("w"), (F.col("amplitude_m") * F.cos(F.radians("phase_deg"))).alias("re"), (F.col("amplitude_m") * F.sin(F.radians("phase_deg"))).alias("im")).where("re + im + w IS NOT NULL")
+    g = grid.select(F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c"), F.col("name").alias("_n"), F.col("speed_deg_per_hour").alias("_w"), (F.col("amplitude_m") * F.cos(F.radians("phase_deg"))).alias("_re"), (F.col("amplitude_m") * F.sin(F.radians("phase_deg"))).alias("_im")).where("_re + _im + _w IS NOT NULL")
     pts = points.select(*key, F.col(lon).cast("double").alias("_x"), F.col(lat).cast("double").alias("_y"), F.col(instant).alias("_t"))
     at = pts.where("_x + _y + _t IS NOT NULL").withColumns({"_i": F.floor(F.col("_y") / step), "_j": F.floor(F.col("_x") / step)})
     four = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-    near = at.withColumn("k", four).select(*key, "_t", (F.col("_i") + F.col("k.a")).alias("r"), (F.col("_j") + F.col("k.b")).alias("c"), "_x", "_y")
-    near = near.withColumn("weight", (1 - F.abs(F.col("_y") / step - F.col("r"))) * (1 - F.abs(F.col("_x") / step - F.col("c")))).where("weight > 0")
-    inside = near.join(g, ["r", "c"]).select(*key, "_t", "name", "w", "weight", "re", "im")
+    near = at.withColumn("_k", four).select(*key, "_t", (F.col("_i") + F.col("_k.a")).alias("_r"), (F.col("_j") + F.col("_k.b")).alias("_c"), "_x", "_y")
+    near = near.withColumn("_f", (1 - F.abs(F.col("_y") / step - F.col("_r"))) * (1 - F.abs(F.col("_x") / step - F.col("_c")))).where("_f > 0")
+    each = ["_n", "_w", "_f", "_re", "_im"]
+    inside = near.join(g, ["_r", "_c"]).select(*key, "_t", *each)
     # the others look at the nodes as far as the cut-off reaches
     alone = at.join(inside.select(*key).distinct(), key, "left_anti")
     reach = int(math.ceil(cutoff_km / (110.5 * step))) + 1
     wide = F.least(F.lit(360.0 / step), F.ceil(reach / F.greatest(F.lit(0.01), F.cos(F.radians("_y"))))).cast("long")
-    around = alone.withColumn("r", F.explode(F.sequence(F.col("_i") - reach, F.col("_i") + reach))).withColumn("c", F.explode(F.sequence(F.col("_j") - wide, F.col("_j") + wide)))
-    far = ground_distance(F.col("_x"), F.col("_y"), F.col("c") * step, F.col("r") * step)
-    nodes = g.select("r", "c").distinct()
-    best = around.withColumn("d", far).where(F.col("d") <= cutoff_km * 1000).join(nodes, ["r", "c"]).groupBy(*key, "_t").agg(F.min(F.struct("d", "r", "c")).alias("b"))
-    outside = best.select(*key, "_t", F.col("b.r").alias("r"), F.col("b.c").alias("c")).join(g, ["r", "c"]).select(*key, "_t", "name", "w", F.lit(1.0).alias("weight"), "re", "im")
-    mean = lambda c: F.sum(F.col("weight") * F.col(c)) / F.sum("weight")
-    each = inside.unionByName(outside).groupBy(*key, "_t", "name").agg(F.first("w").alias("w"), mean("re").alias("re"), mean("im").alias("im"))
-    turn = F.radians(F.col("w") * F.col("_t") / 3_600_000_000)
-    height = each.groupBy(*key).agg(F.sum(F.col("re") * F.cos(turn) - F.col("im") * F.sin(turn)).alias("tide_height_m"))
+    around = alone.withColumn("_r", F.explode(F.sequence(F.col("_i") - reach, F.col("_i") + reach))).withColumn("_c", F.explode(F.sequence(F.col("_j") - wide, F.col("_j") + wide)))
+    far = ground_distance(F.col("_x"), F.col("_y"), F.col("_c") * step, F.col("_r") * step)
+    nodes = g.select("_r", "_c").distinct()
+    best = around.withColumn("_d", far).where(F.col("_d") <= cutoff_km * 1000).join(nodes, ["_r", "_c"]).groupBy(*key, "_t").agg(F.min(F.struct("_d", "_r", "_c")).alias("_b"))
+    outside = best.select(*key, "_t", F.col("_b._r").alias("_r"), F.col("_b._c").alias("_c")).join(g, ["_r", "_c"]).withColumn("_f", F.lit(1.0)).select(*key, "_t", *each)
+    mean = lambda c: F.sum(F.col("_f") * F.col(c)) / F.sum("_f")
+    waves = inside.unionByName(outside).groupBy(*key, "_t", "_n").agg(F.first("_w").alias("_w"), mean("_re").alias("_re"), mean("_im").alias("_im"))
+    turn = F.radians(F.col("_w") * F.col("_t") / 3_600_000_000)
+    height = waves.groupBy(*key).agg(F.sum(F.col("_re") * F.cos(turn) - F.col("_im") * F.sin(turn)).alias("tide_height_m"))
     return points.select(*key).join(height, key, "left")
 
 

@@ -205,8 +205,8 @@ def test_sources(spark, tmp_path):
         files.read_events(spark, str(tmp_path / "few.csv"))
     assert files.read_csv_or_error(spark, str(tmp_path / "few.csv"), ["event_id"])[1] is None and "missing" in files.read_csv_or_error(spark, str(tmp_path / "few.csv"), ["x"])[1]
     assert files.read_csv_or_error(spark, str(tmp_path / "absent.csv"), [])[0] is None
-    (tmp_path / "c.json").write_text('{"scenes": [{"year": 2017, "item_id": "z", "cloud_cover_pct": 0.0}, {"year": 2016, "item_id": "a"}]}')
-    assert [(r.ordinal, r.year, r.item_id, r.cloud_cover_pct) for r in files.read_catalogue(spark, str(tmp_path / "c.json")).orderBy("ordinal").collect()] == [(0, 2017, "z", 0.0), (1, 2016, "a", None)]
+    (tmp_path / "c.catalogue").write_text('{"scenes": [{"year": 2017, "item_id": "z", "cloud_cover_pct": 0.0}, {"year": 2016, "item_id": "a"}]}')
+    assert [(r.ordinal, r.year, r.item_id, r.cloud_cover_pct) for r in files.read_catalogue(spark, str(tmp_path / "c.catalogue")).orderBy("ordinal").collect()] == [(0, 2017, "z", 0.0), (1, 2016, "a", None)]
     waves = files.wave_days(spark.createDataFrame([('{"2017-03-10": 2.558, "2017-01-19": 1.699, "2017-04-01": 2.558}',)], "t string"), "t")
     w = quality.wave_summary(waves, [], "day", "height_m").first()
     assert (w.n, w.max_height_m, w.max_day) == (3, 2.558, "2017-03-10")
@@ -502,11 +502,10 @@ def test_gridded_tides(spark):
     got = {r.k: r.tide_height_m for r in tides.gridded(pts, ["k"], "x", "y", "t", grid, 0.1).collect()}
     assert got[1] == pytest.approx(2.0) and got[2] == pytest.approx(-2.0) and got[3] == pytest.approx(3.0) and got[4] is None and got[5] is None and got[6] == pytest.approx(3.0)
     assert got[7] == pytest.approx(1.0)  # one of its corners is there
-    off = spark.createDataFrame([(1, 0.18, 0.05, 0), (2, 0.25, 0.05, 0)], "k int, x double, y double, t long")
-    lone = grid.where("col = 1")
-    assert {r.k: r.tide_height_m for r in tides.gridded(off, ["k"], "x", "y", "t", lone.where("row = 0"), 0.05, 10.0).collect()}.keys() == {1, 2}
-    far = {r.k: r.tide_height_m for r in tides.gridded(off.withColumn("x", F.col("x") + 0.03), ["k"], "x", "y", "t", lone, 0.1, 10.0).collect()}
-    assert far == {1: None, 2: None} or far[2] is None
+    # beyond the last node: the nearest one within 10 km (0.05 degrees are 5.6 km), none at 15 km
+    off = spark.createDataFrame([(1, 0.05, -0.05, 0), (2, 0.05, -0.135, 0)], "k int, x double, y double, t long")
+    fine = spark.createDataFrame([(0, 1, "m2", 30.0, 3.0, 0.0)], "row int, col int, name string, speed_deg_per_hour double, amplitude_m double, phase_deg double")
+    assert {r.k: r.tide_height_m for r in tides.gridded(off, ["k"], "x", "y", "t", fine, 0.05, 10.0).collect()} == {1: pytest.approx(3.0), 2: None}
 
 
 def test_model_folder_check(spark):
