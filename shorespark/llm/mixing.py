@@ -111,7 +111,7 @@ def mixture(documents: DataFrame, doc: str, text: str, source: str, targets: Dat
     """(documents to draw, report).
 
     Draw: doc, source, n_tokens, copies (1 to the source's max_repeats). Report, one row per target source: source,
-    target_share, max_repeats, n_docs, n_tokens available, drawn_docs, drawn_tokens, reached_share, saturated.
+    target_share, max_repeats, n_docs, n_tokens available, longest_doc, drawn_docs, drawn_tokens, reached_share, saturated.
     Documents without tokens, with a null source or of a source without target are never drawn; a source without
     documents reaches 0, and the others keep their proportions; repeated rows are documents of their own. Of
     several target rows of one source the greatest (share, repeats) counts, rows with a null are left out. total: tokens
@@ -159,10 +159,10 @@ def mixture(documents: DataFrame, doc: str, text: str, source: str, targets: Dat
     theta = bounds.select("source", F.col("lo").alias("theta"))
     drawn = rated.join(theta, "source", "left").withColumn("copies", F.col("base") + F.when(open_ & (F.col("late") < F.col("theta")), 1).otherwise(0))
     draw = drawn.where("copies > 0").select(doc, "source", "n_tokens", "copies")
-    have = tokens.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    have = tokens.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("longest_doc"))
     got = draw.groupBy("source").agg(F.sum("copies").alias("drawn_docs"), F.sum(F.col("copies") * F.col("n_tokens")).alias("drawn_tokens"))
     report = plan.join(have, "source", "left").join(got, "source", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    sums = report.select("source", "target_share", "max_repeats", "saturated", *[zero(c).alias(c) for c in ("n_docs", "n_tokens", "drawn_docs", "drawn_tokens")])
+    sums = report.select("source", "target_share", "max_repeats", "saturated", *[zero(c).alias(c) for c in ("n_docs", "n_tokens", "longest_doc", "drawn_docs", "drawn_tokens")])
     everything = sums.agg(F.sum("drawn_tokens").alias("_all"))  # one row
     return draw, sums.crossJoin(F.broadcast(everything)).withColumn("reached_share", F.coalesce(F.try_divide(F.col("drawn_tokens"), F.col("_all")), F.lit(0.0))).drop("_all")
