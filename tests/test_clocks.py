@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shorespark.functions.timestamps import with_reading
 from shorespark.operators import clocks
+from shorespark.plans import problems
 
 EPOCH = datetime(1970, 1, 1)
 MONTHS = {m: i for i, m in enumerate("ene feb mar abr may jun jul ago sep oct nov dic".split(), 1)} | {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
@@ -150,3 +151,36 @@ def test_order_settles_day_and_month(spark):
     assert len(got) == 1 and got[0].n_ambiguous > 40 and got[0].n_as_stated >= 0.95 * got[0].n_ambiguous
     with pytest.raises(ValueError):
         clocks.resolved(clocks.chains(df, 0, source="source", order="ord", key="key", text="text", zone="zone"), {"against_rules": 1.0, "switch": 1.0, "backwards": 1.0})
+
+
+def _no_path(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Exchange" not in plan and "InArrow" not in plan
+
+
+def test_rules_run_no_path_and_lose_no_row(spark):
+    odd = [*CASES, ("2020-01-01 10:00:00", "No/Where"), ("2020-01-01 10:00:00+00:00", None), ("02/01/2020 10:00:00", None), ("02/01/2020 10:00:00", None)]
+    rows = [(f"s{i % 2}", i // 2, i, t, z) for i, (t, z) in enumerate(odd)] + [(None, None, 99, "03/04/2020", None)]
+    df = spark.createDataFrame(rows, "source string, ord int, key long, text string, zone string")
+    how = dict(source="source", order="ord", key="key", text="text", zone="zone", span=10)
+    got = clocks.normalised([("x", df, how), ("y", df, how | {"zone": None})])
+    assert _no_path(got)
+    for name, h in (("x", how), ("y", how | {"zone": None})):
+        path = clocks.resolved(clocks.chains(df, 0, **h)).collect()
+        assert any(r.n_readings > 1 for r in path)
+        assert sorted((r.record_key, r.utc_micros) for r in got.where(F.col("table_name") == name).collect()) == sorted((r.record_key, r.us) for r in path if r.kind != 0)
+    known = {r.record_key: r.utc_micros for r in got.where("table_name = 'x'").collect()}
+    assert known == {k: brute(t, z) for _, _, k, t, z in rows if z != "No/Where" and brute(t, z) is not None and not (t or "").endswith("+00:00")}
+
+
+def test_p5_found_runs_no_path(spark):
+    assert _no_path(problems.p5_found(spark, "/root/testdata/sf0.001"))
+
+
+def test_normalised_by_order_takes_the_path(spark):
+    texts = ["2020-01-10 10:00:00", "02/01/2020 10:00:00", "2020-02-10 10:00:00"]  # 1 February lies between, 2 January does not
+    df = spark.createDataFrame([("s", i, i, t, None) for i, t in enumerate(texts)], "source string, ord int, key long, text string, zone string")
+    tables = [("x", df, dict(source="source", order="ord", key="key", text="text", zone="zone", span=9))]
+    at = lambda costs: {r.record_key: EPOCH + timedelta(microseconds=r.utc_micros) for r in clocks.normalised(tables, costs).collect()}[1]
+    assert at(None) == datetime(2020, 1, 2, 10)
+    assert at({"against_rules": 0.001, "switch": 0.01, "backwards": 1.0}) == datetime(2020, 2, 1, 10)
