@@ -9,7 +9,7 @@ from shorespark.functions.geo import fenced, point_segment_distance
 from shorespark.operators.lines import crossings
 from shorespark.operators.polygons import centroid
 from shorespark.operators.raster import rasterised
-from shorespark.operators.spatial import in_regions, nearest_lines
+from shorespark.operators.spatial import descended, in_regions, nearest_lines
 from shorespark.session import written
 
 
@@ -63,10 +63,12 @@ def nearest_feature(layers: list[tuple[str, DataFrame]], key: str, distance: str
 
 
 def _within(points: DataFrame, shore: DataFrame, features: DataFrame, reach: str) -> DataFrame:
-    """point and distance to the shore of the points within the greatest reach of the features: one round of search."""
+    """point and distance to the shore of the points within the greatest reach of the features. The points descend the
+    hierarchies: corridors as wide as the greatest reach, which one odd rate may set, would hold every point."""
     most = features.select(F.max(reach).alias("m")).first()["m"]
-    r = max(float(most or 0.0), 1e-6)
-    return nearest_lines(points, shore.select(F.col("id").alias("line"), "x1", "y1", "x2", "y2"), first=r, most=r).select("point", "distance")
+    lines = shore.select(F.col("id").cast("string").alias("line"), "x1", "y1", "x2", "y2").where("line IS NOT NULL AND x1 + y1 + x2 + y2 IS NOT NULL").distinct()
+    points = points.select(F.col("point").cast("string").alias("point"), "px", "py").where("point IS NOT NULL AND px IS NOT NULL AND py IS NOT NULL")
+    return descended(written(points, "points"), written(lines, "lines"), max(float(most or 0.0), 1e-6)).select("point", "distance")
 
 
 def _reached(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -140,9 +142,10 @@ def exposed_length(roads: DataFrame, shore: DataFrame, reach: str, cell: float =
 def exposed_area(buildings: DataFrame, shore: DataFrame, reach: str, cell: float = 1.0) -> DataFrame:
     """id and the area of each polygon (id, xs, ys, reach) within its reach of the shore's segments, by cells of
     `cell` metres judged by their centres. A null reach or one not positive exposes nothing."""
-    cells = rasterised(buildings.select("id", "xs", "ys"), "id", cell).join(buildings.select("id", F.col(reach).alias("_r")), "id").where("_r > 0")
+    some = buildings.where(F.col(reach) > 0)
+    cells = rasterised(some.select("id", "xs", "ys"), "id", cell).join(some.select("id", F.col(reach).alias("_r")), "id")
     c = cells.select("id", "_r", F.concat_ws("\x1f", "id", "row", "col").alias("point"), ((F.col("col") + 0.5) * cell).alias("px"), ((F.col("row") + 0.5) * cell).alias("py"))
-    near = _within(c, shore, buildings, reach)
+    near = _within(c, shore, some, reach)
     hit = c.join(near, "point").where(F.col("distance") <= F.col("_r")).groupBy("id").agg((F.count("*") * cell * cell).alias("exposed_area_m2"))
     return buildings.select("id").join(hit, "id", "left").select("id", F.coalesce("exposed_area_m2", F.lit(0.0)).alias("exposed_area_m2"))
 
@@ -151,8 +154,9 @@ def line_distance(features: DataFrame, shore: DataFrame, cell: float = 100.0) ->
     """id and distance_m between each feature segment (id, x1..y2) and the nearest shore segment (id, x1..y2): 0 if
     they cross, else the least distance of an end of one from the other.
 
-    The features' ends give a bound; shore vertices nearer than it lie in a corridor of that half-width about the
-    feature, so only those are measured.
+    The features' ends give a bound. A shore vertex nearer to the feature than that lies beside it, not beyond its ends,
+    and is no nearer to its ends than the bound: it lies in one of two slabs along the feature, the thinner the farther
+    the shore is, so only the vertices in those are measured.
     """
     def ends(d: DataFrame) -> DataFrame:
         p = F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
@@ -160,15 +164,21 @@ def line_distance(features: DataFrame, shore: DataFrame, cell: float = 100.0) ->
 
     one = lambda d: d.select(F.lit(0).alias("g"), "id", "x1", "y1", "x2", "y2")
     forth = nearest_lines(ends(features), shore.select(F.col("id").alias("line"), "x1", "y1", "x2", "y2")).groupBy(F.col("point").alias("id")).agg(F.min("distance").alias("d"))
-    c = features.select(F.col("id").cast("string").alias("id"), "x1", "y1", "x2", "y2").join(forth, "id")
+    forth = written(forth, "bounds")  # read for the slabs and for the result
+    c = features.select(F.col("id").cast("string").alias("id"), "x1", "y1", "x2", "y2").join(forth, "id").where("d > 0")
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    r = F.col("d") * 1.0001 + 1e-6
-    c = c.withColumns({"ux": F.coalesce(F.try_divide(F.col("x2") - F.col("x1"), length), F.lit(1.0)) * r, "uy": F.coalesce(F.try_divide(F.col("y2") - F.col("y1"), length), F.lit(0.0)) * r})
-    ring = ((1, -1, -1), (2, 1, -1), (2, 1, 1), (1, -1, 1))
-    xs = F.array(*[F.col(f"x{e}") + s * F.col("ux") - t * F.col("uy") for e, s, t in ring])
-    ys = F.array(*[F.col(f"y{e}") + s * F.col("uy") + t * F.col("ux") for e, s, t in ring])
+    c = c.withColumns({"ux": F.try_divide(F.col("x2") - F.col("x1"), length), "uy": F.try_divide(F.col("y2") - F.col("y1"), length)}).where("ux IS NOT NULL")
+    near = 1e-6  # metres by which a slab is widened, so that rounding loses no vertex on its border
+    high = F.col("d") * (1 + 1e-9) + near
+    low = F.sqrt(F.greatest(F.lit(0.0), (F.col("d") - length / 2) * (F.col("d") + length / 2))) * (1 - 1e-9) - near
+    both = F.when(low > 0, F.array(F.struct(low.alias("a"), high.alias("b")), F.struct((-high).alias("a"), (-low).alias("b")))).otherwise(F.array(F.struct((-high).alias("a"), high.alias("b"))))
+    c = c.withColumn("q", F.explode(both))
+    ring = ((1, -near, "a"), (2, near, "a"), (2, near, "b"), (1, -near, "b"))
+    xs = F.array(*[F.col(f"x{e}") + s * F.col("ux") - F.col(f"q.{t}") * F.col("uy") for e, s, t in ring])
+    ys = F.array(*[F.col(f"y{e}") + s * F.col("uy") + F.col(f"q.{t}") * F.col("ux") for e, s, t in ring])
     name = F.concat_ws("\x1f", "x1", "y1", "x2", "y2", "id")
-    inside = in_regions(ends(shore).distinct(), c.select(name.alias("region"), xs.alias("xs"), ys.alias("ys")))
+    slabs = written(c.select(name.alias("region"), xs.alias("xs"), ys.alias("ys")), "slabs")  # counted, sampled and joined
+    inside = in_regions(ends(shore).distinct(), slabs)
     bits = F.split("region", "\x1f", 5)
     back = inside.select(bits[4].alias("id"), point_segment_distance(F.col("px"), F.col("py"), *[bits[i].cast("double") for i in range(4)]).alias("d"))
     crossing = crossings(one(features), one(shore), cell).select(F.col("a_id").cast("string").alias("id"), F.lit(0.0).alias("d"))
@@ -182,6 +192,7 @@ def assessed(buildings: DataFrame, shore: DataFrame, rates: DataFrame, line: str
     exposed and the time is null. `id` must be unique; polygons without area have no centre and are left out."""
     c = centroid(F.col("xs"), F.col("ys"))
     b = buildings.select(F.col("id").cast("string").alias("id"), "xs", "ys", c.alias("c")).where("c IS NOT NULL")
+    b = written(b, "buildings")  # read for the rates, the sides and the result
     near = nearest_rates(b.select("id", F.col("c.x").alias("px"), F.col("c.y").alias("py")), "id", "px", "py", rates, line, rate).select("id", line, rate)
     n = F.size("xs")
     at = lambda a, i: F.element_at(a, i)
@@ -189,5 +200,8 @@ def assessed(buildings: DataFrame, shore: DataFrame, rates: DataFrame, line: str
     sides = sides.select(F.concat_ws("\x1e", F.col("i").cast("string"), "id").alias("id"), at("xs", F.col("i")).alias("x1"), at("ys", F.col("i")).alias("y1"), at("xs", F.col("i") % n + 1).alias("x2"), at("ys", F.col("i") % n + 1).alias("y2"))
     far = line_distance(sides, shore).groupBy(F.split("id", "\x1e", 2)[1].alias("id")).agg(F.min("distance_m").alias("distance_m"))
     j = written(b.drop("c").join(near, "id").join(far, "id", "left"), "assessed")
-    area = exposed_area(j.select("id", "xs", "ys", (F.greatest(F.lit(0.0), F.col(rate)) * horizon).alias("reach")), shore, "reach", cell)
+    # no cell of a polygon is nearer to the shore than its sides are, less the diagonal of its box
+    wide = F.hypot(*[F.array_max(v) - F.array_min(v) for v in ("xs", "ys")])
+    reach = F.greatest(F.lit(0.0), F.col(rate)) * horizon
+    area = exposed_area(j.select("id", "xs", "ys", F.when(F.coalesce(F.col("distance_m"), F.lit(0.0)) - wide <= reach, reach).alias("reach")), shore, "reach", cell)
     return j.join(area, "id").select("id", line, rate, "distance_m", years_to_impact(F.col("distance_m"), F.col(rate)).alias("years_to_impact"), F.lit(horizon).alias("horizon_years"), "exposed_area_m2")

@@ -565,3 +565,43 @@ def test_lines_are_turned_before_they_are_met(spark):
     b = spark.createDataFrame([("l", i, 4.0 - i, 2.0) for i in range(5)], "line string, i int, x double, y double")
     got = sorted((r.i, r.x, r.y) for r in lines.between(a, b, 0.5).collect())
     assert got == [(i, float(i), 1.0) for i in range(5)]
+
+
+def test_distances_and_areas_meet_few_pairs(spark, monkeypatch):
+    # features far from a slanting shore and one odd reach: what is held against each other stays in proportion
+    from shorespark.operators import spatial
+
+    rng = random.Random(5)
+    pts = [(i * 10.0, i * 10.0 + rng.uniform(-3, 3)) for i in range(400)]
+    shore = spark.createDataFrame([(str(i), *a, *b) for i, (a, b) in enumerate(zip(pts, pts[1:]))], "id string, x1 double, y1 double, x2 double, y2 double")
+    at = [(rng.uniform(2000, 4500), rng.uniform(-800, 1500)) for _ in range(25)] + [(1000.0, 1003.0), (500.0, 490.0)]
+    roads = [(f"r{i}", x, y, x + rng.uniform(-16, 16), y + rng.uniform(-16, 16)) for i, (x, y) in enumerate(at)] + [("dot", 900.0, 0.0, 900.0, 0.0)]
+    pairs, real = [], spatial.in_regions
+
+    def counted(*a):
+        got = real(*a)
+        pairs.append(got.count())
+        return got
+
+    monkeypatch.setattr(exposure, "in_regions", counted)
+    monkeypatch.setattr(spatial, "in_regions", counted)
+    far = {r.id: r.distance_m for r in exposure.line_distance(spark.createDataFrame(roads, "id string, x1 double, y1 double, x2 double, y2 double"), shore).collect()}
+
+    def apart(px, py, s):
+        d = (s[2] - s[0]) ** 2 + (s[3] - s[1]) ** 2
+        t = min(1.0, max(0.0, ((px - s[0]) * (s[2] - s[0]) + (py - s[1]) * (s[3] - s[1])) / d)) if d else 0.0
+        return math.hypot(px - s[0] - t * (s[2] - s[0]), py - s[1] - t * (s[3] - s[1]))
+
+    def cross(a, b):
+        side = lambda s, x, y: (s[2] - s[0]) * (y - s[1]) - (s[3] - s[1]) * (x - s[0])
+        return side(a, *b[:2]) * side(a, *b[2:]) < 0 and side(b, *a[:2]) * side(b, *a[2:]) < 0
+
+    segs = [(*a, *b) for a, b in zip(pts, pts[1:])]
+    want = {n: min(0.0 if cross(r, s) else min(apart(*r[:2], s), apart(*r[2:], s), apart(*s[:2], r), apart(*s[2:], r)) for s in segs) for n, *r in roads}
+    assert far == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    squares = [(str(i), [x, x + 8, x + 8, x], [y, y, y + 8, y + 8], 100_000.0 if i == 3 else 6.0) for i, (x, y) in enumerate(at)]
+    area = {r.id: r.exposed_area_m2 for r in exposure.exposed_area(spark.createDataFrame(squares, "id string, xs array<double>, ys array<double>, reach double"), shore, "reach", 2.0).collect()}
+    for i, xs, ys, reach in squares:
+        cells = [(2 * a + 1.0, 2 * b + 1.0) for a in range(int(xs[0] // 2) - 1, int(xs[1] // 2) + 2) for b in range(int(ys[0] // 2) - 1, int(ys[2] // 2) + 2)]
+        assert area[i] == 4 * sum(xs[0] <= x < xs[1] and ys[0] <= y < ys[2] and min(apart(x, y, s) for s in segs) <= reach for x, y in cells)
+    assert sum(pairs) < 200
