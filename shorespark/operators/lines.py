@@ -342,24 +342,43 @@ def stitched(parts: DataFrame) -> DataFrame:
     is closed by itself is a ring. The parts of one line, a shape's ways, are gathered."""
 
     def close(rows: list[tuple]) -> Iterator[tuple]:
-        ends, at = _joints(rows)
-        seen, found = set(), []
-        for start in sorted(at):
-            if len(at[start]) != 2 or at[start][0][0] in seen:
-                continue
-            ring, here = [], start
-            while nxt := [e for e in at[here] if e[0] not in seen]:
-                i, side = nxt[0]
-                seen.add(i)
-                ring.append((i, side))
-                here = ends[i][1 - side]
-            if here == start and all(len(at[p]) == 2 for i, _ in ring for p in ends[i]):
-                found.append(ring)
-        yield from ((rows[i][1], n, place, bool(side)) for n, ring in enumerate(found) for place, (i, side) in enumerate(ring))
+        yield from ((rows[i][1], n, place, bool(side)) for n, ring in enumerate(_rings(rows)) for place, (i, side) in enumerate(ring))
 
     return _by_line(parts, close, {"ring": pa.int32(), "place": pa.int32(), "turned": pa.bool_()})
 
 
+def _rings(rows: list[tuple]) -> list[list[tuple[int, int]]]:
+    """The closed rings of parts (line, part, x1, y1, x2, y2), each the numbers of its parts in order with their first ends."""
+    ends, at = _joints(rows)
+    seen, found = set(), []
+    for start in sorted(at):
+        if len(at[start]) != 2 or at[start][0][0] in seen:
+            continue
+        ring, here = [], start
+        while nxt := [e for e in at[here] if e[0] not in seen]:
+            i, side = nxt[0]
+            seen.add(i)
+            ring.append((i, side))
+            here = ends[i][1 - side]
+        if here == start and all(len(at[p]) == 2 for i, _ in ring for p in ends[i]):
+            found.append(ring)
+    return found
+
+
+def closed_rings(df: DataFrame, ends: str, out: str) -> DataFrame:
+    """df with the closed rings (see `stitched`) of each row's own parts: `ends` is an array of arrays x1, y1, x2, y2, out the
+    rings, each an array of struct part (number in `ends`), turned. Rows stay where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.list_(pa.struct([("part", pa.int32()), ("turned", pa.bool_())])))
+        for b in batches:
+            rings = [[[{"part": i, "turned": bool(side)} for i, side in ring] for ring in _rings([(None, k, *e) for k, e in enumerate(parts)])] for parts in b.column(b.schema.get_field_index(ends)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rings, kind)], [*b.schema.names, out])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{ddl}, `{out}` array<array<struct<part:int,turned:boolean>>>")
+
+
 def ring_arc(ring: DataFrame, anchors: DataFrame, tolerance: float) -> DataFrame:
     """line, direction, seq, x, y: the arc of each closed ring (line, seq, x, y; closing vertex left out) between the
     vertices nearest (by |dx| + |dy| within tolerance) to the line's two anchors whose length lies in [least, most];

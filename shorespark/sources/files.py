@@ -182,20 +182,23 @@ def overpass(documents: DataFrame, text: str) -> DataFrame:
 
 def overpass_outlines(documents: DataFrame, text: str) -> DataFrame:
     """osm_id, ring and line (array of struct lon, lat, closed) of the outer rings of relations tagged building, whose outer
-    ways are put together end to end (`lines.stitched`); members without a role are outer too. Ways that close no ring
+    ways are put together end to end (`lines.closed_rings`); members without a role are outer too. Ways that close no ring
     give no rows. The relations' ids must be unique."""
-    from shorespark.operators.lines import stitched
+    from shorespark.operators.lines import closed_rings
 
     e = documents.select(F.explode(F.from_json(text, OVERPASS)["elements"]).alias("e")).select("e.*").where((F.col("type") == "relation") & F.try_element_at("tags", F.lit("building")).isNotNull())
-    m = e.select(F.concat_ws("/", "type", "id").alias("line"), F.posexplode("members").alias("part", "m")).where(F.coalesce("m.role", F.lit("outer")).isin("", "outer") & (F.size("m.geometry") > 1))
-    m = m.select("line", "part", F.col("m.geometry").alias("g"))
-    end = lambda i, c: F.element_at("g", i)[c]
-    order = stitched(m.select("line", "part", end(1, "lon").alias("x1"), end(1, "lat").alias("y1"), end(-1, "lon").alias("x2"), end(-1, "lat").alias("y2")))
-    j = order.join(m, ["line", "part"]).withColumn("g", F.when(F.col("turned"), F.reverse("g")).otherwise(F.col("g")))
-    rings = j.groupBy("line", "ring").agg(F.sort_array(F.collect_list(F.struct("place", "g"))).alias("a"))
+    ways = F.filter("members", lambda m: F.coalesce(m["role"], F.lit("outer")).isin("", "outer") & (F.size(m["geometry"]) > 1))
+    e = e.select(F.concat_ws("/", "type", "id").alias("line"), F.transform(ways, lambda m: m["geometry"]).alias("g"))
+    end = lambda g, i, c: F.element_at(g, i)[c]
+    whole = lambda g: (end(g, 1, "lon") + end(g, 1, "lat") + end(g, -1, "lon") + end(g, -1, "lat")).isNotNull()
+    e = e.withColumn("g", F.filter("g", whole)).where(F.size("g") > 0)
+    ends = F.transform("g", lambda g: F.array(end(g, 1, "lon"), end(g, 1, "lat"), end(g, -1, "lon"), end(g, -1, "lat")))
+    # a relation's ways come and stay in one row: nothing is shuffled, joined or broadcast
+    r = closed_rings(e.withColumn("ends", ends), "ends", "rings").select("line", "g", F.posexplode("rings").alias("ring", "ways"))
+    way = lambda w: F.when(w["turned"], F.reverse(F.get("g", w["part"]))).otherwise(F.get("g", w["part"]))
     # the first vertex of each way is the last one of the way before; the ring closes on its first vertex
-    inner = F.flatten(F.transform("a", lambda x: F.slice(x["g"], 1, F.size(x["g"]) - 1)))
-    return rings.select(F.col("line").alias("osm_id"), "ring", F.concat(inner, F.slice(inner, 1, 1)).alias("line")).where(F.size("line") >= 4)
+    inner = F.flatten(F.transform("ways", lambda w: F.slice(way(w), 1, F.size(way(w)) - 1)))
+    return r.select(F.col("line").alias("osm_id"), "ring", inner.alias("line")).select("osm_id", "ring", F.concat("line", F.slice("line", 1, 1)).alias("line")).where(F.size("line") >= 4)
 
 
 def overpass_query(south: float, west: float, north: float, east: float, timeout: int = 60) -> str:

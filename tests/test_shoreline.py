@@ -605,3 +605,17 @@ def test_distances_and_areas_meet_few_pairs(spark, monkeypatch):
         cells = [(2 * a + 1.0, 2 * b + 1.0) for a in range(int(xs[0] // 2) - 1, int(xs[1] // 2) + 2) for b in range(int(ys[0] // 2) - 1, int(ys[2] // 2) + 2)]
         assert area[i] == 4 * sum(xs[0] <= x < xs[1] and ys[0] <= y < ys[2] and min(apart(x, y, s) for s in segs) <= reach for x, y in cells)
     assert sum(pairs) < 200
+
+
+def test_outlines_stay_in_their_rows(spark):
+    import json
+
+    g = lambda *p: [{"lon": x, "lat": y} for x, y in p]
+    part = lambda role, *p: {"role": role, "geometry": g(*p)}
+    two = [part("outer", (0.0, 0.0), (1.0, 0.0), (1.0, 1.0)), part("inner", (5.0, 5.0), (6.0, 6.0)), part(None, (0.0, 0.0), (0.0, 1.0), (1.0, 1.0)), part("", (9.0, 9.0), (8.0, 9.0), (8.0, 8.0), (9.0, 9.0)), part("outer", (3.0, 3.0), (4.0, 4.0)), {"role": "outer"}]
+    els = [{"type": "relation", "id": 1, "tags": {"building": "yes"}, "members": two}, {"type": "relation", "id": 2, "tags": {"building": "yes"}, "members": two[:1]}, {"type": "relation", "id": 3, "tags": {}, "members": two}, {"type": "way", "id": 4, "tags": {"building": "yes"}}]
+    df = files.overpass_outlines(spark.createDataFrame([(json.dumps({"elements": els}),)], "text string"), "text")
+    got = sorted((r.osm_id, r.ring, [(p.lon, p.lat) for p in r.line]) for r in df.collect())
+    assert got == [("relation/1", 0, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]), ("relation/1", 1, [(9.0, 9.0), (8.0, 9.0), (8.0, 8.0), (9.0, 9.0), (9.0, 9.0)][:3] + [(9.0, 9.0)])]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" not in plan
