@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from shorespark.operators import lines
 from shorespark.operators.exposure import by_limits
 from shorespark.operators.spatial import nearest_lines
 
+TILE = 256  #: cells of a tile's side in `band_areas`
+
 
 def retreat(year: Column, rate: Column, base: int) -> Column:
     """Metres of retreat since the base year; never negative."""
@@ -40,29 +46,68 @@ def margins(points: DataFrame, segs: DataFrame, retreat_m: Column) -> DataFrame:
 
 def band_areas(v: DataFrame, bounds: dict[str, tuple[float, float]], cell: float = 2.0) -> DataFrame:
     """line, band, area_m2: areas to the left of each line between two distances, by cells whose centres are judged by
-    their signed distance; cells beyond the line's ends are left out. Cells are made along each segment only as far
-    as the widest band, then kept with their nearest segment."""
+    their signed distance; cells beyond the line's ends are left out. Cells are judged along each segment only as far
+    as the widest band, and kept with their nearest segment.
+
+    Only segments are shuffled, once for every tile of TILE x TILE cells that they reach. A tile's segments come in order
+    and leave their mark on its cells, so a task holds one tile, and a row per tile and band goes on.
+    """
     far = max(b for _, b in bounds.values())
-    s = lines.segments(v)
+    s = lines.segments(v).where("NOT isnan(x1 + y1 + x2 + y2)")
     low = lambda c: F.floor((F.least(f"{c}1", f"{c}2") - far) / cell)
     high = lambda c: F.ceil((F.greatest(f"{c}1", f"{c}2") + far) / cell)
-    c = s.withColumn("i", F.explode(F.sequence(low("x"), high("x")))).withColumn("j", F.explode(F.sequence(low("y"), high("y"))))
-    px, py = (F.col("i") + 0.5) * cell, (F.col("j") + 0.5) * cell
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    raw = F.coalesce(F.try_divide((px - F.col("x1")) * dx + (py - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
-    d = F.hypot(px - F.col("x1") - t * dx, py - F.col("y1") - t * dy)
-    cross = dx * (py - F.col("y1")) - dy * (px - F.col("x1"))
-    ends = s.groupBy("line").agg(F.max("seq").alias("last"))
-    c = c.select("line", "seq", "i", "j", F.round(d, 9).alias("d"), cross.alias("cross"), raw.alias("raw"), F.col("len").alias("len")).where(F.col("d") <= far)
-    best = c.groupBy("line", "i", "j").agg(F.min(F.struct("d", (-F.abs(F.try_divide("cross", "len"))).alias("o"), "seq", "cross", "raw")).alias("b")).join(ends, "line")
-    beyond = ((F.col("b.seq") == 0) & (F.col("b.raw") < 0)) | ((F.col("b.seq") == F.col("last")) & (F.col("b.raw") > 1))
-    left = best.where(~beyond & (F.col("b.cross") > 0))
-    band = None
-    for name, (a, b) in bounds.items():
-        test = (F.col("b.d") > a) & (F.col("b.d") <= b) if a > 0 else (F.col("b.d") <= b)
-        band = F.when(test, name) if band is None else band.when(test, name)
-    return left.withColumn("band", band).where("band IS NOT NULL").groupBy("line", "band").agg((F.count("*") * cell * cell).alias("area_m2"))
+    s = s.select("line", "seq", "x1", "y1", "x2", "y2", "len", "last", low("x").alias("i0"), high("x").alias("i1"), low("y").alias("j0"), high("y").alias("j1"))
+    for t, c in (("ti", "i"), ("tj", "j")):
+        s = s.withColumn(t, F.explode(F.sequence(F.floor(F.col(f"{c}0") / TILE), F.floor(F.col(f"{c}1") / TILE))))
+
+    def counted(best: np.ndarray, mark: np.ndarray) -> list[tuple[str, int]]:
+        d, out = best[mark], []
+        left = np.ones(len(d), bool)
+        for name, (a, b) in bounds.items():
+            hit = left & (d > a if a > 0 else True) & (d <= b)
+            left &= ~hit
+            out.append((name, int(hit.sum())))
+        return [x for x in out if x[1]]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, kind = None, None
+        best, across, mark = np.empty((TILE, TILE)), np.empty((TILE, TILE)), np.empty((TILE, TILE), bool)
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((kind, pa.string(), pa.int64()))], ["line", "band", "n"])
+        for batch in batches:
+            kind, out = batch.schema.field(0).type, []
+            for line, seq, x1, y1, x2, y2, length, last, i0, i1, j0, j1, ti, tj in zip(*(c.to_pylist() for c in batch.columns)):
+                if here != (line, ti, tj):
+                    out += [(here[0], *r) for r in counted(best, mark)] if here else []
+                    here = line, ti, tj
+                    best.fill(np.inf)
+                    across.fill(np.inf)
+                    mark.fill(False)
+                i0, i1, j0, j1 = max(i0, ti * TILE), min(i1, ti * TILE + TILE - 1), max(j0, tj * TILE), min(j1, tj * TILE + TILE - 1)
+                px, py = (np.arange(i0, i1 + 1)[:, None] + 0.5) * cell, (np.arange(j0, j1 + 1)[None, :] + 0.5) * cell
+                dx, dy = x2 - x1, y2 - y1
+                square = dx * dx + dy * dy
+                raw = ((px - x1) * dx + (py - y1) * dy) / square if square else np.zeros((i1 - i0 + 1, j1 - j0 + 1))
+                t = np.clip(raw, 0.0, 1.0)
+                d = np.round(np.hypot(px - x1 - t * dx, py - y1 - t * dy), 9)
+                cross = dx * (py - y1) - dy * (px - x1)
+                o = -np.abs(cross / length) if length else np.full(d.shape, -np.inf)
+                at = np.s_[i0 - ti * TILE : i1 + 1 - ti * TILE, j0 - tj * TILE : j1 + 1 - tj * TILE]
+                mine = (d <= far) & ((d < best[at]) | ((d == best[at]) & (o < across[at])))
+                keep = cross > 0
+                if seq == 0:
+                    keep &= raw >= 0
+                if seq == last:
+                    keep &= raw <= 1
+                best[at], across[at], mark[at] = np.where(mine, d, best[at]), np.where(mine, o, across[at]), np.where(mine, keep, mark[at])
+            if out:
+                yield made(out)
+        if here and (out := [(here[0], *r) for r in counted(best, mark)]):
+            yield made(out)
+
+    tiles = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    ready = s.repartition(tiles, "line", "ti", "tj").sortWithinPartitions("line", "ti", "tj", "seq")
+    n = ready.mapInArrow(judge, f"line {s.schema['line'].dataType.simpleString()}, band string, n long")
+    return n.groupBy("line", "band").agg((F.sum("n") * cell * cell).alias("area_m2"))
 
 
 def _stations(segs: DataFrame, count: int) -> DataFrame:

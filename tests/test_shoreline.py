@@ -619,3 +619,15 @@ def test_outlines_stay_in_their_rows(spark):
     assert got == [("relation/1", 0, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]), ("relation/1", 1, [(9.0, 9.0), (8.0, 9.0), (8.0, 8.0), (9.0, 9.0), (9.0, 9.0)][:3] + [(9.0, 9.0)])]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Repartition" not in plan
+
+
+def test_band_areas_shuffle_segments_only(spark, monkeypatch):
+    v = line(spark, "a", [(0, 0), (60, 10), (60, 10), (90, 70), (40, 120)]).unionByName(line(spark, "b", [(-30, 5), (300, 5)]))
+    bounds = {"x": (0.0, 10.0), "y": (10.0, 35.0)}
+    areas = lambda: {(r.line, r.band): r.area_m2 for r in scenario.band_areas(v, bounds, 2.0).collect()}
+    whole = areas()
+    assert whole["b", "x"] == pytest.approx(330 * 10, rel=0.05) and whole["b", "y"] == pytest.approx(330 * 25, rel=0.05) and len(whole) == 4
+    monkeypatch.setattr(scenario, "TILE", 7)
+    assert areas() == whole
+    plan = scenario.band_areas(v, bounds, 2.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [line#" in plan and ", i#" not in plan.split("MapInArrow")[0]
