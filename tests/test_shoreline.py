@@ -631,3 +631,31 @@ def test_band_areas_shuffle_segments_only(spark, monkeypatch):
     assert areas() == whole
     plan = scenario.band_areas(v, bounds, 2.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [line#" in plan and ", i#" not in plan.split("MapInArrow")[0]
+
+
+def test_masks_in_tiles_of_any_size(spark, monkeypatch):
+    rng = random.Random(3)
+    grid = {(r, c) for r in range(-9, 14) for c in range(-7, 19) if (r, c) != (2, 3)}
+    mask = {p for p in grid if rng.random() < 0.8} - {(r, 4) for r in range(-9, 12)}
+    near = lambda p: [(p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    want = mask
+    for every in (True, False, False, True):
+        want = {p for p in grid if (all if every else any)(q in want for q in near(p))}
+    names, left = {}, set(mask)
+    while left:
+        first = min(left)
+        todo, left = [first], left - {first}
+        while todo:
+            r, c = todo.pop()
+            names[r, c] = first[0] * 2**31 + first[1]
+            step = {(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)} & left
+            left -= step
+            todo += step
+    table = lambda cells: spark.createDataFrame([("k", *p) for p in cells] + [("k", None, 0)], "k string, row long, col long")
+    m, g = table(list(mask) + list(mask)[:5]), table(grid)
+    for tile in (256, 5):
+        monkeypatch.setattr(raster, "TILE", tile)
+        opened = raster.opened_closed(m, g, "k")
+        assert {(r["row"], r["col"]) for r in opened.collect()} == want and want
+        assert {(r["row"], r["col"]): r.component for r in raster.components(m, "k").collect()} == names
+    assert opened._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1  # one shuffle, no join
